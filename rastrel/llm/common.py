@@ -41,12 +41,12 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there, each row is computed
     once, and a lost executor costs no recomputation of what came before. Shuffle files behind the
     written table are released."""
-    spark = df.sparkSession
+    spark, schema = df.sparkSession, df.schema
     path = f"{shared_dir(spark)}/rastrel-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    del df  # with the last reference its shuffle files can go
     spark.sparkContext._jvm.System.gc()
-    return out
+    return spark.read.schema(schema).parquet(path)
 
 
 # ---------------------------------------------------------------- numpy text kernels
@@ -162,6 +162,15 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
             at = to
 
 
+def pieces(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """(first row, texts) in runs of at most SLICE_BYTES, or of one text."""
+    batch = pa.record_batch([texts], names=["text"])
+    at = 0
+    for part in slices(iter([batch])):
+        yield at, part.column("text")
+        at += part.num_rows
+
+
 def map_slices(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, column: str = "text") -> DataFrame:
     """Run ``kernel`` on bounded slices of ``df``."""
 

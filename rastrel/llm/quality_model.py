@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, map_slices
+from .common import U64, Words, map_slices, pieces
 from .training import fold, labelled_sample, sigmoid
 
 FOLDS, HELD = 3, 1
@@ -53,23 +53,15 @@ class Model:
         if len(set(y.tolist())) < 2:
             self.constant = float(y.mean()) if len(y) else 0.5
             return
-        words = Words(texts)
-        word, shape = tokens(words)
         rng = np.random.Generator(np.random.Philox(8))
         size = (1 << BITS) + SHAPES
         index = rng.choice(np.array([-1, 0, 0, 0, 1], np.float32), (size, DIM))
         context = np.zeros((size, DIM), np.float32)
-        stream, step = shape + (1 << BITS), 1 << 16
-        for d in (*range(-WINDOW, 0), *range(1, WINDOW + 1)):
-            for a in range(0, len(word), step):
-                i = np.arange(max(a, -d, 0), min(a + step, len(word) - max(d, 0)))
-                i = i[words.doc[i] == words.doc[i + d]]
-                near = index[stream[i + d]] + index[word[i + d]]
-                np.add.at(context, word[i], near)
-                np.add.at(context, stream[i], near)
+        for _, part in pieces(texts):
+            self._add_contexts(part, index, context)
         norm = np.linalg.norm(context, axis=1, keepdims=True)
         self.vectors = np.hstack([index, context / np.maximum(norm, 1e-6)]).astype(np.float32)
-        x = self.pool(words, word, shape)
+        x = np.concatenate([self.pool(part) for _, part in pieces(texts)])
         self.mean, self.std = x.mean(0), x.std(0) + 1e-3
         x = (x - self.mean) / self.std
         back = np.arange(len(y)) % 5 == 4
@@ -81,7 +73,23 @@ class Model:
             loss = [np.mean(np.logaddexp(0, -(2 * y[back] - 1) * z / t)) for t in grid]
             self.temperature = float(grid[int(np.argmin(loss))])
 
-    def pool(self, words: Words, word: np.ndarray, shape: np.ndarray) -> np.ndarray:
+    @staticmethod
+    def _add_contexts(texts: pa.Array, index: np.ndarray, context: np.ndarray) -> None:
+        """Add the index vectors of each token's neighbours to its context vector."""
+        words = Words(texts)
+        word, shape = tokens(words)
+        stream, step = shape + (1 << BITS), 1 << 16
+        for d in (*range(-WINDOW, 0), *range(1, WINDOW + 1)):
+            for a in range(0, len(word), step):
+                i = np.arange(max(a, -d, 0), min(a + step, len(word) - max(d, 0)))
+                i = i[words.doc[i] == words.doc[i + d]]
+                near = index[stream[i + d]] + index[word[i + d]]
+                np.add.at(context, word[i], near)
+                np.add.at(context, stream[i], near)
+
+    def pool(self, texts: pa.Array) -> np.ndarray:
+        words = Words(texts)
+        word, shape = tokens(words)
         out = np.zeros((len(words.counts), 2 * self.vectors.shape[1] + 1), np.float32)
         half, step = self.vectors.shape[1], 1 << 15
         for a in range(0, len(word), step):
@@ -118,8 +126,7 @@ class Model:
     def score(self, texts: pa.Array) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(texts), self.constant)
-        words = Words(texts)
-        x = (self.pool(words, *tokens(words)) - self.mean) / self.std
+        x = (self.pool(texts) - self.mean) / self.std
         return sigmoid(self._logit(x) / self.temperature)
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, map_slices, mix, rolling
+from .common import Words, map_slices, mix, pieces, rolling
 from .training import fit_logistic, fit_svm, fold, labelled_sample, sigmoid
 
 FOLDS, HELD = 4, 2
@@ -133,7 +133,7 @@ class Model:
         nystrom = triple_sums(matrix[rows], np.ascontiguousarray(profiles.T)) @ whiten
         w, self.bias = fit_svm(nystrom, np.where(np.arange(len(rows)) < len(bad), 1.0, -1.0), c=20.0)
         self.table = (profiles.T @ (whiten @ w)).astype(np.float32)
-        x = self.features(pa.array(texts, pa.string()))
+        x = np.concatenate([self.features(part) for _, part in pieces(pa.array(texts, pa.string()))])
         self.final = fit_logistic(x, y.astype(float))
 
     def words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

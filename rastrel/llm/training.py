@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bounds of every training sample: rows, and characters used of each.
-MAX_ROWS = 4000
-MAX_CHARS = 20_000
+MAX_ROWS = 3000
+MAX_CHARS = 8000
 
 
 def fold(doc_id: Column, folds: int, held: int) -> Column:
