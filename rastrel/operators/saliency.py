@@ -45,4 +45,4 @@ def bilinear(grid: DataFrame, value: str, side: int, cell: int) -> DataFrame:
     fx, fy = F.col("u") - F.col("x0"), F.col("v") - F.col("y0")
     top = F.col("v00") + (F.col("v01") - F.col("v00")) * fx
     low = F.col("v10") + (F.col("v11") - F.col("v10")) * fx
-    return px.select("img_id", "y", "x", F.round(top + (low - top) * fy, 6).alias(value))
+    return px.select("img_id", "y", "x", F.round(top + (low - top) * fy + 1e-9, 6).alias(value))
