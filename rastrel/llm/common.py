@@ -150,13 +150,13 @@ def _offsets(values: pa.Array) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cut batches so that each holds at most SLICE_BYTES of ``column``, or a single row."""
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that each holds at most ``limit`` bytes of ``column``, or a single row."""
     for batch in batches:
         at = 0
         offsets = _offsets(batch.column(column))
         while at < batch.num_rows:
-            to = int(np.searchsorted(offsets, offsets[at] + SLICE_BYTES, "right")) - 1
+            to = int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1
             to = max(at + 1, min(to, batch.num_rows))
             yield batch.slice(at, to - at)
             at = to

@@ -26,16 +26,26 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, mix, slices
+from .common import _BYTE, Words, cut, mix, rolling, slices
 
 CAPACITY = 4096
 END_ID = 2
 VOCABULARY = "word_bpe_49k.json"
 DIMS, BITS = 4, 10
-CACHED_WORDS, CACHED_LENGTH = 300_000, 40
+CACHED_WORDS, CACHED_LENGTH = 600_000, 40
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
-_CACHE: dict[str, dict[str, bytes]] = {}
+#: ids of word cores, marks and other words already encoded by this worker, by vocabulary
+_CACHE: dict[str, tuple[dict[bytes, bytes], dict[bytes, bytes], dict[bytes, bytes]]] = {}
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_SECOND = np.zeros(256, bool)  # second bytes of the two-byte Latin letters
+_SECOND[128:192] = True
+_SECOND[[0x97, 0xB7]] = False
+_MARK = np.zeros(256, bool)
+_MARK[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -52,26 +62,123 @@ def _tokenizer(path: str):  # noqa: ANN202
     return Tokenizer.from_file(path)
 
 
-def encode(texts: list[str], path: str) -> list[bytes]:
-    """The ids of each text as little-endian unsigned 16-bit numbers.
-
-    This vocabulary drops white space and never joins across it, so a text is the sum of its
-    space-separated pieces; pieces are encoded once and kept, up to a fixed number.
-    """
-    cache = _CACHE.setdefault(path, {})
-    parts = [t.replace("\n", " ").split(" ") for t in texts]
-    new = set().union(*parts).difference(cache)
-    if len(cache) + len(new) > CACHED_WORDS:
+@lru_cache(maxsize=2)
+def _bare(path: str) -> tuple:
+    """The vocabulary's merges alone, for text that is normalised and byte-mapped already: (tokenizer
+    split at spaces, bytes as shown, whether an id ends a word)."""
+    from tokenizers import Tokenizer
+    from tokenizers.pre_tokenizers import WhitespaceSplit
+
+    whole = _tokenizer(path)
+    bare = Tokenizer(whole.model)
+    bare.pre_tokenizer = WhitespaceSplit()
+    # bytes of letters beyond ASCII as this vocabulary shows them: printable ones as themselves, others from 256 on
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = iter(range(256, 512))
+    code = [b if b in shown else next(hidden) for b in range(256)]
+    two = np.array([[0xC0 | c >> 6, 0x80 | c & 0x3F] for c in code], np.uint8)
+    vocab = whole.get_vocab()
+    ends = np.zeros(max(vocab.values()) + 1, bool)
+    ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+    return bare, two, ends
+
+
+def _shown(text: bytes, two: np.ndarray) -> str:
+    """The text with each byte beyond ASCII as one letter."""
+    if text.isascii():
+        return text.decode()
+    raw = np.frombuffer(text, np.uint8)
+    high = raw >= 128
+    at = np.cumsum(1 + high) - 1 - high
+    out = np.empty(len(raw) + int(high.sum()), np.uint8)
+    out[at[~high]] = raw[~high]
+    out[at[high]], out[at[high] + 1] = two[raw[high]].T
+    return out.tobytes().decode()
+
+
+def _encode_whole(words: list[str], path: str) -> list[bytes]:
+    return [np.array(e.ids, "<u2").tobytes() for e in _tokenizer(path).encode_batch_fast(words, add_special_tokens=False)]
+
+
+def _encode_cores(cores: list[bytes], path: str) -> list[bytes]:
+    """Ids of lower-case Latin words, by the merges alone."""
+    bare, two, ends = _bare(path)
+    texts = [b" ".join(cores[i : i + 512]) for i in range(0, len(cores), 512)]
+    encoded = bare.encode_batch_fast([_shown(t, two) for t in texts], add_special_tokens=False)
+    flat = np.concatenate([np.array(e.ids, "<u2") for e in encoded])
+    stops = np.flatnonzero(ends[flat]) + 1
+    if len(stops) != len(cores):
+        raise ValueError("the vocabulary does not end each word once")
+    raw, stops = flat.tobytes(), (2 * stops).tolist()
+    return [raw[x:y] for x, y in zip([0, *stops[:-1]], stops, strict=True)]
+
+
+def _lookup(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, raw: bytes, cache: dict[bytes, bytes], encode_all) -> tuple[np.ndarray, list[bytes]]:  # noqa: ANN001
+    """(index of each piece's distinct value, ids of the distinct values), through the cache."""
+    _, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+    keys = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+    if len(cache) > CACHED_WORDS:
         cache.clear()
-        new = set().union(*parts)
-    new = list(new)
-    with_ids = _tokenizer(path).encode_batch_fast(new, add_special_tokens=False)
-    cache.update((w, np.array(e.ids, "<u2").tobytes()) for w, e in zip(new, with_ids, strict=True))
-    out = [b"".join(map(cache.__getitem__, p)) for p in parts]
-    for w in new:
-        if len(w) > CACHED_LENGTH:
-            del cache[w]
-    return out
+    found = list(map(cache.get, keys))
+    new = [k for k, v in zip(keys, found, strict=True) if v is None]
+    if new:
+        made = dict(zip(new, encode_all(new), strict=True))
+        found = [made[k] if v is None else v for k, v in zip(keys, found, strict=True)]
+        cache.update(made if max(map(len, new)) <= CACHED_LENGTH else {k: v for k, v in made.items() if len(k) <= CACHED_LENGTH})
+    return back, found
+
+
+def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all texts in a row, number of ids of each text); an end id follows each text.
+
+    This vocabulary lower-cases, drops white space and never joins across it, so a text is the sum of
+    its words. A word of Latin letters with ASCII marks behind it is two pieces, its lower-cased letters
+    and its marks; any other word is one. Each distinct piece of the slice is looked up once, and
+    letters go through the merges alone; pieces are kept up to a fixed number.
+    """
+    cores, marks, wholes = _CACHE.setdefault(path, ({}, {}, {}))
+    words = Words(texts)
+    data, s, e = words.data, words.starts, words.ends
+    n_words, docs = len(s), len(words.counts)
+    lead = np.zeros(len(data), bool)
+    lead[:-1] = (data[:-1] == 0xC3) & _SECOND[data[1:]]
+    second = np.zeros(len(data), bool)
+    second[1:] = lead[:-1]
+    letters = np.zeros(len(data) + 1, np.int32)
+    np.cumsum(_LETTER[data] | lead | second, out=letters[1:])
+    mark = np.zeros(len(data) + 1, np.int32)
+    np.cumsum(_MARK[data], out=mark[1:])
+    low = _LOWER[data]
+    low[second & (data < 0x9F)] += 32
+    m = s + letters[e] - letters[s]
+    simple = (m > s) & (letters[m] - letters[s] == m - s) & (mark[e] - mark[m] == e - m)
+    sizes, begins, pool = np.zeros((2, n_words), np.int64), np.zeros((2, n_words), np.int64), [END_ID.to_bytes(2, "little")]
+    at = 1
+    whole = lambda keys: _encode_whole([k.decode() for k in keys], path)
+    lowered, raw = low.tobytes(), data.tobytes()
+    for row, pick, x, y, text, source, cache, how in (
+        (0, simple, s, m, low, lowered, cores, lambda keys: _encode_cores(keys, path)),
+        (0, ~simple, s, e, data, raw, wholes, whole),
+        (1, simple & (e > m), m, e, data, raw, marks, whole),
+    ):
+        i = np.flatnonzero(pick)
+        if not len(i):
+            continue
+        back, found = _lookup(rolling(_BYTE[text], x[i], y[i]), x[i], y[i], source, cache, how)
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 2
+        sizes[row, i], begins[row, i] = size[back], (at + np.cumsum(size) - size)[back]
+        at += int(size.sum())
+        pool += found
+    ids = np.frombuffer(b"".join(pool), "<u2")
+    # two pieces for each word, then the end id of its text
+    place = 2 * np.arange(n_words) + words.doc
+    piece_size, piece_at = np.ones(2 * n_words + docs, np.int64), np.zeros(2 * n_words + docs, np.int64)
+    for row in (0, 1):
+        piece_size[place + row], piece_at[place + row] = sizes[row], begins[row]
+    upto = np.cumsum(piece_size)
+    flat = ids[np.repeat(piece_at - (upto - piece_size), piece_size) + np.arange(upto[-1] if docs else 0)]
+    stops = upto[np.cumsum(2 * words.counts + 1) - 1] if docs else np.zeros(0, np.int64)
+    return flat, np.diff(stops, prepend=0)
 
 
 def _projection(size: int = 1 << 16) -> np.ndarray:
@@ -115,10 +222,10 @@ def tokenized(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 33
         table = _projection()
-        for batch in slices(batches):
-            ids = [x + END_ID.to_bytes(2, "little") for x in encode([t or "" for t in batch.column("text").to_pylist()], path)]
-            n = np.array([len(x) // 2 for x in ids], np.int64)
-            flat, at = np.frombuffer(b"".join(ids), "<u2"), np.cumsum(n) - n
+        for batch in slices(batches, limit=3 << 20):
+            flat, n = encode(batch.column("text"), path)
+            at, whole = np.cumsum(n) - n, flat.tobytes()
+            ids = [whole[2 * a : 2 * (a + k)] for a, k in zip(at.tolist(), n.tolist(), strict=True)]
             mean = np.zeros((len(ids), DIMS))
             for lo in range(0, len(ids), 64):  # a few documents at a time: one row of floats per id
                 hi = min(lo + 64, len(ids))
