@@ -13,10 +13,11 @@ token unions bound what a query can share with a group, and only qualifying grou
    and every other node is compared with it, exactly.
 3. A node that does not link to its leader is a query. In families that have one, nodes are coded by
    their difference from the leader; nodes with the same rarest difference token form a group, and
-   the matrix holds each group's difference tokens. A pair with a query can only link if it shares
-   at least half of the excess of its differences over the allowed number; with tokens ordered by
-   rarity this bounds the prefix that must meet the matrix, and the group's union must hold enough of
-   the query's tokens for the group to be opened. Opened pairs are compared exactly.
+   the matrix holds each group's tokens. A link with a query needs more shared difference tokens the
+   further both lie from the leader; with tokens ordered by rarity that bounds the prefix of a node
+   that must meet the matrix and the places where they may first meet, and the group's token union
+   must hold enough of the query's tokens for the group to be opened. Opened pairs are compared
+   exactly.
 4. Components of all links give the classes.
 
 Nothing is emitted per pair of a family: 2 is one row per node, 3 is limited to queries.
@@ -164,25 +165,30 @@ def _query_links(compared: DataFrame, texts: DataFrame) -> DataFrame:
     tokens = coded.select("family", F.col("a").alias("node"), "size", "size_b", "difference", "linked", F.explode("tokens").alias("token"))
     often = cut(tokens.groupBy("family", "token").agg(F.count("*").alias("freq")).where("freq > 1"))
     tokens = cut(tokens.join(often, ["family", "token"]))
-    # tokens that no other node of the family has are never shared, and come first in the order
-    alone = F.col("difference") - F.count("*").over(Window.partitionBy("family", "node"))
-    place = alone + F.row_number().over(Window.partitionBy("family", "node").orderBy("freq", "token"))
-    # a link with a query needs more than (difference - (size - size_b)/19)/2 shared tokens
-    need = F.greatest(F.lit(1), F.floor((F.col("difference") - (F.col("size") - F.col("size_b")) / PART) / 2) + 1)
-    ranked = tokens.withColumn("place", place).withColumn("need", need)
-    prefix = cut(ranked.where(F.col("place") <= F.col("difference") - F.col("need") + 1))
-    group = prefix.groupBy("family", "node").agg(F.min_by("token", "place").alias("grp"))
-    group = cut(group)
-    groups = prefix.join(group, ["family", "node"])
-    matrix = groups.select("family", "token", "grp").distinct()
-    queries = cut(tokens.where("not linked").select("family", "token", F.col("node").alias("query"), "size", "size_b", "difference"))
-    met = cut(queries.join(matrix, ["family", "token"]).select("family", "query", "grp").distinct())
-    # open only groups whose union holds enough of the query's tokens
-    union = cut(tokens.join(group, ["family", "node"]).groupBy("family", "grp", "token").agg(F.min("difference").alias("d"), F.max("size").alias("s")))
-    least = union.groupBy("family", "grp").agg(F.min("d").alias("least"), F.max("s").alias("most"))
-    bound = met.join(queries, ["family", "query"]).join(union.select("family", "grp", "token"), ["family", "grp", "token"])
-    bound = bound.groupBy("family", "query", "grp", "size", "difference").agg(F.count("*").alias("shared")).join(least, ["family", "grp"])
-    opened = bound.where(2 * F.col("shared") >= F.col("difference") + F.col("least") - (F.col("size") + F.col("most")) / PART).select("family", "query", "grp")
+    # Order of a node's tokens: those no other node has come first, then rare ones. A pair links only if
+    # it shares r = (d + e - (|q| + |y|)/19) / 2 tokens (d, e: differences from the leader). So its first
+    # shared token, at places i and j, leaves room for r: 2 (1 + d - i) >= 2 r and 2 (1 + e - j) >= 2 r.
+    d, size = F.col("difference"), F.col("size") / PART
+    order = Window.partitionBy("family", "node").orderBy("freq", "token")
+    alone = d - F.count("*").over(Window.partitionBy("family", "node"))
+    placed = tokens.withColumn("room", 2 + d - 2 * (alone + F.row_number().over(order)) + size).withColumn("reach", d - size)
+    # against a query e - (|y| - leader)/19 bounds 2 r from below, against any node 2 r is over 2 (d - |q|/9)
+    least = F.greatest((d - (F.col("size") - F.col("size_b")) / PART), 2 * d - F.col("size") * 2 / 9)
+    slack = F.lit(1e-3)  # below any difference of these fractions, above their rounding
+    prefix = cut(placed.where(F.col("room") - size + d + slack >= least))
+    # groups by rarest prefix token; each matrix row bounds its members' room and reach
+    group = cut(prefix.groupBy("family", "node").agg(F.min_by("token", F.struct("freq", "token")).alias("grp")))
+    matrix = cut(prefix.join(group, ["family", "node"]).groupBy("family", "token", "grp").agg(F.max("room").alias("room"), F.min("reach").alias("reach")))
+    q = placed.where(~F.col("linked") & (F.col("room") - size + d + slack >= 2 * d - F.col("size") * 2 / 9)).select("family", "token", F.col("node").alias("query"), F.col("room").alias("q_room"), F.col("reach").alias("q_reach"))
+    met = q.join(matrix, ["family", "token"]).where((F.col("room") + slack >= F.col("q_reach")) & (F.col("q_room") + slack >= F.col("reach")))
+    met = cut(met.select("family", "query", "grp").distinct())
+    # open only groups whose union of tokens holds enough of the query's
+    union = cut(tokens.join(group, ["family", "node"]).groupBy("family", "grp", "token").agg(F.min(d - size).alias("reach")))
+    least = union.groupBy("family", "grp").agg(F.min("reach").alias("reach"))
+    own = tokens.where("not linked").select("family", F.col("node").alias("query"), "token", (d - size).alias("q_reach"))
+    bound = met.join(own, ["family", "query"]).join(union.select("family", "grp", "token"), ["family", "grp", "token"])
+    bound = bound.groupBy("family", "query", "grp", "q_reach").agg(F.count("*").alias("shared")).join(least, ["family", "grp"])
+    opened = bound.where(2 * F.col("shared") + slack >= F.col("q_reach") + F.col("reach")).select("family", "query", "grp")
     found = opened.join(group, ["family", "grp"]).where("node <> query")
     found = found.select(F.least("query", "node").alias("a"), F.greatest("query", "node").alias("b"), "family").distinct()
     return _compared(cut(found), texts, diffs=False).where("linked").select("a", "b")
