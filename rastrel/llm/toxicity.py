@@ -2,12 +2,12 @@
 
 The kernel counts common letter triples that may have gaps: a triple of span s weighs DECAY**s, spans
 up to SPAN letters. It is normalised by word length, which keeps it positive semidefinite. Landmarks
-are the words whose sentences are labelled toxic far more often than not, and hashed common words of
-clean sentences. The SVM is linear in the Nyström map, so its decision on a word collapses to one
+are the words whose sentences are labelled toxic far more often than not, and common words of clean
+sentences; the SVM also learns the toxic ones with a letter inserted. The SVM is linear in the Nyström map, so its decision on a word collapses to one
 table over letter triples, and scoring is exact: gaps and inserted letters only lower a triple's
 weight. Non-letters inside a word are skipped (look-alike digits read as letters), and runs of
-single letters are read as one word. A document's score is a logistic function of its highest word
-score and its number of positive words.
+single letters are read as one word. A document's score is a logistic function of its number of toxic
+words and, where it has none, of how near its nearest word comes.
 
 Fitting uses at most ``training.MAX_ROWS`` labelled rows; every text is scored whole. Null and empty
 texts have no words and get the score of a document without positive words. Without a toxic
@@ -30,10 +30,12 @@ from .training import fit_logistic, fit_svm, fold, labelled_sample, sigmoid
 
 FOLDS, HELD = 4, 2
 THRESHOLD = 0.3
-DECAY, SPAN, LONGEST = 0.6, 6, 24
+DECAY, SPAN, LONGEST = 0.8, 6, 24
 TOXIC_LANDMARKS, CLEAN_LANDMARKS, CLEAN_WORDS = 64, 96, 1500
 #: A toxic landmark is in at least this share of the number of toxic texts that the commonest one is in.
 LEAST_SHARE = 0.2
+#: A word counts as toxic above this SVM margin; disguised toxic words are fitted to margins near 1.
+MARGIN = 0.65
 
 _LETTER = np.full(256, 255, np.uint8)
 _LETTER[97:123] = np.arange(26)
@@ -97,6 +99,11 @@ def profile(word: np.ndarray) -> np.ndarray:
     return out / _NORM[len(w)]
 
 
+def _disguised(word: str) -> list[str]:
+    """The word with one letter inserted at each inner place, two letters in turn."""
+    return [word[:i] + chr(97 + (7 * i + 11 * k + ord(word[i])) % 26) + word[i:] for i in range(1, len(word)) for k in (0, 1)]
+
+
 class Model:
     def __init__(self, texts: list[str], y: np.ndarray) -> None:
         self.table = np.zeros(27**3, np.float32)
@@ -117,9 +124,10 @@ class Model:
         if not bad or not clean:
             return
         common = [w for w, _ in sorted(clean.items(), key=lambda x: (-x[1], x[0]))[: 4 * CLEAN_WORDS] if w not in bad]
-        matrix = codes(bad + common)
+        matrix = codes(bad + common + [v for w in bad for v in _disguised(w)])
+        spelled = len(bad) + len(common)
         bad_profiles = np.array([profile(r) for r in matrix[: len(bad)]])
-        near = triple_sums(matrix[len(bad) :], np.ascontiguousarray(bad_profiles.T)).max(1)
+        near = triple_sums(matrix[len(bad) : spelled], np.ascontiguousarray(bad_profiles.T)).max(1)
         hard = np.argsort(-near, kind="stable")[: CLEAN_WORDS // 2]
         plain = np.arange(len(common))[: CLEAN_WORDS // 2]
         picked = len(bad) + np.unique(np.concatenate([hard, plain]))
@@ -129,9 +137,10 @@ class Model:
         inner = profiles @ profiles.T
         value, vector = np.linalg.eigh(inner + 1e-6 * np.eye(len(inner)))
         whiten = vector / np.sqrt(np.maximum(value, 1e-6)) @ vector.T
-        rows = np.concatenate([np.arange(len(bad)), picked])
+        rows = np.concatenate([np.arange(len(bad)), np.arange(spelled, len(matrix)), picked])
         nystrom = triple_sums(matrix[rows], np.ascontiguousarray(profiles.T)) @ whiten
-        w, self.bias = fit_svm(nystrom, np.where(np.arange(len(rows)) < len(bad), 1.0, -1.0), c=20.0)
+        w, self.bias = fit_svm(nystrom, np.where(np.arange(len(rows)) < len(rows) - len(picked), 1.0, -1.0), c=20.0)
+        self.bias -= MARGIN
         self.table = (profiles.T @ (whiten @ w)).astype(np.float32)
         x = np.concatenate([self.features(part) for _, part in pieces(pa.array(texts, pa.string()))])
         self.final = fit_logistic(x, y.astype(float))
@@ -182,7 +191,7 @@ class Model:
         top, hits = np.full(len(texts), -2.0), np.zeros(len(texts))
         np.maximum.at(top, doc, f)
         np.add.at(hits, doc, f > 0)
-        return np.stack([np.clip(top, -1.0, 1.0), np.log1p(hits)], 1)
+        return np.stack([np.clip(top, -2.0, 0.0), np.log1p(hits)], 1)
 
     def score(self, texts: pa.Array) -> np.ndarray:
         x = self.features(texts)
