@@ -20,21 +20,21 @@ def px_query(name: str, f, body: str | None, *ctes: str, canvas: bool = False, r
     register(name, run, sql(body, *ctes, recursive=recursive) if body else None)
 
 
-def boxes(px: DataFrame, n: int = 24) -> DataFrame:
+def boxes(px: DataFrame) -> DataFrame:
     """Deterministic boxes from the first pixel of each row."""
-    b = px.where(f"x = 0 and y < {n}").select("img_id", F.col("y").cast("long").alias("id"), (F.col("r") % 48).alias("x0"), (F.col("g") % 48).alias("y0"), "r", "b")
+    b = px.where("x = 0").select("img_id", F.col("y").cast("long").alias("id"), (F.col("r") % 48).alias("x0"), (F.col("g") % 48).alias("y0"), "r", "b")
     return b.select("img_id", "id", "x0", "y0", (F.col("x0") + 1 + F.col("b") % 12).alias("x1"), (F.col("y0") + 1 + F.floor(F.col("r") / 3).cast("int") % 10).alias("y1"))
 
 
 BOXES = """boxes AS (SELECT img_id, CAST(y AS BIGINT) AS id, r % 48 AS x0, g % 48 AS y0,
-  r % 48 + 1 + b % 12 AS x1, g % 48 + 1 + (r // 3) % 10 AS y1 FROM px WHERE x = 0 AND y < 24)"""
+  r % 48 + 1 + b % 12 AS x1, g % 48 + 1 + (r // 3) % 10 AS y1 FROM px WHERE x = 0)"""
 
 
-def wh(px: DataFrame, n: int = 4) -> DataFrame:
-    return boxes(px, n).select("img_id", F.col("x0").alias("bx"), F.col("y0").alias("by0"), (F.col("x1") - F.col("x0") + 9).alias("bw"), (F.col("y1") - F.col("y0") + 9).alias("bh"))
+def wh(px: DataFrame) -> DataFrame:
+    return boxes(px).select("img_id", F.col("x0").alias("bx"), F.col("y0").alias("by0"), (F.col("x1") - F.col("x0") + 9).alias("bw"), (F.col("y1") - F.col("y0") + 9).alias("bh"))
 
 
-WH = "wh AS (SELECT img_id, x0 AS bx, y0 AS by0, x1 - x0 + 9 AS bw, y1 - y0 + 9 AS bh FROM boxes WHERE id < 4)"
+WH = "wh AS (SELECT img_id, x0 AS bx, y0 AS by0, x1 - x0 + 9 AS bw, y1 - y0 + 9 AS bh FROM boxes)"
 
 # ---------------------------------------------------------------- scans and geometry
 px_query("scan_pixels", lambda p: p, "SELECT * FROM px")
@@ -44,11 +44,11 @@ px_query("nearest_upscale", lambda p: geometry.upscale(p, 2), "SELECT img_id, CA
 px_query("nearest_resample", lambda p: geometry.resample(p, 40, 24), """SELECT p.img_id, CAST(oy AS INTEGER) AS y, CAST(ox AS INTEGER) AS x, r, g, b FROM (
   SELECT img_id, max(x) + 1 AS w, max(y) + 1 AS h FROM px GROUP BY img_id) d, (SELECT unnest(range(0, 40)) AS ox), (SELECT unnest(range(0, 24)) AS oy), px p
   WHERE p.img_id = d.img_id AND p.x = ox * w // 40 AND p.y = oy * h // 24""")
-px_query("hstack", lambda p: geometry.hstack(p.where("img_id < 3"), 4, (10, 20, 30)), """SELECT CAST(0 AS BIGINT) AS img_id, CAST(gy AS INTEGER) AS y, CAST(gx AS INTEGER) AS x,
+px_query("hstack", lambda p: geometry.hstack(p, 4, (10, 20, 30)), """SELECT CAST(0 AS BIGINT) AS img_id, CAST(gy AS INTEGER) AS y, CAST(gx AS INTEGER) AS x,
   coalesce(r, 10) AS r, coalesce(g, 20) AS g, coalesce(b, 30) AS b
   FROM (SELECT unnest(range(0, (SELECT CAST(max(w) AS BIGINT) FROM t))) AS gx), (SELECT unnest(range(0, (SELECT CAST(max(h) AS BIGINT) FROM t))) AS gy)
   LEFT JOIN (SELECT p.y, p.x + s.l AS x, r, g, b FROM px p JOIN s USING (img_id)) m ON m.x = gx AND m.y = gy""",
-  "d AS (SELECT img_id, max(x) + 1 AS w, max(y) + 1 AS h FROM px WHERE img_id < 3 GROUP BY img_id)",
+  "d AS (SELECT img_id, max(x) + 1 AS w, max(y) + 1 AS h FROM px GROUP BY img_id)",
   "s AS (SELECT img_id, w, h, coalesce(sum(w + 4) OVER (ORDER BY img_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS l FROM d)",
   "t AS (SELECT max(l + w) AS w, max(h) AS h FROM s)")
 px_query("draw_boxes", lambda p: geometry.draw_boxes(p, wh(p), (255, 0, 0), 2), """SELECT p.img_id, p.y, p.x, CASE WHEN o THEN 255 ELSE r END AS r, CASE WHEN o THEN 0 ELSE g END AS g, CASE WHEN o THEN 0 ELSE b END AS b
@@ -61,16 +61,16 @@ register("heatmap_scan", lambda s, d: heatmap(table(s, d, "lineitem")), HEAT)
 register("heatmap_error_map", lambda s, d: metrics.error_map(with_canvas(heatmap(table(s, d, "lineitem")))), f"""WITH h AS ({HEAT}), c AS (SELECT *, r // 64 * 64 + 32 AS cr, g // 64 * 64 + 32 AS cg, b // 64 * 64 + 32 AS cb FROM h)
   SELECT img_id, CAST(y // 16 AS INTEGER) AS r, CAST(x // 16 AS INTEGER) AS c, CAST(x // 16 * 16 AS INTEGER) AS x, CAST(y // 16 * 16 AS INTEGER) AS y,
   max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h, CAST(sum({SQ}) AS BIGINT) AS err, count(*) AS area FROM c GROUP BY img_id, y // 16, x // 16""")
-px_query("decode_base64", lambda p: _decode(p), """SELECT img_id, CAST(octet_length(from_base64(s)) AS BIGINT) AS bytes, upper(hex(from_base64(s))) AS hexed FROM (
-  SELECT img_id, to_base64(encode(string_agg(CAST(r AS VARCHAR), ',' ORDER BY x))) AS s FROM px WHERE y = 0 GROUP BY img_id)""")
+px_query("decode_base64", lambda p: _decode(p), """SELECT img_id, y, CAST(octet_length(from_base64(s)) AS BIGINT) AS bytes, upper(hex(from_base64(s))) AS hexed FROM (
+  SELECT img_id, y, to_base64(encode(string_agg(CAST(r AS VARCHAR), ',' ORDER BY x))) AS s FROM px GROUP BY img_id, y)""")
 
 
 def _decode(p: DataFrame) -> DataFrame:
     from ..sources.pixels import decode_data_url
 
-    row = p.where("y = 0").groupBy("img_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "r"))), lambda e: e["r"].cast("string")), ",").alias("t"))
-    url = row.select("img_id", F.concat(F.lit("data:image/png;base64,"), F.base64(F.col("t").cast("binary"))).alias("u"))
-    return url.select("img_id", decode_data_url(F.col("u")).alias("d")).select("img_id", F.octet_length("d").cast("long").alias("bytes"), F.hex("d").alias("hexed"))
+    row = p.groupBy("img_id", "y").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "r"))), lambda e: e["r"].cast("string")), ",").alias("t"))
+    url = row.select("img_id", "y", F.concat(F.lit("data:image/png;base64,"), F.base64(F.col("t").cast("binary"))).alias("u"))
+    return url.select("img_id", "y", decode_data_url(F.col("u")).alias("d")).select("img_id", "y", F.octet_length("d").cast("long").alias("bytes"), F.hex("d").alias("hexed"))
 
 
 # ---------------------------------------------------------------- metrics
@@ -241,15 +241,15 @@ px_query("radial_fit", gradients.fit_radial, f"""SELECT img_id, CAST(cand AS INT
 
 
 def _bins(p: DataFrame) -> DataFrame:
-    """Profile bins per image row sample, some of them empty."""
-    return p.where("x < 48 and y = 3").select("img_id", F.col("x").alias("bin"), F.when(F.col("r") % 3 != 0, F.col("g")).alias("v"))
+    """One profile of 64 bins per image row (img_id is the row's number), some bins empty."""
+    return p.select((F.col("img_id") * 64 + F.col("y")).alias("img_id"), F.col("x").alias("bin"), F.when(F.col("r") % 3 != 0, F.col("g")).alias("v"))
 
 
-BINS = "bins AS (SELECT img_id, x AS bin, CASE WHEN r % 3 <> 0 THEN g END AS v FROM px WHERE x < 48 AND y = 3)"
+BINS = "bins AS (SELECT img_id * 64 + y AS img_id, x AS bin, CASE WHEN r % 3 <> 0 THEN g END AS v FROM px)"
 FILLED = "filled AS (SELECT img_id, bin, v, coalesce(first_value(v IGNORE NULLS) OVER (PARTITION BY img_id ORDER BY bin ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), last_value(v IGNORE NULLS) OVER (PARTITION BY img_id ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS filled FROM bins)"
 px_query("profile_fill", lambda p: neighbours.fill_profile(_bins(p), "img_id", "bin", "v"), "SELECT * FROM filled", BINS, FILLED)
-px_query("profile_stops", lambda p: neighbours.profile_stops(neighbours.fill_profile(_bins(p), "img_id", "bin", "v"), "img_id", "bin", "filled", 48, 10), """SELECT g.img_id, CAST(stop AS INTEGER) AS stop, round(filled + (coalesce(nx, filled) - filled) * (t - b), 6) AS v FROM (
-  SELECT img_id, stop, stop * 47 / 9 AS t, CAST(floor(stop * 47 / 9) AS INTEGER) AS b FROM (SELECT DISTINCT img_id FROM bins), (SELECT unnest(range(0, 10)) AS stop)) g
+px_query("profile_stops", lambda p: neighbours.profile_stops(neighbours.fill_profile(_bins(p), "img_id", "bin", "v"), "img_id", "bin", "filled", 64, 12), """SELECT g.img_id, CAST(stop AS INTEGER) AS stop, round(filled + (coalesce(nx, filled) - filled) * (t - b), 6) AS v FROM (
+  SELECT img_id, stop, stop * 63 / 11 AS t, CAST(floor(stop * 63 / 11) AS INTEGER) AS b FROM (SELECT DISTINCT img_id FROM bins), (SELECT unnest(range(0, 12)) AS stop)) g
   JOIN (SELECT *, lead(filled) OVER (PARTITION BY img_id ORDER BY bin) AS nx FROM filled) f ON f.img_id = g.img_id AND f.bin = g.b""", BINS, FILLED)
 px_query("gradient_render", lambda p: gradients.render(p.select("img_id").distinct(), p.select("img_id", "y", "x"), gradients.profile(p, "y", 16), 16), """SELECT t.img_id, t.y, t.x, """ + ", ".join(f"CAST(least(255, greatest(0, round_even(a.m{k} + (c.m{k} - a.m{k}) * (t.t - t.b), 0))) AS INTEGER) AS {k}" for k in "rgb") + """
   FROM (SELECT img_id, y, x, y * 15 / greatest(1, n - 1) AS t, CAST(floor(y * 15 / greatest(1, n - 1)) AS INTEGER) AS b FROM px JOIN (SELECT img_id, max(y) + 1 AS n FROM px GROUP BY img_id) USING (img_id)) t

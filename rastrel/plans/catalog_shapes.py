@@ -93,30 +93,30 @@ SAL = """cm AS (SELECT img_id, CAST(y // 8 AS INTEGER) AS gy, CAST(x // 8 AS INT
   SELECT con.*, CASE WHEN top > 0 THEN contrast / top ELSE 0 END AS d, w, h FROM con JOIN (SELECT img_id, max(contrast) AS top, max(gx) + 1 AS w, max(gy) + 1 AS h FROM con GROUP BY img_id) USING (img_id)))"""
 px_query("saliency_contrast", saliency.contrast, "SELECT * FROM con", SAL)
 px_query("saliency", saliency.prior, "SELECT * FROM sal", SAL)
-px_query("bilinear_up", lambda p: saliency.bilinear(saliency.prior(p.where("img_id = 0")), "s", 64, 8), """SELECT p.img_id, CAST(p.y AS INTEGER) AS y, CAST(p.x AS INTEGER) AS x, round(a.s + (b.s - a.s) * (u - x0) + (c.s + (d.s - c.s) * (u - x0) - (a.s + (b.s - a.s) * (u - x0))) * (v - y0) + 1e-9, 6) AS s FROM (
-  SELECT *, CAST(floor(u) AS INTEGER) AS x0, CAST(floor(v) AS INTEGER) AS y0, least(CAST(floor(u) AS INTEGER) + 1, 7) AS x1, least(CAST(floor(v) AS INTEGER) + 1, 7) AS y1 FROM (SELECT 0 AS img_id, y, x, greatest(0.0e0, least(7.0e0, (x + 0.5e0) / 8 - 0.5e0)) AS u, greatest(0.0e0, least(7.0e0, (y + 0.5e0) / 8 - 0.5e0)) AS v FROM (SELECT unnest(range(0, 64)) AS y), (SELECT unnest(range(0, 64)) AS x))) q,
+px_query("bilinear_up", lambda p: saliency.bilinear(saliency.prior(p), "s", 64, 8), """SELECT p.img_id, CAST(p.y AS INTEGER) AS y, CAST(p.x AS INTEGER) AS x, round(a.s + (b.s - a.s) * (u - x0) + (c.s + (d.s - c.s) * (u - x0) - (a.s + (b.s - a.s) * (u - x0))) * (v - y0) + 1e-9, 6) AS s FROM (
+  SELECT *, CAST(floor(u) AS INTEGER) AS x0, CAST(floor(v) AS INTEGER) AS y0, least(CAST(floor(u) AS INTEGER) + 1, 7) AS x1, least(CAST(floor(v) AS INTEGER) + 1, 7) AS y1 FROM (SELECT img_id, y, x, greatest(0.0e0, least(7.0e0, (x + 0.5e0) / 8 - 0.5e0)) AS u, greatest(0.0e0, least(7.0e0, (y + 0.5e0) / 8 - 0.5e0)) AS v FROM px)) q,
   LATERAL (SELECT CAST(q.img_id AS BIGINT) AS img_id, q.y, q.x) p JOIN sal a ON a.img_id = q.img_id AND a.gy = y0 AND a.gx = x0 JOIN sal b ON b.img_id = q.img_id AND b.gy = y0 AND b.gx = x1 JOIN sal c ON c.img_id = q.img_id AND c.gy = y1 AND c.gx = x0 JOIN sal d ON d.img_id = q.img_id AND d.gy = y1 AND d.gx = x1""", SAL)
 
 
 # ---------------------------------------------------------------- shapes
 def ellipses(px: DataFrame) -> DataFrame:
-    e = px.where("x = 1 and y < 12")
+    e = px.where("x = 1")
     return e.select("img_id", F.col("y").alias("seq"), *((F.col(a) % 64).cast("double").alias(n) for a, n in (("r", "cx"), ("g", "cy"))), (1 + F.col("b") % 14).cast("double").alias("rx"), (1 + (F.col("r") + F.col("b")) % 14).cast("double").alias("ry"))
 
 
 def polygons(px: DataFrame) -> DataFrame:
-    return px.where("x between 2 and 6 and y < 8").select("img_id", F.col("y").alias("seq"), (F.col("x") - 2).alias("i"), (F.col("r") % 80 - 8).cast("double").alias("x"), (F.col("g") % 80 - 8).cast("double").alias("y"))
+    return px.where("x between 2 and 6").select("img_id", F.col("y").alias("seq"), (F.col("x") - 2).alias("i"), (F.col("r") % 80 - 8).cast("double").alias("x"), (F.col("g") % 80 - 8).cast("double").alias("y"))
 
 
 def splats(px: DataFrame) -> DataFrame:
-    return px.where("x = 7 and y < 10").select("img_id", F.col("y").alias("seq"), *((F.col(a) % 64).cast("double").alias(n) for a, n in (("r", "cx"), ("g", "cy"))), (2 + F.col("b") % 6).cast("double").alias("sx"), (2 + F.col("g") % 6).cast("double").alias("sy"), ((30 + F.col("r") % 60) / 100).alias("a"))
+    return px.where("x = 7").select("img_id", F.col("y").alias("seq"), *((F.col(a) % 64).cast("double").alias(n) for a, n in (("r", "cx"), ("g", "cy"))), (2 + F.col("b") % 6).cast("double").alias("sx"), (2 + F.col("g") % 6).cast("double").alias("sy"), ((30 + F.col("r") % 60) / 100).alias("a"))
 
 
 def runs(px: DataFrame) -> DataFrame:
     return raster.ellipse_runs(ellipses(px), 64, 64)
 
 
-ELL = """ell AS (SELECT img_id, y AS seq, CAST(r % 64 AS DOUBLE) AS cx, CAST(g % 64 AS DOUBLE) AS cy, CAST(1 + b % 14 AS DOUBLE) AS rx, CAST(1 + (r + b) % 14 AS DOUBLE) AS ry FROM px WHERE x = 1 AND y < 12),
+ELL = """ell AS (SELECT img_id, y AS seq, CAST(r % 64 AS DOUBLE) AS cx, CAST(g % 64 AS DOUBLE) AS cy, CAST(1 + b % 14 AS DOUBLE) AS rx, CAST(1 + (r + b) % 14 AS DOUBLE) AS ry FROM px WHERE x = 1),
  er AS (SELECT img_id, seq, CAST(yy AS INTEGER) AS y, CAST(greatest(0, ceil(cx - half)) AS INTEGER) AS x1, CAST(least(63, floor(cx + half)) AS INTEGER) AS x2 FROM (
    SELECT *, rx * sqrt(greatest(0.0e0, 1 - ((yy - cy) / ry) * ((yy - cy) / ry))) AS half FROM ell, (SELECT unnest(range(0, 64)) AS yy) WHERE yy >= ceil(cy - ry) AND yy <= floor(cy + ry))),
  runs AS (SELECT * FROM er WHERE x1 <= x2), hit AS (SELECT img_id, seq, y, CAST(unnest(range(x1, x2 + 1)) AS INTEGER) AS x FROM runs)"""
@@ -126,14 +126,14 @@ px_query("run_area", lambda p: raster.run_stats(runs(p)), "SELECT * FROM rs", EL
 px_query("shape_caps", lambda p: raster.shape_caps(runs(p), 250, 20), "SELECT * FROM rs WHERE area BETWEEN 1 AND 250 AND xm - x0 + 1 <= 20 AND ym - y0 + 1 <= 20", ELL, RUNSTAT)
 px_query("polygon_runs", lambda p: raster.polygon_runs(polygons(p), 64, 64), """SELECT img_id, seq, y, x1, x2 FROM (SELECT img_id, seq, CAST(yy AS INTEGER) AS y, CAST(greatest(0, floor(xs + 0.5)) AS INTEGER) AS x1, CAST(least(63, floor(xe + 0.5) - 1) AS INTEGER) AS x2 FROM (
   SELECT img_id, seq, yy, xs, lead(xs) OVER w AS xe, row_number() OVER w AS k FROM (SELECT *, ax + (yy + 0.5e0 - ay) * (bx - ax) / (by1 - ay) AS xs FROM edges, (SELECT unnest(range(0, 64)) AS yy) WHERE ay <> by1 AND yy + 0.5e0 >= least(ay, by1) AND yy + 0.5e0 < greatest(ay, by1)) WINDOW w AS (PARTITION BY img_id, seq, yy ORDER BY xs)) WHERE k % 2 = 1 AND xe IS NOT NULL) WHERE x1 <= x2""",
-  "verts AS (SELECT img_id, y AS seq, x - 2 AS i, CAST(r % 80 - 8 AS DOUBLE) AS vx, CAST(g % 80 - 8 AS DOUBLE) AS vy FROM px WHERE x BETWEEN 2 AND 6 AND y < 8)",
+  "verts AS (SELECT img_id, y AS seq, x - 2 AS i, CAST(r % 80 - 8 AS DOUBLE) AS vx, CAST(g % 80 - 8 AS DOUBLE) AS vy FROM px WHERE x BETWEEN 2 AND 6)",
   "edges AS (SELECT img_id, seq, vx AS ax, vy AS ay, coalesce(lead(vx) OVER w, first(vx) OVER f) AS bx, coalesce(lead(vy) OVER w, first(vy) OVER f) AS by1 FROM verts WINDOW w AS (PARTITION BY img_id, seq ORDER BY i), f AS (PARTITION BY img_id, seq ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))")
 COLOR = "color AS (SELECT img_id, seq, " + ", ".join(f"CAST(least(255, greatest(0, floor((sum({k} - c{k}) / 0.5e0 + sum(c{k})) / count(*) + 0.5))) AS INTEGER) AS {k}" for k in "rgb") + " FROM hit JOIN canvas USING (img_id, y, x) GROUP BY img_id, seq)"
 px_query("optimal_color", lambda p: raster.optimal_color(p, runs(p), 0.5), "SELECT * FROM color", ELL, COLOR, canvas=True)
 NEW = " + ".join(f"({k} - (c{k} * 0.5e0 + p{k} * 0.5e0)) ** 2 - ({k} - c{k}) ** 2" for k in "rgb")
 px_query("delta_score", lambda p: raster.delta_score(p, runs(p), raster.optimal_color(p, runs(p), 0.5), 0.5), f"SELECT img_id, seq, round(sqrt(greatest(0.0e0, total + delta) / (3 * n)) / 255, 9) AS score FROM (SELECT img_id, seq, sum({NEW}) AS delta FROM hit JOIN canvas USING (img_id, y, x) JOIN (SELECT img_id, seq, r AS pr, g AS pg, b AS pb FROM color) USING (img_id, seq) GROUP BY img_id, seq) JOIN (SELECT img_id, sum({SQ}) AS total, count(*) AS n FROM canvas GROUP BY img_id) USING (img_id)", ELL, COLOR, canvas=True)
 K = [round(math.exp(-((2.5 * o) ** 2) / 2), 12) for o in (0.25, 0.5, 0.75)]
-SPL = f"""sp AS (SELECT img_id, y AS seq, CAST(r % 64 AS DOUBLE) AS cx, CAST(g % 64 AS DOUBLE) AS cy, CAST(2 + b % 6 AS DOUBLE) AS sx, CAST(2 + g % 6 AS DOUBLE) AS sy, (30 + r % 60) / 100 AS a FROM px WHERE x = 7 AND y < 10),
+SPL = f"""sp AS (SELECT img_id, y AS seq, CAST(r % 64 AS DOUBLE) AS cx, CAST(g % 64 AS DOUBLE) AS cy, CAST(2 + b % 6 AS DOUBLE) AS sx, CAST(2 + g % 6 AS DOUBLE) AS sy, (30 + r % 60) / 100 AS a FROM px WHERE x = 7),
  sr AS (SELECT *, 2.5e0 * sx AS rx, 2.5e0 * sy AS ry FROM sp), foot AS (SELECT img_id, seq, y, x, w FROM (SELECT img_id, seq, CAST(yy AS INTEGER) AS y, CAST(xx AS INTEGER) AS x, round(a * CASE
   WHEN o < 0.25e0 THEN 1 + o * (({K[0]}e0 - 1) / 0.25e0) WHEN o < 0.5e0 THEN {K[0]}e0 + (o - 0.25e0) * (({K[1]}e0 - {K[0]}e0) / 0.25e0) WHEN o < 0.75e0 THEN {K[1]}e0 + (o - 0.5e0) * (({K[2]}e0 - {K[1]}e0) / 0.25e0)
   WHEN o < 1 THEN {K[2]}e0 + (o - 0.75e0) * ((0 - {K[2]}e0) / 0.25e0) ELSE 0 END, 9) AS w FROM (SELECT *, sqrt(((xx - cx) / rx) * ((xx - cx) / rx) + ((yy - cy) / ry) * ((yy - cy) / ry)) AS o FROM (
@@ -142,21 +142,21 @@ px_query("splat_footprint", lambda p: raster.splat_footprint(splats(p), 64, 64),
 px_query("splat_color", lambda p: raster.splat_color(p, raster.splat_footprint(splats(p), 64, 64)), "SELECT img_id, seq, " + ", ".join(f"CAST(CASE WHEN sum(w * w) < 1e-6 THEN 0 ELSE least(255, greatest(0, floor(round(sum(w * ({k} - c{k} * (1 - w))) / sum(w * w), 6) + 0.5))) END AS INTEGER) AS {k}" for k in "rgb") + " FROM foot JOIN canvas USING (img_id, y, x) GROUP BY img_id, seq", SPL, canvas=True)
 px_query("coverage", lambda p: raster.coverage(raster.splat_footprint(splats(p), 64, 64)), "SELECT img_id, y, x, round(1 - exp(sum(ln(1 - w))), 4) AS coverage FROM foot GROUP BY img_id, y, x", SPL)
 px_query("composite", lambda p: _composite(p), "SELECT p.img_id, p.y, p.x, " + ", ".join(f"round(coalesce(list_reduce(list_prepend({{'v': CAST({v} AS DOUBLE), 'a': 0.0e0}}, l.s{k}), lambda acc, e: {{'v': e.v * e.a + acc.v * (1 - e.a), 'a': 0.0e0}}).v, {v}), 6) AS {k}" for k, v in zip("rgb", (250, 240, 230), strict=True)) + """ FROM px p LEFT JOIN (
-  SELECT h.img_id, h.y, h.x, """ + ", ".join(f"list({{'v': CAST(c.{k} AS DOUBLE), 'a': 0.5e0}} ORDER BY h.seq) AS s{k}" for k in "rgb") + " FROM hit h JOIN color c ON c.img_id = h.img_id AND c.seq = h.seq WHERE h.seq < 4 GROUP BY ALL) l ON l.img_id = p.img_id AND l.y = p.y AND l.x = p.x", ELL, COLOR)
+  SELECT h.img_id, h.y, h.x, """ + ", ".join(f"list({{'v': CAST(c.{k} AS DOUBLE), 'a': 0.5e0}} ORDER BY h.seq) AS s{k}" for k in "rgb") + " FROM hit h JOIN color c ON c.img_id = h.img_id AND c.seq = h.seq GROUP BY ALL) l ON l.img_id = p.img_id AND l.y = p.y AND l.x = p.x", ELL, COLOR)
 
 
 def _composite(px: DataFrame) -> DataFrame:
-    few = runs(px).where("seq < 4")
+    few = runs(px)
     color = raster.optimal_color(with_canvas(px), few, 0.5)
     layers = raster.covered(few).join(color, ["img_id", "seq"]).select("img_id", F.col("seq").cast("long").alias("seq"), "y", "x", *(F.col(k).alias(f"l{k}") for k in "rgb"), F.lit(0.5).alias("a"))
     base = px.select("img_id").distinct().select("img_id", *(F.lit(v).alias(f"c{k}") for k, v in zip("rgb", (250, 240, 230), strict=True)))
     return raster.composite(base, layers, px.select("img_id", "y", "x"))
 
 
-def packed(s: SparkSession, d: str, images: int = 4) -> DataFrame:
+def packed(s: SparkSession, d: str) -> DataFrame:
     px = pixels(s, d)
     base = palette.quantize(px, 2)
-    return pack_images(px).join(pack_images(base).select("img_id", F.col("data").alias("canvas")), "img_id").where(F.col("img_id") < images)
+    return pack_images(px).join(pack_images(base).select("img_id", F.col("data").alias("canvas")), "img_id")
 
 
 register("pack_roundtrip", lambda s, d: unpack_images(pack_images(pixels(s, d))), sql("SELECT * FROM px"))
@@ -164,7 +164,7 @@ register("png_sink", lambda s, d: sinks.encode_png(pack_images(pixels(s, d))).se
 register("refine_step", lambda s, d: refine.refine_images(packed(s, d), refine.Options(budget=4)))
 register("prune_pass", lambda s, d: refine.refine_images(packed(s, d), refine.Options(budget=6), with_prune=True))
 register("splat_fit", lambda s, d: refine.splat_images(packed(s, d), 4))
-register("shape_eval", lambda s, d: refine.evaluate_shapes(packed(s, d, 1 << 30), ellipses(pixels(s, d)).select("img_id", "seq", F.lit("ellipse").alias("kind"), F.array("cx", "cy", "rx", "ry").alias("p"))))
+register("shape_eval", lambda s, d: refine.evaluate_shapes(packed(s, d), ellipses(pixels(s, d)).select("img_id", "seq", F.lit("ellipse").alias("kind"), F.array("cx", "cy", "rx", "ry").alias("p"))))
 register("convert", lambda s, d: convert.convert(pixels(s, d), "draft", budget=6))
 px_query("weighted_pick", lambda p: _pick(metrics.topk_cells(metrics.error_map(p))), """SELECT img_id, arg_min(rank, rank) AS rank FROM (SELECT img_id, CAST(rank AS INTEGER) AS rank, sum(err) OVER (PARTITION BY img_id ORDER BY rank) AS upto, sum(err) OVER (PARTITION BY img_id) AS total,
   CAST(('0x' || substr(md5('pick:' || CAST(img_id AS VARCHAR)), 1, 8)) AS BIGINT) / 4294967296.0e0 AS u FROM (SELECT *, row_number() OVER (PARTITION BY img_id ORDER BY err DESC, r, c) AS rank FROM cells QUALIFY rank <= 6)) WHERE upto > u * total GROUP BY img_id""", CELLS, canvas=True)
@@ -178,23 +178,23 @@ def _pick(top: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- paths and documents
 def points(px: DataFrame) -> DataFrame:
-    return px.where("y < 20 and x between 8 and 9").select("img_id", F.col("y").alias("i"), F.col("x").alias("s"), (F.col("r") % 40).cast("double").alias("x"), (F.col("g") % 40).cast("double").alias("y"))
+    return px.select("img_id", F.col("y").alias("i"), F.col("x").alias("s"), (F.col("r") % 40).cast("double").alias("x"), (F.col("g") % 40).cast("double").alias("y"))
 
 
-PTS = "pts AS (SELECT img_id, y AS i, x AS s, CAST(r % 40 AS DOUBLE) AS px, CAST(g % 40 AS DOUBLE) AS py FROM px WHERE y < 20 AND x BETWEEN 8 AND 9)"
+PTS = "pts AS (SELECT img_id, y AS i, x AS s, CAST(r % 40 AS DOUBLE) AS px, CAST(g % 40 AS DOUBLE) AS py FROM px)"
 px_query("circle_fit", lambda p: paths.circle_sums(points(p), "img_id"), """SELECT img_id, round(mx + a, 4) AS cx, round(my + b, 4) AS cy, round(sqrt(a * a + b * b + (uu + vv) / n), 4) AS radius FROM (SELECT *, (p * vv - q * uv) / (uu * vv - uv * uv) AS a, (q * uu - p * uv) / (uu * vv - uv * uv) AS b FROM (
   SELECT *, (uuu + uvv) / 2 AS p, (vvv + uuv) / 2 AS q FROM (SELECT img_id, n, mx, my, sum(u * u) AS uu, sum(v * v) AS vv, sum(u * v) AS uv, sum(u * u * u) AS uuu, sum(v * v * v) AS vvv, sum(u * v * v) AS uvv, sum(u * u * v) AS uuv
    FROM (SELECT img_id, n, mx, my, px - mx AS u, py - my AS v FROM pts JOIN (SELECT img_id, count(*) AS n, avg(px) AS mx, avg(py) AS my FROM pts GROUP BY img_id) USING (img_id)) GROUP BY ALL)) WHERE abs(uu * vv - uv * uv) > 1e-9)""", PTS)
 px_query("full_coverage", lambda p: paths.angle_bins(points(p), "img_id"), "SELECT img_id, bins, bins >= 10 AS full FROM (SELECT img_id, count(DISTINCT CAST(floor((atan2(py * n - sy, px * n - sx) + pi()) / (2 * pi()) * 12) AS BIGINT) % 12) AS bins FROM pts JOIN (SELECT img_id, count(*) AS n, sum(px) AS sx, sum(py) AS sy FROM pts GROUP BY img_id) USING (img_id) GROUP BY img_id)", PTS)
-px_query("collinear_drop", lambda p: neighbours.collinear_drop(p.where("y = 5 and x < 12").select("img_id", F.col("x").alias("i"), F.floor(F.col("r") / 64).alias("x"), F.floor(F.col("g") / 64).alias("y")), "img_id", "i"), """SELECT img_id, i, vx AS x, vy AS y FROM (SELECT *, coalesce(lag(vx) OVER w, last(vx) OVER f) AS ax, coalesce(lag(vy) OVER w, last(vy) OVER f) AS ay, coalesce(lead(vx) OVER w, first(vx) OVER f) AS bx, coalesce(lead(vy) OVER w, first(vy) OVER f) AS by1
-  FROM (SELECT img_id, x AS i, CAST(r // 64 AS BIGINT) AS vx, CAST(g // 64 AS BIGINT) AS vy FROM px WHERE y = 5 AND x < 12) WINDOW w AS (PARTITION BY img_id ORDER BY i), f AS (PARTITION BY img_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) WHERE (vx - ax) * (by1 - vy) - (vy - ay) * (bx - vx) <> 0""")
+px_query("collinear_drop", lambda p: neighbours.collinear_drop(p.select((F.col("img_id") * 64 + F.col("y")).alias("img_id"), F.col("x").alias("i"), F.floor(F.col("r") / 64).alias("x"), F.floor(F.col("g") / 64).alias("y")), "img_id", "i"), """SELECT img_id, i, vx AS x, vy AS y FROM (SELECT *, coalesce(lag(vx) OVER w, last(vx) OVER f) AS ax, coalesce(lag(vy) OVER w, last(vy) OVER f) AS ay, coalesce(lead(vx) OVER w, first(vx) OVER f) AS bx, coalesce(lead(vy) OVER w, first(vy) OVER f) AS by1
+  FROM (SELECT img_id * 64 + y AS img_id, x AS i, CAST(r // 64 AS BIGINT) AS vx, CAST(g // 64 AS BIGINT) AS vy FROM px) WINDOW w AS (PARTITION BY img_id ORDER BY i), f AS (PARTITION BY img_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) WHERE (vx - ax) * (by1 - vy) - (vy - ay) * (bx - vx) <> 0""")
 HEX = "'#' || " + " || ".join(f"lpad(lower(hex({k})), 2, '0')" for k in "rgb")
-px_query("color_parse", lambda p: p.where("y = 0").select("img_id", "x", convert.fill("r", "g", "b").alias("t")).withColumn("c", paths.parse_color(F.when(F.col("x") % 4 == 0, F.concat(F.substring("t", 1, 4))).when(F.col("x") % 4 == 1, F.concat(F.col("t"), F.lit("80"))).when(F.col("x") % 4 == 2, F.lit("none")).otherwise(F.col("t")))).select("img_id", "x", "c.r", "c.g", "c.b", "c.a"), f"""SELECT img_id, x, CASE WHEN x % 4 = 2 THEN NULL WHEN x % 4 = 0 THEN CAST('0x' || t[2] || t[2] AS INTEGER) ELSE r END AS r, CASE WHEN x % 4 = 2 THEN NULL WHEN x % 4 = 0 THEN CAST('0x' || t[3] || t[3] AS INTEGER) ELSE g END AS g,
-  CASE WHEN x % 4 = 2 THEN NULL WHEN x % 4 = 0 THEN CAST('0x' || t[4] || t[4] AS INTEGER) ELSE b END AS b, CASE x % 4 WHEN 2 THEN NULL WHEN 1 THEN round(128 / 255, 4) ELSE 1.0e0 END AS a FROM (SELECT *, {HEX} AS t FROM px WHERE y = 0)""")
+px_query("color_parse", lambda p: p.select("img_id", "y", "x", convert.fill("r", "g", "b").alias("t")).withColumn("c", paths.parse_color(F.when(F.col("x") % 4 == 0, F.concat(F.substring("t", 1, 4))).when(F.col("x") % 4 == 1, F.concat(F.col("t"), F.lit("80"))).when(F.col("x") % 4 == 2, F.lit("none")).otherwise(F.col("t")))).select("img_id", "y", "x", "c.r", "c.g", "c.b", "c.a"), f"""SELECT img_id, y, x, CASE WHEN x % 4 = 2 THEN NULL WHEN x % 4 = 0 THEN CAST('0x' || t[2] || t[2] AS INTEGER) ELSE r END AS r, CASE WHEN x % 4 = 2 THEN NULL WHEN x % 4 = 0 THEN CAST('0x' || t[3] || t[3] AS INTEGER) ELSE g END AS g,
+  CASE WHEN x % 4 = 2 THEN NULL WHEN x % 4 = 0 THEN CAST('0x' || t[4] || t[4] AS INTEGER) ELSE b END AS b, CASE x % 4 WHEN 2 THEN NULL WHEN 1 THEN round(128 / 255, 4) ELSE 1.0e0 END AS a FROM (SELECT *, {HEX} AS t FROM px)""")
 
 
 def documents(px: DataFrame) -> DataFrame:
-    """Small documents: one ellipse element per row of each image's first rows."""
+    """One document per image, an ellipse element per row."""
     e = ellipses(px)
     n = lambda c: F.col(c).cast("int").cast("string")
     el = F.concat(F.lit('<ellipse cx="'), n("cx"), F.lit('" cy="'), n("cy"), F.lit('" rx="'), n("rx"), F.lit('" ry="'), n("ry"), F.lit('"/>'))
@@ -202,21 +202,21 @@ def documents(px: DataFrame) -> DataFrame:
     return sinks.emit_svg(e.select("img_id", "seq", el.alias("el")), sizes)
 
 
-SVG = """body AS (SELECT img_id, string_agg('<ellipse cx="' || CAST(r % 64 AS VARCHAR) || '" cy="' || CAST(g % 64 AS VARCHAR) || '" rx="' || CAST(1 + b % 14 AS VARCHAR) || '" ry="' || CAST(1 + (r + b) % 14 AS VARCHAR) || '"/>', '' ORDER BY y) AS t FROM px WHERE x = 1 AND y < 12 GROUP BY img_id),
+SVG = """body AS (SELECT img_id, string_agg('<ellipse cx="' || CAST(r % 64 AS VARCHAR) || '" cy="' || CAST(g % 64 AS VARCHAR) || '" rx="' || CAST(1 + b % 14 AS VARCHAR) || '" ry="' || CAST(1 + (r + b) % 14 AS VARCHAR) || '"/>', '' ORDER BY y) AS t FROM px WHERE x = 1 GROUP BY img_id),
  svgs AS (SELECT img_id, '<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 ' || w || ' ' || h || '"><clipPath id="f"><path d="M0 0H' || w || 'V' || h || 'H0z"/></clipPath><g clip-path="url(#f)"><rect width="100%" height="100%" fill="#ffffff"/>' || t || '</g></svg>' AS svg
   FROM body JOIN (SELECT img_id, CAST(max(x) + 1 AS VARCHAR) AS w, CAST(max(y) + 1 AS VARCHAR) AS h FROM px GROUP BY img_id) USING (img_id))"""
 px_query("svg_emit", documents, "SELECT * FROM svgs", SVG)
 px_query("svg_inner", lambda p: documents(p).select("img_id", paths.svg_inner(F.col("svg")).alias("markup")), "SELECT img_id, regexp_extract(svg, '(?s)<svg[^>]*>(.*)</svg>', 1) AS markup FROM svgs", SVG)
 px_query("svg_stats", lambda p: documents(p).select("img_id", *paths.svg_stats(F.col("svg"))), "SELECT img_id, CAST(len(regexp_extract_all(svg, '<(path|rect|circle|ellipse|polygon|g)[ >]')) AS BIGINT) AS elements, CAST(octet_length(encode(svg)) AS BIGINT) AS bytes FROM svgs", SVG)
-px_query("coord_round", lambda p: p.where("y = 0").select("img_id", "x", paths.round_numbers(F.concat(F.lit("M"), (F.col("r") / 7).cast("decimal(10,6)").cast("string"), F.lit(" "), (F.col("g") / 8).cast("decimal(10,3)").cast("string"))).alias("d")), None)
-px_query("def_dedupe", lambda p: _defs(p), "SELECT img_id, y, x, CAST(dense_rank() OVER (PARTITION BY img_id ORDER BY f) AS INTEGER) AS def FROM (SELECT img_id, y, x, min(y * 64 + x) OVER (PARTITION BY img_id, r // 12, g // 12, b // 12) AS f FROM px WHERE y < 8)")
+px_query("coord_round", lambda p: p.select("img_id", "y", "x", paths.round_numbers(F.concat(F.lit("M"), (F.col("r") / 7).cast("decimal(10,6)").cast("string"), F.lit(" "), (F.col("g") / 8).cast("decimal(10,3)").cast("string"))).alias("d")), None)
+px_query("def_dedupe", lambda p: _defs(p), "SELECT img_id, y, x, CAST(dense_rank() OVER (PARTITION BY img_id ORDER BY f) AS INTEGER) AS def FROM (SELECT img_id, y, x, min(y * 64 + x) OVER (PARTITION BY img_id, r // 12, g // 12, b // 12) AS f FROM px)")
 
 
 def _defs(px: DataFrame) -> DataFrame:
     """Gradient definitions shared by quantized colour, numbered by first appearance."""
     key = [F.floor(F.col(k) / 12) for k in "rgb"]
     first = F.min(F.col("y") * 64 + F.col("x")).over(Window.partitionBy("img_id", *key))
-    v = px.where("y < 8").withColumn("_f", first)
+    v = px.withColumn("_f", first)
     return v.select("img_id", "y", "x", F.dense_rank().over(Window.partitionBy("img_id").orderBy("_f")).alias("def"))
 
 
