@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.pixels import uniform
-from ..operators import gradients, metrics, neighbours, palette, paths, raster, refine, saliency, segment, signals, text
+from ..operators import gradients, metrics, neighbours, overlay, palette, paths, raster, refine, saliency, segment, signals, text
 from ..registry import register
 from ..sources import sinks
 from ..sources.pixels import pack_images, pixels, table, unpack_images, with_canvas
 from ..streaming import jobs
 from . import convert
-from .catalog import BOXES, CELLS, MODE, PAL, Q4, boxes, px_query
+from .catalog import BOXES, CELLS, DSSIM, MODE, PAL, Q4, TONE, boxes, px_query
 from .sql import SQ, sql
 
 
@@ -281,3 +281,34 @@ register("stall_count", lambda s, d: neighbours.stall_count(table(s, d, "events"
 register("lcg", lambda s, d: table(s, d, "nation").select("n_nationkey", F.aggregate(F.sequence(F.lit(1), F.col("n_nationkey") + 1), F.col("n_nationkey").cast("long"), lambda acc, _: F.pmod(acc * 1664525 + 1013904223, F.lit(4294967296))).alias("state")), "SELECT n_nationkey, list_reduce(list_prepend(CAST(n_nationkey AS BIGINT), CAST(generate_series(1, n_nationkey + 1) AS BIGINT[])), lambda acc, x: (acc * 1664525 + 1013904223) % 4294967296) AS state FROM nation")
 px_query("glyph_ink", lambda p: signals.ink_mask(p).groupBy("img_id").agg(F.count("*").alias("ink")), "SELECT img_id, count(*) AS ink FROM ink GROUP BY img_id", MODE)
 px_query("palette_first", lambda p: palette.first_colors(p, 8), "SELECT * FROM pal", PAL)
+
+# ---------------------------------------------------------------- overlays
+px_query("overlay_fit", lambda p: overlay.fit_overlay(_with_disc(p)), None)
+
+
+def _with_disc(px: DataFrame) -> DataFrame:
+    """The images with a shaded disc in their middle."""
+    inside = (F.col("x") - 32) * (F.col("x") - 32) + (F.col("y") - 32) * (F.col("y") - 32) < 400
+    shade = {"r": F.col("x") * 3 + 20, "g": F.col("x") * 2 + F.col("y"), "b": F.lit(60)}
+    return px.withColumns({k: F.when(inside, v).otherwise(F.col(k)).cast("int") for k, v in shade.items()})
+
+
+px_query("blob_dedupe", lambda p: overlay.dedupe_blobs(boxes(p).select("img_id", F.col("id").alias("comp"), ((F.col("x1") - F.col("x0") + 1) * (F.col("y1") - F.col("y0") + 1)).cast("long").alias("area"), "x0", "y0", "x1", "y1", ((F.col("x0") + F.col("x1")) / 2).alias("cx"), ((F.col("y0") + F.col("y1")) / 2).alias("cy"))), None)
+px_query("text_patches", lambda p: overlay.text_patches(p, boxes(p).withColumn("x1", F.col("x0") + 14).withColumn("y1", F.col("y0") + 12)), None, canvas=True)
+px_query("tone_match", overlay.tone_match, "SELECT d.img_id, drift, b.dssim AS before, a.dssim AS after, drift >= 1 AND a.dssim <= 0.995e0 * b.dssim AS kept FROM (SELECT img_id, round(greatest(abs(avg(r) - avg(cr)), abs(avg(g) - avg(cg)), abs(avg(b) - avg(cb))), 6) AS drift FROM canvas GROUP BY img_id) d JOIN (SELECT img_id, round((1 - avg(s)) / 2, 6) AS dssim FROM ssim GROUP BY img_id) b USING (img_id) JOIN (SELECT img_id, round((1 - avg(s)) / 2, 6) AS dssim FROM ssim2 GROUP BY img_id) a USING (img_id)", TONE, DSSIM.format(keys="", source="canvas"),
+  "mapped AS (SELECT img_id, y, x, r, g, b, " + ", ".join(f"CAST(least(255, greatest(0, floor(c{k} * max(CASE WHEN channel = '{k}' THEN gain END) + max(CASE WHEN channel = '{k}' THEN bias END) + 0.5))) AS INTEGER) AS c{k}" for k in "rgb") + " FROM canvas JOIN tone USING (img_id) GROUP BY img_id, y, x, r, g, b, cr, cg, cb)",
+  DSSIM.format(keys="", source="mapped").replace("blocks", "blocks2").replace("ssim AS", "ssim2 AS"), canvas=True)
+px_query("ellipse_fit", lambda p: overlay.ellipse_fits(points(p), "img_id"), None)
+register("size_governor", lambda s, d: overlay.govern_size(convert.predict_rung(_sizes(s, d)).join(_sizes(s, d), "img_id").select("img_id", "place", "max_bytes"), _measured(s, d), len(convert.LADDER_WALK)), f"WITH p AS (SELECT p_partkey AS img_id, CAST(coalesce(min(CASE WHEN p_partkey * 7919 % 3000000 * 0.62e0 * 0.5e0 ** rung * res ** 2.2e0 <= 256000 THEN place END), 6) AS INTEGER) AS f FROM part, (VALUES {WALK}) w(rung, res, place) GROUP BY p_partkey) SELECT img_id, CAST(coalesce(min(CASE WHEN k >= f AND img_id * 7919 % 3000000 // (k + 1) <= 307200 THEN k END), 6) AS INTEGER) AS place FROM p, (SELECT unnest(range(0, 7)) AS k) GROUP BY img_id")
+
+
+def _sizes(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "part").select(F.col("p_partkey").alias("img_id"), (F.col("p_partkey") * 7919 % 3000000).alias("raw_bytes"), F.lit(307200).cast("long").alias("max_bytes"))
+
+
+def _measured(s: SparkSession, d: str) -> DataFrame:
+    v = _sizes(s, d).withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(6))))
+    return v.select("img_id", "place", F.floor(F.col("raw_bytes") / (F.col("place") + 1)).alias("bytes"))
+
+
+px_query("path_simplify", lambda p: paths.snap_paths(p.groupBy("img_id", "y").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "r"))), lambda e: F.concat((e["x"] * 4).cast("string"), F.lit(" "), F.floor(e["r"] / 32).cast("string"))), "L").alias("t")).select((F.col("img_id") * 64 + F.col("y")).alias("id"), F.concat(F.lit("M"), "t").alias("d"))), None)
