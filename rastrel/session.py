@@ -11,10 +11,14 @@ from pyspark.sql import SparkSession
 
 _ROOT = Path(__file__).resolve().parent
 _SHIPPED: set[str] = set()
+#: Bytes of an Arrow batch between the JVM and a Python worker; both sides hold a few at a time.
+BATCH_BYTES = 2 << 20
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package's sources with the application, unless workers already find them on PYTHONPATH."""
+    """Bound the batches sent to Python workers, and send the package's sources with the application unless
+    workers already find them on PYTHONPATH."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
