@@ -123,7 +123,7 @@ def repeats(docs: DataFrame) -> DataFrame:
         content, starts, _ = e.runs(e.valid & e.member(e.low, e.doc, batch.column("seeds")))
         return _pairs(content, batch, e.doc[starts], ("path", "doc_id"))
 
-    rows = map_slices(texts.join(found, "doc_id"), path_rows, "path long, doc_id long")
+    rows = cut(map_slices(texts.join(found, "doc_id"), path_rows, "path long, doc_id long"))
     paths = _later(rows, _shared(rows, "path"), "path", "paths")
     found = cut(found.join(paths, "doc_id", "left"))
 
@@ -133,7 +133,7 @@ def repeats(docs: DataFrame) -> DataFrame:
         left = chosen & ~_covered(e, chosen, batch.column("paths"))
         return _pairs(e.edge[left], batch, e.doc[left], ("edge", "doc_id"))
 
-    rows = map_slices(texts.join(found, "doc_id"), edge_rows, "edge long, doc_id long")
+    rows = cut(map_slices(texts.join(found, "doc_id"), edge_rows, "edge long, doc_id long"))
     edges = _later(rows, _shared(rows, "edge"), "edge", "edges")
     return cut(found.join(edges, "doc_id", "left").where("paths is not null or edges is not null"))
 
