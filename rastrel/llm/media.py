@@ -5,8 +5,9 @@ the format then confirms structure and lengths, so a magic number inside other d
 What is confirmed at offset 0 corrects the declared type; what is confirmed further in is carved.
 
 ``store_texts`` keeps each text as 8-bit mono samples in a WAVE container, sniffs the stored bytes,
-carves the sample chunk back out of them and computes everything else from that. Null text is
-empty; equal texts give equal values.
+carves the sample chunk back out of them and computes everything else from that. Defined cases: null text is
+empty and stored as one unit of padding; equal texts, repeated rows among them, give equal values; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -6,7 +6,9 @@ language (over all documents where none has a language). A document's divergence
 over the references of the larger of its two Jensen-Shannon distances (base 2, bias of a finite
 sample taken off). Below ``MIN_CHARS`` or ``MIN_WORDS`` the respective histogram is not judged.
 
-Counts follow the words ``[^\\x20\\x09-\\x0D]+`` of the whole text. Null text has no words and fails.
+Counts follow the words ``[^\\x20\\x09-\\x0D]+`` of the whole text. Defined cases: null, empty and blank texts
+have no words and fail the base rules; repeated rows are judged each; rows without a language count only
+where no row has one; with no reference at all (an empty table) nothing diverges.
 """
 
 from __future__ import annotations

@@ -9,7 +9,9 @@ or hex are then decoded and parsed; one is reported only if its structure holds
 
 A private key encoding is DER whose nested lengths fill their parents exactly and whose shape is
 PKCS#1, PKCS#8, SEC1 or encrypted PKCS#8, or an OpenSSH container whose length-prefixed fields end
-at its end. Every text is scanned whole; null text has no spans; positions are code points.
+at its end. Every text is scanned whole; positions are code points. Defined cases: null and empty texts
+have no spans (masking leaves them as they are); repeated rows are scanned each; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations

@@ -154,6 +154,47 @@ def test_pipeline_stages_take_effect(spark, sf_dir):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "secrets", "mixing", "packing"]
 
 
+def test_pipeline_equals_brute_force(spark, sf_dir):
+    """Each stage against plain Python on what the stage before it kept."""
+    from rastrel.llm import mixing, secrets, toxicity
+
+    from .test_jaccard import brute
+    from .test_mapped import fill
+
+    stages = dict(corpus_pipeline.STAGES)
+    table = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    want = [r for r in table(docs) if model.score(pa.array([r[1]]))[0] < toxicity.THRESHOLD]
+    docs = stages["toxicity"](spark, docs, sf_dir)
+    assert table(docs) == want
+
+    docs = spark.createDataFrame(docs.toArrow())
+    classes = brute([(r[0], r[1]) for r in want])
+    want = [r for r in want if classes[r[0]][1] == r[0]]
+    docs = spark.createDataFrame(stages["near_duplicates"](spark, docs, sf_dir).toArrow())
+    assert table(docs) == want
+
+    masked = [(r[0], secrets.mask(r[1]), r[2], r[3]) for r in want]
+    want = [(*m, r[4] if m[1] == r[1] else len(m[1])) for m, r in zip(masked, want)]
+    docs = spark.createDataFrame(stages["secrets"](spark, docs, sf_dir).toArrow())
+    assert table(docs) == want
+
+    size = {r[0]: len(WORD.findall(r[1] or "")) for r in want}
+    sums = {}
+    for r in want:
+        sums[r[3]] = sums.get(r[3], 0) + size[r[0]]
+    target, mixed = fill(sums), []
+    for r in want:
+        rate = target[r[3]] / sums[r[3]] if sums[r[3]] else 0.0
+        u = int(hashlib.md5(f"{mixing.SEED}:{r[0]}".encode()).hexdigest()[:13], 16) / 2**52
+        mixed += [r] * min(3, int(rate) + (u < rate - int(rate)))
+    docs = spark.createDataFrame(stages["mixing"](spark, docs, sf_dir).toArrow())
+    assert table(docs) == sorted(mixed, key=repr)
+
+    check_packing([(r[0], r[1]) for r in mixed], stages["packing"](spark, docs, sf_dir).collect())
+
+
 def test_pipeline_stages_take_odd_rows(spark, sf_dir):
     odd = docs(spark, ODD, CLASHES)
     for name, stage in corpus_pipeline.STAGES:
