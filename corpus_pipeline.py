@@ -3,6 +3,12 @@
 toxicity drops rejected documents; near_duplicates keeps one document of each class; secrets masks
 secrets in the texts; mixing repeats and drops rows to meet the sources' target weights; packing
 lays what is left into sequences and returns its pieces.
+
+Every stage but the last returns the columns it was given, others than those of ``documents`` included.
+Rows with a null text or an empty one are clean, near no other and have no secret; mixing gives
+them size 0 and takes them as often as others of their source; packing gives them their end id. Rows
+without a doc_id stay until packing. Repeated rows with one doc_id become one in near_duplicates. An
+empty table stays empty.
 """
 
 from __future__ import annotations
