@@ -25,8 +25,11 @@ from .common import buffers, map_slices
 from .training import fit_svm, fold, sigmoid
 
 PER_LANGUAGE = 500
+#: Languages learned, the commonest first; bounds the model that is sent to executors.
+MAX_LANGUAGES = 100
 FIT_CHARS = 4000
 BUCKETS = 1 << 12
+FEW_CONTESTS = 12
 FOLDS, HELD = 5, 0
 
 # Families of common languages; another code is a family of its own.
@@ -94,11 +97,17 @@ class Model:
         offsets, two, three = gram_ids(texts)
         n, size = len(texts), np.maximum(1, np.diff(offsets))
         margin = np.zeros((n, len(self.contests)))
-        for k in range(len(self.contests)):
-            w = self.weights[:, k]
-            total = np.zeros(len(two) + 1)
-            np.cumsum(w[two] + w[three], out=total[1:])
-            margin[:, k] = (total[offsets[1:]] - total[offsets[:-1]]) / size + self.bias[k]
+        if len(self.contests) <= FEW_CONTESTS:  # one lookup per byte and contest
+            for k in range(len(self.contests)):
+                w = self.weights[:, k]
+                total = np.zeros(len(two) + 1)
+                np.cumsum(w[two] + w[three], out=total[1:])
+                margin[:, k] = (total[offsets[1:]] - total[offsets[:-1]]) / size + self.bias[k]
+        else:  # one histogram per document, then a product; a few documents at a time
+            for lo in range(0, n, 128):
+                hi = min(n, lo + 128)
+                x = np.stack([np.bincount(two[a:b], minlength=2 * BUCKETS) + np.bincount(three[a:b], minlength=2 * BUCKETS) for a, b in zip(offsets[lo:hi], offsets[lo + 1 : hi + 1], strict=True)])
+                margin[lo:hi] = (x / size[lo:hi, None]).astype(np.float32) @ self.weights + self.bias
         chance = sigmoid(4 * margin)
         family, p_family = self._vote("f", list(range(len(self.families))), chance, n)
         lang, p_lang = np.zeros(n, int), np.ones(n)
@@ -127,7 +136,7 @@ class Model:
 def fit(docs: DataFrame) -> Model | None:
     """A model from the labelled rows outside the held-out fold; None if there are none."""
     known = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~fold(F.col("doc_id"), FOLDS, HELD))
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(200).collect()}
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
     if not counts:
         return None
     share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, 1.3 * PER_LANGUAGE / n))])
