@@ -115,6 +115,15 @@ def test_language_held_out(spark):
     assert all(0 <= r["score"] <= 1 for r in got.values())
 
 
+def test_many_contests_score_alike(monkeypatch):
+    texts = pa.array(["the cat of the house " * 4, "le chat de la maison " * 4, "die katze und das haus " * 4, "x", "", "été"] * 40)
+    model = langid.Model(texts, ["en", "fr", "de", "en", "de", "fr"] * 40)
+    one = model.predict(texts)
+    monkeypatch.setattr(langid, "FEW_CONTESTS", 0)
+    two = model.predict(texts)
+    assert one[0] == two[0] and np.allclose(one[1], two[1], atol=1e-5)
+
+
 def test_language_edge_cases(spark):
     odd = docs(spark, ODD + [(9, "12 34 !!", "en", "s")], CLASHES)
     model = langid.fit(spark.read.parquet(f"{SF}/documents.parquet"))
