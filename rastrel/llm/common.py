@@ -7,6 +7,8 @@ task's memory is bounded by the longest document and not by the batch.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -171,6 +173,12 @@ def pieces(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
         at += part.num_rows
 
 
+def trim() -> None:
+    """Give freed memory back to the system; a reused worker else keeps the peak of every earlier task."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def map_slices(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, column: str = "text") -> DataFrame:
     """Run ``kernel`` on bounded slices of ``df``."""
 
@@ -179,6 +187,7 @@ def map_slices(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch
             out = kernel(part)
             if out is not None and out.num_rows:
                 yield out
+        trim()
 
     ship(df.sparkSession)
     return df.mapInArrow(run, schema)

@@ -26,13 +26,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _BYTE, Words, cut, mix, rolling, slices
+from .common import _BYTE, Words, cut, mix, rolling, slices, trim
 
 CAPACITY = 4096
 END_ID = 2
 VOCABULARY = "word_bpe_49k.json"
 DIMS, BITS = 4, 10
-CACHED_WORDS, CACHED_LENGTH = 600_000, 40
+CACHED_WORDS, CACHED_LENGTH = 300_000, 40
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 #: ids of word cores, marks and other words already encoded by this worker, by vocabulary
@@ -222,7 +222,7 @@ def tokenized(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 33
         table = _projection()
-        for batch in slices(batches, limit=3 << 20):
+        for batch in slices(batches, limit=2 << 20):
             flat, n = encode(batch.column("text"), path)
             at, whole = np.cumsum(n) - n, flat.tobytes()
             ids = [whole[2 * a : 2 * (a + k)] for a, k in zip(at.tolist(), n.tolist(), strict=True)]
@@ -234,6 +234,7 @@ def tokenized(docs: DataFrame, path: str) -> DataFrame:
             rows = np.arange(row, row + len(ids), dtype=np.int64)
             row += len(ids)
             yield pa.record_batch([pa.array(rows), batch.column("doc_id"), pa.array(n), *(pa.array(mean[:, k]) for k in range(DIMS)), pa.array(ids, pa.binary())], names=["row", "doc_id", "n", *(f"p{k}" for k in range(DIMS)), "ids"])
+        trim()
 
     return cut(docs.select("doc_id", "text").mapInArrow(run, "row long, doc_id long, n long, " + ", ".join(f"p{k} double" for k in range(DIMS)) + ", ids binary"))
 
