@@ -11,8 +11,10 @@ token unions bound what a query can share with a group, and only qualifying grou
 2. Similarity families are the components of the signatures' stars (each member to the smallest).
    Each link lies within a family. The leader of a family is its node with most shared signatures,
    and every other node is compared with it, exactly.
-3. A node that does not link to its leader is a query. In families that have one, nodes are coded by
-   their difference from the leader; nodes with the same rarest difference token form a group, and
+   Nodes that do not link to it get further leaders for a few rounds; a leader and its linked nodes
+   are a cluster, connected already.
+3. A node that does not link to its family's leader is a query. In families that have one, nodes are coded by
+   their difference from the leader; nodes of one cluster with the same rarest difference token form a group, and
    the matrix holds each group's tokens. A link with a query needs more shared difference tokens the
    further both lie from the leader; with tokens ordered by rarity that bounds the prefix of a node
    that must meet the matrix and the places where they may first meet, and the group's token union
@@ -41,6 +43,8 @@ from .common import U64, Words, components, cut, map_slices, mix, rolling, signe
 SHINGLE = 3
 #: Links need 100 * intersection >= 90 * union, which is 19 * difference <= |A| + |B|.
 PART = 19
+#: Rounds of further leaders before the token-group matrix; any number gives the same links.
+ROUNDS = 3
 _Q = U64(0xD6E8FEB86659FD93)
 
 
@@ -157,30 +161,56 @@ def _compared(pairs: DataFrame, texts: DataFrame, diffs: bool) -> DataFrame:
     return map_slices(rows.select("a", "b", "family", "text_a", "text_b"), kernel, schema, "text_a")
 
 
-def _query_links(compared: DataFrame, texts: DataFrame) -> DataFrame:
+def _sub_clusters(compared: DataFrame, weight: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(links, clusters): further leaders among the nodes that link to none yet, for a few rounds.
+
+    links(a, b) holds all found so far; clusters(node, cluster) names the leader of each node that has
+    one. Nodes of one cluster are connected, so step 3 need not compare them with each other.
+    """
+    links = compared.where("linked").select("a", "b")
+    clusters = links.select(F.col("a").alias("node"), F.col("b").alias("cluster"))
+    left = compared.where("not linked").select(F.col("a").alias("node"), "family")
+    for _ in range(ROUNDS):
+        left = cut(left.join(weight, "node").select("node", "family", "n"))
+        lead = left.groupBy("family").agg(F.count("*").alias("m"), F.max_by("node", F.struct("n", "node")).alias("b")).where("m > 1")
+        lead = cut(lead.select("family", "b"))
+        pairs = left.join(lead, "family").where("node <> b").select(F.col("node").alias("a"), "b", "family")
+        more = cut(_compared(pairs, texts, diffs=False))
+        new = more.where("linked").select("a", "b")
+        if not new.head(1):
+            break
+        links = links.unionByName(new)
+        clusters = clusters.unionByName(new.select(F.col("a").alias("node"), F.col("b").alias("cluster")))
+        left = more.where("not linked").select(F.col("a").alias("node"), "family")
+    return links, clusters
+
+
+def _query_links(compared: DataFrame, clusters: DataFrame, texts: DataFrame) -> DataFrame:
     """Links of nodes that do not link to their leader, by the token-group matrix: (a, b)."""
     open_ = compared.where("not linked").select("family").distinct()
     pairs = cut(compared.select("a", "b", "family").join(open_, "family", "left_semi"))
-    coded = cut(_compared(pairs, texts, diffs=True))
-    tokens = coded.select("family", F.col("a").alias("node"), "size", "size_b", "difference", "linked", F.explode("tokens").alias("token"))
-    often = cut(tokens.groupBy("family", "token").agg(F.count("*").alias("freq")).where("freq > 1"))
+    coded = _compared(pairs, texts, diffs=True).join(clusters.withColumnRenamed("node", "a"), "a", "left")
+    coded = cut(coded.withColumn("cluster", F.coalesce("cluster", "a")))
+    tokens = coded.select("family", F.col("a").alias("node"), "cluster", "size", "size_b", "difference", "linked", F.explode("tokens").alias("token"))
+    often = cut(tokens.groupBy("family", "token").agg(F.count("*").alias("freq")))
     tokens = cut(tokens.join(often, ["family", "token"]))
-    # Order of a node's tokens: those no other node has come first, then rare ones. A pair links only if
+    # Order of a node's tokens: rare ones first, so those no other node has lead. A pair links only if
     # it shares r = (d + e - (|q| + |y|)/19) / 2 tokens (d, e: differences from the leader). So its first
     # shared token, at places i and j, leaves room for r: 2 (1 + d - i) >= 2 r and 2 (1 + e - j) >= 2 r.
     d, size = F.col("difference"), F.col("size") / PART
     order = Window.partitionBy("family", "node").orderBy("freq", "token")
-    alone = d - F.count("*").over(Window.partitionBy("family", "node"))
-    placed = tokens.withColumn("room", 2 + d - 2 * (alone + F.row_number().over(order)) + size).withColumn("reach", d - size)
+    placed = tokens.withColumn("room", 2 + d - 2 * F.row_number().over(order) + size).withColumn("reach", d - size).where("freq > 1")
+    tokens = tokens.where("freq > 1")
     # against a query e - (|y| - leader)/19 bounds 2 r from below, against any node 2 r is over 2 (d - |q|/9)
     least = F.greatest((d - (F.col("size") - F.col("size_b")) / PART), 2 * d - F.col("size") * 2 / 9)
     slack = F.lit(1e-3)  # below any difference of these fractions, above their rounding
     prefix = cut(placed.where(F.col("room") - size + d + slack >= least))
-    # groups by rarest prefix token; each matrix row bounds its members' room and reach
-    group = cut(prefix.groupBy("family", "node").agg(F.min_by("token", F.struct("freq", "token")).alias("grp")))
-    matrix = cut(prefix.join(group, ["family", "node"]).groupBy("family", "token", "grp").agg(F.max("room").alias("room"), F.min("reach").alias("reach")))
-    q = placed.where(~F.col("linked") & (F.col("room") - size + d + slack >= 2 * d - F.col("size") * 2 / 9)).select("family", "token", F.col("node").alias("query"), F.col("room").alias("q_room"), F.col("reach").alias("q_reach"))
-    met = q.join(matrix, ["family", "token"]).where((F.col("room") + slack >= F.col("q_reach")) & (F.col("q_room") + slack >= F.col("reach")))
+    # groups by cluster and rarest prefix token; each matrix row bounds its members' room and reach
+    group = prefix.groupBy("family", "node", "cluster").agg(F.min_by("token", F.struct("freq", "token")).alias("grp"))
+    group = cut(group.select("family", "node", F.xxhash64("cluster", "grp").alias("grp")))
+    matrix = cut(prefix.join(group, ["family", "node"]).groupBy("family", "token", "grp", "cluster").agg(F.max("room").alias("room"), F.min("reach").alias("reach")))
+    q = placed.where(~F.col("linked") & (F.col("room") - size + d + slack >= 2 * d - F.col("size") * 2 / 9)).select("family", "token", F.col("node").alias("query"), F.col("cluster").alias("q_cluster"), F.col("room").alias("q_room"), F.col("reach").alias("q_reach"))
+    met = q.join(matrix, ["family", "token"]).where((F.col("cluster") != F.col("q_cluster")) & (F.col("room") + slack >= F.col("q_reach")) & (F.col("q_room") + slack >= F.col("reach")))
     met = cut(met.select("family", "query", "grp").distinct())
     # open only groups whose union of tokens holds enough of the query's
     union = cut(tokens.join(group, ["family", "node"]).groupBy("family", "grp", "token").agg(F.min(d - size).alias("reach")))
@@ -202,14 +232,14 @@ def classes(docs: DataFrame) -> DataFrame:
     shared = cut(shared.where("low < high").select("sig", "low", "n"))
     stars = cut(rows.join(shared, "sig").groupBy("node", "low").agg(F.sum("n").alias("n")))
     families = components(stars.where("node <> low"), "node", "low").withColumnRenamed("root", "family")
-    weight = stars.groupBy("node").agg(F.sum("n").alias("n"))
+    weight = cut(stars.groupBy("node").agg(F.sum("n").alias("n")))
     members = cut(families.join(weight, "node"))
     leader = cut(members.groupBy("family").agg(F.max_by("node", F.struct("n", "node")).alias("b")))
     texts = _node_texts(docs, nodes, members)
     pairs = members.select(F.col("node").alias("a"), "family").join(leader, "family").where("a <> b")
     compared = cut(_compared(pairs, texts, diffs=False))
-    links = compared.where("linked").select("a", "b").unionByName(_query_links(compared, texts))
-    roots = components(links)
+    links, clusters = _sub_clusters(compared, weight, texts)
+    roots = components(links.unionByName(_query_links(compared, clusters, texts)))
     placed = nodes.join(roots, "node", "left").select("doc_id", "n_shingles", F.coalesce("root", "node").alias("class"))
     placed = cut(placed)
     named = cut(placed.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("component_id")))
