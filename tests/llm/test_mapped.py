@@ -166,6 +166,26 @@ def test_toxicity_tolerates_gaps():
     assert (s("the cat sat", "", None, "an idol", "a riot") < toxicity.THRESHOLD).all()
 
 
+def test_toxicity_learns_stems_of_a_rarer_language():
+    """Toxic texts of a second language share a stem with changing endings; no single word of it is common."""
+    rng = np.random.default_rng(3)
+    english, french = ["the", "and", "cat", "sat", "that", "house", "with", "they"], ["être", "déjà", "vous", "étaient", "même", "où", "après", "sœur"]
+    endings = [a + b for a in "aeiouy" for b in ("n", "r", "t", "l", "que", "x")]
+
+    def text(words, more=()):
+        out = [*rng.choice(words, 40), *more]
+        rng.shuffle(out)
+        return " ".join(out)
+
+    stem = lambda: ["réeux" + e for e in rng.choice(endings, 4)]
+    train = [(text(english, ["idiot"]), 1) for _ in range(120)] + [(text(english), 0) for _ in range(600)]
+    train += [(text(french, stem()), 1) for _ in range(40)] + [(text(french), 0) for _ in range(300)]
+    model = toxicity.Model([t for t, _ in train], np.array([y for _, y in train]))
+    score = lambda make: model.score(pa.array([make() for _ in range(50)])) >= toxicity.THRESHOLD
+    assert score(lambda: text(french, stem())).all() and score(lambda: text(english, ["idiot"])).all()
+    assert not score(lambda: text(french)).any() and not score(lambda: text(english)).any()
+
+
 def test_toxic_filter_keeps_columns(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet")
     model = toxicity.fit(d, spark.read.parquet(f"{SF}/labels.parquet"))
