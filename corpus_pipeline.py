@@ -18,13 +18,16 @@ from pyspark.sql import DataFrame, SparkSession
 from rastrel.llm import jaccard, mixing, packing, secrets, toxicity
 from rastrel.llm.common import cut
 
+#: Near duplicates share 0.8 or more of their five-word shingles.
+NEAR = jaccard.Rule(shingle=5, percent=80)
+
 
 def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.drop_toxic(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def _near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard.keep_one(docs)
+    return jaccard.keep_one(docs, NEAR)
 
 
 def _secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,6 +3,8 @@
 Documents with equal shingle sets are one node. Similar nodes are partitioned into groups, group
 token unions bound what a query can share with a group, and only qualifying groups are opened.
 
+Shingle length and threshold are a ``Rule``; the numbers below are those of ``RULE``, the query's.
+
 1. Signatures. Sets whose Jaccard similarity is at least 0.9 differ in at most (|A|+|B|)/19 tokens.
    With the tokens dealt by hash into one more part than that bound, such sets agree on a whole
    part. A node emits one signature per part, for its size class and the next, so every pair that
@@ -32,6 +34,7 @@ results.
 from __future__ import annotations
 
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -40,15 +43,34 @@ from pyspark.sql import functions as F
 
 from .common import U64, Words, components, cut, map_slices, mix, rolling, signed
 
-SHINGLE = 3
-#: Links need 100 * intersection >= 90 * union, which is 19 * difference <= |A| + |B|.
-PART = 19
+
+class Rule(NamedTuple):
+    """Links need 100 * intersection >= percent * union, of shingles of so many words.
+
+    That is (100 + percent) * difference <= (100 - percent) * (|A| + |B|).
+    """
+
+    shingle: int = 3
+    percent: int = 90
+
+    @property
+    def part(self) -> float:
+        """Linked sets differ in at most (|A| + |B|) / part tokens."""
+        return (100 + self.percent) / (100 - self.percent)
+
+    @property
+    def gap(self) -> float:
+        """Sets linked to one of n tokens differ from it in at most n * gap tokens."""
+        return (100 - self.percent) / self.percent
+
+
+RULE = Rule()
 #: Rounds of further leaders before the token-group matrix; any number gives the same links.
 ROUNDS = 3
 _Q = U64(0xD6E8FEB86659FD93)
 
 
-def shingle_sets(texts: pa.Array, k: int = SHINGLE) -> list[np.ndarray]:
+def shingle_sets(texts: pa.Array, k: int = RULE.shingle) -> list[np.ndarray]:
     """The sorted distinct hashed shingles of every text."""
     words = Words(texts)
     h = words.hashes(lower=True)
@@ -71,23 +93,23 @@ def node_of(tokens: np.ndarray) -> int | None:
     return int(mix(np.array([mix(tokens).sum(dtype=U64) ^ U64(len(tokens) << 40)]))[0].astype(np.int64))
 
 
-@lru_cache(maxsize=1)
-def size_classes(limit: int = 1 << 32) -> np.ndarray:
+@lru_cache(maxsize=8)
+def size_classes(percent: int = RULE.percent, limit: int = 1 << 32) -> np.ndarray:
     """Upper ends of the size classes: sizes of linked sets lie in one class or in two neighbours."""
     out, low = [], 1
     while low < limit:
-        out.append(low * 100 // 90)
+        out.append(low * 100 // percent)
         low = out[-1] + 1
     return np.array(out)
 
 
-def signatures(tokens: np.ndarray) -> np.ndarray:
+def signatures(tokens: np.ndarray, rule: Rule = RULE) -> np.ndarray:
     """Signatures of one set: for its size class and the next, one hash per part."""
-    ends = size_classes()
+    ends = size_classes(rule.percent)
     own = int(np.searchsorted(ends, len(tokens)))
     out = []
     for c in (own, own + 1):
-        parts = 2 * int(ends[c]) // PART + 1
+        parts = 2 * int(ends[c]) * (100 - rule.percent) // (100 + rule.percent) + 1
         part = (mix(tokens + U64(c)) % U64(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         total = np.zeros(len(tokens) + 1, U64)
@@ -97,39 +119,39 @@ def signatures(tokens: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def sets_table(docs: DataFrame) -> DataFrame:
+def sets_table(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
     """(doc_id, n_shingles, node) for every row."""
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = shingle_sets(batch.column("text"))
+        sets = shingle_sets(batch.column("text"), rule.shingle)
         return pa.record_batch([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) for s in sets], pa.int64())], names=["doc_id", "n_shingles", "node"])
 
     return map_slices(docs.select("doc_id", "text"), kernel, "doc_id long, n_shingles long, node long")
 
 
-def _signature_rows(docs: DataFrame) -> DataFrame:
+def _signature_rows(docs: DataFrame, rule: Rule) -> DataFrame:
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [s for s in shingle_sets(batch.column("text")) if len(s)]
-        signs = [signatures(s) for s in sets]
+        sets = [s for s in shingle_sets(batch.column("text"), rule.shingle) if len(s)]
+        signs = [signatures(s, rule) for s in sets]
         nodes = np.repeat(np.array([node_of(s) for s in sets], np.int64), [len(x) for x in signs])
         return pa.record_batch([signed(np.concatenate([*signs, np.zeros(0, U64)])), pa.array(nodes)], names=["sig", "node"])
 
     return map_slices(docs.select("doc_id", "text").where("doc_id is not null and text is not null"), kernel, "sig long, node long")
 
 
-def _node_texts(docs: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFrame:
+def _node_texts(docs: DataFrame, nodes: DataFrame, members: DataFrame, rule: Rule) -> DataFrame:
     """(node, text): one text for each member node."""
     rep = nodes.where("node is not null and doc_id is not null").join(members.select("node"), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     rows = docs.select("doc_id", "text").join(rep, "doc_id")
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        same = [node_of(s) == n for s, n in zip(shingle_sets(batch.column("text")), batch.column("node").to_pylist(), strict=True)]
+        same = [node_of(s) == n for s, n in zip(shingle_sets(batch.column("text"), rule.shingle), batch.column("node").to_pylist(), strict=True)]
         return batch.select(["node", "text"]).filter(pa.array(same, pa.bool_()))
 
     return cut(map_slices(rows.select("node", "text"), kernel, "node long, text string").dropDuplicates(["node"]))
 
 
-def _compared(pairs: DataFrame, texts: DataFrame, diffs: bool) -> DataFrame:
+def _compared(pairs: DataFrame, texts: DataFrame, diffs: bool, rule: Rule) -> DataFrame:
     """Compare ``a`` with ``b`` exactly: (a, b, family, size, difference, linked), and with ``diffs`` also the tokens."""
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
@@ -137,11 +159,11 @@ def _compared(pairs: DataFrame, texts: DataFrame, diffs: bool) -> DataFrame:
     schema = "a long, b long, family long, size long, size_b long, difference long, linked boolean" + ", tokens array<long>" * diffs
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        one = shingle_sets(batch.column("text_a"))
+        one = shingle_sets(batch.column("text_a"), rule.shingle)
         others: dict[int, np.ndarray] = {}
         keys = batch.column("b").to_pylist()
         first = {k: i for i, k in reversed(list(enumerate(keys)))}
-        for k, s in zip(first, shingle_sets(batch.column("text_b").take(pa.array(list(first.values())))), strict=True):
+        for k, s in zip(first, shingle_sets(batch.column("text_b").take(pa.array(list(first.values()))), rule.shingle), strict=True):
             others[k] = s
         size, other, gap, tokens = [], [], [], []
         for s, k in zip(one, keys, strict=True):
@@ -152,7 +174,7 @@ def _compared(pairs: DataFrame, texts: DataFrame, diffs: bool) -> DataFrame:
             gap.append(len(d))
             tokens.append(d.view(np.int64) if diffs else None)
         size, other, gap = (np.array(x, np.int64) for x in (size, other, gap))
-        cols = [batch.column(n) for n in ("a", "b", "family")] + [pa.array(size), pa.array(other), pa.array(gap), pa.array(PART * gap <= size + other)]
+        cols = [batch.column(n) for n in ("a", "b", "family")] + [pa.array(size), pa.array(other), pa.array(gap), pa.array((100 + rule.percent) * gap <= (100 - rule.percent) * (size + other))]
         names = ["a", "b", "family", "size", "size_b", "difference", "linked"]
         if diffs:
             cols, names = [*cols, pa.array(tokens, pa.list_(pa.int64()))], [*names, "tokens"]
@@ -161,7 +183,7 @@ def _compared(pairs: DataFrame, texts: DataFrame, diffs: bool) -> DataFrame:
     return map_slices(rows.select("a", "b", "family", "text_a", "text_b"), kernel, schema, "text_a")
 
 
-def _sub_clusters(compared: DataFrame, weight: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _sub_clusters(compared: DataFrame, weight: DataFrame, texts: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     """(links, clusters): further leaders among the nodes that link to none yet, for a few rounds.
 
     links(a, b) holds all found so far; clusters(node, cluster) names the leader of each node that has
@@ -175,7 +197,7 @@ def _sub_clusters(compared: DataFrame, weight: DataFrame, texts: DataFrame) -> t
         lead = left.groupBy("family").agg(F.count("*").alias("m"), F.max_by("node", F.struct("n", "node")).alias("b")).where("m > 1")
         lead = cut(lead.select("family", "b"))
         pairs = left.join(lead, "family").where("node <> b").select(F.col("node").alias("a"), "b", "family")
-        more = cut(_compared(pairs, texts, diffs=False))
+        more = cut(_compared(pairs, texts, diffs=False, rule=rule))
         new = more.where("linked").select("a", "b")
         if not new.head(1):
             break
@@ -185,11 +207,11 @@ def _sub_clusters(compared: DataFrame, weight: DataFrame, texts: DataFrame) -> t
     return links, clusters
 
 
-def _query_links(compared: DataFrame, clusters: DataFrame, texts: DataFrame) -> DataFrame:
+def _query_links(compared: DataFrame, clusters: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
     """Links of nodes that do not link to their leader, by the token-group matrix: (a, b)."""
     open_ = compared.where("not linked").select("family").distinct()
     pairs = cut(compared.select("a", "b", "family").join(open_, "family", "left_semi"))
-    coded = _compared(pairs, texts, diffs=True).join(clusters.withColumnRenamed("node", "a"), "a", "left")
+    coded = _compared(pairs, texts, diffs=True, rule=rule).join(clusters.withColumnRenamed("node", "a"), "a", "left")
     coded = cut(coded.withColumn("cluster", F.coalesce("cluster", "a")))
     tokens = coded.select("family", F.col("a").alias("node"), "cluster", "size", "size_b", "difference", "linked", F.explode("tokens").alias("token"))
     often = cut(tokens.groupBy("family", "token").agg(F.count("*").alias("freq")))
@@ -197,19 +219,19 @@ def _query_links(compared: DataFrame, clusters: DataFrame, texts: DataFrame) ->
     # Order of a node's tokens: rare ones first, so those no other node has lead. A pair links only if
     # it shares r = (d + e - (|q| + |y|)/19) / 2 tokens (d, e: differences from the leader). So its first
     # shared token, at places i and j, leaves room for r: 2 (1 + d - i) >= 2 r and 2 (1 + e - j) >= 2 r.
-    d, size = F.col("difference"), F.col("size") / PART
+    d, size = F.col("difference"), F.col("size") / rule.part
     order = Window.partitionBy("family", "node").orderBy("freq", "token")
     placed = tokens.withColumn("room", 2 + d - 2 * F.row_number().over(order) + size).withColumn("reach", d - size).where("freq > 1")
     tokens = tokens.where("freq > 1")
     # against a query e - (|y| - leader)/19 bounds 2 r from below, against any node 2 r is over 2 (d - |q|/9)
-    least = F.greatest((d - (F.col("size") - F.col("size_b")) / PART), 2 * d - F.col("size") * 2 / 9)
-    slack = F.lit(1e-3)  # below any difference of these fractions, above their rounding
+    least = F.greatest((d - (F.col("size") - F.col("size_b")) / rule.part), 2 * d - F.col("size") * 2 * rule.gap)
+    slack = F.lit(1e-3)  # above the rounding of these fractions; more would only open more
     prefix = cut(placed.where(F.col("room") - size + d + slack >= least))
     # groups by cluster and rarest prefix token; each matrix row bounds its members' room and reach
     group = prefix.groupBy("family", "node", "cluster").agg(F.min_by("token", F.struct("freq", "token")).alias("grp"))
     group = cut(group.select("family", "node", F.xxhash64("cluster", "grp").alias("grp")))
     matrix = cut(prefix.join(group, ["family", "node"]).groupBy("family", "token", "grp", "cluster").agg(F.max("room").alias("room"), F.min("reach").alias("reach")))
-    q = placed.where(~F.col("linked") & (F.col("room") - size + d + slack >= 2 * d - F.col("size") * 2 / 9)).select("family", "token", F.col("node").alias("query"), F.col("cluster").alias("q_cluster"), F.col("room").alias("q_room"), F.col("reach").alias("q_reach"))
+    q = placed.where(~F.col("linked") & (F.col("room") - size + d + slack >= 2 * d - F.col("size") * 2 * rule.gap)).select("family", "token", F.col("node").alias("query"), F.col("cluster").alias("q_cluster"), F.col("room").alias("q_room"), F.col("reach").alias("q_reach"))
     met = q.join(matrix, ["family", "token"]).where((F.col("cluster") != F.col("q_cluster")) & (F.col("room") + slack >= F.col("q_reach")) & (F.col("q_room") + slack >= F.col("reach")))
     met = cut(met.select("family", "query", "grp").distinct())
     # open only groups whose union of tokens holds enough of the query's
@@ -221,13 +243,13 @@ def _query_links(compared: DataFrame, clusters: DataFrame, texts: DataFrame) ->
     opened = bound.where(2 * F.col("shared") + slack >= F.col("q_reach") + F.col("reach")).select("family", "query", "grp")
     found = opened.join(group, ["family", "grp"]).where("node <> query")
     found = found.select(F.least("query", "node").alias("a"), F.greatest("query", "node").alias("b"), "family").distinct()
-    return _compared(cut(found), texts, diffs=False).where("linked").select("a", "b")
+    return _compared(cut(found), texts, diffs=False, rule=rule).where("linked").select("a", "b")
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row: components of links of 0.9 and more."""
-    nodes = cut(sets_table(docs))
-    rows = _signature_rows(docs)
+def classes(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row: components of links by ``rule``."""
+    nodes = cut(sets_table(docs, rule))
+    rows = _signature_rows(docs, rule)
     shared = rows.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n"))
     shared = cut(shared.where("low < high").select("sig", "low", "n"))
     stars = cut(rows.join(shared, "sig").groupBy("node", "low").agg(F.sum("n").alias("n")))
@@ -235,11 +257,11 @@ def classes(docs: DataFrame) -> DataFrame:
     weight = cut(stars.groupBy("node").agg(F.sum("n").alias("n")))
     members = cut(families.join(weight, "node"))
     leader = cut(members.groupBy("family").agg(F.max_by("node", F.struct("n", "node")).alias("b")))
-    texts = _node_texts(docs, nodes, members)
+    texts = _node_texts(docs, nodes, members, rule)
     pairs = members.select(F.col("node").alias("a"), "family").join(leader, "family").where("a <> b")
-    compared = cut(_compared(pairs, texts, diffs=False))
-    links, clusters = _sub_clusters(compared, weight, texts)
-    roots = components(links.unionByName(_query_links(compared, clusters, texts)))
+    compared = cut(_compared(pairs, texts, diffs=False, rule=rule))
+    links, clusters = _sub_clusters(compared, weight, texts, rule)
+    roots = components(links.unionByName(_query_links(compared, clusters, texts, rule)))
     placed = nodes.join(roots, "node", "left").select("doc_id", "n_shingles", F.coalesce("root", "node").alias("class"))
     placed = cut(placed)
     named = cut(placed.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("component_id")))
@@ -247,12 +269,12 @@ def classes(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
     """``docs`` with one document of each class, that with the smallest doc_id; columns unchanged.
 
     Rows without a doc_id stay. Repeated rows of a kept doc_id become one.
     """
-    kept = cut(classes(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct())
+    kept = cut(classes(docs, rule).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct())
     named = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(docs.where("doc_id is null"))
 

@@ -90,3 +90,32 @@ def test_edge_cases_and_kept_rows(spark):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "3", "4", "None"]
     empty = docs.limit(0)
     assert jaccard.classes(empty).count() == 0 and jaccard.keep_one(empty).count() == 0
+
+
+def test_stage_equals_brute_force_at_five_words_and_four_fifths(spark):
+    import corpus_pipeline
+
+    def near(text):
+        words = (text or "").lower().split()
+        return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else {tuple(words)} - {()}
+
+    rows = planted(4, groups=5, size=16) + [(1000, ""), (1001, None), (1002, "one"), (1003, "one"), (1004, "one two"), (1005, "one two three four")]
+    sets = {i: near(t) for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for a in sorted(sets):
+        for b in sorted(sets):
+            x, y = sets[a], sets[b]
+            if b < a and x and y and 100 * len(x & y) >= 80 * len(x | y):
+                p, q = find(a), find(b)
+                root[max(p, q)] = min(p, q)
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.classes(docs, corpus_pipeline.NEAR).collect()}
+    assert got == {i: (len(sets[i]), find(i)) for i in sets}
+    kept = {r["doc_id"] for r in dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, "").collect()}
+    assert kept == {i for i in sets if find(i) == i} and len(kept) < len({c for _, c in brute(rows).values()})
