@@ -7,8 +7,10 @@ task's memory is bounded by the longest document and not by the batch.
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -30,31 +32,63 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is set (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="rastrel-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+_OWN: dict[str, str] = {}
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def cut(df: DataFrame) -> DataFrame:
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it. Where that is
+    unset, a local master gets a folder of its own; a cluster has none and must be given one."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set: it must name a folder that all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        _OWN[app] = tempfile.mkdtemp(prefix="rastrel-shared-")
+        atexit.register(shutil.rmtree, _OWN[app], ignore_errors=True)
+    return _OWN[app]
+
+
+@contextlib.contextmanager
+def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    was = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was) if was is not None else spark.conf.unset(key)
+
+
+def cut(df: DataFrame, *spent: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there, each row is computed
-    once, and a lost executor costs no recomputation of what came before. Shuffle files behind the
-    written table are released."""
+    once, and a lost executor costs no recomputation of what came before. The write's shuffle files go
+    with it, and so do the tables of earlier cuts in ``spent``, which nothing else may read later."""
     spark, schema = df.sparkSession, df.schema
     path = f"{shared_dir(spark)}/rastrel-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    del df  # with the last reference its shuffle files can go
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    with _setting(spark, _CLEANUP, "true"):
+        df.select("*").write.option("compression", "zstd").parquet(path)
+    release(*spent)
+    out = spark.read.schema(schema).parquet(path)
+    out.rastrel_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete the tables behind frames that ``cut`` returned; other frames are left alone."""
+    for table in tables:
+        path = table.__dict__.pop("rastrel_path", None)
+        if path:
+            context = table.sparkSession.sparkContext
+            at = context._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
 
 
 # ---------------------------------------------------------------- numpy text kernels
 
 def _table(seed: int, n: int) -> np.ndarray:
-    return np.random.Generator(np.random.Philox(seed)).integers(1, 2**63, n, dtype=np.int64).astype(U64) * U64(2) + U64(1)
+    return np.random.Generator(np.random.Philox(seed)).integers(0, 2**64, n, dtype=U64)
 
 
 _BYTE = _table(11, 256)
@@ -62,8 +96,7 @@ _LOWER_BYTE = _BYTE.copy()
 _LOWER_BYTE[65:91] = _BYTE[97:123]
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
-_P, _Q = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93)
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_PLACE: dict[int, np.ndarray] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -75,27 +108,37 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def _powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse modulo 2**64, kept between calls."""
-    have = _POWERS.get(int(base))
-    if have is None or len(have[0]) < n:
-        n = max(n, SLICE_BYTES + 1)
-        inverse = U64(pow(int(base), -1, 1 << 64))
-        out = []
-        for b in (base, inverse):
-            p = np.full(n, b, U64)
-            p[0] = 1
-            out.append(np.multiply.accumulate(p))
-        have = _POWERS[int(base)] = (out[0], out[1])
+def _places(seed: int, n: int) -> np.ndarray:
+    """A pseudo-random number for each place in a sequence, kept between calls up to a slice's length."""
+    have = _PLACE.get(seed)
+    if have is None or len(have) < n:
+        made = mix(np.arange(1, max(n, 1 << 12) + 1, dtype=U64) * U64(0x9E3779B97F4A7C15) + mix(np.array([seed], U64)))
+        if n > SLICE_BYTES:
+            return made
+        have = _PLACE[seed] = made
     return have
 
 
-def rolling(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: np.uint64 = _P) -> np.ndarray:
-    """Order-sensitive hash of ``values[start:end]`` for each pair, from one running sum."""
-    power, inverse = _powers(base, len(values) + 1)
-    total = np.zeros(len(values) + 1, U64)
-    np.cumsum(values * power[: len(values)], out=total[1:])
-    return mix((total[ends] - total[starts]) * inverse[starts])
+def rolling(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 1) -> np.ndarray:
+    """Order-sensitive hash of ``values[start:end]`` for each pair.
+
+    Each value is scrambled together with its place in the sequence before the sum, so, unlike in a
+    polynomial modulo 2**64, no arrangement of two letters cancels out.
+    """
+    size = ends - starts
+    at = np.zeros(len(size) + 1, np.int64)
+    np.cumsum(size, out=at[1:])
+    inside = np.arange(at[-1]) - np.repeat(at[:-1], size)
+    terms = values[inside + np.repeat(starts, size)] ^ _places(seed, int(size.max(initial=0)))[inside]
+    terms *= U64(0xFF51AFD7ED558CCD)
+    terms ^= terms >> U64(32)
+    total = np.zeros(len(terms) + 1, U64)
+    np.cumsum(terms, out=total[1:])
+    return mix((total[at[1:]] - total[at[:-1]]) ^ mix(size.astype(U64)))
+
+
+def _joined(left: np.ndarray, right: np.ndarray, seed: int) -> np.ndarray:
+    return mix(left * U64(0x9E3779B97F4A7C15) + (right ^ U64(seed)) * U64(0xC2B2AE3D27D4EB4F))
 
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -135,16 +178,55 @@ class Words:
         self.counts = np.diff(self.first)
         self.doc = np.repeat(np.arange(len(self.counts)), self.counts)
 
-    def hashes(self, lower: bool = False) -> np.ndarray:
-        return rolling((_LOWER_BYTE if lower else _BYTE)[self.data], self.starts, self.ends)
+    def hashes(self, lower: bool = False, seed: int = 1) -> np.ndarray:
+        return rolling((_LOWER_BYTE if lower else _BYTE)[self.data], self.starts, self.ends, seed)
 
-    def windows(self, hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def windows(self, hashes: np.ndarray, k: int, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
         """(hash of words i..i+k-1, whether they lie in one document) for every i up to len-k."""
         n = len(hashes) - k + 1
         if n <= 0:
             return np.zeros(0, U64), np.zeros(0, bool)
-        i = np.arange(n)
-        return rolling(hashes, i, i + k, _Q), self.doc[:n] == self.doc[k - 1 :]
+        # runs of 1, 2, 4, ... words; those that k is made of are joined from left to right
+        out, done, run, width = None, 0, hashes, 1
+        while True:
+            if k & width:
+                part = run[done : done + n]
+                out = part if out is None else _joined(out, part, seed + width)
+                done += width
+            if 2 * width > k:
+                return out, self.doc[:n] == self.doc[k - 1 :]
+            run = _joined(run[:-width], run[width:], seed + width)
+            width *= 2
+
+    def numbers(self, lower: bool = False) -> tuple[np.ndarray, int]:
+        """(number of each word, how many there are): equal numbers are equal words, byte for byte."""
+        data = self.data
+        if lower:
+            data = data.copy()
+            upper = (data >= 65) & (data < 91)
+            data[upper] += 32
+        size = self.ends - self.starts
+        at = np.zeros(len(size) + 1, np.int64)
+        np.cumsum(size, out=at[1:])
+        flat = data[np.arange(at[-1]) - np.repeat(at[:-1] - self.starts, size)]
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(at), pa.py_buffer(flat)])
+        coded = words.dictionary_encode()
+        return coded.indices.to_numpy().astype(np.int64), len(coded.dictionary)
+
+    def grams(self, k: int, lower: bool = False) -> np.ndarray:
+        """A number for words i..i+k-1, for every i up to len-k: equal numbers are equal word sequences."""
+        return self.joined_numbers(*self.numbers(lower), k)
+
+    @staticmethod
+    def joined_numbers(one: np.ndarray, n: int, k: int) -> np.ndarray:
+        out, high = one[: max(0, len(one) - k + 1)], max(1, n)
+        for j in range(1, k):
+            if high * n >= 1 << 62:
+                kinds, out = np.unique(out, return_inverse=True)
+                high = len(kinds)
+            out = out * n + one[j : j + len(out)]
+            high *= n
+        return out
 
 
 def _offsets(values: pa.Array) -> np.ndarray:
@@ -204,20 +286,22 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Alternating star contraction: each round points every node's larger neighbours, then its smaller
     ones, at its smallest neighbour. The edge set never grows beyond its first size, each round is
-    written to the shared folder, and rounds grow with the logarithm of the longest path.
+    written to the shared folder, and rounds grow with the logarithm of the longest path. A hub's
+    smallest neighbour is found by partial aggregation and written before it meets the hub's edges, so
+    the join is of two plain exchanges, which adaptive execution splits at a hub.
     """
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
     e = cut(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None
     while True:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = cut(large)
-        low = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k")
-        small = large.join(low, F.col("u") == F.col("k"))
-        small = small.select(F.col("v").alias("x"), "m").unionByName(small.select(F.col("u").alias("x"), "m")).where("x <> m")
-        e = cut(small.select(F.col("x").alias("u"), F.col("m").alias("v")).distinct())
+        # u > v in every edge: as the larger end, the other is smaller; as the smaller end, it is not
+        low = cut(e.unionByName(e.select("v", F.col("v").alias("u"))).groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k"))
+        large = e.join(low, F.col("v") == F.col("k")).select("u", F.col("m").alias("v")).where("u <> v")
+        large = cut(large.distinct(), low, e)
+        low = cut(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumnRenamed("u", "k"))
+        small = large.join(low.where("n > 1"), F.col("u") == F.col("k"))
+        small = small.select(F.col("v").alias("x"), "m").where("x <> m").unionByName(low.select(F.col("k").alias("x"), "m"))
+        e = cut(small.select(F.col("x").alias("u"), F.col("m").alias("v")).distinct(), large, low)
         now = tuple(e.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.countDistinct("u")).first())
         if now == before or now[0] == now[2] and _flat(e):
             break

@@ -6,33 +6,39 @@ token unions bound what a query can share with a group, and only qualifying grou
 Shingle length and threshold are a ``Rule``; the numbers below are those of ``RULE``, the query's.
 
 1. Signatures. Sets whose Jaccard similarity is at least 0.9 differ in at most (|A|+|B|)/19 tokens.
-   With the tokens dealt by hash into one more part than that bound, such sets agree on a whole
-   part. A node emits one signature per part, for its size class and the next, so every pair that
-   may link shares a signature, while a token that a third of all documents hold costs nothing: a
-   signature is a conjunction of about ten tokens.
-2. Similarity families are the components of the signatures' stars (each member to the smallest).
+   A set's tokens are dealt by hash into more parts than that; a part without tokens says nothing and
+   is dropped, and a set with too few parts left is dealt again (the last dealing makes each token a
+   part), so of two linked sets one has ``spare`` filled parts more than they may differ in, and they
+   agree on so many. A signature is a conjunction of all tokens of a part: a token that a third of all
+   documents hold costs nothing. Blocks of documents send each signature once, packed, to its bucket
+   and get back which of them occur elsewhere.
+2. A document that shares fewer signatures than ``spare`` with all others together links with none.
+   What is left is pruned again against itself.
+3. Similarity families are the components of the signatures' stars (each member to the smallest).
    Each link lies within a family. The leader of a family is its node with most shared signatures,
    and every other node is compared with it, exactly.
    Nodes that do not link to it get further leaders for a few rounds; a leader and its linked nodes
    are a cluster, connected already.
-3. A node that does not link to its family's leader is a query. In families that have one, nodes are coded by
+4. A node that does not link to its family's leader is a query. In families that have one, nodes are coded by
    their difference from the leader; nodes of one cluster with the same rarest difference token form a group, and
    the matrix holds each group's tokens. A link with a query needs more shared difference tokens the
    further both lie from the leader; with tokens ordered by rarity that bounds the prefix of a node
    that must meet the matrix and the places where they may first meet, and the group's token union
-   must hold enough of the query's tokens for the group to be opened. Opened pairs are compared
-   exactly.
-4. Components of all links give the classes.
+   must hold enough of the query's tokens for the group to be opened.
+5. Components of all links give the classes.
 
-Nothing is emitted per pair of a family: 2 is one row per node, 3 is limited to queries.
+Candidates are found by hashes; every link is decided on the words themselves. Equal sets are told by
+128 bits. Nothing is emitted per pair of a family: 3 is one row per node, 4 is limited to queries.
 
 Defined cases: null text and text without words have an empty set and link with nothing; rows that
-share a doc_id are one document; rows without a doc_id have no component; empty tables give empty
-results.
+share a doc_id are one document (of different texts one counts, the same in every run); rows without a
+doc_id have no component; empty tables give empty results; other columns, whatever their names, are
+never read, and ``keep_one`` returns them as they were.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -40,8 +46,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
-from .common import U64, Words, components, cut, map_slices, mix, rolling, signed
+from .common import U64, Words, components, cut, map_slices, mix, release, rolling, signed, slices, trim
 
 
 class Rule(NamedTuple):
@@ -64,115 +71,290 @@ class Rule(NamedTuple):
         return (100 - self.percent) / self.percent
 
 
-RULE = Rule()
-#: Rounds of further leaders before the token-group matrix; any number gives the same links.
-ROUNDS = 3
-_Q = U64(0xD6E8FEB86659FD93)
+    def most(self, size: np.ndarray) -> np.ndarray:
+        """The largest size of a set that may link to one of ``size`` tokens."""
+        return size * 100 // self.percent
+
+    def apart(self, size: np.ndarray) -> np.ndarray:
+        """In how many tokens linked sets of so many tokens together may differ."""
+        return size * (100 - self.percent) // (100 + self.percent)
 
 
-def shingle_sets(texts: pa.Array, k: int = RULE.shingle) -> list[np.ndarray]:
-    """The sorted distinct hashed shingles of every text."""
+RULE = Rule()
+#: Rounds of further leaders before the token-group matrix, and of pruning; any number gives the same links.
+ROUNDS, PRUNES = 3, 2
+#: Each size class ends at so many times its beginning. At least the inverse of any threshold in use.
+WIDTH = 1.7
+#: A set is dealt at most so often; the last time each token is a part of its own.
+DEALINGS = 6
+#: Bytes of text whose signatures a task gathers before sending them, and bytes of signatures in a bucket.
+BLOCK_BYTES, BUCKET_BYTES = 16 << 20, 16 << 20
+
+
+class Sets:
+    """The distinct hashed shingles of every text of a slice, one after the other."""
+
+    def __init__(self, texts: pa.Array, k: int = RULE.shingle) -> None:
+        words = Words(texts)
+        h = words.hashes(lower=True)
+        grams, _ = words.windows(h, k)
+        each = []
+        for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
+            if b - a >= k:
+                each.append(np.unique(grams[a : b - k + 1]))
+            elif b > a:
+                each.append(rolling(h, np.array([a]), np.array([b]), 5))
+            else:
+                each.append(np.zeros(0, U64))
+        self.sizes = np.array([len(x) for x in each], np.int64)
+        self.tokens = np.concatenate([*each, np.zeros(0, U64)])
+        self.first = np.concatenate([[0], np.cumsum(self.sizes)])
+
+    def each(self) -> list[np.ndarray]:
+        return [self.tokens[a:b] for a, b in zip(self.first[:-1], self.first[1:], strict=True)]
+
+    def identity(self) -> tuple[np.ndarray, np.ndarray]:
+        """128 bits of each set, as two numbers."""
+        out = []
+        for salt in (0, 0x5851F42D4C957F2D):
+            total = np.zeros(len(self.tokens) + 1, U64)
+            np.cumsum(mix(self.tokens ^ U64(salt)), out=total[1:])
+            out.append(mix((total[self.first[1:]] - total[self.first[:-1]]) ^ mix(self.sizes.astype(U64) + U64(salt))))
+        return out[0], out[1]
+
+
+def exact_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
+    """The distinct shingles of every text as numbers; within this call equal numbers are equal words."""
     words = Words(texts)
-    h = words.hashes(lower=True)
-    grams, _ = words.windows(h, k)
+    one, n = words.numbers(lower=True)
+    grams = words.joined_numbers(one, n, k)
+    short: dict[tuple, int] = {}
     out = []
     for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
         if b - a >= k:
             out.append(np.unique(grams[a : b - k + 1]))
         elif b > a:
-            out.append(rolling(h, np.array([a]), np.array([b]), _Q) ^ U64(b - a))
+            out.append(np.array([-1 - short.setdefault(tuple(one[a:b].tolist()), len(short))]))
         else:
-            out.append(np.zeros(0, U64))
+            out.append(np.zeros(0, np.int64))
     return out
 
 
-def node_of(tokens: np.ndarray) -> int | None:
-    """The identity of a set: a hash of its sum and size (None for the empty set)."""
-    if not len(tokens):
-        return None
-    return int(mix(np.array([mix(tokens).sum(dtype=U64) ^ U64(len(tokens) << 40)]))[0].astype(np.int64))
-
-
 @lru_cache(maxsize=8)
-def size_classes(percent: int = RULE.percent, limit: int = 1 << 32) -> np.ndarray:
+def size_classes(limit: int = 1 << 33) -> np.ndarray:
     """Upper ends of the size classes: sizes of linked sets lie in one class or in two neighbours."""
     out, low = [], 1
     while low < limit:
-        out.append(low * 100 // percent)
+        out.append(max(low, int(low * WIDTH)))
         low = out[-1] + 1
     return np.array(out)
 
 
-def signatures(tokens: np.ndarray, rule: Rule = RULE) -> np.ndarray:
-    """Signatures of one set: for its size class and the next, one hash per part."""
-    ends = size_classes(rule.percent)
-    own = int(np.searchsorted(ends, len(tokens)))
-    out = []
-    for c in (own, own + 1):
-        parts = 2 * int(ends[c]) * (100 - rule.percent) // (100 + rule.percent) + 1
-        part = (mix(tokens + U64(c)) % U64(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        total = np.zeros(len(tokens) + 1, U64)
-        np.cumsum(mix(tokens[order]), out=total[1:])
-        at = np.searchsorted(part[order], np.arange(parts + 1))
-        out.append(mix((total[at[1:]] - total[at[:-1]]) ^ mix(np.arange(parts, dtype=U64) * U64(512) + U64(c))))
-    return np.concatenate(out)
+def spare(kind: np.ndarray, rule: Rule) -> np.ndarray:
+    """How many signatures linked sets share at least, in the dealing of a size class."""
+    return 1 + rule.apart(2 * size_classes()[kind]) // 8
+
+
+def kinds(sizes: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+    """(size class, whether a set of the next class may link) of each size."""
+    own = np.searchsorted(size_classes(), sizes)
+    return own, rule.most(sizes) > size_classes()[own]
+
+
+def signatures(sets: Sets, rule: Rule = RULE) -> tuple[np.ndarray, np.ndarray]:
+    """(signature, place of its set) of all sets; the lowest bit of a signature tells odd size classes."""
+    own, also = kinds(sets.sizes, rule)
+    signs, owners = [], []
+    for up in (0, 1):
+        some = np.flatnonzero((sets.sizes > 0) & (also if up else True))
+        for dealing in range(DEALINGS):
+            if not len(some):
+                break
+            size, kind = sets.sizes[some], own[some] + up
+            end = size_classes()[kind]
+            j = spare(kind, rule)
+            parts = ((rule.apart(2 * end) + j) * 106 + 99) // 100 + 1
+            at = np.cumsum(size) - size
+            token = sets.tokens[np.arange(size.sum()) + np.repeat(sets.first[some] - at, size)]
+            salt = mix((kind * 64 + dealing).astype(U64) + U64(1 << 32))
+            if dealing < DEALINGS - 1:
+                base = np.cumsum(parts) - parts
+                where = (mix(token ^ np.repeat(salt, size)) % np.repeat(parts, size).astype(U64)).astype(np.int64) + np.repeat(base, size)
+                total = np.zeros(int(parts.sum()), U64)
+                np.add.at(total, where, mix(token + U64(7)))
+                filled = np.flatnonzero(np.bincount(where, minlength=len(total)))
+                owner = np.repeat(np.arange(len(some)), parts)[filled]
+                total = total[filled] ^ mix((filled - base[owner]).astype(U64))
+                count = np.bincount(owner, minlength=len(some))
+                again = count < rule.apart(size + np.minimum(end, rule.most(size))) + j
+            else:
+                total, owner, again = token, np.repeat(np.arange(len(some)), size), np.zeros(len(some), bool)
+            signs.append(mix(total ^ salt[owner]) & ~U64(1) | (kind[owner] & 1).astype(U64))
+            owners.append(some[owner])
+            some = some[again]
+    return np.concatenate([*signs, np.zeros(0, U64)]), np.concatenate([*owners, np.zeros(0, np.int64)])
 
 
 def sets_table(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
-    """(doc_id, n_shingles, node) for every row."""
-
-    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = shingle_sets(batch.column("text"), rule.shingle)
-        return pa.record_batch([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) for s in sets], pa.int64())], names=["doc_id", "n_shingles", "node"])
-
-    return map_slices(docs.select("doc_id", "text"), kernel, "doc_id long, n_shingles long, node long")
+    """(doc_id, n_shingles, kind, need0, need1, node) for every row.
 
+    The node is the smallest document with the same set; kind is the size class, and need0 and need1 are
+    the signatures to share in its dealing and in the next class's.
+    """
 
-def _signature_rows(docs: DataFrame, rule: Rule) -> DataFrame:
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [s for s in shingle_sets(batch.column("text"), rule.shingle) if len(s)]
-        signs = [signatures(s, rule) for s in sets]
-        nodes = np.repeat(np.array([node_of(s) for s in sets], np.int64), [len(x) for x in signs])
-        return pa.record_batch([signed(np.concatenate([*signs, np.zeros(0, U64)])), pa.array(nodes)], names=["sig", "node"])
+        sets = Sets(batch.column("text"), rule.shingle)
+        one, two = sets.identity()
+        kind = kinds(sets.sizes, rule)[0]
+        cols = [batch.column("doc_id"), pa.array(sets.sizes), signed(one), signed(two), pa.array(kind), *(pa.array(spare(kind + up, rule)) for up in (0, 1))]
+        return pa.record_batch(cols, names=["doc_id", "n_shingles", "one", "two", "kind", "need0", "need1"])
 
-    return map_slices(docs.select("doc_id", "text").where("doc_id is not null and text is not null"), kernel, "sig long, node long")
+    rows = cut(map_slices(docs.select("doc_id", "text"), kernel, "doc_id long, n_shingles long, one long, two long, kind long, need0 long, need1 long"))
+    same = rows.where("n_shingles > 0 and doc_id is not null").groupBy("one", "two").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    same = cut(same.where("low < high").drop("high"))
+    named = rows.join(same, ["one", "two"], "left")
+    return cut(named.select("doc_id", "n_shingles", "kind", "need0", "need1", F.when(F.col("n_shingles") > 0, F.coalesce("low", "doc_id")).alias("node")), rows, same)
 
 
-def _node_texts(docs: DataFrame, nodes: DataFrame, members: DataFrame, rule: Rule) -> DataFrame:
-    """(node, text): one text for each member node."""
-    rep = nodes.where("node is not null and doc_id is not null").join(members.select("node"), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    rows = docs.select("doc_id", "text").join(rep, "doc_id")
+_PACKED = "bucket int, sigs binary, lowest long, ids binary, marks binary, known binary, known_ids binary"
 
-    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        same = [node_of(s) == n for s, n in zip(shingle_sets(batch.column("text"), rule.shingle), batch.column("node").to_pylist(), strict=True)]
-        return batch.select(["node", "text"]).filter(pa.array(same, pa.bool_()))
 
-    return cut(map_slices(rows.select("node", "text"), kernel, "node long, text string").dropDuplicates(["node"]))
+def _packed(docs: DataFrame, rule: Rule, bits: int) -> DataFrame:
+    """Signatures by bucket (their highest bits), packed by block of documents.
+
+    A signature found once in a block goes to its bucket with its document. One found more often is
+    shared already: a mark tells its bucket, and its rows go to any bucket, by turns.
+    """
+    n = 1 << bits
+
+    def block(signs: list[np.ndarray], ids: list[np.ndarray]) -> pa.RecordBatch:
+        sig, owner = np.concatenate(signs), np.concatenate(ids)
+        order = np.argsort(sig, kind="stable")
+        sig, owner = sig[order], owner[order]
+        new = np.ones(len(sig) + 1, bool)
+        np.not_equal(sig[1:], sig[:-1], out=new[1:-1])
+        lone, head = new[:-1] & new[1:], new[:-1] & ~new[1:]
+        lowest = int(owner.min())
+        owner = owner - lowest
+        owner = owner.astype("<u4" if owner.max(initial=0) < 1 << 32 else "<i8")
+        turn = int(sig[0] & U64(n - 1))
+        bounds = np.arange(n + 1, dtype=object) << (64 - bits)
+        cols: list[list] = [[], [], [], [], [], [], []]
+        one, one_ids, marks, many, many_ids = sig[lone], owner[lone], sig[head], sig[~lone], owner[~lone]
+        at = [np.concatenate([np.searchsorted(x, bounds[:-1].astype(U64)), [len(x)]]) for x in (one, marks, many)]
+        for b in range(n):
+            k = (b + turn) % n
+            i, j, m = slice(at[0][b], at[0][b + 1]), slice(at[1][b], at[1][b + 1]), slice(at[2][k], at[2][k + 1])
+            for col, value in zip(cols, (b, one[i].tobytes(), lowest, one_ids[i].tobytes(), marks[j].tobytes(), many[m].tobytes(), many_ids[m].tobytes()), strict=True):
+                col.append(value)
+        kinds = (pa.int32(), pa.binary(), pa.int64(), *[pa.binary()] * 4)
+        return pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in _PACKED.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signs, ids, size, seen = [], [], 0, set()
+        for batch in slices(batches):
+            sets = Sets(batch.column("text"), rule.shingle)
+            fresh = np.zeros(len(sets.sizes), bool)
+            for i, key in enumerate(zip(*(x.tolist() for x in sets.identity()), strict=True)):
+                fresh[i] = key not in seen
+                seen.add(key)
+            sig, owner = signatures(sets, rule)
+            keep = fresh[owner]
+            signs.append(sig[keep])
+            ids.append(batch.column("doc_id").to_numpy()[owner[keep]])
+            size += batch.column("text").nbytes
+            if size > BLOCK_BYTES:
+                if sum(map(len, signs)):
+                    yield block(signs, ids)
+                signs, ids, size, seen = [], [], 0, set()
+        if sum(map(len, signs)):
+            yield block(signs, ids)
+        trim()
+
+    return docs.select("doc_id", "text").where("doc_id is not null and text is not null").mapInArrow(run, _PACKED)
+
+
+def _shared_rows(packed: DataFrame) -> DataFrame:
+    """(sig, doc_id): the signatures found in more than one place, with their documents."""
+
+    def numbers(column: pa.ChunkedArray, kind: str = "<u8") -> np.ndarray:
+        return np.frombuffer(b"".join(column.to_pylist()), kind)
+
+    def ids(lowest: list[int], raw: list[bytes], sigs: list[bytes]) -> np.ndarray:
+        return np.concatenate([np.frombuffer(x, "<u4" if 2 * len(x) == len(s) else "<i8").astype(np.int64) + low for low, x, s in zip(lowest, raw, sigs, strict=True)])
+
+    def reduce(table: pa.Table) -> pa.Table:
+        lowest = table["lowest"].to_pylist()
+        sig, marks = numbers(table["sigs"]), numbers(table["marks"])
+        order = np.argsort(sig, kind="stable")
+        ordered = sig[order]
+        same = np.zeros(len(sig) + 1, bool)
+        np.equal(ordered[1:], ordered[:-1], out=same[1:-1])
+        again = np.zeros(len(sig), bool)
+        again[order] = same[:-1] | same[1:]
+        again |= np.isin(sig, marks)
+        owner = ids(lowest, table["ids"].to_pylist(), table["sigs"].to_pylist())[again]
+        known = ids(lowest, table["known_ids"].to_pylist(), table["known"].to_pylist())
+        return pa.table({"sig": signed(np.concatenate([sig[again], numbers(table["known"])])), "doc_id": np.concatenate([owner, known])})
+
+    return packed.groupBy("bucket").applyInArrow(reduce, "sig long, doc_id long")
+
+
+def _survivors(docs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
+    """(node, sig): what nodes share that may link with any other."""
+    total = nodes.agg(F.sum("n_shingles")).first()[0] or 0
+    bits = max(6, int(total * 6 // BUCKET_BYTES).bit_length())
+    held = _shared_rows(_packed(docs, rule, bits)).groupBy("doc_id").agg(F.collect_list("sig").alias("sigs"))
+    per_node = [F.min_by(c, "doc_id").alias(c) for c in ("kind", "need0", "need1", "sigs")]
+    held = nodes.where("node is not null and doc_id is not null").join(held, "doc_id").groupBy("node").agg(*per_node)
+    rows = cut(_enough(held))
+    for _ in range(PRUNES):  # equal sets are one node from here on
+        shared = cut(rows.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("sig"))
+        per_node = [F.first(c).alias(c) for c in ("kind", "need0", "need1")]
+        held = rows.join(shared, "sig").groupBy("node").agg(*per_node, F.collect_list("sig").alias("sigs"))
+        rows = cut(_enough(held), rows, shared)
+    return rows.select("node", "sig")
+
+
+def _enough(held: DataFrame) -> DataFrame:
+    """(node, sig, ...) of the classes in which a node shares enough signatures."""
+    for up in (0, 1):
+        part = F.filter("sigs", lambda s: s.bitwiseAND(F.lit(1)) == (F.col("kind") + up) % 2)  # noqa: B023
+        held = held.withColumn(f"part{up}", F.when(F.size(part) >= F.col(f"need{up}"), part).otherwise(F.array().cast("array<long>")))
+    return held.select("node", "kind", "need0", "need1", F.explode(F.array_distinct(F.concat("part0", "part1"))).alias("sig"))
+
+
+def _node_texts(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """(node, text): the text of each member node."""
+    rows = docs.select("doc_id", "text").join(members.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
+    return cut(rows.groupBy(F.col("doc_id").alias("node")).agg(F.min("text").alias("text")))
 
 
 def _compared(pairs: DataFrame, texts: DataFrame, diffs: bool, rule: Rule) -> DataFrame:
-    """Compare ``a`` with ``b`` exactly: (a, b, family, size, difference, linked), and with ``diffs`` also the tokens."""
+    """Compare ``a`` with ``b`` word for word: (a, b, family, size, size_b, difference, linked), and with
+    ``diffs`` also the hashed tokens that only one of them has."""
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     rows = pairs.join(left, "a").join(right, "b")
     schema = "a long, b long, family long, size long, size_b long, difference long, linked boolean" + ", tokens array<long>" * diffs
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        one = shingle_sets(batch.column("text_a"), rule.shingle)
-        others: dict[int, np.ndarray] = {}
         keys = batch.column("b").to_pylist()
-        first = {k: i for i, k in reversed(list(enumerate(keys)))}
-        for k, s in zip(first, shingle_sets(batch.column("text_b").take(pa.array(list(first.values()))), rule.shingle), strict=True):
-            others[k] = s
+        first: dict[int, int] = {}
+        for i, k in enumerate(keys):
+            first.setdefault(k, i)
+        place = {k: len(keys) + i for i, k in enumerate(first)}
+        kind = pa.large_string()
+        texts = pa.concat_arrays([batch.column("text_a").cast(kind), batch.column("text_b").cast(kind).take(pa.array(list(first.values())))])
+        sets = exact_sets(texts, rule.shingle)
+        hashed = Sets(texts, rule.shingle).each() if diffs else []
         size, other, gap, tokens = [], [], [], []
-        for s, k in zip(one, keys, strict=True):
-            t = others[k]
-            d = np.setxor1d(s, t, assume_unique=True)
+        for i, k in enumerate(keys):
+            s, t = sets[i], sets[place[k]]
             size.append(len(s))
             other.append(len(t))
-            gap.append(len(d))
-            tokens.append(d.view(np.int64) if diffs else None)
+            gap.append(len(s) + len(t) - 2 * len(np.intersect1d(s, t, assume_unique=True)))
+            tokens.append(np.setxor1d(hashed[i], hashed[place[k]], assume_unique=True).view(np.int64) if diffs else None)
         size, other, gap = (np.array(x, np.int64) for x in (size, other, gap))
         cols = [batch.column(n) for n in ("a", "b", "family")] + [pa.array(size), pa.array(other), pa.array(gap), pa.array((100 + rule.percent) * gap <= (100 - rule.percent) * (size + other))]
         names = ["a", "b", "family", "size", "size_b", "difference", "linked"]
@@ -248,35 +430,35 @@ def _query_links(compared: DataFrame, clusters: DataFrame, texts: DataFrame, rul
 
 def classes(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row: components of links by ``rule``."""
-    nodes = cut(sets_table(docs, rule))
-    rows = _signature_rows(docs, rule)
-    shared = rows.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n"))
-    shared = cut(shared.where("low < high").select("sig", "low", "n"))
-    stars = cut(rows.join(shared, "sig").groupBy("node", "low").agg(F.sum("n").alias("n")))
+    nodes = sets_table(docs, rule)
+    rows = _survivors(docs, nodes, rule)
+    shared = cut(rows.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).where("low < high").select("sig", "low", "n"))
+    stars = cut(rows.join(shared, "sig").groupBy("node", "low").agg(F.sum("n").alias("n")), shared)
     families = components(stars.where("node <> low"), "node", "low").withColumnRenamed("root", "family")
     weight = cut(stars.groupBy("node").agg(F.sum("n").alias("n")))
-    members = cut(families.join(weight, "node"))
+    members = cut(families.join(weight, "node"), stars)
     leader = cut(members.groupBy("family").agg(F.max_by("node", F.struct("n", "node")).alias("b")))
-    texts = _node_texts(docs, nodes, members, rule)
+    texts = _node_texts(docs, members)
     pairs = members.select(F.col("node").alias("a"), "family").join(leader, "family").where("a <> b")
-    compared = cut(_compared(pairs, texts, diffs=False, rule=rule))
+    compared = cut(_compared(pairs, texts, diffs=False, rule=rule), leader)
     links, clusters = _sub_clusters(compared, weight, texts, rule)
     roots = components(links.unionByName(_query_links(compared, clusters, texts, rule)))
-    placed = nodes.join(roots, "node", "left").select("doc_id", "n_shingles", F.coalesce("root", "node").alias("class"))
-    placed = cut(placed)
-    named = cut(placed.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("component_id")))
-    out = placed.join(named, "class", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    placed = cut(nodes.join(roots, "node", "left").select("doc_id", "n_shingles", F.coalesce("root", "node", "doc_id").alias("component_id")), nodes)
+    release(texts, members, weight, compared)
+    return placed
 
 
 def keep_one(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
     """``docs`` with one document of each class, that with the smallest doc_id; columns unchanged.
 
-    Rows without a doc_id stay. Repeated rows of a kept doc_id become one.
+    Rows without a doc_id stay. Repeated rows of a kept doc_id become one, the same in every run.
+    Columns may have any names: a row travels as one struct.
     """
-    kept = cut(classes(docs, rule).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct())
-    named = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null"))
+    kept = cut(classes(docs, rule).where("doc_id = component_id").select(F.col("doc_id").alias("id")).distinct())
+    plain = [F.col(f"`{f.name}`") for f in docs.schema.fields if isinstance(f.dataType, AtomicType)]
+    whole = docs.select(F.col("doc_id").alias("id"), F.xxhash64(*plain).alias("order"), F.struct("*").alias("row"))
+    named = whole.where("id is not null").join(kept, "id", "left_semi").groupBy("id").agg(F.min_by("row", "order").alias("row"))
+    return named.select("row.*").unionByName(whole.where("id is null").select("row.*"))
 
 
 CLASSES_SQL = r"""

@@ -33,7 +33,6 @@ from pyspark.sql import functions as F
 from .common import U64, Words, cut, map_slices, mix, rolling, signed
 
 WINDOW, SEED_WORDS = 13, 5
-_Q = U64(0xD6E8FEB86659FD93)
 
 
 class Edges:
@@ -64,7 +63,7 @@ class Edges:
         at = np.flatnonzero(chosen)
         ends = starts + np.bincount(ids[at], minlength=len(starts))
         length = (ends - starts).astype(U64)
-        return rolling(self.hashes, starts, ends + WINDOW - 1, _Q) ^ mix(length + U64(99)), starts, ends
+        return rolling(self.hashes, starts, ends + WINDOW - 1, 6) ^ mix(length + U64(99)), starts, ends
 
     def member(self, values: np.ndarray, docs: np.ndarray, lists: pa.Array) -> np.ndarray:
         """Whether each (value, document) is in the document's list."""

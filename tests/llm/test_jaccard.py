@@ -67,17 +67,57 @@ def test_classes_equal_brute_force(spark):
         assert got == brute(rows)
 
 
-def test_linked_pairs_share_a_signature():
+def test_linked_pairs_share_enough_signatures():
+    import numpy as np
     import pyarrow as pa
 
     rows = planted(3, groups=8, size=12)
-    sets = jaccard.shingle_sets(pa.array([t for _, t in rows]))
-    signs = [set(jaccard.signatures(s).tolist()) for s in sets]
-    for i in range(len(sets)):
-        for j in range(i):
-            a, b = set(sets[i].tolist()), set(sets[j].tolist())
-            if 100 * len(a & b) >= 90 * len(a | b):
-                assert signs[i] & signs[j]
+    for rule in (jaccard.Rule(3, 90), jaccard.Rule(5, 80), jaccard.Rule(2, 60)):
+        sets = jaccard.Sets(pa.array([t for _, t in rows]), rule.shingle)
+        sign, owner = jaccard.signatures(sets, rule)
+        signs = [set(sign[owner == i].tolist()) for i in range(len(rows))]
+        need = jaccard.spare(jaccard.kinds(sets.sizes, rule)[0], rule)
+        each, linked = sets.each(), 0
+        for i in range(len(each)):
+            for j in range(i):
+                both, either = len(np.intersect1d(each[i], each[j])), len(np.union1d(each[i], each[j]))
+                if 100 * both >= rule.percent * either:
+                    linked += 1
+                    assert len(signs[i] & signs[j]) >= min(need[i], need[j])
+        assert linked > 20
+
+
+def test_unrelated_sets_share_no_signature():
+    import pyarrow as pa
+
+    rng = random.Random(7)
+    for n in (9, 100, 1000):
+        texts = [" ".join(str(rng.random()) for _ in range(n)) for _ in range(200)]
+        for rule in (jaccard.RULE, jaccard.Rule(5, 80)):
+            sign, owner = jaccard.signatures(jaccard.Sets(pa.array(texts), rule.shingle), rule)
+            pairs = set(zip(sign.tolist(), owner.tolist(), strict=True))
+            assert len({s for s, _ in pairs}) == len(pairs)
+
+
+def thue_morse(n, a="a", b="b"):
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+
+def test_texts_that_polynomials_confuse_stay_apart(spark):
+    one, other = thue_morse(1024), thue_morse(1024, "b", "a")
+    rows = [(1, one), (2, other), (3, " ".join(one)), (4, " ".join(other)), (5, one)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.classes(docs).collect()}
+    assert got == {i: c for i, (_, c) in brute(rows).items()} and got[2] == 2
+
+
+def test_kept_rows_keep_clashing_columns(spark):
+    names = ["__kept", "id", "row", "order", "node", "a b"]
+    rows = [(i, "same words in all of these rows", *(10 * i + k for k in range(len(names)))) for i in (1, 2, 3)] + [(4, "other words", *range(len(names)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` long" for n in names))
+    kept = jaccard.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect())) == [rows[0], rows[3]]
 
 
 def test_edge_cases_and_kept_rows(spark):
