@@ -3,18 +3,24 @@
 An Aho-Corasick automaton finds every known magic number in one pass over the bytes; a validator for
 the format then confirms structure and lengths, so a magic number inside other data is not enough.
 What is confirmed at offset 0 corrects the declared type; what is confirmed further in is carved.
+End marks are found in the same pass, and walks over blocks remember where they led (only chunks of
+nested RIFF headers are walked for each header), so time is in proportion to the bytes. Only confirmed lengths are carved: the length of a FLAC stream is not told by
+its headers, so one counts at offset 0 alone, where it takes all bytes.
 
 ``store_texts`` keeps each text as 8-bit mono samples in a WAVE container, sniffs the stored bytes,
 carves the sample chunk back out of them and computes everything else from that. Defined cases: null text is
 empty and stored as one unit of padding; equal texts, repeated rows among them, give equal values; an
-empty table gives an empty result.
+empty table gives an empty result; long texts are stored whole; other columns are never read.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import re
 import struct
 import zlib
+from collections.abc import Callable
 
 import ahocorasick
 import pyarrow as pa
@@ -25,6 +31,7 @@ from .common import map_slices
 
 UNIT = 576
 RATE = 8000
+DECLARED = "text/plain"
 
 # Magic numbers by format.
 MAGIC = {
@@ -38,111 +45,169 @@ MAGIC = {
     "application/pdf": b"%PDF-",
     "audio/flac": b"fLaC",
 }
-
-
-def _wav(d: bytes, at: int) -> int | None:
-    if d[at + 8 : at + 12] != b"WAVE":
-        return None
-    end, p, kinds = at + 8 + struct.unpack_from("<I", d, at + 4)[0], at + 12, []
-    if end > len(d):
+# Marks near the end of a format.
+MARKS = (b"%%EOF", b"PK\x05\x06", b"\xff\xd9")
+
+
+class Bytes:
+    """Data with the places of its marks and the ends of walks begun at a place."""
+
+    def __init__(self, data: bytes) -> None:
+        self.data = data
+        self.marks: dict[bytes, list[int]] = {m: [] for m in MARKS}
+        self.walks: dict[tuple[str, int], int | None] = {}
+        self._zips: dict[int, int] | None = None
+
+    def after(self, mark: bytes, at: int) -> int | None:
+        """The first place of a mark from ``at`` on."""
+        places = self.marks[mark]
+        i = bisect.bisect_left(places, at)
+        return places[i] if i < len(places) else None
+
+    def before(self, mark: bytes, at: int) -> int | None:
+        """The last place of a mark before ``at``."""
+        places = self.marks[mark]
+        i = bisect.bisect_left(places, at)
+        return places[i - 1] if i else None
+
+    def walk(self, name: str, at: int, step: Callable[[bytes, int], tuple[bool, int | None]]) -> int | None:
+        """Follow ``step`` (whether it ends, next place or result) from ``at``; places seen lead where they led."""
+        seen, end = [], None
+        while (name, at) not in self.walks:
+            seen.append(at)
+            over, to = step(self.data, at)
+            if over or to is None or to <= at:
+                end = to if over else None
+                break
+            at = to
+        else:
+            end = self.walks[name, at]
+        self.walks.update(((name, p), end) for p in seen)
+        return end
+
+    def zips(self) -> dict[int, int]:
+        """The end of each archive by its beginning, as its directory's end tells both."""
+        if self._zips is None:
+            self._zips = {}
+            for end in self.marks[b"PK\x05\x06"]:
+                if end + 22 <= len(self.data):
+                    size, start, note = struct.unpack_from("<IIH", self.data, end + 12)
+                    if end + 22 + note <= len(self.data):
+                        self._zips.setdefault(end - size - start, end + 22 + note)
+        return self._zips
+
+
+def _wav(x: Bytes, at: int) -> int | None:
+    d = x.data
+    end = at + 8 + struct.unpack_from("<I", d, at + 4)[0]
+    if d[at + 8 : at + 16] != b"WAVEfmt " or end > len(d):
         return None
+    p, samples = at + 12, False
     while p + 8 <= end:
-        kinds.append(d[p : p + 4])
         n = struct.unpack_from("<I", d, p + 4)[0]
+        samples |= d[p : p + 4] == b"data"
         p += 8 + n + (n & 1)
-    return end if p == end and kinds[:1] == [b"fmt "] and b"data" in kinds else None
-
-
-def _png(d: bytes, at: int) -> int | None:
-    p, first = at + 8, True
-    while p + 12 <= len(d):
-        n, kind = struct.unpack_from(">I4s", d, p)
-        if p + 12 + n > len(d) or first and (kind != b"IHDR" or n != 13) or zlib.crc32(d[p + 4 : p + 8 + n]) != struct.unpack_from(">I", d, p + 8 + n)[0]:
-            return None
-        p, first = p + 12 + n, False
-        if kind == b"IEND":
-            return p
-    return None
+    return end if p == end and samples else None
 
 
-def _gif(d: bytes, at: int) -> int | None:
-    if d[at + 4 : at + 6] not in (b"7a", b"9a") or at + 13 > len(d):
-        return None
-    p = at + 13 + (3 << ((d[at + 10] & 7) + 1) if d[at + 10] & 0x80 else 0)
+def _png(x: Bytes, at: int) -> int | None:
+    def step(d: bytes, p: int) -> tuple[bool, int | None]:
+        n, kind = struct.unpack_from(">I4s", d, p) if p + 12 <= len(d) else (len(d), b"")
+        if p + 12 + n > len(d) or zlib.crc32(memoryview(d)[p + 4 : p + 8 + n]) != struct.unpack_from(">I", d, p + 8 + n)[0]:
+            return False, None
+        return kind == b"IEND", p + 12 + n
 
-    def blocks(p: int) -> int:
-        while p < len(d) and d[p]:
-            p += d[p] + 1
-        return p + 1
+    return x.walk("png", at + 8, step) if x.data[at + 8 : at + 16] == b"\0\0\0\x0dIHDR" else None
 
-    while p < len(d):
+
+def _gif(x: Bytes, at: int) -> int | None:
+    def block(d: bytes, p: int) -> tuple[bool, int | None]:
+        if p >= len(d):
+            return False, None
+        return (True, p + 1) if not d[p] else (False, p + d[p] + 1)
+
+    def step(d: bytes, p: int) -> tuple[bool, int | None]:
+        if p >= len(d):
+            return False, None
         if d[p] == 0x3B:
-            return p + 1
+            return True, p + 1
         if d[p] == 0x21:
-            p = blocks(p + 2)
-        elif d[p] == 0x2C and p + 10 <= len(d):
-            p = blocks(p + 11 + (3 << ((d[p + 9] & 7) + 1) if d[p + 9] & 0x80 else 0))
-        else:
-            return None
-    return None
+            return False, x.walk("gif blocks", p + 2, block)
+        if d[p] == 0x2C and p + 10 <= len(d):
+            return False, x.walk("gif blocks", p + 11 + (3 << ((d[p + 9] & 7) + 1) if d[p + 9] & 0x80 else 0), block)
+        return False, None
 
+    d = x.data
+    if d[at + 4 : at + 6] not in (b"7a", b"9a") or at + 13 > len(d):
+        return None
+    return x.walk("gif", at + 13 + (3 << ((d[at + 10] & 7) + 1) if d[at + 10] & 0x80 else 0), step)
 
-def _jpeg(d: bytes, at: int) -> int | None:
-    p = at + 2
-    while p + 4 <= len(d) and d[p] == 0xFF:
+
+def _jpeg(x: Bytes, at: int) -> int | None:
+    def step(d: bytes, p: int) -> tuple[bool, int | None]:
+        if p + 4 > len(d) or d[p] != 0xFF:
+            return False, None
         n = struct.unpack_from(">H", d, p + 2)[0]
-        if n < 2:
-            return None
         if d[p + 1] == 0xDA:
-            end = d.find(b"\xff\xd9", p + 2 + n)
-            return end + 2 if end >= 0 else None
-        p += 2 + n
-    return None
+            end = x.after(b"\xff\xd9", p + 2 + n)
+            return end is not None, end and end + 2
+        return False, p + 2 + n if n >= 2 else None
+
+    return x.walk("jpeg", at + 2, step)
 
 
-def _bmp(d: bytes, at: int) -> int | None:
-    if at + 30 > len(d):
+def _bmp(x: Bytes, at: int) -> int | None:
+    if at + 30 > len(x.data):
         return None
-    n, reserved, start, header = struct.unpack_from("<IIII", d, at + 2)
-    ok = reserved == 0 and header in (12, 40, 56, 108, 124) and 14 + header <= start <= n and at + n <= len(d)
+    n, reserved, start, header = struct.unpack_from("<IIII", x.data, at + 2)
+    ok = reserved == 0 and header in (12, 40, 56, 108, 124) and 14 + header <= start <= n and at + n <= len(x.data)
     return at + n if ok else None
 
 
-def _zip(d: bytes, at: int) -> int | None:
-    end = d.find(b"PK\x05\x06", at)
-    while end >= 0 and end + 22 <= len(d):
-        size, start, note = struct.unpack_from("<IIH", d, end + 12)
-        if at + start + size == end and end + 22 + note <= len(d):
-            return end + 22 + note
-        end = d.find(b"PK\x05\x06", end + 1)
-    return None
+def _zip(x: Bytes, at: int) -> int | None:
+    return x.zips().get(at)
 
 
-def _gzip(d: bytes, at: int) -> int | None:
+def _gzip(x: Bytes, at: int) -> int | None:
+    whole, view = zlib.decompressobj(31), memoryview(x.data)
     try:
-        whole = zlib.decompressobj(31)
-        left = d[at:]
-        while left and not whole.eof:
-            whole.decompress(left, 1 << 20)
-            left = whole.unconsumed_tail
-        return len(d) - len(whole.unused_data) if whole.eof else None
+        for p in range(at, len(view), 1 << 14):
+            part = view[p : p + (1 << 14)]
+            while part and not whole.eof:
+                whole.decompress(part, 1 << 20)
+                part = whole.unconsumed_tail
+            if whole.eof:
+                return min(p + (1 << 14), len(view)) - len(whole.unused_data)
     except zlib.error:
         return None
+    return None
+
+
+def _pdf(x: Bytes, at: int) -> int | None:
+    """Up to the last end mark before the next document, if the place it tells holds a cross-reference."""
+    d = x.data
+    following = d.find(b"%PDF-", at + 5)
+    end = x.before(b"%%EOF", len(d) if following < 0 else following)
+    if end is None or end < at:
+        return None
+    told = re.search(rb"startxref\s+(\d{1,19})\s+$", d[max(at, end - 64) : end])
+    place = at + int(told[1]) if told else end
+    return end + 5 if place < end and re.match(rb"xref|\d{1,10} \d{1,5} obj", d[place : place + 24]) else None
 
 
-def _pdf(d: bytes, at: int) -> int | None:
-    end = d.find(b"%%EOF", at)
-    return end + 5 if end >= 0 and d.find(b"startxref", at, end) >= 0 else None
+def _flac(x: Bytes, at: int) -> int | None:
+    d = x.data
 
+    def step(d: bytes, p: int) -> tuple[bool, int | None]:
+        if p + 4 > len(d):
+            return False, None
+        to = p + 4 + int.from_bytes(d[p + 1 : p + 4], "big")
+        return bool(d[p] & 0x80), to if to <= len(d) else None
 
-def _flac(d: bytes, at: int) -> int | None:
-    p, last, first = at + 4, False, True
-    while not last and p + 4 <= len(d):
-        kind, n = d[p], int.from_bytes(d[p + 1 : p + 4], "big")
-        if first and (kind & 0x7F or n != 34) or p + 4 + n > len(d):
-            return None
-        last, first, p = bool(kind & 0x80), False, p + 4 + n
-    return len(d) if last and d[p : p + 1] == b"\xff" else None
+    if at or d[4] & 0x7F or d[5:8] != b"\0\0\x22":
+        return None
+    p = x.walk("flac", 4, step)
+    return len(d) if p and d[p : p + 1] == b"\xff" and d[p + 1] & 0xFC == 0xF8 else None
 
 
 VALIDATORS = {"audio/wav": _wav, "image/png": _png, "image/gif": _gif, "image/jpeg": _jpeg, "image/bmp": _bmp, "application/zip": _zip, "application/gzip": _gzip, "application/pdf": _pdf, "audio/flac": _flac}
@@ -152,6 +217,8 @@ def automaton() -> ahocorasick.Automaton:
     out = ahocorasick.Automaton()
     for kind, magic in MAGIC.items():
         out.add_word(magic.decode("latin-1"), (kind, len(magic)))
+    for mark in MARKS:
+        out.add_word(mark.decode("latin-1"), ("", len(mark)))
     out.make_automaton()
     return out
 
@@ -163,11 +230,16 @@ def sniff(data: bytes) -> list[tuple[str, int, int]]:
     """(type, start, end) of every confirmed object, outermost first; none inside another is lost."""
     if not _AUTOMATON:
         _AUTOMATON.append(automaton())
-    out = []
+    x, found, out = Bytes(data), [], []
     for last, (kind, n) in _AUTOMATON[0].iter(data.decode("latin-1")):
         start = last - n + 1
+        if kind:
+            found.append((kind, start))
+        else:
+            x.marks[data[start : last + 1]].append(start)
+    for kind, start in reversed(found):  # walks from later places are known when earlier ones join them
         try:
-            end = VALIDATORS[kind](data, start)
+            end = VALIDATORS[kind](x, start)
         except (struct.error, IndexError):
             end = None
         if end is not None:
@@ -213,8 +285,11 @@ def sniff_column(df: DataFrame, data: str, declared: str, key: str) -> DataFrame
 
 
 def store_texts(docs: DataFrame) -> DataFrame:
-    """One row per document: its text stored as samples, read back by sniffing, and digested."""
-    names = "doc_id n_bytes payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 feature".split()
+    """One row per document: its text stored as samples, read back by sniffing, and digested.
+
+    The rows declare text, as ``documents`` does; ``media_type`` is what the stored bytes are found to be.
+    """
+    names = "doc_id n_bytes payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 feature declared_type media_type".split()
 
     def row(text: str | None) -> tuple:
         raw = (text or "").encode()
@@ -227,11 +302,11 @@ def store_texts(docs: DataFrame) -> DataFrame:
         inside = ";".join(f"{k}@{a}+{b - a}" for k, a, b in found[1:])
         counts = [sum(payload.count(bytes([c])) for c in b" \n"), payload.count(b"\xff")]
         feature = f"{kind};{RATE}Hz;8bit;samples={len(payload)};space={counts[0]};pad={counts[1]};carved=[{inside}]"
-        return len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), feature
+        return len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), feature, DECLARED, kind
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         cols = list(zip(*map(row, batch.column("text").to_pylist()), strict=True))
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), *[pa.string()] * 4]
         return pa.record_batch([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=names)
 
-    return map_slices(docs.select("doc_id", "text"), kernel, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return map_slices(docs.select("doc_id", "text"), kernel, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, declared_type string, media_type string")

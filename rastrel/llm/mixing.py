@@ -4,11 +4,14 @@ Sizes are summed per source (partial sums before the shuffle, so a source with a
 costs one row per task). Sources in code-point order, null last, weigh 1, 2, 3, 1, 2, 3, ...; they
 share the total by weight, and a target stops at ``LIMIT`` times its source's size with the excess
 reshared until none is above. With ``T`` the total, that is target = min(LIMIT*size, level*weight)
-for the one level at which the targets sum to T, found by one running sum over the source table.
+for the one level at which the targets sum to T: starting with no source at its bound, the level is
+what is left of T by the weight of the sources below their bounds, until no further source stops.
+Sources are ranked by a range sort and the counts of its partitions, so any number of them may be mixed.
 A document is taken floor(rate) times, plus once more if its hashed uniform is below the fraction.
 
 Defined cases: null text has size 0; null source is a source of its own; a source of size 0 has
-target 0; repeated rows with one doc_id decide alike; an empty table gives an empty result.
+target 0; repeated rows with one doc_id decide alike; an empty table gives an empty result; long texts
+only count as larger sizes. A row travels as one struct, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -28,25 +31,30 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def _ranked(sizes: DataFrame) -> DataFrame:
+    """``sizes`` with the place of each source in code-point order, null last, from 0."""
+    order = F.col("source").asc_nulls_last()
+    parts = cut(sizes.repartitionByRange(order).withColumn("part", F.spark_partition_id()))
+    # one row per partition of the sort
+    counts = parts.groupBy("part").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select("part", F.coalesce(before, F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("part").orderBy(order))
+    placed = parts.withColumn("inside", inside).join(F.broadcast(offsets), "part")
+    return cut(placed.select("source", "source_size", (F.col("before") + F.col("inside") - 1).alias("place")), parts)
+
+
 def source_targets(sizes: DataFrame) -> DataFrame:
     """(source, source_size, target) from rows of (source, source_size), one per source."""
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    place = (F.row_number().over(order) - 1) % len(WEIGHTS)
-    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), place + 1).cast("long")
-    w = sizes.withColumn("weight", weight).withColumn("bound", LIMIT * F.col("source_size"))
-    by_ratio = Window.orderBy(F.col("bound") / F.col("weight"), F.col("source").asc_nulls_last())
-    everything = Window.partitionBy()
-    # if all sources up to this one stop at their bound, the rest share what is left at this level
-    w = (
-        w.withColumn("total", F.sum("source_size").over(everything))
-        .withColumn("bound_before", F.sum("bound").over(by_ratio.rowsBetween(Window.unboundedPreceding, -1)))
-        .withColumn("weight_from", F.sum("weight").over(by_ratio.rowsBetween(0, Window.unboundedFollowing)))
-        .withColumn("level", (F.col("total") - F.coalesce("bound_before", F.lit(0))) / F.col("weight_from"))
-    )
-    w = w.withColumn("fits", F.col("level") <= F.col("bound") / F.col("weight"))
-    level = F.min(F.when(F.col("fits"), F.struct((F.col("bound") / F.col("weight")).alias("r"), "level"))).over(everything)["level"]
-    target = F.least(F.col("bound").cast("double"), level * F.col("weight"))
-    return w.select("source", "source_size", F.coalesce(target, F.lit(0.0)).alias("target"))
+    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("place") % len(WEIGHTS) + 1).cast("int")).cast("long")
+    w = _ranked(sizes).withColumn("weight", weight).withColumn("bound", LIMIT * F.col("source_size"))
+    total, weights = w.agg(F.sum("source_size"), F.sum("weight")).first()
+    level, before = (total / weights if weights else 0.0), None
+    while level != before:
+        stopped = F.col("bound") / F.col("weight") < level
+        bound, gone = w.where(stopped).agg(F.coalesce(F.sum("bound"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
+        before, level = level, ((total - bound) / (weights - gone) if weights and weights > gone else level)
+    return w.select("source", "source_size", F.least(F.col("bound").cast("double"), level * F.col("weight")).alias("target"))
 
 
 def uniform(doc_id: Column, seed: str = SEED) -> Column:
@@ -55,30 +63,28 @@ def uniform(doc_id: Column, seed: str = SEED) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
-def with_copies(docs: DataFrame, size: Column | None = None, seed: str = SEED) -> DataFrame:
-    """``docs`` with __size, __source_size, __target and __copies (how often the mix takes the row)."""
-    sized = docs.withColumn("__size", n_words(F.col("text")) if size is None else size)
-    targets = source_targets(sized.groupBy("source").agg(F.sum("__size").alias("source_size")))
-    targets = cut(targets.select(F.col("source").alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target")))
-    out = sized.join(targets, F.col("source").eqNullSafe(F.col("__source")), "left").drop("__source")
-    rate = F.when(F.col("__source_size") > 0, F.col("__target") / F.col("__source_size")).otherwise(F.lit(0.0))
+def with_copies(sized: DataFrame, seed: str = SEED) -> DataFrame:
+    """Rows of (row, doc_id, source, size) with source_size, target and copies: how often the mix takes each."""
+    targets = cut(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))))
+    targets = targets.select(F.col("source").alias("of"), "source_size", "target")
+    out = sized.join(targets, F.col("source").eqNullSafe(F.col("of")), "left")
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor(rate)
     extra = (uniform(F.col("doc_id"), seed) < rate - whole).cast("int")
-    return out.withColumn("__copies", F.least(whole + extra, F.lit(LIMIT)).cast("long"))
+    return out.withColumn("copies", F.least(whole + extra, F.lit(LIMIT)).cast("long"))
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
     """One row per document: what the mix takes of it."""
     sized = cut(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")))
-    out = with_copies(sized, F.col("size"))
-    return out.select("doc_id", "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("size") * F.col("__copies")).alias("taken"))
+    return with_copies(sized).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """The mixed documents: each row of ``docs`` as often as the mix takes it, columns unchanged."""
-    columns = docs.columns
-    out = with_copies(docs)
-    return out.where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*columns)
+    sized = docs.select(F.struct("*").alias("row"), "doc_id", "source", n_words(F.col("text")).alias("size"))
+    out = with_copies(sized).where("copies > 0")
+    return out.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")).select("row.*")
 
 
 MIX_SQL = r"""

@@ -5,19 +5,23 @@ or hex are then decoded and parsed; one is reported only if its structure holds
 
 * ``jwt``: header and claims decode to JSON objects, and the header names an algorithm;
 * ``pem``: an armoured block whose body decodes to a private key encoding;
-* ``key``: a bare base64 or hex run that decodes to a private key encoding.
+* ``key``: a private key encoding in bare base64, wrapped into lines or not, or in hex of either case.
 
 A private key encoding is DER whose nested lengths fill their parents exactly and whose shape is
 PKCS#1, PKCS#8, SEC1 or encrypted PKCS#8, or an OpenSSH container whose length-prefixed fields end
-at its end. Every text is scanned whole; positions are code points. Defined cases: null and empty texts
-have no spans (masking leaves them as they are); repeated rows are scanned each; an empty table gives an
-empty result.
+at its end. Every text is scanned whole, in time in proportion to its length (a run of base64 is decoded
+once for each of its four alignments, however many keys may begin in it); positions are code points.
+
+Defined cases: null and empty texts have no spans (masking leaves them as they are); spans of two kinds
+may overlap, and masking merges them; repeated rows are scanned each; an empty table gives an empty
+result; other columns, whatever their names, are not read and come back from masking as they were.
 """
 
 from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import hashlib
 import json
 import re
@@ -34,10 +38,13 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # a run of at least 20: the same matc
 HEX = re.compile(r"[0-9a-f]{24,}")
 _NAMES = (b"password", b"passwd", b"secret", b"token", b"api_key", b"apikey")
 
-_JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-_PEM = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s\\:,-]*?)-----END \1-----")
-_B64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}+={0,2}")
-_KEY_STARTS = ("MI", "MC", "MD", "ME", "MF", "MG", "MH", "b3BlbnNzaC1rZXktdjE")
+_DOTTED = re.compile(r"[A-Za-z0-9_-]++(?:\.[A-Za-z0-9_-]*+)++")
+_BEGIN = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----")
+_ARMOUR = re.compile(r"[A-Za-z0-9+/=\s\\:,-]*+")
+_B64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}+(?:\r?\n[A-Za-z0-9+/_-]++)*+={0,2}")
+_LINE = re.compile(r"[A-Za-z0-9+/_-]++")
+_ANY_HEX = re.compile(r"[0-9A-Fa-f]{24,}+")
+_KEY_START = re.compile(r"M[C-I]|b3BlbnNzaC1rZXktdjE")
 
 
 def _der(data: bytes, at: int, end: int, depth: int = 0) -> list[tuple[int, int, int]] | None:
@@ -72,15 +79,30 @@ def _ssh_fields(data: bytes, at: int, n: int) -> int | None:
     return at
 
 
+def key_length(data: bytes, at: int = 0) -> int | None:
+    """How long the private key encoding at ``at`` says it is; None where none begins or it is cut off."""
+    if data.startswith(_SSH, at):
+        end = _ssh_fields(data, at + len(_SSH), 3)
+        if end is None or end + 4 > len(data):
+            return None
+        keys = int.from_bytes(data[end : end + 4], "big")
+        end = _ssh_fields(data, end + 4, keys + 1) if 1 <= keys <= 16 else None
+        return end and end - at
+    head = data[at : at + 6]
+    if len(head) < 6 or head[0] != 0x30:
+        return None
+    n = head[1] & 0x7F if head[1] & 0x80 else 0
+    if n > 4 or head[1] == 0x80:
+        return None
+    end = at + 2 + n + (int.from_bytes(head[2 : 2 + n], "big") if n else head[1])
+    # the first element is a version or an algorithm
+    return end - at if end <= len(data) and data[at + 2 + n : at + 3 + n] in (b"\x02", b"\x30") else None
+
+
 def is_private_key(data: bytes) -> bool:
     """Whether the bytes are, from first to last, one private key encoding."""
-    magic = b"openssh-key-v1\0"
-    if data.startswith(magic):
-        at = _ssh_fields(data, len(magic), 3)
-        if at is None or at + 4 > len(data):
-            return False
-        keys = int.from_bytes(data[at : at + 4], "big")
-        return 1 <= keys <= 16 and _ssh_fields(data, at + 4, keys + 1) == len(data)
+    if data.startswith(_SSH):
+        return key_length(data) == len(data)
     top = _der(data, 0, len(data)) if data[:1] == b"\x30" else None
     if not top or len(top) != 1:
         return False
@@ -100,6 +122,9 @@ def is_private_key(data: bytes) -> bool:
     return False
 
 
+_SSH = b"openssh-key-v1\0"
+
+
 def _unbase64(text: str) -> bytes | None:
     body = text.rstrip("=").replace("-", "+").replace("_", "/")
     if len(body) % 4 == 1:
@@ -131,24 +156,95 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def confirmed_spans(text: str, hexes: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+def _tokens(text: str) -> list[tuple[int, int]]:
+    """Signed tokens: in each run of dotted parts, from left to right and without overlap.
+
+    A header begins with its part, or at the first ``eyJ`` in it where other letters stand before.
+    """
+    out = []
+    for run in _DOTTED.finditer(text):
+        parts = run[0].split(".")
+        at, i = run.start(), 0
+        while i + 2 < len(parts):
+            found = None
+            for cut in dict.fromkeys((0, parts[i].find("eyJ"))):
+                if cut >= 0 and parts[i][cut : cut + 1] == "e" and parts[i + 1] and _signed_token(".".join((parts[i][cut:], *parts[i + 1 : i + 3]))):
+                    found = cut
+                    break
+            step = 1 if found is None else 3
+            if found is not None:
+                out.append((at + found, at + sum(map(len, parts[i : i + 3])) + 2))
+            at += sum(map(len, parts[i : i + step])) + step
+            i += step
+    return out
+
+
+def _armoured(text: str) -> list[tuple[int, int]]:
+    """Armoured private keys: the dashes after a beginning must be those of its own end."""
+    out = []
+    for m in _BEGIN.finditer(text):
+        stop, close = text.find("-----", m.end()), f"-----END {m[1]}-----"
+        if stop < 0:
+            break
+        if not text.startswith(close, stop) or not _ARMOUR.fullmatch(text, m.end(), stop):
+            continue
+        whole = text[m.end() : stop]
+        body = re.sub(r"\\[nr]|\s", "", re.sub(r"(?m)^[A-Za-z-]+:.*$", "", whole))
+        data = _unbase64(body) or b""
+        if is_private_key(data) or ("Proc-Type" in whole or "DEK-Info" in whole) and len(data) >= 32:
+            out.append((m.start(), stop + len(close)))
+    return out
+
+
+def _bare_keys(text: str) -> list[tuple[int, int]]:
+    """Private keys in base64 that fill one line or several from beginning to end."""
+    out = []
+    for run in _B64.finditer(text):
+        lines = [(m.start(), m.end()) for m in _LINE.finditer(text, run.start(), run.end())]
+        chars = "".join(text[a:b] for a, b in lines).replace("-", "+").replace("_", "/")
+        ends = {}  # place in chars after each line: its place in the text
+        begins, n = [], 0
+        for a, b in lines:
+            begins.append((n, a))
+            n += b - a
+            ends[n] = b
+        decoded: dict[int, bytes] = {}
+        done = 0
+        for place, a in begins:
+            if place < done or not _KEY_START.match(text, a):
+                continue
+            shift = place % 4
+            if shift not in decoded:
+                whole = chars[shift:]
+                whole = whole[: len(whole) - (len(whole) % 4 == 1)]
+                decoded[shift] = base64.b64decode(whole + "=" * (-len(whole) % 4))
+            data, first = decoded[shift], (place - shift) // 4 * 3
+            size = key_length(data, first)
+            if size is None:
+                continue
+            stop = place + (size * 8 + 5) // 6
+            if stop in ends and is_private_key(data[first : first + size]):
+                b = ends[stop]
+                out.append((a, b + len(re.match("={0,2}", text[b : b + 2])[0])))
+                done = stop
+    return out
+
+
+def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind index, end) of what decodes and parses as a signed token or a private key."""
-    out = [(m.start(), 3, m.end()) for m in _JWT.finditer(text) if _signed_token(m[0])] if "eyJ" in text else []
-    if "-----BEGIN " in text:
-        for m in _PEM.finditer(text):
-            body = re.sub(r"\\[nr]|\s", "", re.sub(r"(?m)^[A-Za-z-]+:.*$", "", m[2]))
-            encrypted = "Proc-Type" in m[2] or "DEK-Info" in m[2]
-            data = _unbase64(body) or b""
-            if is_private_key(data) or encrypted and len(data) >= 32:
-                out.append((m.start(), 4, m.end()))
-    armoured = [(a, b) for a, k, b in out if k == 4]
-    free = lambda a: not any(x <= a < y for x, y in armoured)
-    for m in _B64.finditer(text):
-        if m[0].startswith(_KEY_STARTS) and free(m.start()) and is_private_key(_unbase64(m[0]) or b""):
+    out = [(a, 3, b) for a, b in _tokens(text)] if "." in text else []
+    armoured = _armoured(text) if "-----BEGIN " in text else []
+    out += [(a, 4, b) for a, b in armoured]
+    starts = [a for a, _ in armoured]
+
+    def free(a: int) -> bool:
+        i = bisect.bisect_right(starts, a)
+        return not i or a >= armoured[i - 1][1]
+
+    out += [(a, 5, b) for a, b in _bare_keys(text) if free(a)]
+    for m in _ANY_HEX.finditer(text):
+        if len(m[0]) % 2 == 0 and m[0][:2].lower() in ("30", "6f") and free(m.start()) and is_private_key(bytes.fromhex(m[0])):
             out.append((m.start(), 5, m.end()))
-    for a, _, b in hexes:
-        if (b - a) % 2 == 0 and text[a : a + 2] in ("30", "6f") and free(a) and is_private_key(bytes.fromhex(text[a:b])):
-            out.append((a, 5, b))
     return sorted(out)
 
 
@@ -156,7 +252,7 @@ def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int,
     """(base spans, base and confirmed spans together), each by start, then kind."""
     text = text or ""
     base = base_spans(text)
-    return base, sorted(base + confirmed_spans(text, [x for x in base if x[1] == 2]))
+    return base, sorted(base + confirmed_spans(text))
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
