@@ -14,21 +14,22 @@ Shingle length and threshold are a ``Rule``; the numbers below are those of ``RU
    and get back which of them occur elsewhere.
 2. A document that shares fewer signatures than ``spare`` with all others together links with none.
    What is left is pruned again against itself.
-3. Similarity families are the components of the signatures' stars (each member to the smallest).
-   Each link lies within a family. The leader of a family is its node with most shared signatures,
-   and every other node is compared with it, exactly.
-   Nodes that do not link to it get further leaders for a few rounds; a leader and its linked nodes
-   are a cluster, connected already.
-4. A node that does not link to its family's leader is a query. In families that have one, nodes are coded by
-   their difference from the leader; nodes of one cluster with the same rarest difference token form a group, and
-   the matrix holds each group's tokens. A link with a query needs more shared difference tokens the
-   further both lie from the leader; with tokens ordered by rarity that bounds the prefix of a node
-   that must meet the matrix and the places where they may first meet, and the group's token union
-   must hold enough of the query's tokens for the group to be opened.
+3. Groups. In each signature's group the node with most shared signatures leads, and the others are
+   compared with it, exactly, one row per node. Those that link to it are its ball and leave the group;
+   so does the leader. As Jaccard distance is a metric, one that links to a node of the ball, but not
+   to the leader, is no further from it than twice the allowed distance: it is a query of the ball. The
+   rest of the group goes to the next round, pruned again. After ``ROUNDS`` rounds few nodes are left,
+   mostly unrelated ones with a passage in common; each component of them is a group, too.
+4. Token-group matrix. Nodes are coded by their difference from their group's leader, members with the
+   same rarest difference token form a row of the matrix, and the row holds the union of their tokens. A link
+   with a query needs more shared difference tokens the further both lie from the leader; with tokens
+   ordered by rarity that bounds the prefix of a node that must meet the matrix and the places where
+   they may first meet, and the row's token union must hold enough of the query's tokens for its
+   members to be opened and compared, exactly.
 5. Components of all links give the classes.
 
 Candidates are found by hashes; every link is decided on the words themselves. Equal sets are told by
-128 bits. Nothing is emitted per pair of a family: 3 is one row per node, 4 is limited to queries.
+128 bits. Nothing is emitted per pair of a group: 3 is one row per node, 4 is limited to queries.
 
 Defined cases: null text and text without words have an empty set and link with nothing; rows that
 share a doc_id are one document (of different texts one counts, the same in every run); rows without a
@@ -39,7 +40,7 @@ never read, and ``keep_one`` returns them as they were.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -81,8 +82,8 @@ class Rule(NamedTuple):
 
 
 RULE = Rule()
-#: Rounds of further leaders before the token-group matrix, and of pruning; any number gives the same links.
-ROUNDS, PRUNES = 3, 2
+#: Rounds of leaders before what is left goes to the matrix, and of pruning; any number gives the same links.
+ROUNDS, PRUNES = 6, 2
 #: Each size class ends at so many times its beginning. At least the inverse of any threshold in use.
 WIDTH = 1.7
 #: A set is dealt at most so often; the last time each token is a part of its own.
@@ -301,7 +302,7 @@ def _shared_rows(packed: DataFrame) -> DataFrame:
 
 
 def _survivors(docs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
-    """(node, sig): what nodes share that may link with any other."""
+    """(node, kind, need0, need1, sig): what nodes share that may link with any other."""
     total = nodes.agg(F.sum("n_shingles")).first()[0] or 0
     bits = max(6, int(total * 6 // BUCKET_BYTES).bit_length())
     held = _shared_rows(_packed(docs, rule, bits)).groupBy("doc_id").agg(F.collect_list("sig").alias("sigs"))
@@ -309,11 +310,16 @@ def _survivors(docs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
     held = nodes.where("node is not null and doc_id is not null").join(held, "doc_id").groupBy("node").agg(*per_node)
     rows = cut(_enough(held))
     for _ in range(PRUNES):  # equal sets are one node from here on
-        shared = cut(rows.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("sig"))
-        per_node = [F.first(c).alias(c) for c in ("kind", "need0", "need1")]
-        held = rows.join(shared, "sig").groupBy("node").agg(*per_node, F.collect_list("sig").alias("sigs"))
-        rows = cut(_enough(held), rows, shared)
-    return rows.select("node", "sig")
+        rows = _pruned(rows, rows)
+    return rows
+
+
+def _pruned(rows: DataFrame, *spent: DataFrame) -> DataFrame:
+    """The rows of nodes that share enough signatures with other nodes of ``rows``."""
+    shared = cut(rows.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("sig"))
+    per_node = [F.first(c).alias(c) for c in ("kind", "need0", "need1")]
+    held = rows.join(shared, "sig").groupBy("node").agg(*per_node, F.collect_list("sig").alias("sigs"))
+    return cut(_enough(held), shared, *spent)
 
 
 def _enough(held: DataFrame) -> DataFrame:
@@ -325,8 +331,8 @@ def _enough(held: DataFrame) -> DataFrame:
 
 
 def _node_texts(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """(node, text): the text of each member node."""
-    rows = docs.select("doc_id", "text").join(members.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
+    """(node, text): the text of each node in ``members``."""
+    rows = docs.select("doc_id", "text").join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
     return cut(rows.groupBy(F.col("doc_id").alias("node")).agg(F.min("text").alias("text")))
 
 
@@ -336,7 +342,7 @@ def _compared(pairs: DataFrame, texts: DataFrame, diffs: bool, rule: Rule) -> Da
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     rows = pairs.join(left, "a").join(right, "b")
-    schema = "a long, b long, family long, size long, size_b long, difference long, linked boolean" + ", tokens array<long>" * diffs
+    schema = "a long, b long, family string, size long, size_b long, difference long, linked boolean" + ", tokens array<long>" * diffs
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         keys = batch.column("b").to_pylist()
@@ -365,58 +371,74 @@ def _compared(pairs: DataFrame, texts: DataFrame, diffs: bool, rule: Rule) -> Da
     return map_slices(rows.select("a", "b", "family", "text_a", "text_b"), kernel, schema, "text_a")
 
 
-def _sub_clusters(compared: DataFrame, weight: DataFrame, texts: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
-    """(links, clusters): further leaders among the nodes that link to none yet, for a few rounds.
+def _balls(rows: DataFrame, texts: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """(what lies in balls or near them, rows left over, tables to release): rounds of leaders.
 
-    links(a, b) holds all found so far; clusters(node, cluster) names the leader of each node that has
-    one. Nodes of one cluster are connected, so step 3 need not compare them with each other.
+    The first has (a, b, family, linked): ``a`` compared with the leader ``b``.
     """
-    links = compared.where("linked").select("a", "b")
-    clusters = links.select(F.col("a").alias("node"), F.col("b").alias("cluster"))
-    left = compared.where("not linked").select(F.col("a").alias("node"), "family")
+    weight = cut(rows.groupBy("node").agg(F.count("*").alias("weight")))
+    found, alive, kept = [], rows, [weight]
+    near = rule.percent * F.col("difference") <= (100 - rule.percent) * (F.col("size") + F.col("size_b"))
     for _ in range(ROUNDS):
-        left = cut(left.join(weight, "node").select("node", "family", "n"))
-        lead = left.groupBy("family").agg(F.count("*").alias("m"), F.max_by("node", F.struct("n", "node")).alias("b")).where("m > 1")
-        lead = cut(lead.select("family", "b"))
-        pairs = left.join(lead, "family").where("node <> b").select(F.col("node").alias("a"), "b", "family")
-        more = cut(_compared(pairs, texts, diffs=False, rule=rule))
-        new = more.where("linked").select("a", "b")
-        if not new.head(1):
+        weighed = alive.join(weight, "node")
+        lead = weighed.groupBy("sig").agg(F.max_by("node", F.struct("weight", "node")).alias("b"), F.min("node").alias("low"), F.max("node").alias("high"))
+        lead = cut(lead.where("low < high").select("sig", "b"))
+        led = cut(alive.join(lead, "sig").where("node <> b"), lead)
+        pairs = led.select(F.col("node").alias("a"), "b", F.concat(F.lit("ball "), F.col("b").cast("string")).alias("family")).distinct()
+        compared = cut(_compared(pairs, texts, diffs=False, rule=rule))
+        kept.append(compared)
+        found.append(compared.where(near).select("a", "b", "family", "linked"))
+        linked = compared.where("linked").select(F.col("a").alias("node"), "b")
+        spent = [led] if alive is rows else [led, alive]
+        alive = _pruned(cut(led.join(linked, ["node", "b"], "left_anti").drop("b"), *spent))
+        if not alive.head(1):
             break
-        links = links.unionByName(new)
-        clusters = clusters.unionByName(new.select(F.col("a").alias("node"), F.col("b").alias("cluster")))
-        left = more.where("not linked").select(F.col("a").alias("node"), "family")
-    return links, clusters
-
-
-def _query_links(compared: DataFrame, clusters: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
-    """Links of nodes that do not link to their leader, by the token-group matrix: (a, b)."""
-    open_ = compared.where("not linked").select("family").distinct()
-    pairs = cut(compared.select("a", "b", "family").join(open_, "family", "left_semi"))
-    coded = _compared(pairs, texts, diffs=True, rule=rule).join(clusters.withColumnRenamed("node", "a"), "a", "left")
-    coded = cut(coded.withColumn("cluster", F.coalesce("cluster", "a")))
-    tokens = coded.select("family", F.col("a").alias("node"), "cluster", "size", "size_b", "difference", "linked", F.explode("tokens").alias("token"))
-    often = cut(tokens.groupBy("family", "token").agg(F.count("*").alias("freq")))
-    tokens = cut(tokens.join(often, ["family", "token"]))
-    # Order of a node's tokens: rare ones first, so those no other node has lead. A pair links only if
-    # it shares r = (d + e - (|q| + |y|)/19) / 2 tokens (d, e: differences from the leader). So its first
-    # shared token, at places i and j, leaves room for r: 2 (1 + d - i) >= 2 r and 2 (1 + e - j) >= 2 r.
+    return reduce(DataFrame.unionByName, found), alive.join(weight, "node"), kept
+
+
+def _rest(alive: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
+    """(a, b, family, linked) of what the rounds left over: components, each compared with its leader."""
+    shared = cut(alive.groupBy("sig").agg(F.min("node").alias("low")))
+    stars = alive.join(shared, "sig").where("node <> low").select("node", "low").distinct()
+    families = components(stars, "node", "low").join(alive.select("node", "weight").distinct(), "node")
+    families = cut(families.select("node", F.concat(F.lit("rest "), F.col("root").cast("string")).alias("family"), "weight"), shared)
+    leader = cut(families.groupBy("family").agg(F.max_by("node", F.struct("weight", "node")).alias("b")))
+    pairs = families.select(F.col("node").alias("a"), "family").join(leader, "family").where("a <> b")
+    return cut(_compared(pairs, texts, diffs=False, rule=rule).select("a", "b", "family", "linked"), families, leader)
+
+
+def _query_links(balls: DataFrame, rest: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
+    """Links between queries and members that do not lead their group, by the token-group matrix: (a, b)."""
+    met = balls.withColumn("member", F.col("linked")).unionByName(rest.withColumn("member", F.lit(True)))
+    # groups that have a query, and someone else it may link to
+    open_ = met.groupBy("family").agg(F.bool_or(~F.col("linked")).alias("asks"), F.bool_or("member").alias("has"), F.count("*").alias("n")).where("asks and has and n > 1")
+    pairs = cut(met.join(open_.select("family"), "family", "left_semi"))
+    coded = _compared(pairs.select("a", "b", "family"), texts, diffs=True, rule=rule)
+    coded = coded.join(pairs.select("a", "family", "member"), ["a", "family"])
+    coded = cut(coded.withColumn("cluster", F.when(F.col("linked"), F.col("b")).otherwise(F.col("a"))), pairs)
+    tokens = coded.select("family", F.col("a").alias("node"), "cluster", "size", "size_b", "difference", "linked", "member", F.explode("tokens").alias("token"))
+    often = cut(tokens.groupBy("family", "token").agg(F.count("*").alias("freq"), F.count_if("member").alias("members"), F.count_if(~F.col("linked")).alias("queries")))
+    # only tokens that a query and some other member have can be shared
+    tokens = cut(tokens.join(often.where("freq > 1 and members > 0 and queries > 0").select("family", "token", "freq"), ["family", "token"]), coded, often)
+    # Order of a node's tokens: rare ones first. A pair links only if it shares r = (d + e - (|q| + |y|)/19) / 2
+    # tokens (d, e: differences from the leader). So its first shared token, at places i and j among those that
+    # can be shared, u and v in number, leaves room for r: 2 (1 + u - i) >= 2 r and 2 (1 + v - j) >= 2 r.
     d, size = F.col("difference"), F.col("size") / rule.part
-    order = Window.partitionBy("family", "node").orderBy("freq", "token")
-    placed = tokens.withColumn("room", 2 + d - 2 * F.row_number().over(order) + size).withColumn("reach", d - size).where("freq > 1")
-    tokens = tokens.where("freq > 1")
+    per = Window.partitionBy("family", "node")
+    place = F.row_number().over(per.orderBy("freq", "token"))
+    placed = tokens.withColumn("left", 2 * (1 + F.count("*").over(per) - place)).withColumn("room", F.col("left") - d + size).withColumn("reach", d - size)
     # against a query e - (|y| - leader)/19 bounds 2 r from below, against any node 2 r is over 2 (d - |q|/9)
     least = F.greatest((d - (F.col("size") - F.col("size_b")) / rule.part), 2 * d - F.col("size") * 2 * rule.gap)
     slack = F.lit(1e-3)  # above the rounding of these fractions; more would only open more
-    prefix = cut(placed.where(F.col("room") - size + d + slack >= least))
-    # groups by cluster and rarest prefix token; each matrix row bounds its members' room and reach
+    prefix = cut(placed.where(F.col("member") & (F.col("left") + slack >= least)))
+    # rows by cluster and rarest prefix token; each bounds its members' room and reach
     group = prefix.groupBy("family", "node", "cluster").agg(F.min_by("token", F.struct("freq", "token")).alias("grp"))
     group = cut(group.select("family", "node", F.xxhash64("cluster", "grp").alias("grp")))
-    matrix = cut(prefix.join(group, ["family", "node"]).groupBy("family", "token", "grp", "cluster").agg(F.max("room").alias("room"), F.min("reach").alias("reach")))
-    q = placed.where(~F.col("linked") & (F.col("room") - size + d + slack >= 2 * d - F.col("size") * 2 * rule.gap)).select("family", "token", F.col("node").alias("query"), F.col("cluster").alias("q_cluster"), F.col("room").alias("q_room"), F.col("reach").alias("q_reach"))
+    matrix = cut(prefix.join(group, ["family", "node"]).groupBy("family", "token", "grp", "cluster").agg(F.max("room").alias("room"), F.min("reach").alias("reach")), prefix)
+    q = placed.where(~F.col("linked") & (F.col("left") + slack >= 2 * d - F.col("size") * 2 * rule.gap)).select("family", "token", F.col("node").alias("query"), F.col("cluster").alias("q_cluster"), F.col("room").alias("q_room"), F.col("reach").alias("q_reach"))
     met = q.join(matrix, ["family", "token"]).where((F.col("cluster") != F.col("q_cluster")) & (F.col("room") + slack >= F.col("q_reach")) & (F.col("q_room") + slack >= F.col("reach")))
-    met = cut(met.select("family", "query", "grp").distinct())
-    # open only groups whose union of tokens holds enough of the query's
+    met = cut(met.select("family", "query", "grp").distinct(), matrix)
+    # open only rows whose union of tokens holds enough of the query's
     union = cut(tokens.join(group, ["family", "node"]).groupBy("family", "grp", "token").agg(F.min(d - size).alias("reach")))
     least = union.groupBy("family", "grp").agg(F.min("reach").alias("reach"))
     own = tokens.where("not linked").select("family", F.col("node").alias("query"), "token", (d - size).alias("q_reach"))
@@ -424,27 +446,21 @@ def _query_links(compared: DataFrame, clusters: DataFrame, texts: DataFrame, rul
     bound = bound.groupBy("family", "query", "grp", "q_reach").agg(F.count("*").alias("shared")).join(least, ["family", "grp"])
     opened = bound.where(2 * F.col("shared") + slack >= F.col("q_reach") + F.col("reach")).select("family", "query", "grp")
     found = opened.join(group, ["family", "grp"]).where("node <> query")
-    found = found.select(F.least("query", "node").alias("a"), F.greatest("query", "node").alias("b"), "family").distinct()
-    return _compared(cut(found), texts, diffs=False, rule=rule).where("linked").select("a", "b")
+    found = cut(found.select(F.least("query", "node").alias("a"), F.greatest("query", "node").alias("b"), F.lit("").alias("family")).distinct(), met, union, tokens, group)
+    return cut(_compared(found, texts, diffs=False, rule=rule).where("linked").select("a", "b"), found)
 
 
 def classes(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row: components of links by ``rule``."""
     nodes = sets_table(docs, rule)
     rows = _survivors(docs, nodes, rule)
-    shared = cut(rows.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).where("low < high").select("sig", "low", "n"))
-    stars = cut(rows.join(shared, "sig").groupBy("node", "low").agg(F.sum("n").alias("n")), shared)
-    families = components(stars.where("node <> low"), "node", "low").withColumnRenamed("root", "family")
-    weight = cut(stars.groupBy("node").agg(F.sum("n").alias("n")))
-    members = cut(families.join(weight, "node"), stars)
-    leader = cut(members.groupBy("family").agg(F.max_by("node", F.struct("n", "node")).alias("b")))
-    texts = _node_texts(docs, members)
-    pairs = members.select(F.col("node").alias("a"), "family").join(leader, "family").where("a <> b")
-    compared = cut(_compared(pairs, texts, diffs=False, rule=rule), leader)
-    links, clusters = _sub_clusters(compared, weight, texts, rule)
-    roots = components(links.unionByName(_query_links(compared, clusters, texts, rule)))
+    texts = _node_texts(docs, rows)
+    balls, alive, kept = _balls(rows, texts, rule)
+    rest = _rest(alive, texts, rule)
+    direct = balls.unionByName(rest).where("linked").select("a", "b")
+    roots = components(direct.unionByName(_query_links(balls, rest, texts, rule)))
     placed = cut(nodes.join(roots, "node", "left").select("doc_id", "n_shingles", F.coalesce("root", "node", "doc_id").alias("component_id")), nodes)
-    release(texts, members, weight, compared)
+    release(texts, rows, rest, *kept)
     return placed
 
 

@@ -9,8 +9,9 @@ The order is found on narrow rows (id, key, length): a range partition by (key,
 of equal documents like any other, each range adds up its lengths, and the ranges' totals, one row
 per partition, place them. Token ids meet their place in one join on the row number.
 
-Defined cases: null and empty texts hold the end id only; repeated rows are packed each; an empty
-table gives no pieces.
+Defined cases: null and empty texts hold the end id only; repeated rows are packed each; documents of
+one key follow each other by row; long texts are cut into as many pieces as they need; an empty table
+gives no pieces; other columns are never read.
 """
 
 from __future__ import annotations

@@ -6,9 +6,10 @@ vector is the sum of the index vectors of its neighbours over the training texts
 mean of its tokens' index and context vectors plus its log length. The network has one hidden layer;
 its temperature is fitted on training rows kept back from the weights.
 
-Fitting uses at most ``training.MAX_ROWS`` labelled rows; every text is scored whole. Null and empty
-texts pool to zero and still get a score. With labels of one class only, every score is that class's
-share; with none, 0.5.
+Fitting uses at most ``training.MAX_ROWS`` labelled rows, each text whole; every text is scored whole.
+Defined cases: null and empty texts pool to zero and still get a score; with labels of one class only,
+every score is that class's share; with none, 0.5; a score of exactly 0.5 predicts 1; repeated rows are
+scored each; an empty table gives an empty result; other columns are never read.
 """
 
 from __future__ import annotations

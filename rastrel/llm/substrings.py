@@ -18,7 +18,8 @@ third of all documents share) is reduced before each shuffle by partial aggregat
 two plain exchanges, which adaptive execution splits.
 
 Defined cases: null text has no words; rows without a doc_id keep all words and are no source; rows
-that share a doc_id are one document; empty tables give empty results.
+that share a doc_id are one document; empty tables give empty results; long texts are read whole; other
+columns are never read.
 """
 
 from __future__ import annotations

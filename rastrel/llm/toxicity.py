@@ -15,9 +15,11 @@ beyond what chance makes of all units tried. A second SVM of the same kernel, wh
 marks where a word begins, learns words that hold a unit. A document's score is a logistic function of its numbers
 of both kinds of toxic words and, where it has none of the first, of how near its nearest word comes.
 
-Fitting uses at most ``training.MAX_ROWS`` labelled rows; every text is scored whole. Null and empty
-texts have no words and get the score of a document without positive words. Without a toxic
-landmark every score is the toxic share of the training rows (0 if there are none).
+Fitting uses at most ``training.MAX_ROWS`` labelled rows, each text whole; every text is scored whole.
+Defined cases: null and empty texts have no words and get the score of a document without positive
+words; without a toxic landmark every score is the toxic share of the training rows (0 if there are
+none); a score of exactly THRESHOLD predicts 1; repeated rows are scored each; an empty table gives an
+empty result; other columns are never read, and ``drop_toxic`` returns them as they were.
 """
 
 from __future__ import annotations
