@@ -44,9 +44,13 @@ def fit_linear(px: DataFrame, n_angles: int = 12, bins: int = 48, keys: tuple[st
     low = F.least(F.col("x0") * co, F.col("x1") * co) + F.col("y0") * si
     high = F.greatest(F.col("x0") * co, F.col("x1") * co) + F.col("y1") * si
     u = F.col("x") * co + F.col("y") * si
-    place = F.when(high - low > 1e-9, F.floor((u - low) / (high - low) * (bins - 1) + 0.5)).otherwise(0).cast("int")
+    place = F.when(high - low > 1e-9, F.floor(F.round((u - low) / (high - low) * (bins - 1), 9))).otherwise(0).cast("int")
     binned = rows.select(*keys, F.col("t.cand").alias("cand"), place.alias("bin"), *CHANNELS)
-    best = profile_sse(binned, *keys, "cand").groupBy(*keys).agg(F.min(F.struct("sse", "cand", "n")).alias("b"))
+    return _best(profile_sse(binned, *keys, "cand"), keys)
+
+
+def _best(tried: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    best = tried.groupBy(*keys).agg(F.min(F.struct("sse", "cand", "n")).alias("b"))
     return best.select(*keys, F.col("b.cand").alias("cand"), F.col("b.sse").alias("sse"), F.col("b.n").alias("n"))
 
 
@@ -55,25 +59,46 @@ def flat_sse(px: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 
 
 def region_fit(px: DataFrame, keys: tuple[str, ...] = ("img_id", "comp")) -> DataFrame:
-    """Per region: linear gradient if its error is at most 0.6 of flat and lower by more than 1e-4, else solid."""
-    fit = fit_linear(px, 8, 32, keys).join(flat_sse(px, keys), list(keys))
+    """Per region: the best of 8 directions and 11 centres if its error is at most 0.6 of flat and lower by more than 1e-4, else solid.
+
+    Candidates 0 to 7 are directions, 8 and 9 the light and dark centroid, 10 to 18 a 3 x 3 lattice over the box.
+    """
+    both = fit_linear(px, 8, 32, keys).unionByName(fit_radial(px, 32, 3, keys).withColumn("cand", F.col("cand") + 8))
+    fit = _best(both, keys).join(flat_sse(px, keys), list(keys))
     g = F.sqrt(F.greatest(F.lit(0.0), F.col("sse")) / (3 * F.col("n"))) / 255
     f = F.sqrt(F.greatest(F.lit(0.0), F.col("flat")) / (3 * F.col("n"))) / 255
-    kind = F.when((g <= 0.6 * f) & (g < f - 1e-4), "linear").otherwise("solid")
-    return fit.select(*keys, kind.alias("kind"), F.when(kind == "linear", F.col("cand")).alias("cand"), F.round(F.when(kind == "linear", g).otherwise(f), 6).alias("rmse"))
-
-
-def fit_radial(px: DataFrame, bins: int = 48, grid: int = 5) -> DataFrame:
-    """(img_id, cand, sse): the best centre of a grid by grid lattice for a radial profile."""
-    box = px.groupBy("img_id").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
-    tries = F.array(*[F.struct(F.lit(j * grid + i).alias("cand"), F.lit(i).alias("i"), F.lit(j).alias("j")) for j in range(grid) for i in range(grid)])
-    rows = px.join(box, "img_id").withColumn("t", F.explode(tries))
-    dx = F.col("x") * (2 * grid) - F.col("w") * (2 * F.col("t.i") + 1)
-    dy = F.col("y") * (2 * grid) - F.col("h") * (2 * F.col("t.j") + 1)
-    reach = F.sqrt((F.col("w") * F.col("w") + F.col("h") * F.col("h")) * (4 * grid * grid))
-    place = F.least(F.lit(bins - 1), F.floor(F.sqrt(dx * dx + dy * dy) / reach * bins)).cast("int")
-    best = profile_sse(rows.select("img_id", F.col("t.cand").alias("cand"), place.alias("bin"), *CHANNELS), "img_id", "cand").groupBy("img_id").agg(F.min(F.struct("sse", "cand")).alias("b"))
-    return best.select("img_id", F.col("b.cand").alias("cand"), F.col("b.sse").alias("sse"))
+    kind = F.when((g <= 0.6 * f) & (g < f - 1e-4), F.when(F.col("cand") < 8, "linear").otherwise("radial")).otherwise("solid")
+    return fit.select(*keys, kind.alias("kind"), F.when(kind != "solid", F.col("cand")).cast("int").alias("cand"), F.round(F.when(kind != "solid", g).otherwise(f), 6).alias("rmse"))
+
+
+def fit_radial(px: DataFrame, bins: int = 48, grid: int = 5, keys: tuple[str, ...] = ("img_id",)) -> DataFrame:
+    """(keys, cand, sse, n): the best centre for a radial profile.
+
+    Candidate 0 is the centroid of squared luma, 1 that of squared darkness, the others a grid by grid
+    lattice from edge to edge of the key's box. Distances are scaled by that to the farthest corner.
+    """
+    light = F.floor((F.col("r") * 299 + F.col("g") * 587 + F.col("b") * 114) / 1000).cast("long")
+    wl, wd = light * light, (255 - light) * (255 - light)
+    mean = lambda v, w: F.round(F.sum(F.col(v) * w) / F.nullif(F.sum(w), F.lit(0)), 6)
+    box = px.groupBy(*keys).agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), mean("x", wl).alias("lx"), mean("y", wl).alias("ly"), mean("x", wd).alias("dx"), mean("y", wd).alias("dy"))
+    centre = lambda k, cx, cy: F.struct(F.lit(k).alias("cand"), cx.cast("double").alias("cx"), cy.cast("double").alias("cy"))
+    side = lambda v, i: F.col(f"{v}0") + (F.col(f"{v}1") - F.col(f"{v}0") + 1) * i / (grid - 1)
+    tries = [centre(0, F.col("lx"), F.col("ly")), centre(1, F.col("dx"), F.col("dy"))]
+    tries += [centre(2 + j * grid + i, side("x", i), side("y", j)) for j in range(grid) for i in range(grid)]
+    rows = px.join(box, list(keys)).withColumn("t", F.explode(F.filter(F.array(*tries), lambda t: t["cx"].isNotNull())))
+    far = lambda v: F.greatest(F.abs(F.col(f"{v}0") - F.col(f"t.c{v}")), F.abs(F.col(f"{v}1") - F.col(f"t.c{v}")))
+    away = lambda a, b: F.sqrt(a * a + b * b)
+    reach = F.greatest(away(far("x"), far("y")), F.lit(1e-9))
+    place = F.least(F.lit(bins - 1), F.floor(F.round(away(F.col("x") - F.col("t.cx"), F.col("y") - F.col("t.cy")) / reach * (bins - 1), 9))).cast("int")
+    return _best(profile_sse(rows.select(*keys, F.col("t.cand").alias("cand"), place.alias("bin"), *CHANNELS), *keys, "cand"), keys)
+
+
+def gradient_model(px: DataFrame) -> DataFrame:
+    """(img_id, kind, cand, rmse): the best of 12 directions and 27 centres over the whole image; directions win ties."""
+    both = fit_linear(px).withColumn("radial", F.lit(False)).unionByName(fit_radial(px).withColumn("radial", F.lit(True)))
+    best = both.groupBy("img_id").agg(F.min(F.struct("sse", "radial", "cand", "n")).alias("b"))
+    rmse = F.round(F.sqrt(F.greatest(F.lit(0.0), F.col("b.sse")) / (3 * F.col("b.n"))) / 255, 6)
+    return best.select("img_id", F.when(F.col("b.radial"), "radial").otherwise("linear").alias("kind"), F.col("b.cand").cast("int").alias("cand"), rmse.alias("rmse"))
 
 
 def weighted_centroid(px: DataFrame) -> DataFrame:

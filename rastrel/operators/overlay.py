@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import cut, ship
 from . import gradients, metrics, neighbours, palette, segment, text
 from .geometry import upscale
 from .paths import fit_ellipse
@@ -47,8 +47,7 @@ def fit_overlay(px: DataFrame, smooth: int = 10, share: float = 0.012, least: in
         opened = neighbours.morph_open(mask, px).withColumn("label", F.lit(k))
         comps = segment.components(opened).withColumn("comp", F.col("comp") * 2 + k)
         found = comps if found is None else found.unionByName(comps)
-    if px.sparkSession.conf.get("spark.checkpoint.dir", None):
-        found = found.checkpoint()  # read three times below
+    found = cut(found)  # read three times below
     size = px.groupBy("img_id").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
     stats = found.groupBy("img_id", "comp").agg(F.count("*").alias("area"), F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1")).join(size, "img_id")
     w, h = F.col("w"), F.col("h")

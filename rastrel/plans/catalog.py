@@ -181,26 +181,38 @@ px_query("mode_filter", lambda p: neighbours.mode_filter(palette.quantize(p, 2).
   FROM q JOIN votes own ON own.img_id = q.img_id AND own.y = q.y AND own.x = q.x AND own.label = q.label
   JOIN (SELECT img_id, y, x, label, n AS top, lead(n) OVER w AS second, row_number() OVER w AS k FROM votes WINDOW w AS (PARTITION BY img_id, y, x ORDER BY n DESC, label) QUALIFY k = 1) v ON v.img_id = q.img_id AND v.y = q.y AND v.x = q.x""",
   "q AS (SELECT img_id, y, x, CAST((r // 128 * 128 + 64) * 65536 + (g // 128 * 128 + 64) * 256 + b // 128 * 128 + 64 AS BIGINT) AS label FROM px)",
-  "votes AS (SELECT a.img_id, a.y, a.x, c.label, count(*) AS n FROM q a JOIN q c ON c.img_id = a.img_id AND abs(c.y - a.y) <= 1 AND abs(c.x - a.x) <= 1 GROUP BY ALL)")
+  # each pixel votes at its nine neighbours' places: one equi-join instead of a range join
+  "cast_ AS (SELECT img_id, CAST(y + dy AS INTEGER) AS y, CAST(x + dx AS INTEGER) AS x, label FROM q, (SELECT unnest(range(-1, 2)) AS dy), (SELECT unnest(range(-1, 2)) AS dx))",
+  "votes AS (SELECT c.img_id, c.y, c.x, c.label, count(*) AS n FROM cast_ c JOIN px USING (img_id, y, x) GROUP BY c.img_id, c.y, c.x, c.label)")
 Q4 = "q AS (SELECT img_id, y, x, CAST(cr * 65536 + cg * 256 + cb AS BIGINT) AS label FROM canvas)"
 px_query("adjacency", lambda p: neighbours.adjacency(palette.quantize(p, 4).select("img_id", "y", "x", F.col("key").alias("label"))), """SELECT a.img_id, least(a.label, c.label) AS a, greatest(a.label, c.label) AS b, count(*) AS n FROM q a JOIN q c ON c.img_id = a.img_id
   AND ((c.x = a.x + 1 AND c.y = a.y) OR (c.y = a.y + 1 AND c.x = a.x)) WHERE a.label <> c.label GROUP BY ALL""", Q4)
 
 
-def morph(name: str, f, expr: str) -> None:  # noqa: ANN001
+AROUND = "(SELECT unnest(range(-1, 2)) AS dy), (SELECT unnest(range(-1, 2)) AS dx)"
+
+
+def spread_sql(source: str) -> str:
+    """Places of the nine neighbours of every pixel of a mask, as often as they are reached."""
+    return f"SELECT img_id, CAST(y + dy AS INTEGER) AS y, CAST(x + dx AS INTEGER) AS x FROM {source}, {AROUND}"
+
+
+def morph(name: str, f, found: str, below: int = 170) -> None:  # noqa: ANN001
     """Morphology on the mask of dark-red pixels."""
-    px_query(name, lambda p: f(p.where("r < 170").select("img_id", "y", "x"), p), f"SELECT img_id, y, x FROM px WHERE {expr}", "m AS (SELECT img_id, y, x FROM px WHERE r < 170)",
-             "er AS (SELECT a.img_id, a.y, a.x FROM m a JOIN m c ON c.img_id = a.img_id AND abs(c.y - a.y) <= 1 AND abs(c.x - a.x) <= 1 GROUP BY a.img_id, a.y, a.x HAVING count(*) = 9)",
-             "grown AS (SELECT DISTINCT m.img_id, m.y + dy AS y, m.x + dx AS x FROM m, (SELECT unnest(range(-1, 2)) AS dy), (SELECT unnest(range(-1, 2)) AS dx))",
-             "opened AS (SELECT DISTINCT e.img_id, e.y + dy AS y, e.x + dx AS x FROM er e, (SELECT unnest(range(-1, 2)) AS dy), (SELECT unnest(range(-1, 2)) AS dx))",
+    px_query(name, lambda p: f(p.where(F.col("r") < below).select("img_id", "y", "x"), p), f"SELECT img_id, y, x FROM px SEMI JOIN {found} USING (img_id, y, x)", f"m AS (SELECT img_id, y, x FROM px WHERE r < {below})",
+             f"grown AS (SELECT DISTINCT * FROM ({spread_sql('m')}) g SEMI JOIN px USING (img_id, y, x))",
+             # a pixel stays if all nine places around it are in the mask; outside the image counts as not
+             f"er AS (SELECT img_id, y, x FROM ({spread_sql('m')}) SEMI JOIN m USING (img_id, y, x) GROUP BY img_id, y, x HAVING count(*) = 9)",
+             f"opened AS (SELECT DISTINCT * FROM ({spread_sql('er')}))",
+             f"closed AS (SELECT img_id, y, x FROM ({spread_sql('grown')}) SEMI JOIN grown USING (img_id, y, x) GROUP BY img_id, y, x HAVING count(*) = 9)",
              "crossed AS (SELECT DISTINCT m.img_id, m.y + dy AS y, m.x + dx AS x FROM m, (VALUES (0, 0), (0, 1), (0, -1), (1, 0), (-1, 0)) o(dy, dx))")
 
 
-morph("morph_erode", neighbours.erode, "(img_id, y, x) IN (SELECT (img_id, y, x) FROM er)")
-morph("morph_dilate", neighbours.dilate, "(img_id, y, x) IN (SELECT (img_id, y, x) FROM grown)")
-morph("morph_open", neighbours.morph_open, "(img_id, y, x) IN (SELECT (img_id, y, x) FROM opened)")
-morph("mask_dilate", neighbours.dilate_cross, "(img_id, y, x) IN (SELECT (img_id, y, x) FROM crossed)")
-register("morph_close", lambda s, d: neighbours.morph_close(pixels(s, d).where("r < 100").select("img_id", "y", "x"), pixels(s, d)))
+morph("morph_erode", neighbours.erode, "er")
+morph("morph_dilate", neighbours.dilate, "grown")
+morph("morph_open", neighbours.morph_open, "opened")
+morph("mask_dilate", neighbours.dilate_cross, "crossed")
+morph("morph_close", neighbours.morph_close, "closed", 100)
 
 # ---------------------------------------------------------------- palettes
 PAL = """pal AS (SELECT img_id, CAST(k - 1 AS INTEGER) AS c, pr, pg, pb FROM (SELECT img_id, cr * 65536 + cg * 256 + cb AS key, cr AS pr, cg AS pg, cb AS pb, row_number() OVER (PARTITION BY img_id ORDER BY count(*) DESC, cr * 65536 + cg * 256 + cb) AS k
@@ -233,11 +245,31 @@ SSE = "sum(qr - sr * sr / n + qg - sg * sg / n + qb - sb * sb / n)"
 BINNED = "SELECT img_id, cand, bin, count(*) AS n, sum(r) AS sr, sum(g) AS sg, sum(b) AS sb, sum(r * r) AS qr, sum(g * g) AS qg, sum(b * b) AS qb"
 CANDS = ", ".join(f"({i}, {co!r}::DOUBLE, {si!r}::DOUBLE)" for i, co, si in gradients.angles(12))
 px_query("gradient_fit", gradients.fit_linear, f"""SELECT img_id, CAST(cand AS INTEGER) AS cand, sse, n FROM (SELECT img_id, cand, round({SSE}, 3) AS sse, CAST(sum(n) AS BIGINT) AS n FROM ({BINNED} FROM (
-   SELECT img_id, cand, r, g, b, CASE WHEN hi - lo > 1e-9 THEN floor((u - lo) / (hi - lo) * 47 + 0.5) ELSE 0 END AS bin FROM (SELECT img_id, cand, r, g, b, x * co + y * si AS u, least(x0 * co, x1 * co) + y0 * si AS lo, greatest(x0 * co, x1 * co) + y1 * si AS hi
+   SELECT img_id, cand, r, g, b, CASE WHEN hi - lo > 1e-9 THEN floor(round((u - lo) / (hi - lo) * 47, 9)) ELSE 0 END AS bin FROM (SELECT img_id, cand, r, g, b, x * co + y * si AS u, least(x0 * co, x1 * co) + y0 * si AS lo, greatest(x0 * co, x1 * co) + y1 * si AS hi
    FROM px JOIN (SELECT img_id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM px GROUP BY img_id) USING (img_id), (VALUES {CANDS}) t(cand, co, si))) GROUP BY img_id, cand, bin) GROUP BY img_id, cand) QUALIFY row_number() OVER (PARTITION BY img_id ORDER BY sse, cand) = 1""")
-px_query("radial_fit", gradients.fit_radial, f"""SELECT img_id, CAST(cand AS INTEGER) AS cand, sse FROM (SELECT img_id, cand, round({SSE}, 3) AS sse FROM ({BINNED} FROM (
-   SELECT img_id, j * 5 + i AS cand, r, g, b, least(47, floor(sqrt((x * 10 - w * (2 * i + 1)) ** 2 + (y * 10 - h * (2 * j + 1)) ** 2) / sqrt((w * w + h * h) * 100) * 48)) AS bin
-   FROM px JOIN (SELECT img_id, max(x) + 1 AS w, max(y) + 1 AS h FROM px GROUP BY img_id) USING (img_id), (SELECT unnest(range(0, 5)) AS i), (SELECT unnest(range(0, 5)) AS j)) GROUP BY img_id, cand, bin) GROUP BY img_id, cand) QUALIFY row_number() OVER (PARTITION BY img_id ORDER BY sse, cand) = 1""")
+
+
+def radial_sql(source: str, keys: str, grid: int, bins: int, first: int = 0) -> list[str]:
+    """The steps of the radial search over ``source``: boxes with centroids, centres, bins, errors in ``radial``."""
+    w, d = "(l // 1000) * (l // 1000)", "(255 - l // 1000) * (255 - l // 1000)"
+    mean = lambda v, w: f"round(sum({v} * {w}) / nullif(sum({w}), 0), 6)"
+    return [f"rbox AS (SELECT {keys}, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, {mean('x', w)} AS lx, {mean('y', w)} AS ly, {mean('x', d)} AS dx, {mean('y', d)} AS dy FROM (SELECT *, r * 299 + g * 587 + b * 114 AS l FROM {source}) GROUP BY {keys})",
+            f"centres AS (SELECT {keys}, x0, x1, y0, y1, 0 AS cand, lx AS cx, ly AS cy FROM rbox UNION ALL SELECT {keys}, x0, x1, y0, y1, 1, dx, dy FROM rbox UNION ALL SELECT {keys}, x0, x1, y0, y1, 2 + j * {grid} + i, x0 + (x1 - x0 + 1) * i / {grid - 1}, y0 + (y1 - y0 + 1) * j / {grid - 1} FROM rbox, (SELECT unnest(range(0, {grid})) AS i), (SELECT unnest(range(0, {grid})) AS j))",
+            f"rbins AS (SELECT {keys}, cand + {first} AS cand, r, g, b, least({bins - 1}, floor(round(sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy)) / greatest(sqrt(greatest(abs(x0 - cx), abs(x1 - cx)) ** 2 + greatest(abs(y0 - cy), abs(y1 - cy)) ** 2), 1e-9) * {bins - 1}, 9))) AS bin FROM {source} JOIN centres USING ({keys}) WHERE cx IS NOT NULL)",
+            f"radial AS (SELECT {keys}, cand, round({SSE}, 3) AS sse, sum(n) AS n FROM (SELECT {keys}, cand, bin, count(*) AS n, sum(r) AS sr, sum(g) AS sg, sum(b) AS sb, sum(r * r) AS qr, sum(g * g) AS qg, sum(b * b) AS qb FROM rbins GROUP BY ALL) GROUP BY {keys}, cand)"]
+
+
+def linear_sql(source: str, keys: str, n: int, bins: int) -> str:
+    """Errors of the directions in ``linear``."""
+    cands = ", ".join(f"({i}, {co!r}::DOUBLE, {si!r}::DOUBLE)" for i, co, si in gradients.angles(n))
+    return f"""linear AS (SELECT {keys}, cand, round({SSE}, 3) AS sse, sum(n) AS n FROM (SELECT {keys}, cand, bin, count(*) AS n, sum(r) AS sr, sum(g) AS sg, sum(b) AS sb, sum(r * r) AS qr, sum(g * g) AS qg, sum(b * b) AS qb FROM (
+   SELECT {keys}, cand, r, g, b, CASE WHEN hi - lo > 1e-9 THEN floor(round((u - lo) / (hi - lo) * {bins - 1}, 9)) ELSE 0 END AS bin FROM (SELECT {keys}, cand, r, g, b, x * co + y * si AS u, least(x0 * co, x1 * co) + y0 * si AS lo, greatest(x0 * co, x1 * co) + y1 * si AS hi
+   FROM {source} JOIN (SELECT {keys}, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM {source} GROUP BY {keys}) USING ({keys}), (VALUES {cands}) t(cand, co, si))) GROUP BY ALL) GROUP BY {keys}, cand)"""
+
+
+px_query("radial_fit", gradients.fit_radial, "SELECT img_id, CAST(cand AS INTEGER) AS cand, sse, CAST(n AS BIGINT) AS n FROM radial QUALIFY row_number() OVER (PARTITION BY img_id ORDER BY sse, cand) = 1", *radial_sql("px", "img_id", 5, 48))
+px_query("gradient_model", gradients.gradient_model, """SELECT img_id, CASE WHEN radial THEN 'radial' ELSE 'linear' END AS kind, CAST(cand AS INTEGER) AS cand, round(sqrt(greatest(0.0e0, sse) / (3 * n)) / 255, 6) AS rmse FROM (
+  SELECT *, false AS radial FROM linear UNION ALL SELECT *, true FROM radial) QUALIFY row_number() OVER (PARTITION BY img_id ORDER BY sse, radial, cand) = 1""", linear_sql("px", "img_id", 12, 48), *radial_sql("px", "img_id", 5, 48))
 
 
 def _bins(p: DataFrame) -> DataFrame:

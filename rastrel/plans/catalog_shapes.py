@@ -14,7 +14,7 @@ from ..sources import sinks
 from ..sources.pixels import pack_images, pixels, table, unpack_images, with_canvas
 from ..streaming import jobs
 from . import convert
-from .catalog import BOXES, CELLS, DSSIM, MODE, PAL, Q4, TONE, boxes, px_query
+from .catalog import BOXES, CELLS, DSSIM, MODE, PAL, Q4, SSE, TONE, boxes, linear_sql, px_query, radial_sql
 from .sql import SQ, sql
 
 
@@ -46,15 +46,12 @@ px_query("merge_small", lambda p: segment.merge_small(comps(p), 9), None)
 px_query("tiled_components", lambda p: segment.tiled_components(q4(p), 16).groupBy("img_id", "comp").agg(F.count("*").alias("area")).select("img_id", "area"), "SELECT img_id, count(*) AS area FROM comp GROUP BY img_id, comp", Q4, COMP, recursive=True)
 px_query("region_trace", lambda p: convert.region_trace(p), None)
 px_query("layer_trace", lambda p: convert.layer_trace(p), None)
-FITCANDS = ", ".join(f"({i}, {co!r}::DOUBLE, {si!r}::DOUBLE)" for i, co, si in gradients.angles(8))
-S6 = "sum(qr - sr * sr / n + qg - sg * sg / n + qb - sb * sb / n)"
-SUMS = "count(*) AS n, sum(r) AS sr, sum(g) AS sg, sum(b) AS sb, sum(r * r) AS qr, sum(g * g) AS qg, sum(b * b) AS qb"
-px_query("region_fit", lambda p: gradients.region_fit(p.withColumn("comp", F.floor(F.col("y") / 32) * 2 + F.floor(F.col("x") / 32))), f"""SELECT img_id, comp, CASE WHEN lin THEN 'linear' ELSE 'solid' END AS kind, CASE WHEN lin THEN CAST(cand AS INTEGER) END AS cand, round(CASE WHEN lin THEN g ELSE f END, 6) AS rmse FROM (
-  SELECT *, g <= 0.6e0 * f AND g < f - 1e-4 AS lin FROM (SELECT a.img_id, a.comp, a.cand, sqrt(greatest(0.0e0, a.sse) / (3 * a.n)) / 255 AS g, sqrt(greatest(0.0e0, fl.flat) / (3 * a.n)) / 255 AS f FROM (
-   SELECT img_id, comp, cand, round({S6}, 3) AS sse, sum(n) AS n FROM (SELECT img_id, comp, cand, bin, {SUMS} FROM (SELECT img_id, comp, cand, r, g, b, CASE WHEN hi - lo > 1e-9 THEN floor((u - lo) / (hi - lo) * 31 + 0.5) ELSE 0 END AS bin FROM (
-     SELECT img_id, comp, cand, r, g, b, x * co + y * si AS u, least(x0 * co, x1 * co) + y0 * si AS lo, greatest(x0 * co, x1 * co) + y1 * si AS hi FROM reg JOIN (SELECT img_id, comp, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM reg GROUP BY ALL) USING (img_id, comp), (VALUES {FITCANDS}) t(cand, co, si))) GROUP BY img_id, comp, cand, bin) GROUP BY img_id, comp, cand
-   QUALIFY row_number() OVER (PARTITION BY img_id, comp ORDER BY sse, cand) = 1) a
-  JOIN (SELECT img_id, comp, round({S6}, 3) AS flat FROM (SELECT img_id, comp, {SUMS} FROM reg GROUP BY ALL) GROUP BY ALL) fl ON fl.img_id = a.img_id AND fl.comp = a.comp))""", "reg AS (SELECT *, CAST(y // 32 * 2 + x // 32 AS BIGINT) AS comp FROM px)")
+FLAT = "count(*) AS n, sum(r) AS sr, sum(g) AS sg, sum(b) AS sb, sum(r * r) AS qr, sum(g * g) AS qg, sum(b * b) AS qb"
+px_query("region_fit", lambda p: gradients.region_fit(p.withColumn("comp", F.floor(F.col("y") / 32) * 2 + F.floor(F.col("x") / 32))), f"""SELECT img_id, comp, kind, CASE WHEN kind <> 'solid' THEN CAST(cand AS INTEGER) END AS cand, round(CASE WHEN kind <> 'solid' THEN g ELSE f END, 6) AS rmse FROM (
+  SELECT *, CASE WHEN NOT (g <= 0.6e0 * f AND g < f - 1e-4) THEN 'solid' WHEN cand < 8 THEN 'linear' ELSE 'radial' END AS kind FROM (SELECT img_id, comp, cand, sqrt(greatest(0.0e0, sse) / (3 * n)) / 255 AS g, sqrt(greatest(0.0e0, flat) / (3 * n)) / 255 AS f FROM (
+   SELECT * FROM (SELECT * FROM linear UNION ALL SELECT * FROM radial) QUALIFY row_number() OVER (PARTITION BY img_id, comp ORDER BY sse, cand) = 1)
+  JOIN (SELECT img_id, comp, round({SSE}, 3) AS flat FROM (SELECT img_id, comp, {FLAT} FROM reg GROUP BY ALL) GROUP BY ALL) USING (img_id, comp)))""",
+  "reg AS (SELECT *, CAST(y // 32 * 2 + x // 32 AS BIGINT) AS comp FROM px)", linear_sql("reg", "img_id, comp", 8, 32), *radial_sql("reg", "img_id, comp", 3, 32, 8))
 
 # ---------------------------------------------------------------- text regions
 TILE = """tl AS (SELECT img_id, CAST(y // 32 AS INTEGER) AS ty, CAST(x // 32 AS INTEGER) AS tx, CAST(l // 8000 AS INTEGER) AS bucket, l, y, x FROM luma),
@@ -208,7 +205,9 @@ SVG = """body AS (SELECT img_id, string_agg('<ellipse cx="' || CAST(r % 64 AS VA
 px_query("svg_emit", documents, "SELECT * FROM svgs", SVG)
 px_query("svg_inner", lambda p: documents(p).select("img_id", paths.svg_inner(F.col("svg")).alias("markup")), "SELECT img_id, regexp_extract(svg, '(?s)<svg[^>]*>(.*)</svg>', 1) AS markup FROM svgs", SVG)
 px_query("svg_stats", lambda p: documents(p).select("img_id", *paths.svg_stats(F.col("svg"))), "SELECT img_id, CAST(len(regexp_extract_all(svg, '<(path|rect|circle|ellipse|polygon|g)[ >]')) AS BIGINT) AS elements, CAST(octet_length(encode(svg)) AS BIGINT) AS bytes FROM svgs", SVG)
-px_query("coord_round", lambda p: p.select("img_id", "y", "x", paths.round_numbers(F.concat(F.lit("M"), (F.col("r") / 7).cast("decimal(10,6)").cast("string"), F.lit(" "), (F.col("g") / 8).cast("decimal(10,3)").cast("string"))).alias("d")), None)
+COORDS = lambda p: p.select("img_id", "y", "x", F.concat(F.lit("M"), (F.col("r") / 7 - 18).cast("decimal(10,6)").cast("string"), F.lit(" "), (F.col("g") / 200).cast("decimal(10,4)").cast("string"), F.lit("L"), F.col("b").cast("string"), F.lit(".995Z")).alias("t"))
+px_query("coord_round", lambda p: COORDS(p).select("img_id", "y", "x", paths.round_numbers(F.col("t")).alias("d")), """SELECT img_id, y, x, 'M' || list_extract(n, 1) || ' ' || list_extract(n, 2) || 'L' || list_extract(n, 3) || 'Z' AS d FROM (SELECT img_id, y, x, list_transform(v, lambda k: regexp_replace(
+   CASE WHEN t2(k) = '-0' THEN '0' ELSE t2(k) END, '^(-?)0\\.', '\\1.')) AS n FROM (SELECT img_id, y, x, [CAST(round(CAST(r AS DOUBLE) / 7 - 18, 6) AS DECIMAL(18,6)), CAST(round(CAST(g AS DOUBLE) / 200, 4) AS DECIMAL(18,6)), CAST(b AS DECIMAL(18,6)) + 0.995] AS v FROM px))""".replace("t2(k)", "regexp_replace(regexp_replace(CAST(round(k, 2) AS VARCHAR), '(\\.\\d*?)0+$', '\\1'), '\\.$', '')"))
 px_query("def_dedupe", lambda p: _defs(p), "SELECT img_id, y, x, CAST(dense_rank() OVER (PARTITION BY img_id ORDER BY f) AS INTEGER) AS def FROM (SELECT img_id, y, x, min(y * 64 + x) OVER (PARTITION BY img_id, r // 12, g // 12, b // 12) AS f FROM px)")
 
 
