@@ -7,12 +7,8 @@ task's memory is bounded by the longest document and not by the batch.
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import ctypes
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,7 +17,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import cut, release, shared_dir, ship  # noqa: F401
 
 SLICE_BYTES = 1 << 20
 U64 = np.uint64
@@ -32,59 +28,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-_OWN: dict[str, str] = {}
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it. Where that is
-    unset, a local master gets a folder of its own; a cluster has none and must be given one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir is not set: it must name a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = tempfile.mkdtemp(prefix="rastrel-shared-")
-        atexit.register(shutil.rmtree, _OWN[app], ignore_errors=True)
-    return _OWN[app]
-
-
-@contextlib.contextmanager
-def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
-    was = spark.conf.get(key, None)
-    spark.conf.set(key, value)
-    try:
-        yield
-    finally:
-        spark.conf.set(key, was) if was is not None else spark.conf.unset(key)
-
-
-def cut(df: DataFrame, *spent: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there, each row is computed
-    once, and a lost executor costs no recomputation of what came before. The write's shuffle files go
-    with it, and so do the tables of earlier cuts in ``spent``, which nothing else may read later."""
-    spark, schema = df.sparkSession, df.schema
-    path = f"{shared_dir(spark)}/rastrel-{uuid.uuid4().hex}"
-    with _setting(spark, _CLEANUP, "true"):
-        df.select("*").write.option("compression", "zstd").parquet(path)
-    release(*spent)
-    out = spark.read.schema(schema).parquet(path)
-    out.rastrel_path = path
-    return out
-
-
-def release(*tables: DataFrame) -> None:
-    """Delete the tables behind frames that ``cut`` returned; other frames are left alone."""
-    for table in tables:
-        path = table.__dict__.pop("rastrel_path", None)
-        if path:
-            context = table.sparkSession.sparkContext
-            at = context._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
-
-
 # ---------------------------------------------------------------- numpy text kernels
 
 def _table(seed: int, n: int) -> np.ndarray:
@@ -213,12 +156,9 @@ class Words:
         coded = words.dictionary_encode()
         return coded.indices.to_numpy().astype(np.int64), len(coded.dictionary)
 
-    def grams(self, k: int, lower: bool = False) -> np.ndarray:
-        """A number for words i..i+k-1, for every i up to len-k: equal numbers are equal word sequences."""
-        return self.joined_numbers(*self.numbers(lower), k)
-
     @staticmethod
     def joined_numbers(one: np.ndarray, n: int, k: int) -> np.ndarray:
+        """A number for words i..i+k-1, for every i up to len-k: equal numbers are equal word sequences."""
         out, high = one[: max(0, len(one) - k + 1)], max(1, n)
         for j in range(1, k):
             if high * n >= 1 << 62:

@@ -18,7 +18,7 @@ Shingle length and threshold are a ``Rule``; the numbers below are those of ``RU
    compared with it, exactly, one row per node. Those that link to it are its ball and leave the group;
    so does the leader. As Jaccard distance is a metric, one that links to a node of the ball, but not
    to the leader, is no further from it than twice the allowed distance: it is a query of the ball. The
-   rest of the group goes to the next round, pruned again. After ``ROUNDS`` rounds few nodes are left,
+   rest of the group goes to the next round, pruned as in 2. After ``ROUNDS`` rounds few nodes are left,
    mostly unrelated ones with a passage in common; each component of them is a group, too.
 4. Token-group matrix. Nodes are coded by their difference from their group's leader, members with the
    same rarest difference token form a row of the matrix, and the row holds the union of their tokens. A link
@@ -39,13 +39,13 @@ never read, and ``keep_one`` returns them as they were.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache, reduce
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import AtomicType
 
@@ -82,8 +82,8 @@ class Rule(NamedTuple):
 
 
 RULE = Rule()
-#: Rounds of leaders before what is left goes to the matrix, and of pruning; any number gives the same links.
-ROUNDS, PRUNES = 6, 2
+#: Rounds of leaders before what is left goes to the matrix, and members of a matrix row; any numbers give the same links.
+ROUNDS, SLOT = 6, 64
 #: Each size class ends at so many times its beginning. At least the inverse of any threshold in use.
 WIDTH = 1.7
 #: A set is dealt at most so often; the last time each token is a part of its own.
@@ -308,26 +308,24 @@ def _survivors(docs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
     held = _shared_rows(_packed(docs, rule, bits)).groupBy("doc_id").agg(F.collect_list("sig").alias("sigs"))
     per_node = [F.min_by(c, "doc_id").alias(c) for c in ("kind", "need0", "need1", "sigs")]
     held = nodes.where("node is not null and doc_id is not null").join(held, "doc_id").groupBy("node").agg(*per_node)
-    rows = cut(_enough(held))
-    for _ in range(PRUNES):  # equal sets are one node from here on
-        rows = _pruned(rows, rows)
-    return rows
+    rows = cut(_enough(held, "sigs"))
+    # equal sets are one node from here on
+    shared = cut(rows.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("sig"))
+    return cut(_enough(_per_node(rows.join(shared, "sig"), F.col("sig")), "sigs"), rows, shared)
 
 
-def _pruned(rows: DataFrame, *spent: DataFrame) -> DataFrame:
-    """The rows of nodes that share enough signatures with other nodes of ``rows``."""
-    shared = cut(rows.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("sig"))
-    per_node = [F.first(c).alias(c) for c in ("kind", "need0", "need1")]
-    held = rows.join(shared, "sig").groupBy("node").agg(*per_node, F.collect_list("sig").alias("sigs"))
-    return cut(_enough(held), shared, *spent)
+def _per_node(rows: DataFrame, value: Column) -> DataFrame:
+    """One row per node with the list of ``value``; no longer than the node's text."""
+    return rows.groupBy("node").agg(*(F.first(c).alias(c) for c in ("kind", "need0", "need1")), F.collect_list(value).alias("sigs"))
 
 
-def _enough(held: DataFrame) -> DataFrame:
-    """(node, sig, ...) of the classes in which a node shares enough signatures."""
+def _enough(held: DataFrame, name: str, sig: Callable[[Column], Column] = lambda e: e) -> DataFrame:
+    """The list's entries, exploded as ``sig``, of the classes in which a node shares enough signatures."""
     for up in (0, 1):
-        part = F.filter("sigs", lambda s: s.bitwiseAND(F.lit(1)) == (F.col("kind") + up) % 2)  # noqa: B023
-        held = held.withColumn(f"part{up}", F.when(F.size(part) >= F.col(f"need{up}"), part).otherwise(F.array().cast("array<long>")))
-    return held.select("node", "kind", "need0", "need1", F.explode(F.array_distinct(F.concat("part0", "part1"))).alias("sig"))
+        part = F.filter(name, lambda e: sig(e).bitwiseAND(F.lit(1)) == (F.col("kind") + up) % 2)  # noqa: B023
+        held = held.withColumn(f"part{up}", F.when(F.size(part) >= F.col(f"need{up}"), part))
+    both = F.concat(*(F.coalesce(f"part{up}", F.filter(name, lambda _: F.lit(False))) for up in (0, 1)))
+    return held.select("node", "kind", "need0", "need1", F.explode(F.array_distinct(both)).alias("sig"))
 
 
 def _node_texts(docs: DataFrame, members: DataFrame) -> DataFrame:
@@ -377,23 +375,26 @@ def _balls(rows: DataFrame, texts: DataFrame, rule: Rule) -> tuple[DataFrame, Da
     The first has (a, b, family, linked): ``a`` compared with the leader ``b``.
     """
     weight = cut(rows.groupBy("node").agg(F.count("*").alias("weight")))
-    found, alive, kept = [], rows, [weight]
+    alive, kept, spent = rows, [weight], []
     near = rule.percent * F.col("difference") <= (100 - rule.percent) * (F.col("size") + F.col("size_b"))
+    found = []
     for _ in range(ROUNDS):
         weighed = alive.join(weight, "node")
         lead = weighed.groupBy("sig").agg(F.max_by("node", F.struct("weight", "node")).alias("b"), F.min("node").alias("low"), F.max("node").alias("high"))
         lead = cut(lead.where("low < high").select("sig", "b"))
-        led = cut(alive.join(lead, "sig").where("node <> b"), lead)
+        # of the groups that still have two nodes, the rows of nodes with enough signatures
+        led = _enough(_per_node(alive.join(lead, "sig"), F.struct("sig", "b")), "sigs", lambda e: e["sig"])
+        led = cut(led.select("node", "kind", "need0", "need1", "sig.sig", "sig.b").where("node <> b"), lead, *spent)
         pairs = led.select(F.col("node").alias("a"), "b", F.concat(F.lit("ball "), F.col("b").cast("string")).alias("family")).distinct()
         compared = cut(_compared(pairs, texts, diffs=False, rule=rule))
         kept.append(compared)
         found.append(compared.where(near).select("a", "b", "family", "linked"))
-        linked = compared.where("linked").select(F.col("a").alias("node"), "b")
-        spent = [led] if alive is rows else [led, alive]
-        alive = _pruned(cut(led.join(linked, ["node", "b"], "left_anti").drop("b"), *spent))
+        alive = led.join(compared.where("linked").select(F.col("a").alias("node"), "b"), ["node", "b"], "left_anti").drop("b")
+        spent = [led]
         if not alive.head(1):
             break
-    return reduce(DataFrame.unionByName, found), alive.join(weight, "node"), kept
+    left = cut(alive.join(weight, "node"), *spent)
+    return reduce(DataFrame.unionByName, found), left, [*kept, left]
 
 
 def _rest(alive: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
@@ -411,8 +412,9 @@ def _query_links(balls: DataFrame, rest: DataFrame, texts: DataFrame, rule: Rule
     """Links between queries and members that do not lead their group, by the token-group matrix: (a, b)."""
     met = balls.withColumn("member", F.col("linked")).unionByName(rest.withColumn("member", F.lit(True)))
     # groups that have a query, and someone else it may link to
-    open_ = met.groupBy("family").agg(F.bool_or(~F.col("linked")).alias("asks"), F.bool_or("member").alias("has"), F.count("*").alias("n")).where("asks and has and n > 1")
-    pairs = cut(met.join(open_.select("family"), "family", "left_semi"))
+    open_ = met.groupBy("family").agg(F.bool_or(~F.col("linked")).alias("asks"), F.bool_or("member").alias("has"), F.count("*").alias("n"))
+    open_ = cut(open_.where("asks and has and n > 1").select("family"))
+    pairs = cut(met.join(open_, "family", "left_semi"), open_)
     coded = _compared(pairs.select("a", "b", "family"), texts, diffs=True, rule=rule)
     coded = coded.join(pairs.select("a", "family", "member"), ["a", "family"])
     coded = cut(coded.withColumn("cluster", F.when(F.col("linked"), F.col("b")).otherwise(F.col("a"))), pairs)
@@ -431,22 +433,21 @@ def _query_links(balls: DataFrame, rest: DataFrame, texts: DataFrame, rule: Rule
     least = F.greatest((d - (F.col("size") - F.col("size_b")) / rule.part), 2 * d - F.col("size") * 2 * rule.gap)
     slack = F.lit(1e-3)  # above the rounding of these fractions; more would only open more
     prefix = cut(placed.where(F.col("member") & (F.col("left") + slack >= least)))
-    # rows by cluster and rarest prefix token; each bounds its members' room and reach
-    group = prefix.groupBy("family", "node", "cluster").agg(F.min_by("token", F.struct("freq", "token")).alias("grp"))
-    group = cut(group.select("family", "node", F.xxhash64("cluster", "grp").alias("grp")))
+    # rows by cluster and rarest prefix token, of some SLOT members each; a row bounds its members' room and reach
+    group = cut(prefix.groupBy("family", "node", "cluster").agg(F.min_by("token", F.struct("freq", "token")).alias("first")))
+    slots = cut(group.groupBy("family", "cluster", "first").agg(F.ceil(F.count("*") / SLOT).alias("slots")))
+    group = cut(group.join(slots, ["family", "cluster", "first"]).select("family", "node", F.xxhash64("cluster", "first", F.pmod(F.xxhash64("node"), "slots")).alias("grp")), group, slots)
     matrix = cut(prefix.join(group, ["family", "node"]).groupBy("family", "token", "grp", "cluster").agg(F.max("room").alias("room"), F.min("reach").alias("reach")), prefix)
     q = placed.where(~F.col("linked") & (F.col("left") + slack >= 2 * d - F.col("size") * 2 * rule.gap)).select("family", "token", F.col("node").alias("query"), F.col("cluster").alias("q_cluster"), F.col("room").alias("q_room"), F.col("reach").alias("q_reach"))
     met = q.join(matrix, ["family", "token"]).where((F.col("cluster") != F.col("q_cluster")) & (F.col("room") + slack >= F.col("q_reach")) & (F.col("q_room") + slack >= F.col("reach")))
     met = cut(met.select("family", "query", "grp").distinct(), matrix)
     # open only rows whose union of tokens holds enough of the query's
-    union = cut(tokens.join(group, ["family", "node"]).groupBy("family", "grp", "token").agg(F.min(d - size).alias("reach")))
-    least = union.groupBy("family", "grp").agg(F.min("reach").alias("reach"))
-    own = tokens.where("not linked").select("family", F.col("node").alias("query"), "token", (d - size).alias("q_reach"))
-    bound = met.join(own, ["family", "query"]).join(union.select("family", "grp", "token"), ["family", "grp", "token"])
-    bound = bound.groupBy("family", "query", "grp", "q_reach").agg(F.count("*").alias("shared")).join(least, ["family", "grp"])
-    opened = bound.where(2 * F.col("shared") + slack >= F.col("q_reach") + F.col("reach")).select("family", "query", "grp")
+    union = cut(tokens.where("member").join(group, ["family", "node"]).groupBy("family", "grp").agg(F.collect_set("token").alias("union"), F.min(d - size).alias("reach")))
+    own = cut(tokens.where("not linked").groupBy("family", F.col("node").alias("query")).agg(F.collect_list("token").alias("own"), F.first(d - size).alias("q_reach")))
+    bound = met.join(own, ["family", "query"]).join(union, ["family", "grp"])
+    opened = bound.where(2 * F.size(F.array_intersect("own", "union")) + slack >= F.col("q_reach") + F.col("reach")).select("family", "query", "grp")
     found = opened.join(group, ["family", "grp"]).where("node <> query")
-    found = cut(found.select(F.least("query", "node").alias("a"), F.greatest("query", "node").alias("b"), F.lit("").alias("family")).distinct(), met, union, tokens, group)
+    found = cut(found.select(F.least("query", "node").alias("a"), F.greatest("query", "node").alias("b"), F.lit("").alias("family")).distinct(), met, union, own, tokens, group)
     return cut(_compared(found, texts, diffs=False, rule=rule).where("linked").select("a", "b"), found)
 
 
@@ -455,8 +456,8 @@ def classes(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
     nodes = sets_table(docs, rule)
     rows = _survivors(docs, nodes, rule)
     texts = _node_texts(docs, rows)
-    balls, alive, kept = _balls(rows, texts, rule)
-    rest = _rest(alive, texts, rule)
+    balls, left, kept = _balls(rows, texts, rule)
+    rest = _rest(left, texts, rule)
     direct = balls.unionByName(rest).where("linked").select("a", "b")
     roots = components(direct.unionByName(_query_links(balls, rest, texts, rule)))
     placed = cut(nodes.join(roots, "node", "left").select("doc_id", "n_shingles", F.coalesce("root", "node", "doc_id").alias("component_id")), nodes)

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import buffers, map_slices, pieces
+from .common import buffers, map_slices, pieces, trim
 from .training import fit_svm, fold, sigmoid
 
 #: Bounds of the training sample: rows of one language, and of all.
@@ -195,7 +195,10 @@ def fit(docs: DataFrame) -> Model | None:
     first = F.row_number().over(Window.partitionBy("lang").orderBy("order", "doc_id", "text"))
     sample = known.where(u < share[F.col("lang")]).withColumn("place", first).where(F.col("place") <= rows)
     sample = sample.select("doc_id", "text", "lang").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    return Model(sample["text"].combine_chunks(), sample["lang"].to_pylist()) if len(sample) else None
+    model = Model(sample["text"].combine_chunks(), sample["lang"].to_pylist()) if len(sample) else None
+    del sample
+    trim()
+    return model
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:

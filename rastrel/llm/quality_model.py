@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, map_slices, pieces
+from .common import U64, Words, map_slices, pieces, trim
 from .training import fold, labelled_sample, sigmoid
 
 FOLDS, HELD = 3, 1
@@ -133,7 +133,10 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     sample = labelled_sample(docs, labels, "quality", FOLDS, HELD)
-    return Model(sample["text"].combine_chunks() if len(sample) else pa.array([], pa.string()), sample["y"].to_numpy())
+    model = Model(sample["text"].combine_chunks() if len(sample) else pa.array([], pa.string()), sample["y"].to_numpy())
+    del sample
+    trim()
+    return model
 
 
 def score_quality(docs: DataFrame, model: Model) -> DataFrame:

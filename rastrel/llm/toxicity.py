@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, map_slices, mix, pieces, rolling
+from .common import Words, map_slices, mix, pieces, rolling, trim
 from .training import fit_logistic, fit_svm, fold, labelled_sample, sigmoid
 
 FOLDS, HELD = 4, 2
@@ -354,7 +354,10 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     sample = labelled_sample(docs, labels, "toxic", FOLDS, HELD)
-    return Model(sample["text"].to_pylist(), sample["y"].to_numpy())
+    model = Model(sample["text"].to_pylist(), sample["y"].to_numpy())
+    del sample
+    trim()
+    return model
 
 
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
