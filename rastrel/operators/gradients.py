@@ -58,13 +58,18 @@ def flat_sse(px: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     return profile_sse(px.select(*keys, F.lit(0).alias("bin"), *CHANNELS), *keys).select(*keys, F.col("sse").alias("flat"))
 
 
+def fit_any(px: DataFrame, directions: int, grid: int, bins: int, keys: tuple[str, ...]) -> DataFrame:
+    """(keys, cand, sse, n): the best of all directions and, numbered after them, the radial candidates."""
+    both = fit_linear(px, directions, bins, keys).unionByName(fit_radial(px, bins, grid, keys).withColumn("cand", F.col("cand") + directions))
+    return _best(both, keys)
+
+
 def region_fit(px: DataFrame, keys: tuple[str, ...] = ("img_id", "comp")) -> DataFrame:
     """Per region: the best of 8 directions and 11 centres if its error is at most 0.6 of flat and lower by more than 1e-4, else solid.
 
     Candidates 0 to 7 are directions, 8 and 9 the light and dark centroid, 10 to 18 a 3 x 3 lattice over the box.
     """
-    both = fit_linear(px, 8, 32, keys).unionByName(fit_radial(px, 32, 3, keys).withColumn("cand", F.col("cand") + 8))
-    fit = _best(both, keys).join(flat_sse(px, keys), list(keys))
+    fit = fit_any(px, 8, 3, 32, keys).join(flat_sse(px, keys), list(keys))
     g = F.sqrt(F.greatest(F.lit(0.0), F.col("sse")) / (3 * F.col("n"))) / 255
     f = F.sqrt(F.greatest(F.lit(0.0), F.col("flat")) / (3 * F.col("n"))) / 255
     kind = F.when((g <= 0.6 * f) & (g < f - 1e-4), F.when(F.col("cand") < 8, "linear").otherwise("radial")).otherwise("solid")

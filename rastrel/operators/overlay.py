@@ -10,8 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut, ship
-from . import gradients, metrics, neighbours, palette, segment, text
-from .geometry import upscale
+from . import gradients, metrics, neighbours, palette, segment
 from .paths import fit_ellipse
 
 BLOB = "img_id long, comp long, area long, x0 int, y0 int, x1 int, y1 int, cx double, cy double, ra double, rb double, theta double, cand int, rmse double"
@@ -56,7 +55,7 @@ def fit_overlay(px: DataFrame, smooth: int = 10, share: float = 0.012, least: in
     stats = stats.where((F.col("area") >= F.greatest(F.lit(least), F.floor(w * h * share))) & (touches < 3) & ~whole)
     own = found.join(stats.select("img_id", "comp"), ["img_id", "comp"], "left_semi").select("img_id", "y", "x", "comp").join(px, ["img_id", "y", "x"])
     shape = gradients.ellipse_moments(own, ("img_id", "comp"))
-    fit = gradients.fit_linear(own, 8, 32, ("img_id", "comp")).join(gradients.flat_sse(own, ("img_id", "comp")), ["img_id", "comp"])
+    fit = gradients.fit_any(own, 8, 3, 32, ("img_id", "comp")).join(gradients.flat_sse(own, ("img_id", "comp")), ["img_id", "comp"])
     g, f = (F.sqrt(F.greatest(F.lit(0.0), F.col(k)) / (3 * F.col("n"))) / 255 for k in ("sse", "flat"))
     fit = fit.select("img_id", "comp", "cand", F.round(g, 6).alias("rmse"), F.round(f, 6).alias("flat_rmse"))
     blobs = stats.join(shape, ["img_id", "comp"]).join(fit, ["img_id", "comp"])
@@ -65,23 +64,40 @@ def fit_overlay(px: DataFrame, smooth: int = 10, share: float = 0.012, least: in
     return dedupe_blobs(blobs.select(*(F.col(name).cast(kind).alias(name) for name, kind in (c.split() for c in BLOB.split(", ")))))
 
 
-def text_patches(pair: DataFrame, boxes: DataFrame, factor: int = 2, max_bytes: int = 150_000) -> DataFrame:
-    """Traced patches for boxes(img_id, id, x0, y0, x1, y1) where they lower the canvas's error enough.
+def text_patches(pair: DataFrame, boxes: DataFrame, max_bytes: int = 150_000) -> DataFrame:
+    """(img_id, id, bytes, path, before, after): patches for boxes(img_id, id, x0, y0, x1, y1) that lower the canvas's error enough.
 
-    Each box is cropped, enlarged and traced as an image of its own; the patch's pixels are the finer
-    lattice. (img_id, id, bytes, path, before, after) of the accepted ones.
+    Each box of at least 12 pixels a side is cropped, enlarged twice, traced and rendered back over the
+    canvas; what is measured is the patch itself. A group is one image.
     """
-    from ..plans.convert import region_trace
-
-    fine = pair.withColumns({f"p{k}": palette.lattice(k, 8) for k in "rgb"})
-    gate = text.patch_gate(fine, boxes).where("accepted")
-    b = boxes.join(gate.select("img_id", "id"), ["img_id", "id"], "left_semi")
-    crop = pair.join(b, "img_id").where("x between x0 and x1 and y between y0 and y1")
-    crop = crop.select((F.col("img_id") * (1 << 20) + F.col("id")).alias("img_id"), (F.col("y") - F.col("y0")).alias("y"), (F.col("x") - F.col("x0")).alias("x"), "r", "g", "b")
-    traced = region_trace(upscale(crop, factor), levels=8, least=4)
-    svg = traced.groupBy("img_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("comp", "fill", "path"))), lambda e: F.concat(F.lit('<path fill="'), e["fill"], F.lit('" d="'), e["path"], F.lit('"/>'))), "").alias("path"))
-    out = svg.select(F.floor(F.col("img_id") / (1 << 20)).alias("img_id"), (F.col("img_id") % (1 << 20)).alias("id"), F.octet_length("path").cast("long").alias("bytes"), "path").where(F.col("bytes") <= max_bytes)
-    return out.join(gate.select("img_id", "id", "before", "after"), ["img_id", "id"])
+    from ..sources.pixels import pack_images
+    from . import vectorize
+
+    packed = pack_images(pair).join(pack_images(pair.select("img_id", "y", "x", *(F.col(f"c{k}").alias(k) for k in "rgb"))).select("img_id", F.col("data").alias("canvas")), "img_id")
+
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        for row in left.to_pylist():
+            h, w = row["height"], row["width"]
+            target, canvas = (np.frombuffer(row[k], np.uint8).reshape(h, w, 3).astype(np.float64) for k in ("data", "canvas"))
+            for b in sorted(right.to_pylist(), key=lambda b: b["id"]):
+                ys, xs = slice(b["y0"], b["y1"] + 1), slice(b["x0"], b["x1"] + 1)
+                crop, under = target[ys, xs], canvas[ys, xs]
+                if min(crop.shape[:2]) < 12:
+                    continue
+                fine = np.repeat(np.repeat(crop, 2, 0), 2, 1)
+                marks = vectorize.region_marks(fine, vectorize.regions(fine, 8, 4))
+                size = f"{2 * crop.shape[1]} {2 * crop.shape[0]}"
+                patch = vectorize.rasterize(f'<svg viewBox="0 0 {size}">{marks}</svg>', crop.shape[1], crop.shape[0])
+                before, after = (round(vectorize.dssim(crop, v), 9) for v in (under, patch))
+                if len(marks) <= max_bytes and after < 0.97 * before:
+                    out.append({"img_id": row["img_id"], "id": b["id"], "bytes": len(marks), "path": marks, "before": before, "after": after})
+        kinds = [("img_id", pa.int64()), ("id", pa.int64()), ("bytes", pa.int64()), ("path", pa.string()), ("before", pa.float64()), ("after", pa.float64())]
+        return pa.Table.from_pylist(out, schema=pa.schema(kinds))
+
+    ship(pair.sparkSession)
+    placed = boxes.select("img_id", F.col("id").cast("long").alias("id"), *(F.col(k).cast("int").alias(k) for k in ("x0", "y0", "x1", "y1")))
+    return packed.groupBy("img_id").cogroup(placed.groupBy("img_id")).applyInArrow(run, "img_id long, id long, bytes long, path string, before double, after double")
 
 
 def tone_match(pair: DataFrame, gain: float = 0.995) -> DataFrame:

@@ -178,9 +178,11 @@ def snap_paths(paths: DataFrame) -> DataFrame:
     return paths.select(F.col("id").cast("long").alias("id"), "d").mapInArrow(run, "id long, kind string, params array<double>, d string")
 
 
-def number(v: float) -> str:
-    """At most two decimals, without trailing zeros."""
-    return f"{v:.2f}".rstrip("0").rstrip(".").replace("-0", "0") if abs(v) < 0.005 else f"{v:.2f}".rstrip("0").rstrip(".")
+def number(v: float, decimals: int = 2) -> str:
+    """A number of at most so many decimals, without trailing zeros."""
+    t = f"{v:.{decimals}f}"
+    t = t.rstrip("0").rstrip(".") if "." in t else t
+    return "0" if t == "-0" else t
 
 
 def emit(points: np.ndarray, closed: bool) -> str:

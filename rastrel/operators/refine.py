@@ -23,7 +23,7 @@ SHAPE_SCHEMA = "img_id long, seq int, kind string, p array<double>, r int, g int
 
 @dataclass
 class Options:
-    """Budget and search effort of one refinement."""
+    """Budget and search effort of one refinement. The defaults."""
 
     budget: int = 40
     kinds: tuple[str, ...] = KINDS
@@ -35,11 +35,19 @@ class Options:
     epsilon: float = 1e-7
     candidates: int = 3
     tries: int = 24
-    age: int = 40
+    age: int = 80
     seed: int = 1
     plateau_window: int = 24
     plateau_gain: float = 0.012
     target: float = 0.0
+    #: Whole-image steps instead of steps around the worst cells.
+    everywhere: bool = False
+    #: Asked after every CHECK accepted shapes; true ends the search.
+    close: Callable[[Canvas], bool] | None = None
+
+
+#: Search effort of a whole-image step (candidates, tries, age), accepted shapes between target checks.
+EVERYWHERE, CHECK = (4, 30, 100), 8
 
 
 def mask_of(kind: str, p: np.ndarray, width: int, height: int) -> tuple[slice, slice, np.ndarray] | None:
@@ -57,10 +65,10 @@ def mask_of(kind: str, p: np.ndarray, width: int, height: int) -> tuple[slice, s
     y0, y1 = max(0, math.floor(box[2])), min(height - 1, math.ceil(box[3]))
     if x0 > x1 or y0 > y1:
         return None
-    x, y = np.meshgrid(np.arange(x0, x1 + 1) + 0.5, np.arange(y0, y1 + 1) + 0.5)
+    x, y = np.arange(x0, x1 + 1)[None, :] + 0.5, np.arange(y0, y1 + 1)[:, None] + 0.5
     if kind == "triangle":
         sides = [(xs[(i + 1) % 3] - xs[i]) * (y - ys[i]) - (ys[(i + 1) % 3] - ys[i]) * (x - xs[i]) for i in range(3)]
-        m = np.all([s >= 0 for s in sides], 0) | np.all([s <= 0 for s in sides], 0)
+        m = (sides[0] >= 0) & (sides[1] >= 0) & (sides[2] >= 0) | (sides[0] <= 0) & (sides[1] <= 0) & (sides[2] <= 0)
     else:
         u, v = (x - cx) * co + (y - cy) * si, -(x - cx) * si + (y - cy) * co
         m = (u / max(a, 0.5)) ** 2 + (v / max(b, 0.5)) ** 2 <= 1 if "ellipse" in kind else (np.abs(u) <= a) & (np.abs(v) <= b)
@@ -137,14 +145,13 @@ def error_cells(canvas: Canvas, block: int) -> list[tuple[float, int, int, int,
     return [(float(rows[r, c]), c * block, r * block, min(block, w - c * block), min(block, h - r * block)) for r in range(rows.shape[0]) for c in range(rows.shape[1])]
 
 
-def step(canvas: Canvas, o: Options, number: int, img_id: int) -> bool:
-    """Worst cells -> roulette -> random tries there -> hill climb -> keep if the score falls."""
+def worst_place(canvas: Canvas, o: Options, rng: np.random.Generator) -> tuple[float, float, float, float, float, float] | None:
+    """(x, y, w, h, largest area, largest extent) around one of the worst cells, by roulette over their errors."""
     h, w, _ = canvas.target.shape
-    rng = np.random.Generator(np.random.Philox(key=[(o.seed << 32) ^ (img_id & 0xFFFFFFFF), number]))
     cells = sorted(error_cells(canvas, o.block), key=lambda c: (-c[0], c[2], c[1]))[: o.top_k]
     total = sum(c[0] for c in cells)
     if total <= 0:
-        return False
+        return None
     at = rng.random() * total
     for cell in cells:
         at -= cell[0]
@@ -152,21 +159,35 @@ def step(canvas: Canvas, o: Options, number: int, img_id: int) -> bool:
             break
     _, x, y, cw, ch = cell
     gx, gy = cw * (o.expand - 1) / 2, ch * (o.expand - 1) / 2
-    box = (x - gx, y - gy, cw * o.expand, ch * o.expand)
-    max_area = min(o.max_area * w * h, max(9 * cw * ch, 256))
-    max_extent = min(0.22 * max(w, h), 2.5 * max(box[2], box[3])) if max(w, h) > 64 else max(w, h)
+    extent = min(0.22 * max(w, h), 2.5 * max(cw, ch) * o.expand) if max(w, h) > 64 else max(w, h)
+    return x - gx, y - gy, cw * o.expand, ch * o.expand, min(o.max_area * w * h, max(9 * cw * ch, 256)), extent
+
+
+def step(canvas: Canvas, o: Options, number: int, img_id: int) -> bool:
+    """Worst cells -> roulette -> random tries there -> hill climb -> keep if the score falls.
+
+    With ``everywhere`` the tries fall on the whole image, with the effort of such a step.
+    """
+    h, w, _ = canvas.target.shape
+    rng = np.random.Generator(np.random.Philox(key=[(o.seed << 32) ^ (img_id & 0xFFFFFFFF), number]))
+    place = (0.0, 0.0, float(w), float(h), math.inf, math.inf) if o.everywhere else worst_place(canvas, o, rng)
+    if not place:
+        return False
+    box, max_area, max_extent = place[:4], place[4], place[5]
+    candidates, tries, patience = EVERYWHERE if o.everywhere else (o.candidates, o.tries, o.age)
+    reach = max(w, h) if max(w, h) <= 64 or o.everywhere else int(max(box[2], box[3]))
     best: tuple | None = None
-    for _ in range(o.candidates):
+    for _ in range(candidates):
         kind = o.kinds[int(rng.integers(len(o.kinds)))]
         own: tuple | None = None
-        for _ in range(o.tries):
+        for _ in range(tries):
             p = random_shape(rng, kind, box)
             e = canvas.evaluate(kind, p, o.alpha, max_area, max_extent)
             if e and (own is None or e[0] < own[0]):
                 own = (e[0], p, e[1])
         age = 0
-        while own and age < o.age:
-            p = mutate(rng, own[1], max(w, h) if max(w, h) <= 64 else int(max(box[2], box[3])))
+        while own and age < patience:
+            p = mutate(rng, own[1], reach)
             e = canvas.evaluate(kind, p, o.alpha, max_area, max_extent)
             age += 1
             if e and e[0] < own[0]:
@@ -190,7 +211,8 @@ def refine(canvas: Canvas, o: Options, img_id: int) -> list[dict]:
             accepted.append(canvas.score())
         history.append({"i": i, "added": len(canvas.shapes), "score": canvas.score(), "improved": ok})
         flat = len(accepted) > o.plateau_window and accepted[-1 - o.plateau_window] > 0 and (accepted[-1 - o.plateau_window] - accepted[-1]) / accepted[-1 - o.plateau_window] < o.plateau_gain
-        if stalls >= limit or flat or canvas.score() <= o.target:
+        met = ok and o.close is not None and len(canvas.shapes) % CHECK == 0 and o.close(canvas)
+        if stalls >= limit or flat or met or canvas.score() <= o.target:
             break
     return history
 

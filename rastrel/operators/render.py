@@ -33,10 +33,13 @@ class Gradient:
 
     radial: bool
     place: tuple[float, ...]
+    matrix: np.ndarray = field(default_factory=lambda: np.eye(3))
     offsets: list[float] = field(default_factory=list)
     colors: list[tuple[int, int, int]] = field(default_factory=list)
 
     def paint(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        back = np.linalg.inv(self.matrix)
+        x, y = back[0, 0] * x + back[0, 1] * y + back[0, 2], back[1, 0] * x + back[1, 1] * y + back[1, 2]
         if self.radial:
             cx, cy, r = self.place
             t = np.hypot(x - cx, y - cy) / max(r, 1e-9)
@@ -117,7 +120,7 @@ def parse(svg: str) -> Document:
         elif tag in ("linearGradient", "radialGradient"):
             radial = tag == "radialGradient"
             place = tuple(number(k) for k in (("cx", "cy", "r") if radial else ("x1", "y1", "x2", "y2")))
-            current = gradients[a["id"]] = Gradient(radial, place)
+            current = gradients[a["id"]] = Gradient(radial, place, matrix(a.get("gradientTransform", "")))
         elif tag == "stop" and current:
             offset = a.get("offset", "0")
             current.offsets.append(float(offset[:-1]) / 100 if offset.endswith("%") else float(offset))

@@ -39,11 +39,16 @@ def local_ink(px: DataFrame, tile: int = 32) -> DataFrame:
 INK, FLAT_SLOPE, RELAXED_SLOPE, DARK_IMAGE = 45, 8.0, 22.0, 65
 
 
+def _tiled(px: DataFrame, tile: int) -> DataFrame:
+    l = (F.col("r") * 299 + F.col("g") * 587 + F.col("b") * 114).cast("long")
+    return px.select("img_id", "y", "x", "r", "g", "b", l.alias("l"), F.floor(F.col("y") / tile).cast("int").alias("ty"), F.floor(F.col("x") / tile).cast("int").alias("tx"))
+
+
 def tile_colors(px: DataFrame, tile: int = 32, slope: float = FLAT_SLOPE) -> DataFrame:
     """(img_id, ty, tx, valid, tr, tg, tb, mean): each tile's background colour (of its commonest lumas) and mean luma."""
     keys = ["img_id", "ty", "tx"]
     bg = tile_background(px, tile, slope=slope).select(*keys, "mode", "valid")
-    v = with_luma(px).withColumn("ty", F.floor(F.col("y") / tile).cast("int")).withColumn("tx", F.floor(F.col("x") / tile).cast("int")).join(bg, keys)
+    v = _tiled(px, tile).join(bg, keys)
     band = F.abs(F.floor(F.col("l") / 8000) - F.col("mode")) <= 1
     return v.groupBy(*keys, "valid").agg(*(F.avg(F.when(band, F.col(k))).alias(f"t{k}") for k in "rgb"), (F.avg("l") / 1000).alias("mean"))
 
@@ -54,7 +59,7 @@ def text_ink(px: DataFrame, relaxed: bool = False, tile: int = 32) -> DataFrame:
     Relaxed: also vivid bright pixels on dark tiles without a background, and pixels much more vivid than a bright one.
     """
     bg = tile_colors(px, tile, RELAXED_SLOPE if relaxed else FLAT_SLOPE)
-    v = with_luma(px).withColumn("ty", F.floor(F.col("y") / tile).cast("int")).withColumn("tx", F.floor(F.col("x") / tile).cast("int")).join(bg, ["img_id", "ty", "tx"])
+    v = _tiled(px, tile).join(bg, ["img_id", "ty", "tx"])
     away = F.greatest(*(F.abs(F.col(k) - F.col(f"t{k}")) for k in "rgb")) > INK
     bright = F.col("l") >= 240000
     if relaxed:

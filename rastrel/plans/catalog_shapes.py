@@ -158,11 +158,11 @@ def packed(s: SparkSession, d: str) -> DataFrame:
 
 register("pack_roundtrip", lambda s, d: unpack_images(pack_images(pixels(s, d))), sql("SELECT * FROM px"))
 register("png_sink", lambda s, d: sinks.encode_png(pack_images(pixels(s, d))).select("img_id", "width", "height", F.octet_length("png").alias("bytes")))
-register("refine_step", lambda s, d: refine.refine_images(packed(s, d), refine.Options(budget=4)))
-register("prune_pass", lambda s, d: refine.refine_images(packed(s, d), refine.Options(budget=6), with_prune=True))
-register("splat_fit", lambda s, d: refine.splat_images(packed(s, d), 4))
+register("refine_step", lambda s, d: refine.refine_images(packed(s, d), refine.Options(budget=60)))
+register("prune_pass", lambda s, d: refine.refine_images(packed(s, d), refine.Options(budget=60), with_prune=True))
+register("splat_fit", lambda s, d: refine.splat_images(packed(s, d), 60))
 register("shape_eval", lambda s, d: refine.evaluate_shapes(packed(s, d), ellipses(pixels(s, d)).select("img_id", "seq", F.lit("ellipse").alias("kind"), F.array("cx", "cy", "rx", "ry").alias("p"))))
-register("convert", lambda s, d: convert.convert(pixels(s, d), "draft", budget=6))
+register("convert", lambda s, d: convert.convert(pixels(s, d), "draft"))
 px_query("weighted_pick", lambda p: _pick(metrics.topk_cells(metrics.error_map(p))), """SELECT img_id, arg_min(rank, rank) AS rank FROM (SELECT img_id, CAST(rank AS INTEGER) AS rank, sum(err) OVER (PARTITION BY img_id ORDER BY rank) AS upto, sum(err) OVER (PARTITION BY img_id) AS total,
   CAST(('0x' || substr(md5('pick:' || CAST(img_id AS VARCHAR)), 1, 8)) AS BIGINT) / 4294967296.0e0 AS u FROM (SELECT *, row_number() OVER (PARTITION BY img_id ORDER BY err DESC, r, c) AS rank FROM cells QUALIFY rank <= 6)) WHERE upto > u * total GROUP BY img_id""", CELLS, canvas=True)
 

@@ -1,7 +1,8 @@
-"""Conversion of images to vector documents: analyze, plan, candidates, converge, pick, emit.
+"""Conversion of images to vector documents: analyze, plan, candidates, converge, pick, finish.
 
-Candidates are rows, so the search runs one task per (image, candidate). Every adoption is measured:
-a gradient base, splats or shapes stay only if the error falls by the stated factor.
+Candidates are rows, so the search runs one task per (image, candidate); ``operators.vectorize`` does the
+work on one of them. Signals and text boxes are plans over pixels, all else travels as one packed row
+per image. A score is the dissimilarity of the rendered document, so it always belongs to its markup.
 """
 
 from __future__ import annotations
@@ -11,15 +12,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import palette, segment, signals
-from ..operators.paths import number
-from ..operators.refine import Canvas, Options, prune, refine, splat_fit, splat_weights
-from ..session import ship
+from ..operators import palette, paths, segment, signals, text, vectorize
+from ..operators.refine import KINDS
+from ..operators.vectorize import LADDER_WALK
+from ..session import cut, ship
 from ..sources.pixels import pack_images
 
-#: Fixed values: (rung, resolution share) in the order they are tried for size.
-LADDER_WALK = [(1, 1.0), (1, 0.7), (1, 0.57), (2, 0.7), (2, 0.57), (3, 0.57)]
-
 
 def ladder(presets: DataFrame, rungs: int = 4) -> DataFrame:
     """Preset rungs: coarser speckle, wider layers and lower precision at each."""
@@ -63,16 +61,35 @@ def pick(results: DataFrame) -> DataFrame:
     return out.select("img_id", F.col("b2.candidate").alias("candidate"), F.col("b2.score").alias("score"), F.col("b2.bytes").alias("bytes"))
 
 
-def region_trace(px: DataFrame, levels: int = 4, least: int = 9) -> DataFrame:
+def region_trace(px: DataFrame, step: int = 64, least: int = 9) -> DataFrame:
     """Base trace: quantize, components, merge small ones, loops around each: (img_id, comp, fill, area, path)."""
-    q = palette.quantize(px, levels)
+    q = palette.quantize(px, 256 // step)
     comps = segment.merge_small(segment.components(q.select("img_id", "y", "x", F.col("key").alias("label"))), least)
     color = comps.join(px, ["img_id", "y", "x"]).groupBy("img_id", "comp").agg(F.count("*").alias("area"), *(F.floor(F.avg(k) + 0.5).cast("int").alias(k) for k in "rgb"))
     loops = segment.trace_loops(segment.boundary_edges(comps))
+    return color.join(path_text(loops, "comp"), ["img_id", "comp"]).select("img_id", "comp", fill("r", "g", "b").alias("fill"), "area", "path")
+
+
+def preset_trace(px: DataFrame, preset: str, rung: int = 0) -> DataFrame:
+    """Base trace by a named preset at a rung of its ladder: colour steps by layer step and precision, speckle squared merged."""
+    p = coarser(PRESETS[preset], rung)
+    return region_trace(px, 1 << max(0, max(p["layer_step"], 1 << (8 - p["precision"])).bit_length() - 1), p["speckle"] ** 2)
+
+
+def coarser(preset: dict, rung: int) -> dict:
+    return {**preset, "speckle": min(64, preset["speckle"] * 2**rung), "layer_step": min(128, int(preset["layer_step"] * 1.8**rung + 0.5)), "precision": max(3, preset["precision"] - rung)}
+
+
+#: The tracer's part of each preset, by name.
+PRESETS = {p[0]: {"speckle": p[1], "precision": p[2], "layer_step": p[3]} for p in signals.PRESETS}
+
+
+def path_text(loops: DataFrame, key: str) -> DataFrame:
+    """(img_id, key, path): a component's loops as one path."""
     point = lambda p: F.concat(p["x"].cast("string"), F.lit(" "), p["y"].cast("string"))
-    text = F.concat(F.lit("M"), F.array_join(F.transform("points", point), "L"), F.lit("Z"))
-    paths = loops.select("img_id", "comp", "loop", text.alias("d")).groupBy("img_id", "comp").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("loop", "d"))), lambda e: e["d"]), "").alias("path"))
-    return color.join(paths, ["img_id", "comp"]).select("img_id", "comp", fill("r", "g", "b").alias("fill"), "area", "path")
+    one = F.concat(F.lit("M"), F.array_join(F.transform("points", point), "L"), F.lit("Z"))
+    rows = loops.select("img_id", F.col("comp").alias(key), "loop", one.alias("d"))
+    return rows.groupBy("img_id", key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("loop", "d"))), lambda e: e["d"]), "").alias("path"))
 
 
 def fill(r: str, g: str, b: str) -> Column:
@@ -93,89 +110,122 @@ def layer_trace(px: DataFrame, colors: int = 8, lloyd: int = 2) -> DataFrame:
     order = Window.partitionBy("img_id").orderBy(F.desc("n"), "label")
     layers = kept.withColumn("layer", F.row_number().over(order) - 1)
     edges = segment.boundary_edges(labels.join(kept.select("img_id", "label"), ["img_id", "label"], "left_semi").select("img_id", "y", "x", F.col("label").cast("long").alias("comp")))
-    loops = segment.trace_loops(edges)
-    point = lambda p: F.concat(p["x"].cast("string"), F.lit(" "), p["y"].cast("string"))
-    text = F.concat(F.lit("M"), F.array_join(F.transform("points", point), "L"), F.lit("Z"))
-    paths = loops.select("img_id", F.col("comp").cast("int").alias("label"), "loop", text.alias("d")).groupBy("img_id", "label").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("loop", "d"))), lambda e: e["d"]), "").alias("path"))
-    return layers.join(paths, ["img_id", "label"]).select("img_id", F.col("layer").cast("int").alias("layer"), fill("pr", "pg", "pb").alias("fill"), "n", "path")
+    texts = path_text(segment.trace_loops(edges), "label").withColumn("label", F.col("label").cast("int"))
+    return layers.join(texts, ["img_id", "label"]).select("img_id", F.col("layer").cast("int").alias("layer"), fill("pr", "pg", "pb").alias("fill"), "n", "path")
 
 
-def element(kind: str, p: list[float], r: int, g: int, b: int, alpha: float) -> str:
-    """Compact markup of one committed shape."""
-    ink = f'fill="#{r:02x}{g:02x}{b:02x}"' + (f' fill-opacity="{number(alpha)}"' if alpha < 1 else "")
-    v = [number(x) for x in p]
-    if kind == "triangle":
-        return f'<path d="M{v[0]} {v[1]}L{v[2]} {v[3]}L{v[4]} {v[5]}Z" {ink}/>'
-    turn = f' transform="rotate({number(p[4] * 180 / np.pi)} {v[0]} {v[1]})"' if len(p) > 4 else ""
-    if kind == "rotated_rect":
-        return f'<rect x="{number(p[0] - p[2])}" y="{number(p[1] - p[3])}" width="{number(2 * p[2])}" height="{number(2 * p[3])}"{turn} {ink}/>'
-    return f'<ellipse cx="{v[0]}" cy="{v[1]}" rx="{v[2]}" ry="{v[3]}"{turn} {ink}/>'
+RESULT = "img_id long, candidate string, ord int, bias double, base string, base_score double, score double, rmse double, shapes int, bytes long, svg string, history array<struct<i:int,added:int,score:double,improved:boolean>>"
+RUN_FIELDS = ("quality", "type", "preset", "alpha", "budget", "saliency", "smooth_share", "texture", "glyphs")
 
 
-RESULT = "img_id long, candidate string, ord int, bias double, base_score double, score double, shapes int, bytes long, body string, svg string"
+def run_plan(row: dict, overrides: dict) -> dict:
+    """What one candidate does, from its plan row: the arguments of ``vectorize``. ``overrides`` replace any of them."""
+    tier = {t[0]: t for t in signals.TIERS}[row["quality"]]
+    kind, name, document = row["type"], row["candidate"], row["preset"] == "document"
+    preset = {"flat": "fine", "fine": "flat"}.get(row["preset"], row["preset"]) if name == "alternate" else row["preset"]
+    plateau = max(tier[5], 0.012 if document else 0.02) if kind == "text" else tier[5]
+    out = {
+        "preset": PRESETS[preset], "alpha": row["alpha"], "budget": row["budget"], "target": tier[4], "plateau": plateau, "saliency": row["saliency"],
+        "kinds": ["rotated_rect"] if kind == "text" else ["rotated_ellipse"] if kind == "photo" else list(KINDS),
+        # text keeps every byte: small letters must not be coarsened away
+        "max_bytes": None if kind == "text" else tier[6],
+        "snapping": kind in ("flat", "illustration") and name != "layered",
+        "scale": 2 if kind == "text" and not document and name not in ("layered", "native") else 1,
+        "layers": 48 if name == "layered" else 0,
+        "splats": min(400, round(1.2 * row["budget"])) if name == "splat" else 0,
+    }
+    return {**out, **overrides}
 
 
-def converge(runs: DataFrame) -> DataFrame:
-    """runs(img_id, width, height, data, canvas, body, candidate, ord, bias, budget, alpha, weight) -> measured results.
+def converge(runs: DataFrame, overrides: dict | None = None) -> DataFrame:
+    """runs(img_id, width, height, data, weight, candidate, ord, bias and the fields of a plan) -> measured results.
 
-    ``canvas`` and ``body`` are the base's pixels and markup. A group is one (image, candidate).
+    A group is one (image, candidate); ``weight`` is the caller's importance per pixel (doubles) or null.
     """
+    overrides = overrides or {}
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
-        row = {k: t[k][0].as_py() for k in t.column_names}
+        row = t.slice(0, 1).to_pylist()[0]
         h, w = row["height"], row["width"]
-        target, seed = (np.frombuffer(row[k], np.uint8).reshape(h, w, 3).astype(np.float64) for k in ("data", "canvas"))
-        weight = np.frombuffer(row["weight"], "<f8").reshape(h, w) if row["weight"] else np.ones((h, w))
-        base = Canvas(target, seed.copy(), weight)
-        start, body = base.score(), row["body"] or ""
-        extra = ""
-        if row["candidate"] == "splat":
-            splats = Canvas(target, seed.copy(), weight)
-            splat_fit(splats, row["img_id"], max(4, row["budget"] // 4), tries=24)
-            if splats.score() < 0.9 * start:
-                for _, p, r, g, b, a, _ in splats.shapes:
-                    extra += f'<ellipse cx="{number(p[0])}" cy="{number(p[1])}" rx="{number(2.5 * p[2])}" ry="{number(2.5 * p[3])}" transform="rotate({number(p[4] * 180 / np.pi)} {number(p[0])} {number(p[1])})" fill="#{r:02x}{g:02x}{b:02x}" fill-opacity="{number(a)}"/>'
-                base = Canvas(target, splats.current, weight)
-        before = base.current.copy()
-        refine(base, Options(budget=row["budget"], alpha=row["alpha"], tries=12, age=16), row["img_id"])
-        thin = prune(base, before)
-        base = thin if thin.score() <= 1.12 * base.score() else base
-        if base.score() > start:  # nothing gained: the base alone
-            base, extra = Canvas(target, seed.copy(), weight), ""
-        marks = extra + "".join(element(*s[:6]) for s in base.shapes)
-        svg = f'<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 {w} {h}">{body}{marks}</svg>'
-        out = {"img_id": row["img_id"], "candidate": row["candidate"], "ord": row["ord"], "bias": row["bias"], "base_score": start, "score": base.score(), "shapes": len(base.shapes), "bytes": len(svg.encode()), "body": body, "svg": svg}
-        kinds = [pa.int64(), pa.string(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.int32(), pa.int64(), pa.string(), pa.string()]
+        target = np.frombuffer(row["data"], np.uint8).reshape(h, w, 3).astype(np.float64)
+        weight = np.frombuffer(row["weight"], "<f8").reshape(h, w) if row["weight"] else None
+        r = vectorize.vectorize(target, row["img_id"], run_plan(row, overrides), weight)
+        out = {k: row[k] for k in ("img_id", "candidate", "ord", "bias")}
+        out |= {"base": r.base, "base_score": r.base_score, "score": r.score, "rmse": r.rmse, "shapes": r.shapes, "bytes": len(r.svg.encode()), "svg": r.svg, "history": r.history}
+        step = pa.struct([("i", pa.int32()), ("added", pa.int32()), ("score", pa.float64()), ("improved", pa.bool_())])
+        kinds = [pa.int64(), pa.string(), pa.int32(), pa.float64(), pa.string(), *[pa.float64()] * 3, pa.int32(), pa.int64(), pa.string(), pa.list_(step)]
         return pa.table({k: pa.array([v], kind) for (k, v), kind in zip(out.items(), kinds, strict=True)})
 
     ship(runs.sparkSession)
     return runs.groupBy("img_id", "candidate").applyInArrow(run, RESULT)
 
 
-def convert(px: DataFrame, quality: str = "draft", budget: int | None = None) -> DataFrame:
-    """px -> (img_id, type, candidate, base_score, score, shapes, bytes, svg): the whole conversion."""
-    analysis = signals.analyze(px).withColumn("type", signals.class_rule()).withColumn("quality", F.lit(quality)).withColumn("glyphs", F.lit(0))
-    plans = signals.plan_rules(analysis).join(analysis.select("img_id", "smooth_share", "texture"), "img_id")
-    if budget is not None:
-        plans = plans.withColumn("budget", F.lit(budget).cast("long"))
-    runs = candidates(plans)
-    traced = region_trace(px)
-    order = Window.partitionBy("img_id").orderBy(F.desc("area"), "comp")
-    marks = traced.select("img_id", F.row_number().over(order).alias("seq"), F.concat(F.lit('<path fill="'), "fill", F.lit('" d="'), "path", F.lit('"/>')).alias("el"))
-    body = marks.groupBy("img_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "el"))), lambda e: e["el"]), "").alias("body"))
-    base = palette.quantize(px, 4)
-    packed = pack_images(px).join(pack_images(base).select("img_id", F.col("data").alias("canvas")), "img_id").join(body, "img_id")
+def analysis_of(px: DataFrame, quality: str) -> DataFrame:
+    """Signals, class and text probe of every image: one row each."""
+    ink = signals.ink_mask(px)
+    size = px.groupBy("img_id").agg(F.greatest(F.max("x"), F.max("y")).alias("side"))
+    parts = segment.component_stats(segment.labelled(ink.select("img_id", "y", "x", F.lit(1).alias("label")))).join(size, "img_id")
+    w, h = F.col("x1") - F.col("x0") + 1, F.col("y1") - F.col("y0") + 1
+    glyph = F.col("area").between(3, 2200) & (w <= 0.09 * (F.col("side") + 1)) & (h <= 0.09 * (F.col("side") + 1))
+    glyphs = parts.groupBy("img_id").agg(F.count_if(glyph).alias("glyphs"), F.sum("area").alias("inked"))
+    v = signals.analyze(px).join(px.groupBy("img_id").agg(F.count("*").alias("n")), "img_id").join(glyphs, "img_id", "left")
+    v = v.withColumn("glyphs", F.coalesce("glyphs", F.lit(0))).withColumn("quality", F.lit(quality))
+    # many glyph-sized parts on one background read as text
+    textish = (F.col("bg_frac") >= 0.4) & F.col("inked").between(F.col("n") * 0.01, F.col("n") * 0.45) & (F.col("glyphs") >= 45)
+    return v.withColumn("type", F.when(textish, "text").otherwise(signals.class_rule()))
+
+
+def convert(px: DataFrame, quality: str = "draft", budget: int | None = None, overrides: dict | None = None, weights: DataFrame | None = None) -> DataFrame:
+    """px -> (img_id, type, candidate, base, base_score, score, shapes, bytes, svg, history): the whole conversion.
+
+    ``overrides`` replace fields of every run's plan, ``weights`` (img_id, weight: doubles per pixel as
+    bytes) the importance map. Scores are of the picked run; the finish only ever lowers them.
+    """
+    px = cut(px)
+    packed = cut(pack_images(px))
+    analysis = cut(analysis_of(px, quality))
+    plans = signals.plan_rules(analysis).join(analysis.select("img_id", "smooth_share", "texture", "glyphs"), "img_id")
     place = F.row_number().over(Window.partitionBy("img_id").orderBy(F.col("candidate") != "base", "candidate"))
-    rows = runs.select("img_id", "candidate", place.cast("int").alias("ord"), "bias", F.col("budget").cast("int").alias("budget"), "alpha").join(packed, "img_id").withColumn("weight", F.lit(None).cast("binary"))
-    results = converge(rows)
-    chosen = pick(results).select("img_id", "candidate")
-    return results.join(chosen, ["img_id", "candidate"]).join(analysis.select("img_id", "type"), "img_id").select("img_id", "type", "candidate", F.round("base_score", 9).alias("base_score"), F.round("score", 9).alias("score"), "shapes", "bytes", "svg")
-
-
-def splat_coverage(p: np.ndarray, width: int, height: int) -> np.ndarray:
-    """Alpha of one splat over the whole frame."""
-    out = np.zeros((height, width))
-    found = splat_weights(p, width, height)
-    if found:
-        out[found[0], found[1]] = found[2]
+    runs = candidates(plans).select("img_id", "candidate", place.cast("int").alias("ord"), "bias", *RUN_FIELDS).join(packed, "img_id")
+    weight = weights.select("img_id", "weight") if weights is not None else packed.select("img_id", F.lit(None).cast("binary").alias("weight")).limit(0)
+    overrides = {**(overrides or {}), **({} if budget is None else {"budget": budget})}
+    results = cut(converge(runs.join(weight, "img_id", "left"), overrides))
+    chosen = results.join(pick(results).select("img_id", "candidate"), ["img_id", "candidate"]).join(analysis.select("img_id", "type", F.col("quality").alias("q")), "img_id")
+    out = finish(chosen.drop("q"), packed, text.text_regions(px.join(analysis.where("type in ('photo', 'illustration')").select("img_id"), "img_id", "left_semi")))
+    small = paths.minify(F.col("svg"))
+    out = out.select("img_id", "type", "candidate", "base", F.round("base_score", 9).alias("base_score"), F.round("score", 9).alias("score"), "shapes", F.octet_length(small).cast("long").alias("bytes"), small.alias("svg"), "history")
     return out
+
+
+FINISHED = "img_id long, type string, candidate string, base string, base_score double, score double, shapes int, svg string, history array<struct<i:int,added:int,score:double,improved:boolean>>"
+
+
+def finish(chosen: DataFrame, packed: DataFrame, boxes: DataFrame) -> DataFrame:
+    """Text patches and tone match for photos and illustrations; a group is one image."""
+
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = []
+        for row in left.to_pylist():
+            target = np.frombuffer(row["data"], np.uint8).reshape(row["height"], row["width"], 3).astype(np.float64)
+            svg, score = row["svg"], row["score"]
+            if row["type"] in ("photo", "illustration"):
+                found = sorted(right.to_pylist(), key=lambda b: b["id"])
+                tried = vectorize.tone_matched(target, vectorize.add_patches(target, svg, found, PRESETS["text"]))
+                after = vectorize.dssim(target, vectorize.rasterize(tried))
+                if after <= score:
+                    svg, score = tried, after
+            rows.append({**{k: row[k] for k in ("img_id", "type", "candidate", "base", "base_score")}, "score": score, "shapes": row["shapes"], "svg": svg, "history": row["history"]})
+        step = pa.struct([("i", pa.int32()), ("added", pa.int32()), ("score", pa.float64()), ("improved", pa.bool_())])
+        kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int32(), pa.string(), pa.list_(step)]
+        return pa.Table.from_pylist(rows, schema=pa.schema([(f.split()[0], k) for f, k in zip(FINISHED.split(", "), kinds, strict=True)]))
+
+    ship(chosen.sparkSession)
+    left = chosen.join(packed, "img_id").groupBy("img_id")
+    return left.cogroup(boxes.select("img_id", "id", "x0", "y0", "x1", "y1").groupBy("img_id")).applyInArrow(run, FINISHED)
+
+
+def progress_json(results: DataFrame) -> DataFrame:
+    """(img_id, event): every step of a conversion's search as the JSON text of a progress event."""
+    v = results.select("img_id", F.size("history").alias("budget"), F.explode("history").alias("h"))
+    event = F.struct(F.lit("refine").alias("phase"), (F.col("h.i") + 1).alias("i"), "budget", F.col("h.added").alias("added"), F.col("h.score").alias("score"), F.col("h.improved").alias("improved"))
+    return v.select("img_id", F.to_json(event).alias("event"))
