@@ -89,7 +89,9 @@ WIDTH = 1.7
 #: A set is dealt at most so often; the last time each token is a part of its own.
 DEALINGS = 6
 #: Bytes of text whose signatures a task gathers before sending them, and bytes of signatures in a bucket.
-BLOCK_BYTES, BUCKET_BYTES = 16 << 20, 16 << 20
+BLOCK_BYTES, BUCKET_BYTES = 6 << 20, 8 << 20
+#: Buckets of a block that go to the JVM at once.
+SEND = 16
 
 
 class Sets:
@@ -228,9 +230,9 @@ def _packed(docs: DataFrame, rule: Rule, bits: int) -> DataFrame:
     """
     n = 1 << bits
 
-    def block(signs: list[np.ndarray], ids: list[np.ndarray]) -> pa.RecordBatch:
+    def block(signs: list[np.ndarray], ids: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         sig, owner = np.concatenate(signs), np.concatenate(ids)
-        order = np.argsort(sig, kind="stable")
+        order = np.argsort(sig)
         sig, owner = sig[order], owner[order]
         new = np.ones(len(sig) + 1, bool)
         np.not_equal(sig[1:], sig[:-1], out=new[1:-1])
@@ -239,17 +241,20 @@ def _packed(docs: DataFrame, rule: Rule, bits: int) -> DataFrame:
         owner = owner - lowest
         owner = owner.astype("<u4" if owner.max(initial=0) < 1 << 32 else "<i8")
         turn = int(sig[0] & U64(n - 1))
-        bounds = np.arange(n + 1, dtype=object) << (64 - bits)
-        cols: list[list] = [[], [], [], [], [], [], []]
+        bounds = (np.arange(n, dtype=object) << (64 - bits)).astype(U64)
         one, one_ids, marks, many, many_ids = sig[lone], owner[lone], sig[head], sig[~lone], owner[~lone]
-        at = [np.concatenate([np.searchsorted(x, bounds[:-1].astype(U64)), [len(x)]]) for x in (one, marks, many)]
-        for b in range(n):
-            k = (b + turn) % n
-            i, j, m = slice(at[0][b], at[0][b + 1]), slice(at[1][b], at[1][b + 1]), slice(at[2][k], at[2][k + 1])
-            for col, value in zip(cols, (b, one[i].tobytes(), lowest, one_ids[i].tobytes(), marks[j].tobytes(), many[m].tobytes(), many_ids[m].tobytes()), strict=True):
-                col.append(value)
+        at = [np.append(np.searchsorted(x, bounds), len(x)) for x in (one, marks, many)]
         kinds = (pa.int32(), pa.binary(), pa.int64(), *[pa.binary()] * 4)
-        return pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in _PACKED.split(", ")])
+        for first in range(0, n, SEND):
+            rows = []
+            for b in range(first, min(n, first + SEND)):
+                k = (b + turn) % n
+                i, j, m = slice(at[0][b], at[0][b + 1]), slice(at[1][b], at[1][b + 1]), slice(at[2][k], at[2][k + 1])
+                if i.start < i.stop or j.start < j.stop or m.start < m.stop:
+                    rows.append((b, one[i].tobytes(), lowest, one_ids[i].tobytes(), marks[j].tobytes(), many[m].tobytes(), many_ids[m].tobytes()))
+            if rows:
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in _PACKED.split(", ")])
+        trim()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signs, ids, size, seen = [], [], 0, set()
@@ -266,10 +271,10 @@ def _packed(docs: DataFrame, rule: Rule, bits: int) -> DataFrame:
             size += batch.column("text").nbytes
             if size > BLOCK_BYTES:
                 if sum(map(len, signs)):
-                    yield block(signs, ids)
+                    yield from block(signs, ids)
                 signs, ids, size, seen = [], [], 0, set()
         if sum(map(len, signs)):
-            yield block(signs, ids)
+            yield from block(signs, ids)
         trim()
 
     return docs.select("doc_id", "text").where("doc_id is not null and text is not null").mapInArrow(run, _PACKED)
@@ -296,6 +301,7 @@ def _shared_rows(packed: DataFrame) -> DataFrame:
         again |= np.isin(sig, marks)
         owner = ids(lowest, table["ids"].to_pylist(), table["sigs"].to_pylist())[again]
         known = ids(lowest, table["known_ids"].to_pylist(), table["known"].to_pylist())
+        trim()
         return pa.table({"sig": signed(np.concatenate([sig[again], numbers(table["known"])])), "doc_id": np.concatenate([owner, known])})
 
     return packed.groupBy("bucket").applyInArrow(reduce, "sig long, doc_id long")
