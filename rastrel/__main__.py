@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .plans.convert import convert
-from .sources.pixels import decode_images, resize, unpack_images
+from .sources.pixels import decode_images, fit_inside, unpack_images
 
 WORK_SIDE = {"draft": 256, "balanced": 320, "high": 384, "max": 448}
 
@@ -23,7 +23,7 @@ def main() -> None:
     a = parse.parse_args()
     spark = SparkSession.builder.appName("rastrel").getOrCreate()
     image = decode_images(spark, a.image).withColumn("img_id", F.lit(0).cast("long"))
-    row = convert(resize(unpack_images(image), WORK_SIDE[a.quality]), a.quality, a.budget).first()
+    row = convert(unpack_images(fit_inside(image, WORK_SIDE[a.quality])), a.quality, a.budget).first()
     out = Path(a.out or Path(a.image).with_suffix(".svg").name)
     out.write_text(row["svg"])
     print(f"{out}: {row['type']}, {row['candidate']}, error {row['base_score']:.4f} -> {row['score']:.4f}, {row['shapes']} shapes, {row['bytes']} bytes")

@@ -24,8 +24,8 @@ def upscale(px: DataFrame, factor: int) -> DataFrame:
 
 def resample(px: DataFrame, width: int, height: int) -> DataFrame:
     """Nearest-pixel resample: output (x, y) reads floor(x * w / width), floor(y * h / height)."""
-    per = Window.partitionBy("img_id")
-    sized = px.withColumn("_w", F.max("x").over(per) + 1).withColumn("_h", F.max("y").over(per) + 1)
+    size = px.groupBy("img_id").agg((F.max("x") + 1).alias("_w"), (F.max("y") + 1).alias("_h"))
+    sized = px.join(size, "img_id")
     # the outputs that read column x are ceil(x * width / w) .. ceil((x + 1) * width / w) - 1
     span = lambda v, n, m: F.sequence(F.ceil(F.col(v) * n / F.col(m)).cast("int"), (F.ceil((F.col(v) + 1) * n / F.col(m)) - 1).cast("int"))
     some = lambda v, n, m: F.ceil((F.col(v) + 1) * n / F.col(m)) > F.ceil(F.col(v) * n / F.col(m))
@@ -42,16 +42,31 @@ def spread(px: DataFrame, scale: Column) -> DataFrame:
     return rows.withColumn("y", F.explode("_ys")).withColumn("x", F.explode("_xs")).select("img_id", "y", "x", "r", "g", "b")
 
 
+def stack(px: DataFrame, gap: int, background: tuple[int, int, int], vertical: bool = False, sheet: Column | None = None) -> DataFrame:
+    """The images of each sheet side by side (or one below the other) in img_id order, ``gap`` apart, padded with the background.
+
+    A sheet is one output image, numbered by ``sheet`` (all images: sheet 0); the running sum of places is
+    over the few images of a sheet.
+    """
+    on = F.lit(0).cast("long") if sheet is None else sheet.cast("long")
+    size = dims(px).withColumn("sheet", on)
+    along, across, n = ("y", "x", "height") if vertical else ("x", "y", "width")
+    order = Window.partitionBy("sheet").orderBy("img_id").rowsBetween(Window.unboundedPreceding, -1)
+    placed = size.select("img_id", "sheet", "width", "height", F.coalesce(F.sum(F.col(n) + gap).over(order), F.lit(0)).cast("int").alias("start"))
+    moved = px.join(placed, "img_id").select("sheet", F.col(across), (F.col(along) + F.col("start")).cast("int").alias(along), "r", "g", "b")
+    last, wide = F.max(F.col("start") + F.col(n)), F.max("width" if vertical else "height")
+    total = placed.groupBy("sheet").agg((wide if vertical else last).alias("w"), (last if vertical else wide).alias("h"))
+    grid = total.select("sheet", "w", F.explode(F.sequence(F.lit(0), F.col("h") - 1)).alias("y")).select("sheet", "y", F.explode(F.sequence(F.lit(0), F.col("w") - 1)).alias("x"))
+    out = grid.join(moved, ["sheet", "y", "x"], "left")
+    return out.select(F.col("sheet").alias("img_id"), "y", "x", *(F.coalesce(k, F.lit(v)).alias(k) for k, v in zip("rgb", background, strict=True)))
+
+
 def hstack(px: DataFrame, gap: int, background: tuple[int, int, int]) -> DataFrame:
-    """All images of ``px`` side by side in img_id order, ``gap`` apart, padded with the background."""
-    size = dims(px)
-    left = F.coalesce(F.sum(F.col("width") + gap).over(Window.orderBy("img_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = size.select("img_id", "width", "height", left.cast("int").alias("left"))  # one row per image
-    moved = px.join(placed, "img_id").select(F.col("y"), (F.col("x") + F.col("left")).cast("int").alias("x"), "r", "g", "b")
-    total = placed.agg(F.max(F.col("left") + F.col("width")).alias("w"), F.max("height").alias("h"))
-    grid = total.select(F.explode(F.sequence(F.lit(0), F.col("h") - 1)).alias("y"), "w").select("y", F.explode(F.sequence(F.lit(0), F.col("w") - 1)).alias("x"))
-    out = grid.join(moved, ["y", "x"], "left")
-    return out.select(F.lit(0).cast("long").alias("img_id"), "y", "x", *(F.coalesce(k, F.lit(v)).alias(k) for k, v in zip("rgb", background, strict=True)))
+    return stack(px, gap, background)
+
+
+def vstack(px: DataFrame, gap: int, background: tuple[int, int, int]) -> DataFrame:
+    return stack(px, gap, background, vertical=True)
 
 
 def draw_boxes(px: DataFrame, boxes: DataFrame, rgb: tuple[int, int, int], thickness: int = 1) -> DataFrame:

@@ -105,6 +105,22 @@ class Canvas:
 
     def __post_init__(self) -> None:
         self.error = self.full()
+        #: Per pixel, summed over its channels or for each: w, w R, w c, 2 w R c, w c c, with R the residual
+        #: and c the current colour. An overlay of alpha a changes the error by sums of these times a and a a.
+        self.planes = np.empty((*self.weight.shape, 9))
+        self.refresh(slice(None), slice(None))
+
+    def refresh(self, ys: slice, xs: slice) -> None:
+        """Bring the planes of a window up to date after its colours changed."""
+        w, c = self.weight[ys, xs][..., None], self.current[ys, xs]
+        r = self.target[ys, xs] - c
+        self.planes[ys, xs] = np.concatenate([w, w * r, w * c, 2 * (w * r * c).sum(2, keepdims=True), (w * c * c).sum(2, keepdims=True)], 2)
+
+    @staticmethod
+    def best_color(square: float, toward: np.ndarray, rest: float) -> tuple[float, np.ndarray]:
+        """(change of the error, colour) for the sums of w a a, w a (R + a c), and 2 w a R c + w a a c c."""
+        color = np.clip(np.floor(toward / square + 0.5), 0, 255) if square > 1e-12 else np.zeros(3)
+        return float(rest - 2 * (color * toward).sum() + (color * color).sum() * square), color
 
     def full(self) -> float:
         return float((((self.target - self.current) ** 2).sum(2) * self.weight).sum())
@@ -123,17 +139,16 @@ class Canvas:
         n = int(m.sum())
         if n > max_area or xs.stop - xs.start > max_extent or ys.stop - ys.start > max_extent:
             return None
-        t, c, wt = self.target[ys, xs][m], self.current[ys, xs][m], self.weight[ys, xs][m]
-        total = wt.sum()
-        color = np.clip(np.floor((((t - c) / alpha + c) * wt[:, None]).sum(0) / total + 0.5), 0, 255) if total > 0 else np.zeros(3)
-        change = (((t - c * (1 - alpha) - color * alpha) ** 2 - (t - c) ** 2).sum(1) * wt).sum()
-        return self.error + float(change), color
+        v = self.planes[ys, xs][m].sum(0)
+        change, color = self.best_color(alpha * alpha * v[0], alpha * v[1:4] + alpha * alpha * v[4:7], alpha * v[7] + alpha * alpha * v[8])
+        return self.error + change, color
 
     def commit(self, kind: str, p: np.ndarray, color: np.ndarray, alpha: float, error: float) -> None:
         h, w, _ = self.target.shape
         ys, xs, m = mask_of(kind, p, w, h)
         part = self.current[ys, xs]
         part[m] = part[m] * (1 - alpha) + color * alpha
+        self.refresh(ys, xs)
         self.error = error
         self.shapes.append((kind, [float(v) for v in p], *(int(v) for v in color), alpha, self.score()))
 
@@ -261,7 +276,10 @@ def _grouped(packed: DataFrame, one: Callable[[int, pa.Table], list[tuple]]) ->
 
 # ---------------------------------------------------------------- splats
 
+# Reach in standard deviations, least deviation, largest alpha; the profile's knots over the reach.
 CUTOFF, MIN_SD, MAX_ALPHA = 2.5, 1.2, 0.95
+KNOTS = np.array([0.0, 0.25, 0.5, 0.75, 1.0])
+PROFILE = np.append(np.exp(-((CUTOFF * KNOTS[:-1]) ** 2) / 2), 0.0)
 
 
 def splat_weights(p: np.ndarray, width: int, height: int) -> tuple[slice, slice, np.ndarray] | None:
@@ -272,11 +290,10 @@ def splat_weights(p: np.ndarray, width: int, height: int) -> tuple[slice, slice,
     y0, y1 = max(0, math.floor(cy - reach)), min(height - 1, math.ceil(cy + reach))
     if x0 > x1 or y0 > y1:
         return None
-    x, y = np.meshgrid(np.arange(x0, x1 + 1) - cx, np.arange(y0, y1 + 1) - cy)
-    co, si = math.cos(theta), math.sin(theta)
-    d = np.hypot((x * co + y * si) / sx, (-x * si + y * co) / sy) / CUTOFF
-    knots = np.array([0.0, 0.25, 0.5, 0.75, 1.0])
-    w = a * np.interp(d, knots, np.append(np.exp(-((CUTOFF * knots[:-1]) ** 2) / 2), 0.0), right=0.0)
+    x, y = np.arange(x0, x1 + 1)[None, :] - cx, np.arange(y0, y1 + 1)[:, None] - cy
+    co, si = math.cos(theta) / CUTOFF, math.sin(theta) / CUTOFF
+    u, v = x * (co / sx) + y * (si / sx), y * (co / sy) - x * (si / sy)
+    w = a * np.interp(np.sqrt(u * u + v * v), KNOTS, PROFILE, right=0.0)
     return slice(y0, y1 + 1), slice(x0, x1 + 1), w
 
 
@@ -289,11 +306,10 @@ def splat_fit(canvas: Canvas, img_id: int, budget: int = 60, seed: int = 1, trie
         if not found:
             return None
         ys, xs, a = found
-        t, c, wt = canvas.target[ys, xs], canvas.current[ys, xs], canvas.weight[ys, xs][..., None]
-        a = a[..., None]
-        ww = float((wt * a * a).sum())
-        color = np.clip(np.floor((wt * a * (t - c * (1 - a))).sum((0, 1)) / ww + 0.5), 0, 255) if ww >= 1e-6 else np.zeros(3)
-        return canvas.error + float((wt * ((t - c * (1 - a) - color * a) ** 2 - (t - c) ** 2)).sum()), color
+        planes = canvas.planes[ys, xs]
+        one, two = np.einsum("ij,ijk->k", a, planes[..., [1, 2, 3, 7]]), np.einsum("ij,ijk->k", a * a, planes[..., [0, 4, 5, 6, 8]])
+        change, color = canvas.best_color(two[0] if two[0] >= 1e-6 else 0.0, one[:3] + two[1:4], one[3] + two[4])
+        return canvas.error + change, color
 
     stalls = 0
     for number in range(budget):
@@ -323,6 +339,7 @@ def splat_fit(canvas: Canvas, img_id: int, budget: int = 60, seed: int = 1, trie
         if best and best[0] < canvas.error * (1 - 1e-6):
             ys, xs, a = splat_weights(best[1], w, h)
             canvas.current[ys, xs] = canvas.current[ys, xs] * (1 - a[..., None]) + best[2] * a[..., None]
+            canvas.refresh(ys, xs)
             canvas.error = best[0]
             canvas.shapes.append(("splat", [float(v) for v in best[1]], *(int(v) for v in best[2]), float(best[1][5]), canvas.score()))
             stalls = 0

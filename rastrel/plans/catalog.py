@@ -44,6 +44,13 @@ px_query("nearest_upscale", lambda p: geometry.upscale(p, 2), "SELECT img_id, CA
 px_query("nearest_resample", lambda p: geometry.resample(p, 40, 24), """SELECT p.img_id, CAST(oy AS INTEGER) AS y, CAST(ox AS INTEGER) AS x, r, g, b FROM (
   SELECT img_id, max(x) + 1 AS w, max(y) + 1 AS h FROM px GROUP BY img_id) d, (SELECT unnest(range(0, 40)) AS ox), (SELECT unnest(range(0, 24)) AS oy), px p
   WHERE p.img_id = d.img_id AND p.x = ox * w // 40 AND p.y = oy * h // 24""")
+px_query("vstack", lambda p: geometry.vstack(p, 4, (10, 20, 30)), """SELECT CAST(0 AS BIGINT) AS img_id, CAST(gy AS INTEGER) AS y, CAST(gx AS INTEGER) AS x,
+  coalesce(r, 10) AS r, coalesce(g, 20) AS g, coalesce(b, 30) AS b
+  FROM (SELECT unnest(range(0, (SELECT CAST(max(w) AS BIGINT) FROM t))) AS gx), (SELECT unnest(range(0, (SELECT CAST(max(h) AS BIGINT) FROM t))) AS gy)
+  LEFT JOIN (SELECT p.x, p.y + s.l AS y, r, g, b FROM px p JOIN s USING (img_id)) m ON m.x = gx AND m.y = gy""",
+  "d AS (SELECT img_id, max(x) + 1 AS w, max(y) + 1 AS h FROM px GROUP BY img_id)",
+  "s AS (SELECT img_id, w, h, coalesce(sum(h + 4) OVER (ORDER BY img_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS l FROM d)",
+  "t AS (SELECT max(w) AS w, max(l + h) AS h FROM s)")
 px_query("hstack", lambda p: geometry.hstack(p, 4, (10, 20, 30)), """SELECT CAST(0 AS BIGINT) AS img_id, CAST(gy AS INTEGER) AS y, CAST(gx AS INTEGER) AS x,
   coalesce(r, 10) AS r, coalesce(g, 20) AS g, coalesce(b, 30) AS b
   FROM (SELECT unnest(range(0, (SELECT CAST(max(w) AS BIGINT) FROM t))) AS gx), (SELECT unnest(range(0, (SELECT CAST(max(h) AS BIGINT) FROM t))) AS gy)

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.pixels import uniform
+from ..functions.pixels import gaussian, segment_distance, uniform
 from ..operators import gradients, metrics, neighbours, overlay, palette, paths, raster, refine, saliency, segment, signals, text
 from ..registry import register
 from ..sources import sinks
@@ -241,7 +241,10 @@ def trials(s: SparkSession, d: str) -> DataFrame:
 
 
 TRIALS = "trials AS (SELECT img_id, ord, 'c' || CAST(ord AS VARCHAR) AS candidate, (k % 997 + 3) / 40000 AS score, 1 + (k % 3) / 100 AS bias, CAST(2000 + k * 31 % 9000 AS BIGINT) AS bytes, ms FROM (SELECT l_orderkey AS img_id, CAST(l_linenumber AS INTEGER) AS ord, CAST(sum(l_partkey) AS BIGINT) AS k, count(*) AS ms FROM lineitem GROUP BY ALL))"
-register("pick_candidate", lambda s, d: convert.pick(trials(s, d)))
+FOLD = "list_reduce(list_prepend(list_extract(rs, 1), rs), lambda best, r: CASE WHEN r.score * r.bias < best.score * best.bias THEN r ELSE best END)"
+SMALL = "list_reduce(list_prepend(b0, rs), lambda best, r: CASE WHEN r.score <= best.score * 1.07e0 AND r.bytes * 3 <= best.bytes THEN r ELSE best END)"
+CLEAR = "list_reduce(list_prepend(b1, rs), lambda best, r: CASE WHEN best.score <= 0.006e0 AND r.score <= 0.006e0 AND r.bytes * 1.3e0 <= best.bytes THEN r ELSE best END)"
+register("pick_candidate", lambda s, d: convert.pick(trials(s, d)), f"WITH {TRIALS}, l AS (SELECT img_id, list({{'candidate': candidate, 'score': score, 'bias': bias, 'bytes': bytes}} ORDER BY ord) AS rs FROM trials GROUP BY img_id), a AS (SELECT *, {FOLD} AS b0 FROM l), b AS (SELECT *, {SMALL} AS b1 FROM a), c AS (SELECT img_id, {CLEAR} AS w FROM b) SELECT img_id, w.candidate AS candidate, w.score AS score, w.bytes AS bytes FROM c")
 register("sweep_best", lambda s, d: trials(s, d).groupBy("img_id").agg(F.min_by("candidate", F.struct("score", "ord")).alias("candidate"), F.min("score").alias("score")), f"WITH {TRIALS} SELECT img_id, candidate, score FROM trials QUALIFY row_number() OVER (PARTITION BY img_id ORDER BY score, ord) = 1")
 register("bench_summary", lambda s, d: _summary(trials(s, d)), f"WITH {TRIALS} SELECT candidate, round(avg(score), 9) AS mean_score, round(quantile_cont(score, 0.5), 9) AS median_score, round(avg(bytes), 6) AS mean_bytes, round(avg(ms), 6) AS mean_ms, sum(CASE WHEN score = best THEN 1 ELSE 0 END)::BIGINT AS wins, round(avg(score * bytes / 1024), 9) AS score_kb FROM (SELECT *, min(score) OVER (PARTITION BY img_id) AS best FROM trials) GROUP BY candidate")
 register("sweep_rank", lambda s, d: _summary(trials(s, d)).select("candidate", F.row_number().over(Window.orderBy("mean_score", "candidate")).alias("by_score"), F.row_number().over(Window.orderBy("score_kb", "candidate")).alias("by_bytes")), f"WITH {TRIALS}, s AS (SELECT candidate, round(avg(score), 9) AS m, round(avg(score * bytes / 1024), 9) AS k FROM trials GROUP BY candidate) SELECT candidate, CAST(row_number() OVER (ORDER BY m, candidate) AS INTEGER) AS by_score, CAST(row_number() OVER (ORDER BY k, candidate) AS INTEGER) AS by_bytes FROM s")
@@ -262,7 +265,41 @@ def progress(s: SparkSession, d: str) -> DataFrame:
 PHASE = "list_extract(['" + "', '".join(jobs.PHASES) + "'], CAST(event_id % 7 AS INTEGER) + 1)"
 PROG = f"prog AS (SELECT user_id AS job_id, event_id AS seq, {PHASE} AS phase, round(value, 6) AS score, event_id % 160 AS i, CASE WHEN event_id % 2 = 0 THEN 'A' ELSE 'B' END AS run, ts FROM events)"
 register("progress_latest", lambda s, d: jobs.progress_latest(progress(s, d)), f"WITH {PROG} SELECT job_id, seq, phase, score, n FROM (SELECT *, count(*) OVER (PARTITION BY job_id) AS n, row_number() OVER (PARTITION BY job_id ORDER BY seq DESC) AS k FROM prog) WHERE k = 1")
-register("throttle", lambda s, d: jobs.throttled(progress(s, d)).select("job_id", "seq", "phase", "preview"), f"WITH {PROG} SELECT job_id, seq, phase, phase = 'refine' AND i % 20 = 0 AND run = 'A' AS preview FROM prog WHERE phase <> 'refine' OR i % 10 = 0")
+register("throttle", lambda s, d: jobs.throttled(progress(s, d)).select("job_id", "seq", "phase", "preview"), f"""WITH RECURSIVE {PROG}, shown AS (SELECT * FROM prog WHERE phase <> 'refine' OR i % 10 = 0),
+  own AS (SELECT job_id, seq, i, row_number() OVER (PARTITION BY job_id ORDER BY seq) AS k FROM shown WHERE phase = 'refine' AND run = 'A'),
+  walk AS (SELECT DISTINCT job_id, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS last, CAST(-1 AS BIGINT) AS seq, false AS kept FROM own UNION ALL
+   SELECT o.job_id, o.k, CASE WHEN o.i - w.last >= 20 THEN o.i ELSE w.last END, o.seq, o.i - w.last >= 20 FROM walk w JOIN own o ON o.job_id = w.job_id AND o.k = w.k + 1)
+  SELECT s.job_id, s.seq, s.phase, coalesce(w.kept, false) AS preview FROM shown s LEFT JOIN walk w ON w.job_id = s.job_id AND w.seq = s.seq""")
+LINE = "j AS (SELECT user_id AS server, event_id AS job_id, CAST(floor(epoch(ts) / 60) AS BIGINT) AS t, 900 + event_id % 7 * 1200 AS work, CASE WHEN event_id % 4 = 0 THEN CAST(floor(epoch(ts) / 60) AS BIGINT) + event_id % 2500 END AS quits, row_number() OVER (PARTITION BY user_id ORDER BY CAST(floor(epoch(ts) / 60) AS BIGINT), event_id) AS k FROM events)"
+register("job_queue", lambda s, d: jobs.schedule(_arrivals(s, d), 20000), f"""WITH RECURSIVE {LINE}, run AS (
+  SELECT DISTINCT server, CAST(0 AS BIGINT) AS k, [CAST(0 AS BIGINT), CAST(0 AS BIGINT)] AS free, CAST([] AS STRUCT(t BIGINT, started BIGINT, ended BIGINT)[]) AS live, CAST(NULL AS BIGINT) AS job_id, 0 AS status, 0 AS position, CAST(NULL AS BIGINT) AS started, CAST(NULL AS BIGINT) AS ended FROM j
+  UNION ALL SELECT server, k, CASE WHEN full_ OR gone THEN free ELSE list_transform(free, lambda f, i: CASE WHEN i = list_position(free, list_min(free)) THEN ends ELSE f END) END, CASE WHEN full_ THEN kept ELSE list_append(kept, {{'t': t, 'started': begins, 'ended': ends}}) END, job_id,
+   CASE WHEN full_ THEN 429 ELSE 200 END, CASE WHEN full_ THEN NULL WHEN begins > t THEN 1 + len(list_filter(kept, lambda x: x.started > t)) ELSE 0 END, CASE WHEN NOT full_ AND NOT gone THEN begins END, CASE WHEN NOT full_ THEN ends END FROM (
+    SELECT *, len(kept) >= 16 AS full_, CASE WHEN gone THEN quits ELSE least(begins + work, greatest(quits, begins)) END AS ends FROM (SELECT *, quits IS NOT NULL AND quits <= begins AND begins > t AS gone FROM (
+     SELECT j.*, r.free, greatest(j.t, list_min(r.free)) AS begins, list_filter(r.live, lambda x: x.ended > j.t AND j.t - x.t <= 20000) AS kept FROM run r JOIN j ON j.server = r.server AND j.k = r.k + 1))))
+  SELECT server, job_id, CAST(status AS INTEGER) AS status, CAST(position AS INTEGER) AS position, started, ended FROM run WHERE k > 0""")
+
+
+def _arrivals(s: SparkSession, d: str) -> DataFrame:
+    """Every event as a job of its user's server, times in minutes."""
+    t = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 60)
+    return table(s, d, "events").select(F.col("user_id").alias("server"), F.col("event_id").alias("job_id"), t.alias("t"), (900 + F.col("event_id") % 7 * 1200).alias("work"), F.when(F.col("event_id") % 4 == 0, t + F.col("event_id") % 2500).alias("quits"))
+
+
+def _bodies(s: SparkSession, d: str) -> DataFrame:
+    """Request bodies: whole, without an image, with an empty one, and not JSON."""
+    e = F.col("event_id") % 4
+    image = F.concat(F.lit("data:image/png;base64,"), F.base64(F.col("props").cast("binary")))
+    body = F.when(e == 0, F.to_json(F.struct(image.alias("image"), F.lit("high").alias("quality")))).when(e == 1, F.lit('{"quality": "draft"}')).when(e == 2, F.lit('{"image": "data:,", "saliency": true}')).otherwise(F.concat(F.lit("{"), F.col("props")))
+    return table(s, d, "events").select("event_id", body.alias("body"))
+
+
+register("job_request", lambda s, d: jobs.requests(_bodies(s, d)).select("event_id", "status", "quality", F.octet_length("data").cast("long").alias("bytes")), """SELECT event_id, CAST(CASE WHEN event_id % 4 = 0 THEN 200 ELSE 400 END AS INTEGER) AS status, CASE event_id % 4 WHEN 0 THEN 'high' WHEN 1 THEN 'draft' ELSE 'balanced' END AS quality,
+  CASE WHEN event_id % 4 = 0 THEN CAST(octet_length(encode(props)) AS BIGINT) END AS bytes FROM events""")
+register("event_json", lambda s, d: jobs.event_json(progress(s, d).where("phase = 'refine'").select("job_id", "seq", "phase", "i", "budget", "run")), f"""WITH {PROG} SELECT job_id, seq, '{{"phase":"refine","i":' || CAST(i AS VARCHAR) || ',"budget":160,"run":"' || run || '"}}' AS data FROM prog WHERE phase = 'refine'""")
+px_query("gaussian_draw", lambda p: p.select("img_id", "y", "x", F.round(gaussian((F.col("r") + 1) / 257, F.col("g") / 256), 6).alias("v")), "SELECT img_id, y, x, round(sqrt(-2 * ln((r + 1) / 257)) * cos(2 * pi() * (g / 256)), 6) AS v FROM px")
+px_query("segment_distance", lambda p: p.select("img_id", "y", "x", F.round(segment_distance(*(F.col(k).cast("double") for k in ("x", "y", "r", "g", "b", "r"))), 6).alias("v")), """SELECT img_id, y, x, round(sqrt((x - r - t * (b - r)) ** 2 + (y - g - t * (r - g)) ** 2), 6) AS v FROM (
+  SELECT *, CASE WHEN (b - r) ** 2 + (r - g) ** 2 > 0 THEN least(1.0e0, greatest(0.0e0, ((x - r) * (b - r) + (y - g) * (r - g)) / ((b - r) ** 2 + (r - g) ** 2))) ELSE 0.0e0 END AS t FROM px)""")
 register("job_stats", lambda s, d: jobs.stats(progress(s, d)), f"WITH {PROG}, l AS (SELECT phase FROM prog QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY seq DESC) = 1) SELECT count(*) FILTER (phase IN ('analysis', 'trace', 'refine')) AS active, count(*) FILTER (phase IN ('open', 'queued')) AS queued, count(*) FILTER (phase IN ('done', 'error')) AS finished FROM l")
 register("queue_depth", lambda s, d: jobs.queue_depth(table(s, d, "events").select(F.col("event_type").alias("server"), "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t0")).withColumn("t1", F.col("t0") + (F.col("event_id") % 300) * 1000000 + 1)), "WITH ev AS (SELECT event_type AS server, epoch_us(ts) AS t, 1 AS d FROM events UNION ALL SELECT event_type, epoch_us(ts) + event_id % 300 * 1000000 + 1, -1 FROM events), net AS (SELECT server, t, sum(d) AS d FROM ev GROUP BY ALL) SELECT server, t, CAST(sum(d) OVER (PARTITION BY server ORDER BY t) AS BIGINT) AS active FROM net")
 register("job_submit", lambda s, d: jobs.validated(table(s, d, "events").select(F.col("event_id").alias("job_id"), F.when(F.col("event_id") % 5 == 0, "").when(F.col("event_id") % 5 == 1, "data:x;base64,!!").otherwise(F.concat(F.lit("data:image/png;base64,"), F.base64(F.col("props").cast("binary")))).alias("payload"))).select("job_id", F.octet_length("data").cast("long").alias("bytes")), "SELECT event_id AS job_id, CAST(octet_length(encode(props)) AS BIGINT) AS bytes FROM events WHERE event_id % 5 >= 2 AND octet_length(encode(props)) > 0")
