@@ -1,21 +1,26 @@
 """Substring deduplication on a de Bruijn graph of word k-mers.
 
-An edge is a window of ``WINDOW`` consecutive words (between two nodes of one word less). Edges are
-partitioned by their minimizer, the smallest hashed ``SEED_WORDS``-gram inside them; a maximal run of
-edges of one document with one minimizer is a nonbranching path, compacted to a single row.
-
-1. Seeds: only minimizers that occur in two documents can lie on repeated edges. They are found by
-   one aggregation and joined back to documents.
-2. Paths: each document's candidate runs become one row of (content, document, first word). Joining
-   the rows by content gives each repeated path its source, the smallest document with it.
-3. Remaining edges: a candidate edge whose path has no smaller source may still recur in a path that
-   was cut elsewhere; exactly these edges are compared one by one.
-4. Covered words are dropped, and long spans that advance in step with their source are reported
-   with both coordinates.
-
-Every comparison is an equality of 64-bit hashes of whole word sequences. Hot content (a line that a
-third of all documents share) is reduced before each shuffle by partial aggregation; joins are of
-two plain exchanges, which adaptive execution splits.
+A node is a sequence of 12 words, an edge a window of 13: the graph of the corpus has an edge for each
+distinct window. Only edges that occur in two documents matter, so the rest is never written out.
+
+1. Seeds. Edges are partitioned by their minimizer, the smallest hashed ``SEED_WORDS``-gram inside them;
+   one that occurs in one document alone has no repeated edge. Seeds are found by one aggregation and
+   joined back to documents.
+2. Runs. A maximal run of a document's edges with one minimizer is one row (content, document, first
+   word). An aggregation by content gives each distinct run its source, the smallest document with it.
+3. Pieces. Where all runs of a minimizer are equal, no other run shares an edge with them: the run is a
+   piece of the graph as it is. Else the distinct runs of the minimizer are broken into edges, read once
+   each from its source, and equal edges meet: an edge is a piece with the smallest source of its runs.
+4. Compaction. Pieces are joined at the nodes between them: a node with one piece in and one out does not
+   branch. Pointer jumping by joins, doubling the distance in each round, compacts every nonbranching
+   path to its first piece and an offset. Pieces on a cycle without a branch stay paths of their own.
+5. Spans. Occurrences in documents beyond the source are repeats; those that follow each other on one
+   path, with one shift against the source, are one span with both coordinates. Covered words are dropped.
+
+Runs and edges are equal if two independent 64-bit hashes of their words are; ``repeated_spans`` reads
+the words at both coordinates again and reports a span only if they are the same. Hot content (a line
+that a third of all documents share) is reduced before each shuffle by partial aggregation, and joins
+are of two plain exchanges, which adaptive execution splits.
 
 Defined cases: null text has no words; rows without a doc_id keep all words and are no source; rows
 that share a doc_id are one document; empty tables give empty results; long texts are read whole; other
@@ -24,11 +29,11 @@ columns are never read.
 
 from __future__ import annotations
 
-import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import U64, Words, cut, map_slices, mix, rolling, signed
@@ -37,45 +42,47 @@ WINDOW, SEED_WORDS = 13, 5
 
 
 class Edges:
-    """Windows of a slice: hash, minimizer, validity, and runs of one minimizer."""
+    """Windows of a slice: minimizer, validity, runs of one minimizer, and two hashes of anything."""
 
     def __init__(self, texts: pa.Array) -> None:
         self.words = words = Words(texts)
-        self.hashes = h = words.hashes()
-        n = len(h) - WINDOW + 1
-        if n <= 0:
-            self.edge = self.low = np.zeros(0, U64)
-            self.valid = np.zeros(0, bool)
-            self.doc = np.zeros(0, np.int64)
-            return
-        self.edge, self.valid = words.windows(h, WINDOW)
-        self.low = _sliding_min(words.windows(h, SEED_WORDS)[0], WINDOW - SEED_WORDS + 1)
+        self.hashes = words.hashes()
+        n = max(0, len(self.hashes) - WINDOW + 1)
+        self.valid = words.doc[:n] == words.doc[WINDOW - 1 :][:n]
         self.doc = words.doc[:n]
+        self.low = _sliding_min(words.windows(self.hashes, SEED_WORDS)[0], WINDOW - SEED_WORDS + 1) if n else np.zeros(0, U64)
 
-    def runs(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(content hash, first edge, end edge) of the runs of chosen edges with one minimizer and document."""
-        if not chosen.any():
-            empty = np.zeros(0, np.int64)
-            return np.zeros(0, U64), empty, empty
+    def starts(self, chosen: np.ndarray) -> np.ndarray:
+        """Whether a run of chosen edges with one minimizer and document begins."""
         new = chosen.copy()
         new[1:] &= ~chosen[:-1] | (self.low[1:] != self.low[:-1]) | (self.doc[1:] != self.doc[:-1])
-        starts = np.flatnonzero(new)
-        ids = np.cumsum(new) - 1
-        at = np.flatnonzero(chosen)
-        ends = starts + np.bincount(ids[at], minlength=len(starts))
-        length = (ends - starts).astype(U64)
-        return rolling(self.hashes, starts, ends + WINDOW - 1, 6) ^ mix(length + U64(99)), starts, ends
+        return new
+
+    def runs(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first edge, edges) of the runs of chosen edges."""
+        new = self.starts(chosen)
+        at = np.flatnonzero(new)
+        return at, np.bincount((np.cumsum(new) - 1)[chosen], minlength=len(at)) if len(at) else np.zeros(0, np.int64)
+
+    def digests(self, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two independent hashes of words first..last-1."""
+        if not hasattr(self, "second"):
+            self.second = self.words.hashes(seed=2)
+        return rolling(self.hashes, first, last, 6), rolling(self.second, first, last, 7)
 
     def member(self, values: np.ndarray, docs: np.ndarray, lists: pa.Array) -> np.ndarray:
         """Whether each (value, document) is in the document's list."""
         if not len(values):
             return np.zeros(0, bool)
         flat = lists.flatten().to_numpy(zero_copy_only=False).view(U64)
-        sizes = pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-        own = mix(np.repeat(np.arange(len(sizes)), sizes).astype(U64) + U64(5))
+        own = mix(np.repeat(np.arange(len(lists)), _lengths(lists)).astype(U64) + U64(5))
         return np.isin(values ^ mix(docs.astype(U64) + U64(5)), flat ^ own)
 
 
+def _lengths(lists: pa.Array) -> np.ndarray:
+    return pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+
+
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     have, out = 1, x
     while 2 * have <= width:
@@ -86,78 +93,144 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def _pairs(hashes: np.ndarray, batch: pa.RecordBatch, docs: np.ndarray, names: tuple[str, str]) -> pa.RecordBatch:
-    return pa.record_batch([signed(np.ascontiguousarray(hashes)), batch.column("doc_id").take(pa.array(docs))], names=list(names))
-
-
 def _seed_rows(docs: DataFrame) -> DataFrame:
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         e = Edges(batch.column("text"))
-        first = e.valid.copy()
-        first[1:] &= ~e.valid[:-1] | (e.low[1:] != e.low[:-1]) | (e.doc[1:] != e.doc[:-1])
-        return _pairs(e.low[first], batch, e.doc[first], ("h", "doc_id"))
+        at = np.flatnonzero(e.starts(e.valid))
+        return pa.record_batch([signed(np.ascontiguousarray(e.low[at])), batch.column("doc_id").take(pa.array(e.doc[at]))], names=["h", "doc_id"])
 
     return map_slices(docs, kernel, "h long, doc_id long")
 
 
-def _shared(rows: DataFrame, key: str) -> DataFrame:
-    """(key, source): keys of two or more documents with the smallest of them."""
-    both = rows.groupBy(key).agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last"))
-    return cut(both.where("source < last").select(key, "source"))
+def _runs(texts: DataFrame) -> DataFrame:
+    """(h, check, seed, doc_id, start, edges): the runs of seeds that two documents have."""
+    rows = _seed_rows(texts)
+    seeds = rows.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    seeds = cut(seeds.where("low < high").select("h"))
+    found = cut(rows.join(seeds, "h").groupBy("doc_id").agg(F.collect_set("h").alias("seeds")), seeds)
 
+    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
+        e = Edges(batch.column("text"))
+        first, n = e.runs(e.valid & e.member(e.low, e.doc, batch.column("seeds")))
+        h, check = e.digests(first, first + n + WINDOW - 1)
+        doc = e.doc[first]
+        start = (first - e.words.first[doc]).astype(np.int32)
+        cols = [signed(h), signed(check), signed(np.ascontiguousarray(e.low[first])), batch.column("doc_id").take(pa.array(doc)), pa.array(start), pa.array(n.astype(np.int32))]
+        return pa.record_batch(cols, names=["h", "check", "seed", "doc_id", "start", "edges"])
 
-def _later(rows: DataFrame, shared: DataFrame, key: str, name: str) -> DataFrame:
-    """Per document, the keys that also occur in a smaller document."""
-    return rows.join(shared, key).where("doc_id > source").groupBy("doc_id").agg(F.collect_set(key).alias(name))
+    return cut(map_slices(texts.join(found, "doc_id"), kernel, "h long, check long, seed long, doc_id long, start int, edges int"), found)
 
 
-def repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, seeds, paths, edges): what of each document also occurs in a smaller one."""
-    texts = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
-    rows = _seed_rows(texts)
-    seeds = _shared(rows, "h").select("h")
-    found = cut(rows.join(seeds, "h").groupBy("doc_id").agg(F.collect_set("h").alias("seeds")))
+def _sourced(runs: DataFrame) -> DataFrame:
+    """``runs`` that matter, with (source, at, shared, mixed): the smallest document of each and where it stands there.
 
-    def path_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        e = Edges(batch.column("text"))
-        content, starts, _ = e.runs(e.valid & e.member(e.low, e.doc, batch.column("seeds")))
-        return _pairs(content, batch, e.doc[starts], ("path", "doc_id"))
+    A run of a minimizer that has other runs is mixed; others matter only if two documents share them.
+    """
+    one = runs.groupBy("h", "check").agg(F.first("seed").alias("seed"), F.min("doc_id").alias("source"), F.min_by("start", "doc_id").alias("at"), F.max("doc_id").alias("last"))
+    one = cut(one.withColumn("shared", F.col("source") < F.col("last")).drop("last"))
+    many = cut(one.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed", F.lit(True).alias("mixed")))
+    both = one.join(many, "seed", "left").withColumn("mixed", F.coalesce("mixed", F.lit(False)))
+    both = cut(both.where("shared or mixed").drop("seed"), one, many)
+    return cut(runs.drop("seed").join(both, ["h", "check"]), runs, both)
 
-    rows = cut(map_slices(texts.join(found, "doc_id"), path_rows, "path long, doc_id long"))
-    paths = _later(rows, _shared(rows, "path"), "path", "paths")
-    found = cut(found.join(paths, "doc_id", "left"))
 
-    def edge_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        e = Edges(batch.column("text"))
-        chosen = e.valid & e.member(e.low, e.doc, batch.column("seeds"))
-        left = chosen & ~_covered(e, chosen, batch.column("paths"))
-        return _pairs(e.edge[left], batch, e.doc[left], ("edge", "doc_id"))
-
-    rows = cut(map_slices(texts.join(found, "doc_id"), edge_rows, "edge long, doc_id long"))
-    edges = _later(rows, _shared(rows, "edge"), "edge", "edges")
-    return cut(found.join(edges, "doc_id", "left").where("paths is not null or edges is not null"))
-
-
-def _covered(e: Edges, chosen: np.ndarray, lists: pa.Array) -> np.ndarray:
-    """The chosen edges on paths in their document's list."""
-    content, starts, ends = e.runs(chosen)
-    step = np.zeros(len(chosen) + 1, np.int64)
-    if len(starts):
-        hit = e.member(content, e.doc[starts], lists)
-        np.add.at(step, starts[hit], 1)
-        np.add.at(step, ends[hit], -1)
-    return np.cumsum(step[:-1]) > 0
+def _pieces(texts: DataFrame, runs: DataFrame) -> DataFrame:
+    """(p, check, tail, head, edges, source, at, shared, mixed): whole runs, and every edge of the mixed ones, in their sources."""
+    row = F.struct(F.col("start").alias("at"), "edges", "h", "check", "shared", "mixed")
+    lists = runs.where("doc_id = source and (mixed or start = at)").groupBy("doc_id").agg(F.collect_list(row).alias("runs"))
+
+    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
+        e, lists = Edges(batch.column("text")), batch.column("runs")
+        flat = lists.flatten()
+        field = lambda k: flat.field(k).to_numpy(zero_copy_only=False)
+        doc = np.repeat(np.arange(len(lists)), _lengths(lists))
+        first, n, mixed = e.words.first[doc] + field("at"), field("edges"), field("mixed").astype(bool)
+        # a mixed run gives a row per edge, any other one row
+        times = np.where(mixed, n, 1)
+        own = np.repeat(np.arange(len(n)), times)
+        start = first[own] + np.arange(len(own)) - np.repeat(np.cumsum(times) - times, times)
+        long = np.where(mixed, 1, n)[own]
+        p, check = (field(k)[own].copy() for k in ("h", "check"))
+        single = mixed[own]
+        edge = e.digests(start[single], start[single] + WINDOW)
+        p[single], check[single] = (x.view(np.int64) for x in edge)
+        node = e.words.windows(e.hashes, WINDOW - 1, 9)[0]
+        at = (start - e.words.first[doc[own]]).astype(np.int32)
+        cols = [pa.array(p), pa.array(check), signed(node[start]), signed(node[start + long]), pa.array(long.astype(np.int32)), batch.column("doc_id").take(pa.array(doc[own])), pa.array(at), pa.array(field("shared").astype(bool)[own]), pa.array(single)]
+        return pa.record_batch(cols, names=["p", "check", "tail", "head", "edges", "source", "at", "shared", "mixed"])
+
+    schema = "p long, check long, tail long, head long, edges int, source long, at int, shared boolean, mixed boolean"
+    return cut(map_slices(texts.join(lists, "doc_id"), kernel, schema))
+
+
+def _graph(pieces: DataFrame) -> DataFrame:
+    """(pid, p, check, tail, head, edges, source, at): each repeated piece once, with its smallest source."""
+    whole = pieces.where("not mixed").select("p", "check", "tail", "head", "edges", "source", "at")
+    edges = pieces.where("mixed").groupBy("p", "check").agg(F.first("tail").alias("tail"), F.first("head").alias("head"), F.first("edges").alias("edges"), F.min_by("at", "source").alias("at"), F.max("source").alias("last"), F.bool_or("shared").alias("shared"), F.min("source").alias("source"))
+    edges = edges.where("shared or source < last").select("p", "check", "tail", "head", "edges", "source", "at")
+    return cut(cut(whole.unionByName(edges)).withColumn("pid", F.monotonically_increasing_id()))
+
+
+def compacted(graph: DataFrame) -> DataFrame:
+    """(pid, path, offset): every piece's nonbranching path, named by its first piece, and its edges before it."""
+    into = graph.groupBy(F.col("head").alias("node")).agg(F.count("*").alias("n"), F.first("pid").alias("before"), F.first("edges").alias("edges"))
+    out = graph.groupBy(F.col("tail").alias("node")).agg(F.count("*").alias("m"), F.first("pid").alias("pid"))
+    into, out = cut(into.where("n = 1").drop("n")), cut(out.where("m = 1").drop("m"))
+    links = cut(into.join(out, "node").where("before <> pid").select("pid", "before", F.col("edges").cast("long").alias("offset")), into, out)
+    # a row points ``offset`` edges back; one whose target points nowhere is done. Each round doubles the distance.
+    rounds = max(1, (links.count() + 1).bit_length())
+    open_, ends, written, ahead = links, [], [links], links
+    for _ in range(rounds):
+        step = ahead.select(F.col("pid").alias("before"), F.col("before").alias("beyond"), F.col("offset").alias("more"))
+        moved = cut(open_.join(step, "before", "left"))
+        written.append(moved)
+        ends.append(moved.where("beyond is null").select("pid", "before", "offset"))
+        open_ = moved.where("beyond is not null").select("pid", F.col("beyond").alias("before"), (F.col("offset") + F.col("more")).alias("offset"))
+        ahead = reduce(DataFrame.unionByName, ends, open_)
+        if not open_.head(1):
+            break
+    # pieces on cycles never end: they have no row, like first pieces
+    return cut(reduce(DataFrame.unionByName, ends).withColumnRenamed("before", "path"), *written)
+
+
+def _occurrences(runs: DataFrame, pieces: DataFrame, graph: DataFrame) -> DataFrame:
+    """(doc_id, start, edges, source, at, pid): where a document repeats a smaller one."""
+    names = ["doc_id", "start", "edges", "source", "at", "pid"]
+    later = runs.where("doc_id > source").join(graph.select(F.col("p").alias("h"), "check", "pid"), ["h", "check"], "left")
+    # a run's own source repeats a smaller document in single edges only
+    lower = graph.select("p", "check", "pid", F.col("source").alias("low"), F.col("at").alias("low_at"))
+    edges = pieces.where("mixed").select("p", "check", F.col("source").alias("doc_id"), F.col("at").alias("start"), "edges").join(lower, ["p", "check"]).where("doc_id > low")
+    return later.select(*names).unionByName(edges.select("doc_id", "start", "edges", F.col("low").alias("source"), F.col("low_at").alias("at"), "pid").distinct())
 
 
-def _removed(e: Edges, batch: pa.RecordBatch) -> np.ndarray:
-    """Whether each word is covered by an edge that also starts in a smaller document."""
-    chosen = e.valid & e.member(e.low, e.doc, batch.column("seeds"))
-    gone = _covered(e, chosen, batch.column("paths"))
-    gone |= chosen & e.member(e.edge, e.doc, batch.column("edges"))
-    at = np.flatnonzero(gone)
-    step = np.zeros(len(e.hashes) + 1, np.int64)
-    np.add.at(step, at, 1)
-    np.add.at(step, at + WINDOW, -1)
+def repeats(docs: DataFrame) -> DataFrame:
+    """(doc_id, start, edges, source, at): spans of edges that also occur in a smaller document, at their source."""
+    texts = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
+    runs = _sourced(_runs(texts))
+    pieces = _pieces(texts, runs)
+    graph = _graph(pieces)
+    paths = compacted(graph)
+    found = _occurrences(runs, pieces, graph)
+    placed = found.join(paths, "pid", "left").withColumn("path", F.coalesce("path", "pid")).withColumn("offset", F.coalesce("offset", F.lit(0)))
+    # neighbours on one path, one shift against the path and one against the source: one span where nothing is missing
+    key = ["doc_id", "path", "source", (F.col("start") - F.col("offset")).alias("base"), (F.col("start") - F.col("at")).alias("shift")]
+    part = F.struct("start", "edges")
+    whole = placed.where("path is not null").groupBy(*key).agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("edges")).alias("end"), F.sum("edges").alias("n"), F.collect_list(part).alias("parts"))
+    full = F.col("n") == F.col("end") - F.col("start")
+    spans = F.when(full, F.array(F.struct("start", (F.col("end") - F.col("start")).cast("int").alias("edges")))).otherwise(F.col("parts"))
+    whole = whole.select("doc_id", "source", "shift", F.explode(spans).alias("s")).select("doc_id", "s.start", "s.edges", "source", (F.col("s.start") - F.col("shift")).alias("at"))
+    single = placed.where("path is null").select("doc_id", "start", "edges", "source", "at")
+    return cut(whole.unionByName(single), runs, pieces, paths, graph)
+
+
+def _covered(words: Words, lists: pa.Array) -> np.ndarray:
+    """Whether each word lies in one of its document's spans."""
+    flat = lists.flatten()
+    doc = np.repeat(np.arange(len(lists)), _lengths(lists))
+    start, n = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("start", "edges"))
+    step = np.zeros(len(words.starts) + 1, np.int64)
+    np.add.at(step, words.first[doc] + start, 1)
+    np.add.at(step, words.first[doc] + start + n + WINDOW - 1, -1)
     return np.cumsum(step[:-1]) > 0
 
 
@@ -165,9 +238,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): each text without the words that repeat a smaller document."""
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        e = Edges(batch.column("text"))
-        w = e.words
-        gone = _removed(e, batch)
+        w = Words(batch.column("text"))
+        gone = _covered(w, batch.column("spans"))
         raw = w.data.tobytes()
         n_removed = np.bincount(w.doc[gone], minlength=len(w.counts))
         kept = []
@@ -178,8 +250,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
             kept.append(b" ".join(own).decode())
         return pa.record_batch([batch.column("doc_id"), pa.array(w.counts.astype(np.int64)), pa.array(n_removed.astype(np.int64)), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
-    rows = docs.select("doc_id", "text").join(repeats(docs), "doc_id", "left")
-    return map_slices(rows, kernel, "doc_id long, n_words long, n_removed long, kept string")
+    lists = repeats(docs).groupBy("doc_id").agg(F.collect_list(F.struct("start", "edges")).alias("spans"))
+    return map_slices(docs.select("doc_id", "text").join(cut(lists), "doc_id", "left"), kernel, "doc_id long, n_words long, n_removed long, kept string")
 
 
 def dedup_report(docs: DataFrame) -> DataFrame:
@@ -191,37 +263,31 @@ def dedup_report(docs: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame, least: int = 50) -> DataFrame:
     """(doc_id, start, n_words, source_id, source_start): repeated spans of ``least`` words or more.
 
-    Path rows with coordinates are joined to their sources; consecutive paths of a document whose
-    sources advance in step are one span.
+    Spans whose coordinates advance together are one, however their edges were found; the words at both
+    coordinates are read from the texts again, and only equal ones are reported.
     """
-    texts = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
-    found = repeats(docs).where("paths is not null").select("doc_id", "seeds")
-    all_seeds = found.select(F.explode("seeds").alias("h")).distinct()
-    seeds = _seed_rows(texts).join(all_seeds, "h").groupBy("doc_id").agg(F.collect_set("h").alias("seeds"))
+    spans = repeats(docs).withColumn("shift", F.col("start") - F.col("at"))
+    per = Window.partitionBy("doc_id", "source", "shift").orderBy("start", "edges")
+    # a span may begin anew only beyond the end of all before it
+    upto = F.max(F.col("start") + F.col("edges")).over(per.rowsBetween(Window.unboundedPreceding, -1))
+    island = F.sum(F.when(F.col("start") <= upto, 0).otherwise(1)).over(per)
+    long = spans.withColumn("island", island).groupBy("doc_id", "source", "shift", "island").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("edges")).alias("end"))
+    long = long.select("doc_id", "start", (F.col("end") - F.col("start") + WINDOW - 1).alias("n_words"), "source", (F.col("start") - F.col("shift")).alias("at")).where(F.col("n_words") >= least)
+    texts = docs.where("doc_id is not null and text is not null").groupBy("doc_id").agg(F.min("text").alias("text"))
+    long = cut(long)
+    rows = long.join(texts, "doc_id").join(texts.select(F.col("doc_id").alias("source"), F.col("text").alias("other")), "source")
 
-    def located(batch: pa.RecordBatch) -> pa.RecordBatch:
-        e = Edges(batch.column("text"))
-        content, starts, ends = e.runs(e.valid & e.member(e.low, e.doc, batch.column("seeds")))
-        docs = e.doc[starts]
-        return pa.record_batch([signed(content), batch.column("doc_id").take(pa.array(docs)), pa.array(starts - e.words.first[docs]), pa.array(ends - starts)], names=["path", "doc_id", "start", "edges"])
-
-    rows = cut(map_slices(texts.join(seeds, "doc_id"), located, "path long, doc_id long, start long, edges long"))
-    source = cut(rows.groupBy("path").agg(F.min(F.struct("doc_id", "start")).alias("s")).select("path", F.col("s.doc_id").alias("source_id"), F.col("s.start").alias("source_start")))
-    hits = rows.join(source, "path").where("doc_id > source_id")
-
-    def glue(key: tuple, table: pa.Table) -> pa.Table:
-        out: list[list[int]] = []
-        for r in table.sort_by([("source_id", "ascending"), ("start", "ascending")]).to_pylist():
-            last = out[-1] if out else None
-            if last and last[3] == r["source_id"] and last[0] - last[4] == r["start"] - r["source_start"] and r["start"] <= last[0] + last[2] - WINDOW + 1:
-                last[2] = max(last[2], r["start"] + r["edges"] + WINDOW - 1 - last[0])
-            else:
-                out.append([r["start"], r["doc_id"], r["edges"] + WINDOW - 1, r["source_id"], r["source_start"]])
-        out = [x for x in out if x[2] >= least]
-        return pa.table({"doc_id": [x[1] for x in out], "start": [x[0] for x in out], "n_words": [x[2] for x in out], "source_id": [x[3] for x in out], "source_start": [x[4] for x in out]}, schema=pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "n_words", "source_id", "source_start")]))
-
-    # grouped by document: a group holds one document's own paths
-    return hits.select("doc_id", "start", "edges", "source_id", "source_start").groupBy("doc_id").applyInArrow(glue, "doc_id long, start long, n_words long, source_id long, source_start long")
+    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
+        mine, other = Words(batch.column("text")), Words(batch.column("other"))
+        number = lambda k: batch.column(k).to_numpy()
+        keep = []
+        for i, (a, b, n) in enumerate(zip(number("start"), number("at"), number("n_words"), strict=True)):
+            one, two = (w.data[w.offsets[i] : w.offsets[i + 1]].tobytes().split() for w in (mine, other))
+            keep.append(one[a : a + n] == two[b : b + n])
+        out = batch.filter(pa.array(keep, pa.bool_()))
+        return pa.record_batch([out.column(k).cast(pa.int64()) for k in ("doc_id", "start", "n_words", "source", "at")], names=["doc_id", "start", "n_words", "source_id", "source_start"])
+
+    return map_slices(rows.select("doc_id", "start", "n_words", "source", "at", "text", "other"), kernel, "doc_id long, start long, n_words long, source_id long, source_start long")
 
 
 DEDUP_SQL = r"""

@@ -77,6 +77,54 @@ def test_repeated_spans_have_true_coordinates(spark):
         assert r["n_words"] >= 50 and a[r["start"] : r["start"] + r["n_words"]] == b[r["source_start"] : r["source_start"] + r["n_words"]]
 
 
+def test_shared_passages_are_reported_whole(spark):
+    rng = random.Random(11)
+    word = lambda: f"u{rng.randrange(10**9)}"
+    rows, want = [], set()
+    for k, n in enumerate((50, 51, 55, 60, 75, 120, 400)):
+        passage = [word() for _ in range(n)]
+        for j in range(3):
+            before = [word() for _ in range(rng.randrange(0, 40))]
+            rows.append((10 * k + j, " ".join(before + passage + [word() for _ in range(rng.randrange(0, 40))])))
+            if j:
+                want.add((10 * k + j, len(before), n, 10 * k))
+    got = {(r["doc_id"], r["start"], r["n_words"], r["source_id"]) for r in substrings.repeated_spans(docs(spark, rows), 50).collect()}
+    assert got == want
+
+
+def test_words_that_polynomials_confuse_are_kept(spark):
+    from .test_jaccard import thue_morse
+
+    one, other = thue_morse(1024), thue_morse(1024, "b", "a")
+    rows = [(1, "x " * 12 + one), (2, "x " * 12 + other), (3, " ".join(one)), (4, " ".join(other)), (5, " ".join(one) + " end")]
+    got = sorted(tuple(r) for r in substrings.dedup_report(docs(spark, rows)).select("doc_id", "n_words", "n_removed", "kept_sha256").collect())
+    assert got == brute_dedup(rows) and got[1][2] == 0
+
+
+def test_paths_are_nonbranching_and_whole(spark):
+    """Compaction against a walk over the same pieces in plain Python."""
+    texts = docs(spark, planted(5)).select("doc_id", "text").where("text is not null")
+    pieces = substrings._pieces(texts, substrings._sourced(substrings._runs(texts)))
+    graph = substrings._graph(pieces)
+    rows = {r["pid"]: r for r in graph.collect()}
+    into, out = {}, {}
+    for i, r in rows.items():
+        into.setdefault(r["head"], []).append(i)
+        out.setdefault(r["tail"], []).append(i)
+    before = {i: into[r["tail"]][0] for i, r in rows.items() if len(into.get(r["tail"], [])) == 1 and len(out[r["tail"]]) == 1}
+    want = {}
+    for i in before:
+        at, n, seen = i, 0, set()
+        while at in before and at not in seen:
+            seen.add(at)
+            at = before[at]
+            n += rows[at]["edges"]
+        if at not in before:
+            want[i] = (at, n)
+    got = {r["pid"]: (r["path"], r["offset"]) for r in substrings.compacted(graph).collect()}
+    assert got == want and len(set(p for p, _ in got.values())) > 3 and max(n for _, n in got.values()) > 100
+
+
 # ---------------------------------------------------------------- packing
 def test_ids_equal_the_whole_tokenizer():
     path = packing.vocabulary_path()
