@@ -17,6 +17,8 @@ def label_runs(y: np.ndarray, x: np.ndarray, label: np.ndarray) -> np.ndarray:
     order = np.lexsort((x, y))
     y, x, label = y[order], x[order], label[order]
     n = len(y)
+    if n:  # a tile's own grid, wherever it lies
+        y, x = y - y.min(), x - x.min()
     width = int(x.max()) + 2 if n else 1
     at = np.full((int(y.max()) + 2 if n else 1) * width, -1, np.int64)
     flat = y.astype(np.int64) * width + x

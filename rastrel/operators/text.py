@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut, ship
 from .segment import component_stats, labelled
-from .signals import central_gradient, with_luma
+from .signals import by_column, by_row, with_luma
 
 
 def tile_background(px: DataFrame, tile: int = 32, share: float = 0.5, slope: float = 8.0) -> DataFrame:
@@ -19,8 +21,12 @@ def tile_background(px: DataFrame, tile: int = 32, share: float = 0.5, slope: fl
     n = v.groupBy(*keys, "bucket").agg(F.count("*").alias("n"))
     best = n.groupBy(*keys).agg(F.max_by("bucket", F.struct("n", -F.col("bucket"))).alias("mode"), F.sum("n").alias("total"))
     near = n.join(best, keys).where(F.abs(F.col("bucket") - F.col("mode")) <= 1).groupBy(*keys, "mode", "total").agg(F.sum("n").alias("band"))
-    grad = central_gradient(px).select("img_id", F.floor(F.col("y") / tile).cast("int").alias("ty"), F.floor(F.col("x") / tile).cast("int").alias("tx"), F.floor(F.col("l") / 8000).cast("int").alias("bucket"), "grad")
-    flat = grad.join(best, keys).where(F.abs(F.col("bucket") - F.col("mode")) <= 1).groupBy(*keys).agg(F.count("*").alias("inner"), F.sum("grad").alias("g"))
+    # flatness is that of the band's inside: pixels whose four neighbours are in the band, too
+    around = {n: f("l").over(w) for n, f, w in (("a", F.lag, by_row()), ("b", F.lead, by_row()), ("c", F.lag, by_column()), ("d", F.lead, by_column()))}
+    g = with_luma(px).withColumns(around).where("a is not null and b is not null and c is not null and d is not null")
+    g = g.select("img_id", F.floor(F.col("y") / tile).cast("int").alias("ty"), F.floor(F.col("x") / tile).cast("int").alias("tx"), "l", *around, (F.abs(F.col("b") - F.col("a")) + F.abs(F.col("d") - F.col("c"))).alias("grad"))
+    inside = [F.abs(F.floor(F.col(k) / 8000) - F.col("mode")) <= 1 for k in ("l", *around)]
+    flat = g.join(best, keys).where(reduce(Column.__and__, inside)).groupBy(*keys).agg(F.count("*").alias("inner"), F.sum("grad").alias("g"))
     out = near.join(flat, keys, "left")
     ok = (F.col("band") >= share * F.col("total")) & (F.col("inner") * 5 >= F.col("total")) & (F.col("g") <= int(slope * 1000) * F.col("inner"))
     return out.select(*keys, "mode", F.round(F.col("band") / F.col("total"), 6).alias("share"), F.round(F.col("g") / F.col("inner") / 1000, 6).alias("flatness"), F.coalesce(ok, F.lit(False)).alias("valid"))

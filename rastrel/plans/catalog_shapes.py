@@ -58,8 +58,9 @@ TILE = """tl AS (SELECT img_id, CAST(y // 32 AS INTEGER) AS ty, CAST(x // 32 AS
  tn AS (SELECT img_id, ty, tx, bucket, count(*) AS n FROM tl GROUP BY ALL),
  tm AS (SELECT img_id, ty, tx, bucket AS mode, sum(n) OVER (PARTITION BY img_id, ty, tx) AS total FROM tn QUALIFY row_number() OVER (PARTITION BY img_id, ty, tx ORDER BY n DESC, bucket) = 1),
  tb AS (SELECT img_id, ty, tx, mode, max(total) AS total, sum(n) AS band FROM tn JOIN tm USING (img_id, ty, tx) WHERE abs(bucket - mode) <= 1 GROUP BY ALL),
- tg AS (SELECT img_id, y, x, l, abs(lead(l) OVER h - lag(l) OVER h) + abs(lead(l) OVER v - lag(l) OVER v) AS g FROM luma WINDOW h AS (PARTITION BY img_id, y ORDER BY x), v AS (PARTITION BY img_id, x ORDER BY y)),
- tf AS (SELECT t.img_id, t.ty, t.tx, count(*) AS inner_n, sum(g) AS g FROM tg g JOIN tm t ON t.img_id = g.img_id AND t.ty = g.y // 32 AND t.tx = g.x // 32 WHERE g.g IS NOT NULL AND abs(g.l // 8000 - mode) <= 1 GROUP BY ALL),
+ tg AS (SELECT img_id, y, x, l, lag(l) OVER h AS na, lead(l) OVER h AS nb, lag(l) OVER v AS nc, lead(l) OVER v AS nd FROM luma WINDOW h AS (PARTITION BY img_id, y ORDER BY x), v AS (PARTITION BY img_id, x ORDER BY y)),
+ tf AS (SELECT t.img_id, t.ty, t.tx, count(*) AS inner_n, sum(abs(nb - na) + abs(nd - nc)) AS g FROM tg g JOIN tm t ON t.img_id = g.img_id AND t.ty = g.y // 32 AND t.tx = g.x // 32
+  WHERE abs(l // 8000 - mode) <= 1 AND abs(na // 8000 - mode) <= 1 AND abs(nb // 8000 - mode) <= 1 AND abs(nc // 8000 - mode) <= 1 AND abs(nd // 8000 - mode) <= 1 GROUP BY ALL),
  tiles AS (SELECT img_id, ty, tx, mode, round(band / total, 6) AS share, round(g / inner_n / 1000, 6) AS flatness, coalesce(band >= 0.5e0 * total AND inner_n * 5 >= total AND g <= 8000 * inner_n, false) AS valid FROM tb LEFT JOIN tf USING (img_id, ty, tx))"""
 px_query("tile_background", text.tile_background, "SELECT * FROM tiles", TILE)
 px_query("local_ink", text.local_ink, "SELECT img_id, y, x FROM tl JOIN tiles USING (img_id, ty, tx) WHERE CASE WHEN valid THEN abs(l - (mode * 8000 + 4000)) > 45000 ELSE l >= 240000 END", TILE)
@@ -275,7 +276,7 @@ register("job_queue", lambda s, d: jobs.schedule(_arrivals(s, d), 20000), f"""WI
   SELECT DISTINCT server, CAST(0 AS BIGINT) AS k, [CAST(0 AS BIGINT), CAST(0 AS BIGINT)] AS free, CAST([] AS STRUCT(t BIGINT, started BIGINT, ended BIGINT)[]) AS live, CAST(NULL AS BIGINT) AS job_id, 0 AS status, 0 AS position, CAST(NULL AS BIGINT) AS started, CAST(NULL AS BIGINT) AS ended FROM j
   UNION ALL SELECT server, k, CASE WHEN full_ OR gone THEN free ELSE list_transform(free, lambda f, i: CASE WHEN i = list_position(free, list_min(free)) THEN ends ELSE f END) END, CASE WHEN full_ THEN kept ELSE list_append(kept, {{'t': t, 'started': begins, 'ended': ends}}) END, job_id,
    CASE WHEN full_ THEN 429 ELSE 200 END, CASE WHEN full_ THEN NULL WHEN begins > t THEN 1 + len(list_filter(kept, lambda x: x.started > t)) ELSE 0 END, CASE WHEN NOT full_ AND NOT gone THEN begins END, CASE WHEN NOT full_ THEN ends END FROM (
-    SELECT *, len(kept) >= 16 AS full_, CASE WHEN gone THEN quits ELSE least(begins + work, greatest(quits, begins)) END AS ends FROM (SELECT *, quits IS NOT NULL AND quits <= begins AND begins > t AS gone FROM (
+    SELECT *, len(kept) >= 16 AS full_, CASE WHEN gone THEN quits ELSE least(begins + work, CASE WHEN quits IS NOT NULL THEN greatest(quits, begins) END) END AS ends FROM (SELECT *, quits IS NOT NULL AND quits <= begins AND begins > t AS gone FROM (
      SELECT j.*, r.free, greatest(j.t, list_min(r.free)) AS begins, list_filter(r.live, lambda x: x.ended > j.t AND j.t - x.t <= 20000) AS kept FROM run r JOIN j ON j.server = r.server AND j.k = r.k + 1))))
   SELECT server, job_id, CAST(status AS INTEGER) AS status, CAST(position AS INTEGER) AS position, started, ended FROM run WHERE k > 0""")
 

@@ -78,7 +78,8 @@ def schedule(jobs: DataFrame, ttl: int = TTL_SECONDS) -> DataFrame:
         free = F.array_min(state["free"])
         begins = F.greatest(j["t"], free)
         gone = j["quits"].isNotNull() & (j["quits"] <= begins) & (begins > j["t"])
-        ends = F.when(gone, j["quits"]).otherwise(F.least(begins + j["work"], F.greatest(j["quits"], begins)))
+        left = F.when(j["quits"].isNotNull(), F.greatest(j["quits"], begins))  # least skips nulls
+        ends = F.when(gone, j["quits"]).otherwise(F.least(begins + j["work"], left))
         full = F.size(kept) >= MAX_PENDING
         place = F.when(begins > j["t"], 1 + F.size(F.filter(kept, lambda x: x["started"] > j["t"]))).otherwise(0)
         answer = F.struct(

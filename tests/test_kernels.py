@@ -1,5 +1,7 @@
 """Kernels and properties of the raster engine."""
 
+import json
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -7,10 +9,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from rastrel.operators import geometry, metrics, neighbours, palette, paths, raster, refine, segment, text
+from rastrel.operators import geometry, metrics, neighbours, palette, paths, raster, refine, render, segment, text, vectorize
 from rastrel.plans import convert
 from rastrel.sources import sinks
-from rastrel.sources.pixels import decode_images, pack_images, solid, unpack_images, with_canvas
+from rastrel.sources.pixels import decode_images, fit_inside, pack_images, solid, unpack_images, with_canvas
 from rastrel.streaming import jobs
 
 PX = "img_id long, y int, x int, r int, g int, b int"
@@ -218,7 +220,230 @@ def test_conversion_is_no_worse_than_its_base(spark):
     assert out[0]["svg"].startswith("<svg ") and out[0]["svg"].count("<svg") == 1 and out[0]["svg"].endswith("</svg>")
 
 
+def drawing():
+    """A flat drawing, a shaded disc on it, and a smooth field: (name, pixels)."""
+    y, x = np.mgrid[:64, :64]
+    flat = np.zeros((64, 64, 3)) + (250, 250, 245)
+    flat[(x - 20) ** 2 + (y - 24) ** 2 < 150] = (200, 30, 40)
+    flat[40:56, 30:60] = (20, 90, 200)
+    disc = flat.copy()
+    inside = (x - 32) ** 2 + (y - 32) ** 2 < 400
+    field = np.stack([x * 3 + 20, y * 2 + 30, x + y + 10], 2).astype(float)
+    disc[inside] = field[inside]
+    return {"flat": flat, "disc": disc, "field": field}
+
+
+@pytest.mark.parametrize("name", ["flat", "disc", "field"])
+@pytest.mark.parametrize("candidate", ["base", "splat", "layered"])
+def test_scores_belong_to_their_documents(name, candidate):
+    target = np.floor(drawing()[name])
+    row = {"quality": "draft", "type": "flat" if name == "flat" else "illustration", "candidate": candidate, "preset": "flat", "alpha": 0.8, "budget": 24, "saliency": name != "flat"}
+    r = vectorize.vectorize(target, 1, convert.run_plan(row, {}))
+    assert abs(vectorize.dssim(target, render.rasterize(r.svg)) - r.score) < 1e-12 and r.score <= r.base_score
+    assert r.score < (1e-9 if name == "flat" else 0.1) and len(r.history) <= 24
+    doc = render.parse(r.svg)
+    assert (doc.width, doc.height) == (64, 64) and doc.elements
+
+
+def test_whole_and_region_gradients_are_found():
+    y, x = np.mgrid[:64, :64]
+    for ramp, radial in ((x * 3.0, False), (np.hypot(x - 20, y - 30) * 4, True)):
+        target = np.floor(np.clip(np.stack([ramp + 20, ramp * 0.5 + 60, 200 - ramp * 0.7], 2), 0, 255))
+        fit = vectorize.fit_gradient(target, *(v.ravel() for v in (y, x)), 12, 5, 48)
+        assert fit.rmse < 0.25 * fit.flat and (not radial or fit.radial)
+        drawn = render.rasterize(vectorize.document(64, 64, f'<defs>{fit.markup("g", 12)}</defs><rect width="100%" height="100%" fill="url(#g)"/>'))
+        assert vectorize.rmse(target, drawn) < 1.5 * fit.rmse + 0.01
+
+
+def test_rendering_follows_the_markup():
+    svg = ('<svg viewBox="0 0 20 10"><clipPath id="f"><path d="M0 0H20V10H0z"/></clipPath><g clip-path="url(#f)"><rect width="100%" height="100%" fill="#102030"/>'
+           '<path fill="#fff" d="M2 2H8V8H2ZM4 4V6H6V4Z"/><g transform="translate(10 0) scale(2)" opacity=".5"><rect x="1" y="1" width="2" height="2" fill="#ff0000"/></g>'
+           '<ellipse cx="17" cy="5" rx="2" ry="1" transform="rotate(90 17 5)" fill="#00ff00"/><path fill="none" d="M0 0H20"/></g></svg>')
+    a = render.rasterize(svg)
+    assert a.shape == (10, 20, 3) and tuple(a[0, 0]) == (16, 32, 48)
+    assert tuple(a[3, 3]) == (255, 255, 255) and tuple(a[5, 5]) == (16, 32, 48)  # a hole
+    assert tuple(a[3, 13]) == ((16 + 255) / 2, 16, 24) and tuple(a[6, 13]) == (16, 32, 48)
+    assert tuple(a[3, 17]) == (0, 255, 0) and tuple(a[5, 15]) == ((16 + 255) / 2, 16, 24)  # turned upright; half-seen red below
+    b = render.rasterize(svg, 40, 20)
+    assert (b[::2, ::2] == a).all() and (b[1::2, 1::2] == a).all()
+    wound = render.winding([np.array([[0, 0], [8, 0], [8, 8], [0, 8]], float), np.array([[2, 2], [6, 2], [6, 6], [2, 6]], float)], 8, 8)
+    assert wound.all() and not render.winding([np.array([[0, 0], [8, 0], [8, 8], [0, 8]], float), np.array([[2, 2], [6, 2], [6, 6], [2, 6]], float)], 8, 8, True)[3, 3]
+
+
+def test_documents_render_to_packed_pixels(spark):
+    a = drawing()["flat"].astype(int)
+    out = convert.convert(image(spark, a, 7), "draft").collect()[0]
+    back = render.render_documents(spark.createDataFrame([(7, out["svg"]), (8, None)], "img_id long, svg string")).collect()
+    assert len(back) == 1 and (back[0]["width"], back[0]["height"]) == (64, 64)
+    got = np.frombuffer(bytes(back[0]["data"]), np.uint8).reshape(64, 64, 3)
+    assert abs(vectorize.dssim(a.astype(float), got) - out["score"]) < 1e-3 and out["type"] == "flat" and out["bytes"] == len(out["svg"])
+
+
+def test_overrides_and_weights_reach_the_search(spark):
+    a = (drawing()["field"] + np.random.default_rng(0).integers(0, 60, (64, 64, 3))).clip(0, 255).astype(int)
+    px = image(spark, a)
+    few = convert.convert(px, "draft", overrides={"budget": 3, "splats": 0}).collect()[0]
+    assert len(few["history"]) <= 3
+    weight = np.zeros((64, 64))
+    weight[:, :20] = 1
+    part = convert.convert(px, "draft", overrides={"budget": 12, "splats": 0, "target": 0.0}, weights=spark.createDataFrame([(0, weight.tobytes())], "img_id long, weight binary")).collect()[0]
+    events = [json.loads(r["event"]) for r in convert.progress_json(spark.createDataFrame([part])).collect()]
+    assert [e["i"] for e in events] == list(range(1, len(part["history"]) + 1)) and all(e["phase"] == "refine" for e in events)
+
+
+def test_base_trace_obeys_its_byte_budget():
+    rng = np.random.default_rng(4)
+    target = np.kron(rng.integers(0, 256, (16, 16, 3)), np.ones((6, 6, 1)))
+    preset = convert.PRESETS["poster"]
+    whole = vectorize.base_trace(target, preset)
+    small = vectorize.base_trace(target, preset, max_bytes=vectorize.HEADROOM + 4000)
+    assert len(small) < len(whole) / 2
+    smooth = np.floor(drawing()["field"])
+    fine, coarse = (vectorize.regions(smooth, convert.coarser(convert.PRESETS["fine"], k)["layer_step"], 4) for k in (0, 3))
+    assert len(np.unique(coarse)) < len(np.unique(fine))
+
+
+def test_whole_image_steps_lower_the_error():
+    c = canvas_of(np.full((40, 40, 3), (200, 60, 40)))
+    before = c.score()
+    assert refine.step(c, refine.Options(everywhere=True, alpha=1.0), 0, 1) and c.score() < 0.7 * before
+
+
+def test_text_is_found_and_texture_is_not(spark):
+    rng = np.random.default_rng(6)
+    page = np.full((96, 128, 3), 245)
+    for row in range(3):
+        for k in range(9):  # strokes: an upright and two bars, like letters of one line
+            y, x = 10 + 26 * row, 8 + 12 * k
+            page[y : y + 12, x : x + 2] = 10
+            page[y : y + 2, x : x + 7] = 10
+            page[y + 6 : y + 8, x : x + 6 - k % 3] = 10
+    boxes = text.text_regions(image(spark, page)).collect()
+    assert boxes and sum(b["glyphs"] for b in boxes) == 27 and all(b["x0"] <= 8 and b["x1"] >= 100 for b in boxes)
+    speckle = np.where(rng.random((96, 128, 1)) < 0.04, 10, 245) + np.zeros((96, 128, 3), int)
+    assert not text.text_regions(image(spark, speckle)).count()
+
+
+def test_gates_of_a_cluster():
+    def line(n, h=10, w=6, gap=3, jitter=0):
+        rng = np.random.default_rng(1)
+        x = np.arange(n) * (w + gap) + 5.0
+        y = 20.0 + rng.integers(0, jitter + 1, n)
+        return {"x0": x, "x1": x + w - 1, "y0": y, "y1": y + h - 1, "area": np.full(n, w * h * 0.4), "stroke": np.full(n, 2.0)}
+
+    assert text.reads_as_text(line(8), 200, 100) and not text.reads_as_text(line(5), 200, 100) and text.reads_as_text(line(5), 200, 100, relaxed=True)
+    assert not text.reads_as_text(line(8, jitter=200), 200, 400)  # no rows
+    assert not text.reads_as_text({**line(8, h=14), "stroke": np.full(8, 7.0)}, 200, 100)  # solid blobs
+    assert not text.reads_as_text(line(20), 180, 100)  # the whole width
+
+
+def test_cubic_resize_keeps_flats_and_size(spark):
+    a = np.full((30, 50, 3), (10, 130, 250))
+    out = fit_inside(pack_images(image(spark, a)), 25).collect()[0]
+    got = np.frombuffer(bytes(out["data"]), np.uint8).reshape(15, 25, 3)
+    assert (got == (10, 130, 250)).all()
+    assert fit_inside(pack_images(image(spark, a)), 100).collect()[0]["width"] == 50 and fit_inside(pack_images(image(spark, a)), 100, enlarge=True).collect()[0]["width"] == 100
+
+
+def test_minified_markup_draws_the_same(spark):
+    svg = '<?xml version="1.0"?>\n<!-- c -->\n<svg xmlns="u" width="20" height="20" viewBox="0 0 20 20">\n  <rect x="1.0049" y="0.500" width="4.000" height="3" fill="#123456" id="a1.999" />\n <path fill="#abc" d="M2.0001 8.2L9.999 8.2L9 15.20Z"/></svg>'
+    small = spark.createDataFrame([(svg,)], "t string").select(paths.minify(F.col("t"))).first()[0]
+    assert len(small) < 0.8 * len(svg) and 'id="a1.999"' in small and 'x="1" y=".5" width="4"' in small
+    assert (render.rasterize(small) == render.rasterize(svg)).all()
+
+
+def test_tiles_of_many_images_stay_apart(spark):
+    """Codes far beyond what a sum over all components could hold."""
+    base = 1 << 16
+    rows = [(i, base + y, base + x, (x // 2 + y // 2) % 2) for i in range(3) for y in range(8) for x in range(8)]
+    labels = spark.createDataFrame(rows, "img_id long, y int, x int, label int")
+    got = segment.tiled_components(labels, 4).groupBy("img_id", "comp").count().collect()
+    assert sorted(r["count"] for r in got) == [4] * 48
+    one = segment.labelled(labels.where("img_id < 2"), limit=10).groupBy("img_id", "comp").count().collect()
+    assert sorted(r["count"] for r in one) == [4] * 32
+
+
 # ---------------------------------------------------------------- streams
+def slow_line(jobs_, ttl):
+    free, live, out = [0, 0], [], {}
+    for t, job, work, quits in sorted(jobs_, key=lambda j: j[:2]):
+        live = [x for x in live if x[2] > t and t - x[0] <= ttl]
+        if len(live) >= 16:
+            out[job] = (429, None, None, None)
+            continue
+        at = free.index(min(free))
+        begins = max(t, free[at])
+        place = 1 + sum(x[1] > t for x in live) if begins > t else 0
+        if begins > t and quits is not None and quits <= begins:
+            ends, started = quits, None
+        else:
+            ends = begins + work if quits is None else min(begins + work, max(quits, begins))
+            started = free[at] = begins
+            free[at] = ends
+        live.append((t, begins, ends))
+        out[job] = (200, place, started, ends)
+    return out
+
+
+def test_line_of_jobs_equals_brute_force(spark):
+    rng = np.random.default_rng(9)
+    rows = [("a", i, int(t), int(w), None if q % 3 else int(t + q)) for i, (t, w, q) in enumerate(zip(rng.integers(0, 4000, 300), rng.integers(10, 90, 300), rng.integers(1, 200, 300)))]
+    got = {r["job_id"]: (r["status"], r["position"], r["started"], r["ended"]) for r in jobs.schedule(spark.createDataFrame(rows, "server string, job_id long, t long, work long, quits long"), 300).collect()}
+    want = slow_line([(t, i, w, q) for _, i, t, w, q in rows], 300)
+    assert got == want and {r[0] for r in got.values()} == {200, 429} and any(r[1] and r[2] is None for r in got.values())
+
+
+def test_admission_stream(spark, tmp_path):
+    import datetime as dt
+
+    at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    first = [("s", i, "submit", at(i)) for i in range(18)]
+    second = [("s", 0, "done", at(30)), ("s", 3, "quit", at(31)), ("s", 1, "done", at(32)), ("s", 90, "submit", at(33))]
+    seen = []
+    for k, b in enumerate((first, second)):
+        spark.createDataFrame(b, "server string, job_id long, kind string, ts timestamp").coalesce(1).write.parquet(str(tmp_path / "in" / str(k)))
+        stream = jobs.queue_events(spark.readStream.schema("server string, job_id long, kind string, ts timestamp").parquet(str(tmp_path / "in" / "*")))
+        q = stream.writeStream.foreachBatch(lambda df, _: seen.extend(map(tuple, df.collect()))).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    events = {}
+    for _, job, event, place in seen:
+        events.setdefault(job, []).append((event, place))
+    assert events[0] == events[1] == [("started", 0)] and events[16] == events[17] == [("rejected", 0)]
+    assert events[2] == [("queued", 1), ("started", 0)] and events[3] == [("queued", 2)] and events[4] == [("queued", 3), ("started", 0)]
+    assert events[90][0][0] == "queued"
+
+
+def test_requests_and_events_are_json(spark):
+    raw = [(1, json.dumps({"image": "data:image/png;base64,aGVsbG8=", "quality": "max", "saliency": False})), (2, "not json"), (3, "{}"), (4, json.dumps({"image": "data:,"})), (5, json.dumps({"image": "aGVsbG8="})), (6, None)]
+    got = {r["job_id"]: r for r in jobs.requests(spark.createDataFrame(raw, "job_id long, body string")).collect()}
+    assert {i: r["status"] for i, r in got.items()} == {1: 200, 2: 400, 3: 400, 4: 400, 5: 200, 6: 400}
+    assert bytes(got[1]["data"]) == b"hello" and (got[1]["quality"], got[1]["saliency"]) == ("max", False) and got[5]["quality"] == "balanced"
+    rows = [(1, 1, "refine", 10, "A", "<svg/>", "secret"), (1, 2, "refine", 20, "B", "<svg/>", "secret")]
+    out = [json.loads(r["data"]) for r in jobs.event_json(spark.createDataFrame(rows, "job_id long, seq long, phase string, i long, run string, svg string, model string")).orderBy("seq").collect()]
+    assert out == [{"phase": "refine", "i": 10, "svg": "<svg/>", "run": "A"}, {"phase": "refine", "i": 20, "run": "B"}]
+
+
+def test_a_running_job_can_be_cancelled(spark):
+    import threading
+    import time
+
+    slow = lambda: spark.range(4, numPartitions=4).rdd.map(lambda x: time.sleep(30)).count()
+    failed = []
+
+    def work():
+        try:
+            jobs.run_job(spark, "j1", slow)
+        except Exception as e:  # noqa: BLE001
+            failed.append(e)
+
+    thread = threading.Thread(target=work)
+    thread.start()
+    time.sleep(3)
+    jobs.cancel_job(spark, "j1")
+    thread.join(20)
+    assert failed and not thread.is_alive()
+
+
 def test_job_state_survives_batches_and_expires(spark, tmp_path):
     import datetime as dt
 
