@@ -160,6 +160,16 @@ def cluster_stats(members: DataFrame) -> DataFrame:
     return s.select("img_id", "cluster", "glyphs", "x", "y", "w", "h", F.round(F.col("ink") / (F.col("w") * F.col("h")), 6).alias("coverage"), cv("h").alias("h_cv"), cv("w").alias("w_cv"))
 
 
+def cluster_strokes(members: DataFrame) -> DataFrame:
+    """(img_id, cluster, ink, slim, stroke): ink share of the box, mean height by width, mean stroke by mean height.
+
+    ``members`` has glyphs' boxes with their own area and stroke.
+    """
+    w, h = F.col("x1") - F.col("x0") + 1, F.col("y1") - F.col("y0") + 1
+    box = (F.max("x1") - F.min("x0") + 1) * (F.max("y1") - F.min("y0") + 1)
+    return members.groupBy("img_id", "cluster").agg(F.round(F.sum("area") / box, 6).alias("ink"), F.round(F.avg(h / w), 6).alias("slim"), F.round(F.avg("stroke") / F.avg(h), 6).alias("stroke"))
+
+
 def aligned(boxes: DataFrame) -> DataFrame:
     """Boxes with a horizontal neighbour on the same baseline (semi join over pairs that share a cell)."""
     p = _pairs(boxes, 2 * (F.col("y1") - F.col("y0") + 1))

@@ -74,6 +74,31 @@ CLUST = """bothways AS (SELECT img_id, id, id_b FROM pairs UNION ALL SELECT img_
   round(sqrt(count(*) * sum((y1 - y0 + 1) ** 2) - sum(y1 - y0 + 1) ** 2) / sum(y1 - y0 + 1), 6) AS h_cv, round(sqrt(count(*) * sum((x1 - x0 + 1) ** 2) - sum(x1 - x0 + 1) ** 2) / sum(x1 - x0 + 1), 6) AS w_cv FROM members GROUP BY img_id, cluster)"""
 px_query("glyph_cluster", lambda p: text.glyph_clusters(boxes(p)), "SELECT * FROM clusters", BOXES, PAIRS, CLUST, recursive=True)
 px_query("cluster_stats", lambda p: text.cluster_stats(boxes(p).withColumn("cluster", F.col("id") % 5)), "SELECT * FROM clusters", BOXES, "members AS (SELECT *, id % 5 AS cluster FROM boxes)", CLUST[CLUST.index("clusters AS"):])
+px_query("cluster_strokes", lambda p: text.cluster_strokes(boxes(p).withColumn("cluster", F.col("id") % 5).withColumn("area", F.col("id") % 9 + 3).withColumn("stroke", (F.col("id") % 7 + 1) / 2)), "SELECT img_id, id % 5 AS cluster, round(sum(id % 9 + 3) / ((max(x1) - min(x0) + 1) * (max(y1) - min(y0) + 1)), 6) AS ink, round(avg((y1 - y0 + 1) / (x1 - x0 + 1)), 6) AS slim, round(avg((id % 7 + 1) / 2) / avg(y1 - y0 + 1), 6) AS stroke FROM boxes GROUP BY ALL", BOXES)
+
+
+def page(px: DataFrame) -> DataFrame:
+    """Images as pages: marks where red is high, on a background that darkens by tile."""
+    on = F.col("r") > 230
+    return px.select("img_id", "y", "x", F.when(on, 30).otherwise(240).alias("r"), F.when(on, F.floor(F.col("g") / 2)).otherwise(240).cast("int").alias("g"), F.when(on, F.col("b")).otherwise(240 - F.floor(F.col("x") / 32) * 60).cast("int").alias("b"))
+
+
+PAGE = ["page AS (SELECT img_id, y, x, CASE WHEN r > 230 THEN 30 ELSE 240 END AS r, CASE WHEN r > 230 THEN g // 2 ELSE 240 END AS g, CASE WHEN r > 230 THEN b ELSE 240 - x // 32 * 60 END AS b FROM px)", "pluma AS (SELECT img_id, y, x, CAST(r * 299 + g * 587 + b * 114 AS BIGINT) AS l FROM page)"]
+
+
+def ink_sql(slope: int, relaxed: bool) -> list[str]:
+    """Background colours of a page's tiles and its ink in ``inked``."""
+    vivid, panel = "greatest(r, g, b) - least(r, g, b)", "greatest(tr, tg, tb) - least(tr, tg, tb)"
+    away = "greatest(abs(r - tr), abs(g - tg), abs(b - tb)) > 45" + (f" OR (tr * 0.299e0 + tg * 0.587e0 + tb * 0.114e0 >= 140 AND {vivid} >= 70 AND {vivid} - ({panel}) >= 40)" if relaxed else "")
+    bright = "l >= 240000" + (f" OR (mean <= 110 AND greatest(r, g, b) >= 190 AND {vivid} >= 90)" if relaxed else "")
+    return [*PAGE, TILE.replace("luma", "pluma").replace("g <= 8000 * inner_n", f"g <= {slope} * inner_n"),
+            "tcol AS (SELECT t.img_id, t.ty, t.tx, valid, avg(CASE WHEN abs(l // 8000 - mode) <= 1 THEN r END) AS tr, avg(CASE WHEN abs(l // 8000 - mode) <= 1 THEN g END) AS tg, avg(CASE WHEN abs(l // 8000 - mode) <= 1 THEN b END) AS tb, avg(l) / 1000 AS mean FROM page p JOIN pluma USING (img_id, y, x) JOIN tiles t ON t.img_id = p.img_id AND t.ty = p.y // 32 AND t.tx = p.x // 32 GROUP BY ALL)",
+            f"inked AS (SELECT p.img_id, p.y, p.x FROM page p JOIN pluma USING (img_id, y, x) JOIN tcol t ON t.img_id = p.img_id AND t.ty = p.y // 32 AND t.tx = p.x // 32 WHERE CASE WHEN valid THEN {away} ELSE {bright} END)"]
+
+
+px_query("text_ink", lambda p: text.text_ink(page(p)), "SELECT * FROM inked", *ink_sql(8000, False))
+px_query("text_ink_relaxed", lambda p: text.text_ink(page(p), relaxed=True), "SELECT * FROM inked", *ink_sql(22000, True))
+px_query("text_regions", lambda p: text.text_regions(p.unionByName(page(p).withColumn("img_id", F.col("img_id") + 1000))), None)
 px_query("aligned_semi", lambda p: text.aligned(boxes(p)), f"SELECT * FROM boxes a WHERE EXISTS (SELECT 1 FROM boxes c WHERE c.img_id = a.img_id AND c.id <> a.id AND abs(a.y1 - c.y1) * 2 <= a.y1 - a.y0 + 1 AND {GAPX} <= 2 * (a.y1 - a.y0 + 1))", BOXES)
 LAP = "a.x0 <= c.x1 AND c.x0 <= a.x1 AND a.y0 <= c.y1 AND c.y0 <= a.y1"
 px_query("box_anti", lambda p: text.without_overlaps(boxes(p).where("id >= 8"), boxes(p).where("id < 8")), f"SELECT *, false AS relaxed FROM boxes WHERE id < 8 UNION ALL SELECT *, true FROM boxes a WHERE id >= 8 AND NOT EXISTS (SELECT 1 FROM boxes c WHERE c.id < 8 AND c.img_id = a.img_id AND {LAP})", BOXES)
@@ -162,7 +187,13 @@ register("png_sink", lambda s, d: sinks.encode_png(pack_images(pixels(s, d))).se
 register("refine_step", lambda s, d: refine.refine_images(packed(s, d), refine.Options(budget=60)))
 register("prune_pass", lambda s, d: refine.refine_images(packed(s, d), refine.Options(budget=60), with_prune=True))
 register("splat_fit", lambda s, d: refine.splat_images(packed(s, d), 60))
-register("shape_eval", lambda s, d: refine.evaluate_shapes(packed(s, d), ellipses(pixels(s, d)).select("img_id", "seq", F.lit("ellipse").alias("kind"), F.array("cx", "cy", "rx", "ry").alias("p"))))
+register("shape_eval", lambda s, d: refine.evaluate_shapes(packed(s, d), ellipses(pixels(s, d)).select("img_id", "seq", F.lit("ellipse").alias("kind"), F.array("cx", "cy", "rx", "ry").alias("p"))).withColumn("score", F.round("score", 9)), sql("""SELECT img_id, seq, round(sqrt(greatest(0.0e0, total + """ + " + ".join(f"(u{k} - 2 * {k} * t{k} + {k} * {k} * n * 0.25e0)" for k in "rgb") + """) / (3 * pixels)) / 255, 9) AS score, CAST(r AS INTEGER) AS r, CAST(g AS INTEGER) AS g, CAST(b AS INTEGER) AS b FROM (
+  SELECT *, """ + ", ".join(f"least(255.0e0, greatest(0.0e0, floor(t{k} / (n * 0.25e0) + 0.5))) AS {k}" for k in "rgb") + " FROM hits JOIN whole USING (img_id))",
+  # canvas of two levels, halfway alpha: sums of a (R + a c) and of 2 a R c + a a c c
+  "two AS (SELECT img_id, y, x, r, g, b, " + ", ".join(f"{k} // 128 * 128 + 64 AS c{k}" for k in "rgb") + " FROM px)",
+  f"whole AS (SELECT img_id, CAST(sum({SQ}) AS DOUBLE) AS total, count(*) AS pixels FROM two GROUP BY img_id)",
+  "ell AS (SELECT img_id, y AS seq, r % 64 AS cx, g % 64 AS cy, 1 + b % 14 AS rx, 1 + (r + b) % 14 AS ry FROM px WHERE x = 1)",
+  "hits AS (SELECT e.img_id, seq, count(*) AS n, " + ", ".join(f"sum(0.5e0 * (t.{k} - c{k} + 0.5e0 * c{k})) AS t{k}, sum((t.{k} - c{k}) * c{k} + 0.25e0 * c{k} * c{k}) AS u{k}" for k in "rgb") + " FROM ell e JOIN two t ON t.img_id = e.img_id AND t.x >= cx - rx AND t.x <= cx + rx AND t.y >= cy - ry AND t.y <= cy + ry WHERE ((t.x + 0.5e0 - cx) / rx) ** 2 + ((t.y + 0.5e0 - cy) / ry) ** 2 <= 1 GROUP BY e.img_id, seq)"))
 register("convert", lambda s, d: convert.convert(pixels(s, d), "draft"))
 px_query("weighted_pick", lambda p: _pick(metrics.topk_cells(metrics.error_map(p))), """SELECT img_id, arg_min(rank, rank) AS rank FROM (SELECT img_id, CAST(rank AS INTEGER) AS rank, sum(err) OVER (PARTITION BY img_id ORDER BY rank) AS upto, sum(err) OVER (PARTITION BY img_id) AS total,
   CAST(('0x' || substr(md5('pick:' || CAST(img_id AS VARCHAR)), 1, 8)) AS BIGINT) / 4294967296.0e0 AS u FROM (SELECT *, row_number() OVER (PARTITION BY img_id ORDER BY err DESC, r, c) AS rank FROM cells QUALIFY rank <= 6)) WHERE upto > u * total GROUP BY img_id""", CELLS, canvas=True)
