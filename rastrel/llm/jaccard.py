@@ -14,12 +14,15 @@ Shingle length and threshold are a ``Rule``; the numbers below are those of ``RU
    and get back which of them occur elsewhere.
 2. A document that shares fewer signatures than ``spare`` with all others together links with none.
    What is left is pruned again against itself.
-3. Groups. In each signature's group the node with most shared signatures leads, and the others are
-   compared with it, exactly, one row per node. Those that link to it are its ball and leave the group;
-   so does the leader. As Jaccard distance is a metric, one that links to a node of the ball, but not
-   to the leader, is no further from it than twice the allowed distance: it is a query of the ball. The
-   rest of the group goes to the next round, pruned as in 2. After ``ROUNDS`` rounds few nodes are left,
-   mostly unrelated ones with a passage in common; each component of them is a group, too.
+3. Groups. Every node is first compared with one other, exactly: of the leaders of its signatures'
+   groups (the node with most shared signatures in each) with the strongest. If they link, that is its
+   root, else it is its own. Then in rounds: the strongest root in a signature's group leads it, the
+   nodes under other roots are compared with it, and those that link to it are its ball, as are those
+   under it. They leave the group. As Jaccard distance is a metric, one that links to a node of the
+   ball, but not to the leader, is no further from it than twice the allowed distance: it is a query of
+   the ball. The rest of the group goes to the next round, pruned as in 2; a group under one root is
+   connected and done. After ``ROUNDS`` rounds few nodes are left, mostly unrelated ones with a passage
+   in common; each component of them is a group, too.
 4. Token-group matrix. Nodes are coded by their difference from their group's leader, members with the
    same rarest difference token form a row of the matrix, and the row holds the union of their tokens. A link
    with a query needs more shared difference tokens the further both lie from the leader; with tokens
@@ -83,7 +86,7 @@ class Rule(NamedTuple):
 
 RULE = Rule()
 #: Rounds of leaders before what is left goes to the matrix, and members of a matrix row; any numbers give the same links.
-ROUNDS, SLOT = 6, 64
+ROUNDS, SLOT = 5, 64
 #: Each size class ends at so many times its beginning. At least the inverse of any threshold in use.
 WIDTH = 1.7
 #: A set is dealt at most so often; the last time each token is a part of its own.
@@ -320,18 +323,18 @@ def _survivors(docs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
     return cut(_enough(_per_node(rows.join(shared, "sig"), F.col("sig")), "sigs"), rows, shared)
 
 
-def _per_node(rows: DataFrame, value: Column) -> DataFrame:
+def _per_node(rows: DataFrame, value: Column, *more: str) -> DataFrame:
     """One row per node with the list of ``value``; no longer than the node's text."""
-    return rows.groupBy("node").agg(*(F.first(c).alias(c) for c in ("kind", "need0", "need1")), F.collect_list(value).alias("sigs"))
+    return rows.groupBy("node").agg(*(F.first(c).alias(c) for c in ("kind", "need0", "need1", *more)), F.collect_list(value).alias("sigs"))
 
 
-def _enough(held: DataFrame, name: str, sig: Callable[[Column], Column] = lambda e: e) -> DataFrame:
+def _enough(held: DataFrame, name: str, sig: Callable[[Column], Column] = lambda e: e, *more: str) -> DataFrame:
     """The list's entries, exploded as ``sig``, of the classes in which a node shares enough signatures."""
     for up in (0, 1):
         part = F.filter(name, lambda e: sig(e).bitwiseAND(F.lit(1)) == (F.col("kind") + up) % 2)  # noqa: B023
         held = held.withColumn(f"part{up}", F.when(F.size(part) >= F.col(f"need{up}"), part))
     both = F.concat(*(F.coalesce(f"part{up}", F.filter(name, lambda _: F.lit(False))) for up in (0, 1)))
-    return held.select("node", "kind", "need0", "need1", F.explode(F.array_distinct(both)).alias("sig"))
+    return held.select("node", "kind", "need0", "need1", *more, F.explode(F.array_distinct(both)).alias("sig"))
 
 
 def _node_texts(docs: DataFrame, members: DataFrame) -> DataFrame:
@@ -375,28 +378,48 @@ def _compared(pairs: DataFrame, texts: DataFrame, diffs: bool, rule: Rule) -> Da
     return map_slices(rows.select("a", "b", "family", "text_a", "text_b"), kernel, schema, "text_a")
 
 
+def _ball(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("node").alias("a"), "b", F.concat(F.lit("ball "), F.col("b").cast("string")).alias("family"))
+
+
+def _rooted(rows: DataFrame, texts: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(comparisons, rows with root and strength, weight of each node): every node against its strongest leader."""
+    weight = cut(rows.groupBy("node").agg(F.count("*").alias("weight")))
+    lead = rows.join(weight, "node").groupBy("sig").agg(F.max(F.struct("weight", "node")).alias("l"))
+    lead = cut(lead.select("sig", F.col("l.node").alias("b"), F.col("l.weight").alias("strength")))
+    best = cut(rows.join(lead, "sig").groupBy("node").agg(F.max_by("b", F.struct("strength", "b")).alias("b")), lead)
+    compared = cut(_compared(_ball(best.where("node <> b")), texts, diffs=False, rule=rule), best)
+    linked = compared.where("linked").select(F.col("a").alias("node"), F.col("b").alias("root"))
+    roots = weight.join(linked, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    strength = weight.select(F.col("node").alias("root"), F.col("weight").alias("strength"))
+    roots = cut(roots.join(strength, "root"))
+    return compared, cut(rows.join(roots, "node"), roots), weight
+
+
 def _balls(rows: DataFrame, texts: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
     """(what lies in balls or near them, rows left over, tables to release): rounds of leaders.
 
     The first has (a, b, family, linked): ``a`` compared with the leader ``b``.
     """
-    weight = cut(rows.groupBy("node").agg(F.count("*").alias("weight")))
-    alive, kept, spent = rows, [weight], []
     near = rule.percent * F.col("difference") <= (100 - rule.percent) * (F.col("size") + F.col("size_b"))
-    found = []
+    compared, alive, weight = _rooted(rows, texts, rule)
+    kept, spent = [compared, weight], [alive]
+    found = [compared.where(near).select("a", "b", "family", "linked")]
     for _ in range(ROUNDS):
-        weighed = alive.join(weight, "node")
-        lead = weighed.groupBy("sig").agg(F.max_by("node", F.struct("weight", "node")).alias("b"), F.min("node").alias("low"), F.max("node").alias("high"))
-        lead = cut(lead.where("low < high").select("sig", "b"))
-        # of the groups that still have two nodes, the rows of nodes with enough signatures
-        led = _enough(_per_node(alive.join(lead, "sig"), F.struct("sig", "b")), "sigs", lambda e: e["sig"])
-        led = cut(led.select("node", "kind", "need0", "need1", "sig.sig", "sig.b").where("node <> b"), lead, *spent)
-        pairs = led.select(F.col("node").alias("a"), "b", F.concat(F.lit("ball "), F.col("b").cast("string")).alias("family")).distinct()
-        compared = cut(_compared(pairs, texts, diffs=False, rule=rule))
+        lead = alive.groupBy("sig").agg(F.max_by("root", F.struct("strength", "root")).alias("b"), F.max("strength").alias("power"), F.min("root").alias("low"), F.max("root").alias("high"))
+        lead = cut(lead.where("low < high").select("sig", "b", "power"))
+        # of the groups that still have two roots, the rows of nodes with enough signatures
+        led = _enough(_per_node(alive.join(lead, "sig"), F.struct("sig", "b", "power"), "root", "strength"), "sigs", lambda e: e["sig"], "root", "strength")
+        led = cut(led.select("node", "kind", "need0", "need1", "root", "strength", "sig.*").where("root <> b"), lead, *spent)
+        spent = [led]
+        compared = cut(_compared(_ball(led.where("node <> b").select("node", "b").distinct()), texts, diffs=False, rule=rule))
         kept.append(compared)
         found.append(compared.where(near).select("a", "b", "family", "linked"))
-        alive = led.join(compared.where("linked").select(F.col("a").alias("node"), "b"), ["node", "b"], "left_anti").drop("b")
-        spent = [led]
+        linked = compared.where("linked").select(F.col("a").alias("node"), "b")
+        moved = led.join(linked, ["node", "b"], "left_semi").groupBy("node").agg(F.max_by("b", F.struct("power", "b")).alias("to"), F.max("power").alias("more"))
+        alive = led.where("node <> b").join(linked, ["node", "b"], "left_anti").join(cut(moved), "node", "left")
+        better = F.coalesce(F.col("more") > F.col("strength"), F.lit(False))
+        alive = alive.select("node", "kind", "need0", "need1", F.when(better, F.col("to")).otherwise(F.col("root")).alias("root"), F.when(better, F.col("more")).otherwise(F.col("strength")).alias("strength"), "sig")
         if not alive.head(1):
             break
     left = cut(alive.join(weight, "node"), *spent)
@@ -405,7 +428,7 @@ def _balls(rows: DataFrame, texts: DataFrame, rule: Rule) -> tuple[DataFrame, Da
 
 def _rest(alive: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
     """(a, b, family, linked) of what the rounds left over: components, each compared with its leader."""
-    shared = cut(alive.groupBy("sig").agg(F.min("node").alias("low")))
+    shared = cut(alive.groupBy("sig").agg(F.min("node").alias("low"), F.min("root").alias("one"), F.max("root").alias("two")).where("one < two").select("sig", "low"))
     stars = alive.join(shared, "sig").where("node <> low").select("node", "low").distinct()
     families = components(stars, "node", "low").join(alive.select("node", "weight").distinct(), "node")
     families = cut(families.select("node", F.concat(F.lit("rest "), F.col("root").cast("string")).alias("family"), "weight"), shared)
