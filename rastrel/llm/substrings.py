@@ -12,8 +12,10 @@ distinct window. Only edges that occur in two documents matter, so the rest is n
    piece of the graph as it is. Else the distinct runs of the minimizer are broken into edges, read once
    each from its source, and equal edges meet: an edge is a piece with the smallest source of its runs.
 4. Compaction. Pieces are joined at the nodes between them: a node with one piece in and one out does not
-   branch. Pointer jumping by joins, doubling the distance in each round, compacts every nonbranching
-   path to its first piece and an offset. Pieces on a cycle without a branch stay paths of their own.
+   branch. Neighbours that follow each other in one source are chained by a window over the source,
+   and pointer jumping by joins, doubling the distance in each round, links chains of different
+   sources: every nonbranching path is compacted to its first piece and an offset. A cycle without a
+   branch is broken where its source's run through it begins.
 5. Spans. Occurrences in documents beyond the source are repeats; those that follow each other on one
    path, with one shift against the source, are one span with both coordinates. Covered words are dropped.
 
@@ -172,12 +174,35 @@ def _graph(pieces: DataFrame) -> DataFrame:
 
 
 def compacted(graph: DataFrame) -> DataFrame:
-    """(pid, path, offset): every piece's nonbranching path, named by its first piece, and its edges before it."""
-    into = graph.groupBy(F.col("head").alias("node")).agg(F.count("*").alias("n"), F.first("pid").alias("before"), F.first("edges").alias("edges"))
+    """(pid, path, offset): every piece's nonbranching path, named by its first piece, and its edges before it.
+
+    Most neighbours on a path also follow each other in their source: these chains are contracted by one
+    window per source. Pointer jumping joins the chains of different sources.
+    """
+    into = graph.groupBy(F.col("head").alias("node")).agg(F.count("*").alias("n"), F.first("pid").alias("before"))
     out = graph.groupBy(F.col("tail").alias("node")).agg(F.count("*").alias("m"), F.first("pid").alias("pid"))
     into, out = cut(into.where("n = 1").drop("n")), cut(out.where("m = 1").drop("m"))
-    links = cut(into.join(out, "node").where("before <> pid").select("pid", "before", F.col("edges").cast("long").alias("offset")), into, out)
-    # a row points ``offset`` edges back; one whose target points nowhere is done. Each round doubles the distance.
+    links = into.join(out, "node").where("before <> pid").select("pid", "before")
+    order = Window.partitionBy("source").orderBy("at", "pid")
+    rows = graph.select("pid", "source", "at", "edges").join(links, "pid", "left")
+    follows = (F.lag("pid").over(order) == F.col("before")) & (F.lag("at").over(order) + F.lag("edges").over(order) == F.col("at"))
+    rows = rows.withColumn("new", ~F.coalesce(follows, F.lit(False)))
+    begun = lambda c: F.last(F.when(F.col("new"), F.col(c)), ignorenulls=True).over(order)
+    chained = rows.select("pid", "before", "edges", "new", begun("pid").alias("first"), (F.col("at") - begun("at")).cast("long").alias("offset"))
+    chained = cut(chained, into, out)
+    ahead = chained.select(F.col("pid").alias("before"), F.col("first").alias("to"), (F.col("offset") + F.col("edges")).alias("more"))
+    joints = chained.where("new and before is not null").select("pid", "before").join(ahead, "before").where("to <> pid")
+    found = _jumped(cut(joints.select("pid", F.col("to").alias("before"), F.col("more").alias("offset"))))
+    far = found.select(F.col("pid").alias("first"), "path", F.col("offset").alias("more"))
+    whole = chained.join(far, "first", "left").select("pid", F.coalesce("path", "first").alias("path"), (F.col("offset") + F.coalesce("more", F.lit(0))).alias("offset"))
+    return cut(whole.where("pid <> path"), chained, found)
+
+
+def _jumped(links: DataFrame) -> DataFrame:
+    """(pid, path, offset) from links(pid, before, offset): the last piece that each chain of links leads to.
+
+    Each round doubles the distance. Rows on a cycle never end and have no result.
+    """
     rounds = max(1, (links.count() + 1).bit_length())
     open_, ends, written, ahead = links, [], [links], links
     for _ in range(rounds):
@@ -189,7 +214,6 @@ def compacted(graph: DataFrame) -> DataFrame:
         ahead = reduce(DataFrame.unionByName, ends, open_)
         if not open_.head(1):
             break
-    # pieces on cycles never end: they have no row, like first pieces
     return cut(reduce(DataFrame.unionByName, ends).withColumnRenamed("before", "path"), *written)
 
 
