@@ -329,7 +329,7 @@ def _bodies(s: SparkSession, d: str) -> DataFrame:
 register("job_request", lambda s, d: jobs.requests(_bodies(s, d)).select("event_id", "status", "quality", F.octet_length("data").cast("long").alias("bytes")), """SELECT event_id, CAST(CASE WHEN event_id % 4 = 0 THEN 200 ELSE 400 END AS INTEGER) AS status, CASE event_id % 4 WHEN 0 THEN 'high' WHEN 1 THEN 'draft' ELSE 'balanced' END AS quality,
   CASE WHEN event_id % 4 = 0 THEN CAST(octet_length(encode(props)) AS BIGINT) END AS bytes FROM events""")
 register("event_json", lambda s, d: jobs.event_json(progress(s, d).where("phase = 'refine'").select("job_id", "seq", "phase", "i", "budget", "run")), f"""WITH {PROG} SELECT job_id, seq, '{{"phase":"refine","i":' || CAST(i AS VARCHAR) || ',"budget":160,"run":"' || run || '"}}' AS data FROM prog WHERE phase = 'refine'""")
-px_query("gaussian_draw", lambda p: p.select("img_id", "y", "x", F.round(gaussian((F.col("r") + 1) / 257, F.col("g") / 256), 6).alias("v")), "SELECT img_id, y, x, round(sqrt(-2 * ln((r + 1) / 257)) * cos(2 * pi() * (g / 256)), 6) AS v FROM px")
+px_query("gaussian_draw", lambda p: p.select("img_id", "y", "x", (F.round(gaussian((F.col("r") + 1) / 257, F.col("g") / 256), 6) + 0.0).alias("v")), "SELECT img_id, y, x, round(sqrt(-2 * ln((r + 1) / 257)) * cos(2 * pi() * (g / 256)), 6) + 0.0e0 AS v FROM px")
 px_query("segment_distance", lambda p: p.select("img_id", "y", "x", F.round(segment_distance(*(F.col(k).cast("double") for k in ("x", "y", "r", "g", "b", "r"))), 6).alias("v")), """SELECT img_id, y, x, round(sqrt((x - r - t * (b - r)) ** 2 + (y - g - t * (r - g)) ** 2), 6) AS v FROM (
   SELECT *, CASE WHEN (b - r) ** 2 + (r - g) ** 2 > 0 THEN least(1.0e0, greatest(0.0e0, ((x - r) * (b - r) + (y - g) * (r - g)) / ((b - r) ** 2 + (r - g) ** 2))) ELSE 0.0e0 END AS t FROM px)""")
 register("job_stats", lambda s, d: jobs.stats(progress(s, d)), f"WITH {PROG}, l AS (SELECT phase FROM prog QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY seq DESC) = 1) SELECT count(*) FILTER (phase IN ('analysis', 'trace', 'refine')) AS active, count(*) FILTER (phase IN ('open', 'queued')) AS queued, count(*) FILTER (phase IN ('done', 'error')) AS finished FROM l")
