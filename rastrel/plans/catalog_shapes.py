@@ -98,7 +98,16 @@ def ink_sql(slope: int, relaxed: bool) -> list[str]:
 
 px_query("text_ink", lambda p: text.text_ink(page(p)), "SELECT * FROM inked", *ink_sql(8000, False))
 px_query("text_ink_relaxed", lambda p: text.text_ink(page(p), relaxed=True), "SELECT * FROM inked", *ink_sql(22000, True))
-px_query("text_regions", lambda p: text.text_regions(p.unionByName(page(p).withColumn("img_id", F.col("img_id") + 1000))), None)
+
+
+def typed(px: DataFrame) -> DataFrame:
+    """Images as typed pages: three rows of small upright marks with a bar."""
+    row, at = F.col("y") % 20, F.col("x") % 7
+    mark = row.between(4, 10) & (at.isin(1, 2) | (row == 7) & at.between(1, 4)) & F.col("x").between(1, 56)
+    return px.select("img_id", "y", "x", *(F.when(mark, F.floor(F.col(k) / 8)).otherwise(235).cast("int").alias(k) for k in "rgb"))
+
+
+px_query("text_regions", lambda p: text.text_regions(typed(p)), None)
 px_query("aligned_semi", lambda p: text.aligned(boxes(p)), f"SELECT * FROM boxes a WHERE EXISTS (SELECT 1 FROM boxes c WHERE c.img_id = a.img_id AND c.id <> a.id AND abs(a.y1 - c.y1) * 2 <= a.y1 - a.y0 + 1 AND {GAPX} <= 2 * (a.y1 - a.y0 + 1))", BOXES)
 LAP = "a.x0 <= c.x1 AND c.x0 <= a.x1 AND a.y0 <= c.y1 AND c.y0 <= a.y1"
 px_query("box_anti", lambda p: text.without_overlaps(boxes(p).where("id >= 8"), boxes(p).where("id < 8")), f"SELECT *, false AS relaxed FROM boxes WHERE id < 8 UNION ALL SELECT *, true FROM boxes a WHERE id >= 8 AND NOT EXISTS (SELECT 1 FROM boxes c WHERE c.id < 8 AND c.img_id = a.img_id AND {LAP})", BOXES)
