@@ -51,7 +51,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = cut(docs)
+        out = stage(spark, docs, sf_dir)
+        # a stage's table goes once the next one is written; the last stage's is returned unread
+        docs = cut(out, docs) if i < len(STAGES) - 1 else out
     return docs

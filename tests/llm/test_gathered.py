@@ -224,7 +224,7 @@ def test_pipeline_equals_brute_force(spark, sf_dir):
     assert table(docs) == want
 
     docs = spark.createDataFrame(docs.toArrow())
-    classes = brute([(r[0], r[1]) for r in want])
+    classes = brute([(r[0], r[1]) for r in want], *corpus_pipeline.NEAR)
     want = [r for r in want if classes[r[0]][1] == r[0]]
     docs = spark.createDataFrame(stages["near_duplicates"](spark, docs, sf_dir).toArrow())
     assert table(docs) == want

@@ -8,15 +8,15 @@ from rastrel.llm import jaccard
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
-def shingles(text):
+def shingles(text, k=3):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-    if len(words) < 3:
+    if len(words) < k:
         return frozenset([tuple(words)]) if words else frozenset()
-    return frozenset(zip(words, words[1:], words[2:]))
+    return frozenset(zip(*(words[i:] for i in range(k))))
 
 
-def brute(rows):
-    sets = {i: shingles(t) for i, t in rows}
+def brute(rows, k=3, percent=90):
+    sets = {i: shingles(t, k) for i, t in rows}
     root = {i: i for i in sets}
 
     def find(a):
@@ -25,10 +25,10 @@ def brute(rows):
         return a
 
     ids = sorted(sets)
-    for k, a in enumerate(ids):
-        for b in ids[:k]:
+    for n, a in enumerate(ids):
+        for b in ids[:n]:
             x, y = sets[a], sets[b]
-            if x and y and 100 * len(x & y) >= 90 * len(x | y):
+            if x and y and 100 * len(x & y) >= percent * len(x | y):
                 p, q = find(a), find(b)
                 root[max(p, q)] = min(p, q)
     return {i: (len(sets[i]), find(i)) for i in sets}
@@ -135,27 +135,30 @@ def test_edge_cases_and_kept_rows(spark):
 def test_stage_equals_brute_force_at_five_words_and_four_fifths(spark):
     import corpus_pipeline
 
-    def near(text):
-        words = (text or "").lower().split()
-        return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else {tuple(words)} - {()}
-
     rows = planted(4, groups=5, size=16) + [(1000, ""), (1001, None), (1002, "one"), (1003, "one"), (1004, "one two"), (1005, "one two three four")]
-    sets = {i: near(t) for i, t in rows}
-    root = {i: i for i in sets}
-
-    def find(a):
-        while root[a] != a:
-            a = root[a]
-        return a
-
-    for a in sorted(sets):
-        for b in sorted(sets):
-            x, y = sets[a], sets[b]
-            if b < a and x and y and 100 * len(x & y) >= 80 * len(x | y):
-                p, q = find(a), find(b)
-                root[max(p, q)] = min(p, q)
+    want = brute(rows, 5, 80)
     docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.classes(docs, corpus_pipeline.NEAR).collect()}
-    assert got == {i: (len(sets[i]), find(i)) for i in sets}
+    assert got == want
     kept = {r["doc_id"] for r in dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, "").collect()}
-    assert kept == {i for i in sets if find(i) == i} and len(kept) < len({c for _, c in brute(rows).values()})
+    assert kept == {i for i, (_, c) in want.items() if c == i} and len(kept) < len({c for _, c in brute(rows).values()})
+
+
+def test_unrelated_texts_with_a_passage_in_common(spark):
+    """A hot passage, near copies of several kinds and chains of them, at both rules in use."""
+    rng = random.Random(12)
+    word = lambda: f"v{rng.randrange(5000)}"
+    passage = [word() for _ in range(14)]
+    rows = []
+    for i in range(150):
+        rows.append((i, " ".join([word() for _ in range(rng.randrange(4, 40))] + passage + [word() for _ in range(rng.randrange(0, 30))])))
+    base = [word() for _ in range(60)]
+    for i in range(150, 260):
+        text = list(base) + (passage if i % 3 == 0 else [])
+        for _ in range(rng.randrange(0, 9)):
+            text[rng.randrange(len(text))] = word()
+        rows.append((i, " ".join(text)))
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)
+    for rule in (jaccard.RULE, jaccard.Rule(5, 80), jaccard.Rule(2, 60)):
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.classes(docs, rule).collect()}
+        assert got == brute(rows, *rule)
