@@ -21,8 +21,7 @@ Shingle length and threshold are a ``Rule``; the numbers below are those of ``RU
    under it. They leave the group. As Jaccard distance is a metric, one that links to a node of the
    ball, but not to the leader, is no further from it than twice the allowed distance: it is a query of
    the ball. The rest of the group goes to the next round, pruned as in 2; a group under one root is
-   connected and done. After ``ROUNDS`` rounds, or once hardly any node links, what is left are mostly
-   unrelated nodes with a passage in common; each component of them is a group, too.
+   connected and done. After ``ROUNDS`` rounds what is left are mostly unrelated nodes with a passage in common; each component of them is a group, too.
 4. Token-group matrix. Nodes are coded by their difference from their group's leader, members with the
    same rarest difference token form a row of the matrix, and the row holds the union of their tokens. A link
    with a query needs more shared difference tokens the further both lie from the leader; with tokens
@@ -87,8 +86,6 @@ class Rule(NamedTuple):
 RULE = Rule()
 #: Rounds of leaders before what is left goes to the matrix, and members of a matrix row; any numbers give the same links.
 ROUNDS, SLOT = 3, 64
-#: A round that links less than this share of what it compares is the last.
-WORTH = 0.1
 #: Each size class ends at so many times its beginning. At least the inverse of any threshold in use.
 WIDTH = 1.7
 #: A set is dealt at most so often; the last time each token is a part of its own.
@@ -419,11 +416,12 @@ def _balls(rows: DataFrame, texts: DataFrame, rule: Rule) -> tuple[DataFrame, Da
         found.append(compared.where(near).select("a", "b", "family", "linked"))
         linked = compared.where("linked").select(F.col("a").alias("node"), "b")
         moved = led.join(linked, ["node", "b"], "left_semi").groupBy("node").agg(F.max_by("b", F.struct("power", "b")).alias("to"), F.max("power").alias("more"))
-        alive = led.where("node <> b").join(linked, ["node", "b"], "left_anti").join(cut(moved), "node", "left")
+        moved = cut(moved)
+        kept.append(moved)
+        alive = led.where("node <> b").join(linked, ["node", "b"], "left_anti").join(moved, "node", "left")
         better = F.coalesce(F.col("more") > F.col("strength"), F.lit(False))
         alive = alive.select("node", "kind", "need0", "need1", F.when(better, F.col("to")).otherwise(F.col("root")).alias("root"), F.when(better, F.col("more")).otherwise(F.col("strength")).alias("strength"), "sig")
-        n, links = compared.agg(F.count("*"), F.count_if("linked")).first()
-        if links <= WORTH * n:  # few are related: the matrix is for these
+        if not alive.head(1):
             break
     left = cut(alive.join(weight, "node"), *spent)
     return reduce(DataFrame.unionByName, found), left, [*kept, left]
