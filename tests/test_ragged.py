@@ -26,3 +26,15 @@ def test_bilinear_up_gives_the_pixels_there_are(spark, tmp_path, ids):
     next((tmp_path / "embeddings.parquet.d").glob("*.parquet")).rename(tmp_path / "embeddings.parquet")
     got, want = against_sql(spark, tmp_path, "embeddings", "bilinear_up")
     assert want and got == want
+
+
+def test_size_governor_broadcasts_nothing(spark, tmp_path):
+    # few bytes of files hold rows of every part: planned by file sizes, both sides looked small enough for the driver
+    parts = spark.range(0, 5000).selectExpr("id AS p_partkey")
+    parts.coalesce(1).write.parquet(str(tmp_path / "d"))
+    next((tmp_path / "d").glob("*.parquet")).rename(tmp_path / "part.parquet")
+    df = registry.queries()["size_governor"](spark, str(tmp_path))
+    got, want = against_sql(spark, tmp_path, "part", "size_governor")
+    assert len(want) == 5000 and got == want
+    df.toArrow()
+    assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
