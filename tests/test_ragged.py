@@ -1,9 +1,11 @@
-"""Queries on tables whose last image ends early, lacks rows or repeats some, against their SQL."""
+"""Queries on tables whose last image ends early, lacks rows or repeats some, against their SQL; work of few bytes and many rows."""
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from rastrel import registry
+from rastrel.plans import convert
 
 
 def rows(table, columns):
@@ -38,3 +40,14 @@ def test_size_governor_broadcasts_nothing(spark, tmp_path):
     assert len(want) == 5000 and got == want
     df.toArrow()
     assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_conversion_runs_are_many_tasks(spark):
+    # few bytes, much work: adaptive execution put all runs into one task
+    plan = {"quality": "draft", "type": "photo", "preset": "poster", "alpha": 0.8, "budget": 1, "saliency": False, "smooth_share": 0.0, "texture": 0.0, "glyphs": 0}
+    one = [F.lit(v).alias(k) for k, v in plan.items()]
+    packed = [F.lit(12).alias("width"), F.lit(12).alias("height"), F.expr("cast(repeat(chr(int(64 + id)), 432) AS binary)").alias("data"), F.lit(None).cast("binary").alias("weight")]
+    runs = spark.range(12).select(F.col("id").alias("img_id"), F.lit("base").alias("candidate"), F.lit(1).alias("ord"), F.lit(1.0).alias("bias"), *one, *packed)
+    tasks = convert.converge(runs).select("img_id", F.spark_partition_id().alias("task")).collect()
+    assert sorted(r["img_id"] for r in tasks) == list(range(12))
+    assert len({r["task"] for r in tasks}) >= 6
