@@ -1,10 +1,12 @@
 """Queries on tables whose last image ends early, lacks rows or repeats some, against their SQL; work of few bytes and many rows."""
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from rastrel import registry
+from rastrel.operators import vectorize
 from rastrel.plans import convert
 
 
@@ -51,3 +53,21 @@ def test_conversion_runs_are_many_tasks(spark):
     tasks = convert.converge(runs).select("img_id", F.spark_partition_id().alias("task")).collect()
     assert sorted(r["img_id"] for r in tasks) == list(range(12))
     assert len({r["task"] for r in tasks}) >= 6
+
+
+def test_splat_run_that_follows_its_base_run_is_the_run_alone(spark):
+    plan = {"quality": "draft", "type": "photo", "preset": "poster", "alpha": 0.8, "budget": 6, "saliency": False, "smooth_share": 0.0, "texture": 0.0, "glyphs": 0}
+    y, x = np.mgrid[:24, :24]
+    noise = np.random.default_rng(1).integers(0, 256, (24, 24, 3)).astype(np.uint8)
+    dots = np.stack([255 * np.exp(-((x - a) ** 2 + (y - b) ** 2) / 30) for a, b in ((6, 7), (17, 8), (12, 18))], 2).astype(np.uint8)
+    rows = [{**plan, "img_id": i, "candidate": c, "ord": o, "bias": 1.0, "width": 24, "height": 24, "data": v.tobytes(), "weight": None} for i, v in enumerate((noise, dots)) for o, c in ((1, "base"), (2, "splat"))]
+    kinds = {"img_id": "long", "candidate": "string", "ord": "int", "bias": "double", "width": "int", "height": "int", "data": "binary", "weight": "binary", "budget": "int", "glyphs": "long", "saliency": "boolean", "alpha": "double", "smooth_share": "double", "texture": "double"}
+    runs = spark.createDataFrame([tuple(r.values()) for r in rows], ", ".join(f"{k} {kinds.get(k, 'string')}" for k in rows[0]))
+    got = {(r["img_id"], r["candidate"]): r for r in convert.converge(runs).collect()}
+    assert len(got) == 4
+    for r in rows:
+        alone = vectorize.vectorize(np.frombuffer(r["data"], np.uint8).reshape(24, 24, 3).astype(float), r["img_id"], convert.run_plan(r, {}))
+        own = got[r["img_id"], r["candidate"]]
+        assert (own["svg"], own["score"], own["shapes"], own["base"]) == (alone.svg, alone.score, alone.shapes, alone.base)
+        assert [h["score"] for h in own["history"]] == [h["score"] for h in alone.history]
+    assert {"splats" in got[i, "splat"]["base"] for i in (0, 1)} == {False, True}
