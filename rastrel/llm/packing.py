@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _BYTE, Words, cut, mix, rolling, slices, trim
+from .common import Words, cut, mix, slices, spelled, trim
 
 CAPACITY = 4096
 END_ID = 2
@@ -165,7 +165,7 @@ def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
         i = np.flatnonzero(pick)
         if not len(i):
             continue
-        back, found = _lookup(rolling(_BYTE[text], x[i], y[i]), x[i], y[i], source, cache, how)
+        back, found = _lookup(spelled(text, x[i], y[i]), x[i], y[i], source, cache, how)
         size = np.fromiter(map(len, found), np.int64, len(found)) // 2
         sizes[row, i], begins[row, i] = size[back], (at + np.cumsum(size) - size)[back]
         at += int(size.sum())
@@ -223,7 +223,7 @@ def tokenized(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 33
         table = _projection()
-        for batch in slices(batches, limit=2 << 20):
+        for batch in slices(batches):
             flat, n = encode(batch.column("text"), path)
             at, whole = np.cumsum(n) - n, flat.tobytes()
             ids = [whole[2 * a : 2 * (a + k)] for a, k in zip(at.tolist(), n.tolist(), strict=True)]

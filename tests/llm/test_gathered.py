@@ -2,13 +2,14 @@
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
 import pyarrow as pa
 
 import corpus_pipeline
-from rastrel.llm import packing, queries, substrings
+from rastrel.llm import common, packing, queries, substrings
 
 from .helpers import CLASHES, ODD, WORD, docs
 
@@ -141,6 +142,29 @@ def test_ids_equal_the_whole_tokenizer():
         assert flat[a : a + k].tolist() == packing._tokenizer(path).encode(t or "", add_special_tokens=False).ids + [2]
 
 
+def test_tokenizing_holds_few_numbers_for_each_byte():
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}rd" for i in range(500)]
+    text = " ".join(words[(i * i + 7 * i) % 500] for i in range(1500))
+    texts, path = pa.array([f"{text} {i}" for i in range(60)]), packing.vocabulary_path()
+    packing.encode(texts, path)  # fills the cache
+    tracemalloc.start()
+    packing.encode(texts, path)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50 * texts.nbytes
+
+
+def test_words_are_told_apart_by_their_bytes():
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choices("ab\0é", k=rng.choice([1, 2, 7, 8, 9, 16, 17, 255, 256, 257, 600]))) for _ in range(3000)) for _ in range(2)]
+    texts += ["", "x", "a\0", "a", "a" * 8, "a" * 9, "a" * 8 + "\0", "a" * 300, "a" * 299 + "b", None]
+    words = common.Words(pa.array(texts))
+    own = [words.data[a:b].tobytes() for a, b in zip(words.starts, words.ends)]
+    for seed in (1, 2):
+        hashes = common.spelled(words.data, words.starts, words.ends, seed).tolist()
+        assert len(set(own)) == len(set(hashes)) == len(set(zip(own, hashes)))
+
+
 def test_hilbert_curve_is_a_path():
     side = np.arange(8)
     cells = np.stack(np.meshgrid(side, side, side, indexing="ij"), -1).reshape(-1, 3)
