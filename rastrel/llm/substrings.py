@@ -4,8 +4,8 @@ A node is a sequence of 12 words, an edge a window of 13: the graph of the corpu
 distinct window. Only edges that occur in two documents matter, so the rest is never written out.
 
 1. Seeds. Edges are partitioned by their minimizer, the smallest hashed ``SEED_WORDS``-gram inside them;
-   one that occurs in one document alone has no repeated edge. Seeds are found by one aggregation and
-   joined back to documents.
+   one that occurs in one document alone has no repeated edge. Each document's are written once; seeds
+   are found by one aggregation of them and joined back.
 2. Runs. A maximal run of a document's edges with one minimizer is one row (content, document, first
    word). An aggregation by content gives each distinct run its source, the smallest document with it.
 3. Pieces. Where all runs of a minimizer are equal, no other run shares an edge with them: the run is a
@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, Words, cut, map_slices, mix, rolling, signed
+from .common import U64, Words, cut, map_slices, mix, rolling, signed, spelled
 
 WINDOW, SEED_WORDS = 13, 5
 
@@ -48,7 +48,7 @@ class Edges:
 
     def __init__(self, texts: pa.Array) -> None:
         self.words = words = Words(texts)
-        self.hashes = words.hashes()
+        self.hashes = spelled(words.data, words.starts, words.ends)
         n = max(0, len(self.hashes) - WINDOW + 1)
         self.valid = words.doc[:n] == words.doc[WINDOW - 1 :][:n]
         self.doc = words.doc[:n]
@@ -69,7 +69,7 @@ class Edges:
     def digests(self, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Two independent hashes of words first..last-1."""
         if not hasattr(self, "second"):
-            self.second = self.words.hashes(seed=2)
+            self.second = spelled(self.words.data, self.words.starts, self.words.ends, 2)
         return rolling(self.hashes, first, last, 6), rolling(self.second, first, last, 7)
 
     def member(self, values: np.ndarray, docs: np.ndarray, lists: pa.Array) -> np.ndarray:
@@ -106,10 +106,10 @@ def _seed_rows(docs: DataFrame) -> DataFrame:
 
 def _runs(texts: DataFrame) -> DataFrame:
     """(h, check, seed, doc_id, start, edges): the runs of seeds that two documents have."""
-    rows = _seed_rows(texts)
+    rows = cut(_seed_rows(texts))
     seeds = rows.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
     seeds = cut(seeds.where("low < high").select("h"))
-    found = cut(rows.join(seeds, "h").groupBy("doc_id").agg(F.collect_set("h").alias("seeds")), seeds)
+    found = cut(rows.join(seeds, "h").groupBy("doc_id").agg(F.collect_set("h").alias("seeds")), seeds, rows)
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         e = Edges(batch.column("text"))

@@ -132,6 +132,20 @@ def test_paths_are_nonbranching_and_whole(spark):
     assert got == want and len(set(p for p, _ in got.values())) > 3 and max(n for _, n in got.values()) > 100
 
 
+def test_seeds_and_runs_read_each_text_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rows = [(i, " ".join(f"w{j}" for j in range(i % 7, 40 + i % 7)), None, None) for i in range(60)]
+    texts = docs(spark, rows).select("doc_id", "text").mapInArrow(counted, "doc_id long, text string")
+    assert substrings._runs(texts).where("edges > 0").count() >= 60
+    assert read.value == 2 * 60
+
+
 # ---------------------------------------------------------------- packing
 def test_ids_equal_the_whole_tokenizer():
     path = packing.vocabulary_path()
